@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, line_dedup, mixing, packing, quality_rules, simhash, url_filter
+from tidemark.llm import chat, embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality_rules, simhash, toxicity, url_filter
 from tidemark.llm.text import table
 
 URL_RULES = (
@@ -34,6 +34,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _remainder(doc_id: Column, by: int) -> Column:
+    """crc32 of doc_id as text, mod by; a null doc_id has 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by, F.lit(0))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(_remainder(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.train(docs.filter(_remainder(F.col("doc_id"), 5) != 1))
+    scored = ngram_lm.score(docs, model)
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -51,6 +70,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,4 +83,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_chat_format, op6_line_dedup, op7_mixing, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_quality_rules, op3_toxicity, op4_ngram_lm, op5_chat_format,
+        op6_line_dedup, op7_mixing, op8_embedding_dedup, op9_simhash, op10_packing,
+    )
+}
