@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,18 @@ def session(app: str = "tidemark", cpus: str = "*", shuffle_partitions: int = 8)
     return spark
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster where it is installed, or was sent with --py-files, the extra entry is idle.
+    """
+    here = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
