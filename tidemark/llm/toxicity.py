@@ -25,6 +25,27 @@ def terms(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_TO_TERMS).split() if text else []
 
 
+def features(term: bytes) -> list[bytes]:
+    """A term, and its beginnings of 3 to 7 characters, marked with a star: stems, in languages
+    that build their words from them."""
+    word = term.decode("utf-8", "replace")
+    return [term, *[word[:n].encode() + b"*" for n in range(3, min(8, len(word)))]]
+
+
+class Lookup(dict):
+    """Term to the numbers of its features in the vocabulary; remembers up to a bound."""
+
+    def __init__(self, vocab: list[bytes], bound: int = 500_000) -> None:
+        super().__init__()
+        self.wanted, self.bound = {t: k for k, t in enumerate(vocab)}, bound
+
+    def __missing__(self, term: bytes) -> tuple[int, ...]:
+        if len(self) >= self.bound:
+            self.clear()
+        got = self[term] = tuple(self.wanted[f] for f in features(term) if f in self.wanted)
+        return got
+
+
 def _binary(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     return docs.select(*more, F.col(f"`{text_col}`").cast("binary").alias("text"))
 
@@ -47,7 +68,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     by: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by[label].update(set(terms(text)))
+            by[label].update({f for t in set(terms(text)) for f in features(t)})
     names = list(by[0].keys() | by[1].keys())
     for at in range(0, len(names), 10_000):
         part = names[at : at + 10_000]
@@ -55,7 +76,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def vocabulary(rows: DataFrame, max_terms: int, least: float) -> list[bytes]:
-    """Terms that stand out in label 1: log-likelihood ratio of at least `least`, the largest first.
+    """Features that stand out in label 1: log-likelihood ratio of at least `least`, the largest first.
 
     The rest of a text says nothing about its label; a cosine over all its terms would be one of
     topic. Counting is a map-side combined aggregation over the sample; max_terms terms at most
@@ -76,15 +97,14 @@ def vocabulary(rows: DataFrame, max_terms: int, least: float) -> list[bytes]:
 
 def document_frequencies(docs: DataFrame, text_col: str, vocab: list[bytes]) -> tuple[np.ndarray, int]:
     """Documents a vocabulary term, and documents, over all of docs: one row a task."""
-    wanted = {t: k for k, t in enumerate(vocab)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocab), np.int64), 0
+        df, n, wanted = np.zeros(len(vocab), np.int64), 0, Lookup(vocab)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                for t in wanted.keys() & set(terms(text)):
-                    df[wanted[t]] += 1
+                for k in {k for t in set(terms(text)) for k in wanted[t]}:
+                    df[k] += 1
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*df[at].tolist(), n], pa.int64())], ["k", "n"])
 
@@ -98,10 +118,10 @@ def document_frequencies(docs: DataFrame, text_col: str, vocab: list[bytes]) ->
     return df, n
 
 
-def vector(text: bytes | None, wanted: dict[bytes, int]) -> tuple[tuple[int, int], ...]:
-    """((term number, occurrences), ...) of a text's vocabulary terms, by number."""
-    found = [t for t in terms(text) if t in wanted]
-    return tuple(sorted((wanted[t], n) for t, n in Counter(found).items())) if found else ()
+def vector(text: bytes | None, wanted: Lookup) -> tuple[tuple[int, int], ...]:
+    """((feature number, occurrences), ...) of a text's vocabulary features, by number."""
+    found = [k for ks in map(wanted.__getitem__, terms(text)) for k in ks]
+    return tuple(sorted(Counter(found).items())) if found else ()
 
 
 @dataclass
@@ -203,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_clas
     prior = (totals[1] + 0.5) / (sum(totals) + 1.0)
     df, n = document_frequencies(docs, text_col, vocab) if vocab else (np.zeros(0), 0)
     idf = np.log((1 + n) / (1 + df)) + 1
-    wanted = {t: k for k, t in enumerate(vocab)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Lookup(vocab)
         for batch in batches:
             vs = [vector(t, wanted) for t in batch.column(2).to_pylist()]
             flat = [[x for kn in v for x in kn] for v in vs]
@@ -225,7 +245,7 @@ def score(docs: DataFrame, fitted: tuple[list[bytes], Index], text_col: str = "t
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and evidence (doc_ids of the
     nearest examples) of every row of docs.
 
-    Whole texts are read. Null, empty and other texts without a vocabulary term score the share
+    Whole texts are read. Null, empty and other texts without a vocabulary feature score the share
     of label 1. Ties at the k-th neighbour all vote, so the order of examples never matters.
     Rows that repeat score alike, a null doc_id stays null, other columns are not read. Empty
     table: no rows.
@@ -235,7 +255,7 @@ def score(docs: DataFrame, fitted: tuple[list[bytes], Index], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, index = shared.value
-        wanted, known = {t: n for n, t in enumerate(vocab)}, {}
+        wanted, known = Lookup(vocab), {}
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
