@@ -198,7 +198,8 @@ def no_score_reason(direction: Column, tickers: Column, state: Column, score: Co
 
 
 def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:
-    p, n = F.try_divide(hits.cast("double"), n.cast("double")), n.cast("double")
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = hits.cast("double") / n
     root = F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
     return F.coalesce((p + z * z / (2 * n) - z * root) / (1 + z * z / n), F.lit(0.0))
 

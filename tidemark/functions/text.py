@@ -37,6 +37,12 @@ COLUMNS = (
 DATA_DRIVEN = "資料驅動模板"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row: a name inside a lambda would be computed for
+    every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -106,9 +112,13 @@ def bracketed_tickers(text: Column) -> Column:
     pattern = r"\(([0-9]{3,6})(-[A-Za-z]{1,4})?\)"
     codes, suffixes = (F.regexp_extract_all(t, F.lit(pattern), F.lit(k)) for k in (1, 2))
     hits = F.arrays_zip(codes.alias("c"), suffixes.alias("s"))
-    known = F.transform(F.filter(hits, lambda x: x["s"] != ""), lambda x: x["c"])
-    fine = F.filter(hits, lambda x: (x["s"] != "") | ~x["c"].rlike(r"^(19|20)[0-9]{2}$") | F.array_contains(known, x["c"]))
-    return F.array_distinct(F.transform(fine, lambda x: x["c"]))
+
+    def fine(h: Column) -> Column:
+        known = F.transform(F.filter(h, lambda x: x["s"] != ""), lambda x: x["c"])
+        kept = F.filter(h, lambda x: (x["s"] != "") | ~x["c"].rlike(r"^(19|20)[0-9]{2}$") | F.array_contains(known, x["c"]))
+        return F.array_distinct(F.transform(kept, lambda x: x["c"]))
+
+    return let(hits, fine)
 
 
 def money_details(text: Column) -> Column:
@@ -147,9 +157,11 @@ def host_allowed(host: Column, domains: Sequence[str]) -> Column:
 
 def distinct_share(text: Column, n: int = 8, least: int = 24) -> Column:
     """Different n-word windows over all of them; 1 for texts of under `least` words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < least, 1.0).otherwise(F.size(F.array_distinct(windows)) / F.size(windows))
+    def share(words: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) < least, 1.0).otherwise(let(windows, lambda w: F.size(F.array_distinct(w)) / F.size(w)))
+
+    return let(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""), share)
 
 
 def signed_percent(x: Column, digits: int = 1) -> Column:

@@ -1,7 +1,270 @@
-"""Text and date rules: registered queries."""
+"""Scores, serving, gates: registered queries over events and articles."""
 
 from __future__ import annotations
 
-from tidemark.plans.book import Book
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import scoring
+from tidemark.operators import bars, gates, serving
+from tidemark.plans.book import Book, Tables
+from tidemark.plans.market_queries import _DERIVED
 
 book = Book()
+
+_HEAT = "heat AS (SELECT a.event_id, count(DISTINCT a.source) AS heat_sources_24h FROM articles a JOIN (SELECT event_id, min(published) AS f FROM articles GROUP BY 1) m ON a.event_id = m.event_id AND a.published <= m.f + 86400 GROUP BY 1)"
+_READY = "title IS NOT NULL AND categories IS NOT NULL AND stars IS NOT NULL"
+_RANK = "stars DESC NULLS FIRST, market_validation DESC NULLS LAST, occurred DESC NULLS FIRST, event_id"
+
+
+def _tier(x: str) -> str:
+    arms = " ".join(f"WHEN {' OR '.join(f'contains(lower({x}), {chr(39)}{w}{chr(39)})' for w in words)} THEN {score}" for score, words in scoring.TIERS)
+    return f"CASE {arms} END"
+
+
+_OVERLAP = "len(list_intersect(coalesce(categories, []), {})) > 0"
+_SCORED = f"""
+src AS (SELECT event_id, list(source ORDER BY article_id) AS sources, string_agg(lower(source), ' ' ORDER BY article_id) AS joined, max({_tier('source')}) AS best FROM (SELECT *, CASE n % 9 WHEN 0 THEN 'MOPS ' || source WHEN 4 THEN '工商時報' || source WHEN 5 THEN 'Yahoo ' || source WHEN 7 THEN 'PTT' ELSE source END AS s2 FROM articles) x(article_id, n, event_id, source_raw, source_type, title, content, url, published, stage, source) GROUP BY 1),
+parts AS (SELECT e.event_id,
+  CASE WHEN source_count >= 8 THEN 100 ELSE [25, 45, 60, 70, 80, 85, 92][greatest(source_count, 1)] END AS breadth,
+  CASE WHEN status = 'official_confirmed' THEN CASE WHEN {' OR '.join(f"contains(joined, '{w}')" for w in scoring.TIERS[0][1])} THEN 100 WHEN {' OR '.join(f"contains(joined, '{w}')" for w in scoring.TIERS[1][1])} THEN 85 ELSE 72 END
+    WHEN status = 'rumor_unconfirmed' THEN least(coalesce(best, 50), 30) ELSE coalesce(best, 50) END AS authority,
+  CASE WHEN {_OVERLAP.format("['政策', '關稅']")} THEN 100 WHEN {_OVERLAP.format("['產業供需', 'AI/科技']")} THEN 75 WHEN len(tickers) >= 3 THEN 70 WHEN len(tickers) = 2 THEN 60
+    WHEN len(tickers) = 1 THEN CASE WHEN tickers[1] IN ({", ".join(f"'{h}'" for h in scoring.HEAVYWEIGHTS)}) THEN 65 ELSE 45 END ELSE 35 END AS impact,
+  coalesce(list_max(list_transform(categories, lambda c: CASE c {" ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.CATEGORIES.items())} ELSE 50 END)), 50) AS category,
+  heat_sources_24h AS h FROM entities e JOIN src USING (event_id) LEFT JOIN heat USING (event_id)),
+amped AS (SELECT *, CASE WHEN h IS NULL THEN 1.0 WHEN h / 2 <= 0.5 THEN 0.9 WHEN h / 2 <= 1 THEN round(0.9 + (h / 2 - 0.5) / 0.5 * 0.1, 3) WHEN h / 2 >= 2.5 THEN 1.15 ELSE round(1.0 + (h / 2 - 1) / 1.5 * 0.15, 3) END::DOUBLE AS amp FROM parts),
+totals AS (SELECT *, least(greatest((0.0::DOUBLE + breadth * 0.30::DOUBLE + authority * 0.25::DOUBLE + impact * 0.30::DOUBLE + category * 0.15::DOUBLE) * amp, 0), 100) AS raw FROM amped)
+"""
+
+
+def _sources(t: Tables) -> DataFrame:
+    """Event and its members' source names; a few names are of the kinds that tiers look for."""
+    name = F.when(F.col("n") % 9 == 0, F.concat(F.lit("MOPS "), "source")).when(F.col("n") % 9 == 4, F.concat(F.lit("工商時報"), "source")).when(F.col("n") % 9 == 5, F.concat(F.lit("Yahoo "), "source")).when(F.col("n") % 9 == 7, F.lit("PTT")).otherwise(F.col("source"))
+    listed = t.articles.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("article_id", name.alias("s")))).alias("x"))
+    return listed.select("event_id", F.transform("x", lambda x: x["s"]).alias("sources"))
+
+
+def _importance(t: Tables) -> DataFrame:
+    joined = t.entities.join(_sources(t), "event_id").join(gates.heat_sources(t.articles), "event_id", "left")
+    score = scoring.importance(F.col("source_count"), F.col("sources"), F.col("status"), F.col("tickers"), F.col("categories"), F.col("heat_sources_24h"))
+    return joined.withColumn("score", score)
+
+
+@book.query(f"WITH {_HEAT}, {_SCORED} SELECT event_id, breadth::INT AS breadth, authority::INT AS authority, impact::INT AS impact, category::INT AS category, amp, round(raw, 6) AS total, (CASE WHEN raw >= 80 THEN 5 WHEN raw >= 65 THEN 4 WHEN raw >= 50 THEN 3 WHEN raw >= 35 THEN 2 ELSE 1 END)::INT AS stars FROM totals")
+def q_M06_importance(t: Tables) -> DataFrame:
+    return _importance(t).select("event_id", "score.*")
+
+
+@book.query(f"WITH {_HEAT}, {_SCORED} SELECT event_id, printf('[來源廣度 %d分×30%%]|[來源權威 %d分×25%%]|[影響範圍 %d分×30%%]|[事件類型 %d分×15%%]|[熱度 ×%.3f]', breadth, authority, impact, category, amp) AS reasons FROM totals")
+def q_M06_reasons(t: Tables) -> DataFrame:
+    return _importance(t).select("event_id", F.array_join(scoring.reasons(F.col("score")), "|").alias("reasons"))
+
+
+@book.query(f"WITH {_HEAT} SELECT event_id, heat_sources_24h FROM heat")
+def q_A06_heat_sources(t: Tables) -> DataFrame:
+    return gates.heat_sources(t.articles)
+
+
+_SIGNALS = """
+anc AS (SELECT event_id AS id, tickers[1] AS ticker, expected_direction AS direction, confidence, DATE '1995-03-01' + ((k * 17) % 2200)::INT AS day FROM entities WHERE regexp_full_match(tickers[1], '[1-9][0-9]{3}')),
+j AS (SELECT anc.*, c.* EXCLUDE (ticker), row_number() OVER (PARTITION BY id ORDER BY date) AS n FROM anc JOIN chips c ON anc.ticker = c.ticker AND c.date >= anc.day AND c.close > 0),
+win AS (SELECT id, any_value(direction) AS direction, any_value(confidence) AS confidence, avg(net_vs_avg20_volume_pct) AS mean_pct, arg_max(foreign_consecutive_days, date) AS cons, max(volume_ratio_vs_avg20) AS ratio,
+  max(return_1d) FILTER (WHERE n = 1) AS r1, max(return_3d) FILTER (WHERE n = 1) AS r3, max(return_5d) FILTER (WHERE n = 1) AS r5, max(sigma_20d) FILTER (WHERE n = 1) AS sigma FROM j WHERE n <= 6 GROUP BY id),
+ins AS (SELECT *, CASE WHEN abs(coalesce(mean_pct, 0)) < 0.01 THEN 0 WHEN mean_pct > 0 THEN 1 ELSE -1 END AS si, least(0.3 * least(abs(cons), 5) / 5 + 0.7 * least(abs(coalesce(mean_pct, 0)) / 0.2, 1), 1) AS fi,
+  CASE WHEN r5 IS NOT NULL THEN 5 WHEN r3 IS NOT NULL THEN 3 WHEN r1 IS NOT NULL THEN 1 ELSE 0 END AS kk, coalesce(r5, r3, r1) AS ret, coalesce(ratio, 1) AS vr FROM win),
+z AS (SELECT *, CASE WHEN sigma > 0 THEN ret / (sigma * sqrt(kk)) END AS z, CASE WHEN vr <= 0.7 THEN 0.8 WHEN vr <= 1 THEN 0.8 + (vr - 0.7) / (1 - 0.7) * 0.2 WHEN vr >= 2.5 THEN 1.15 ELSE 1 + (vr - 1) / 1.5 * 0.15 END AS amp FROM ins),
+p AS (SELECT *, CASE WHEN z IS NULL OR abs(z) < 0.3 THEN 0 WHEN z > 0 THEN 1 ELSE -1 END AS sp, coalesce(least(abs(z) / 2, 1), 0) AS fp, CASE WHEN direction = '利多' THEN 1 ELSE -1 END AS e FROM z),
+r AS (SELECT *, 50 + (25 * fi * (si * e) + 20 * fp * (sp * e)) * amp AS raw FROM p),
+sc AS (SELECT *, round_even(round(CASE WHEN raw > 85 THEN 85 + (raw - 85) * 0.3 WHEN raw < 15 THEN 15 - (15 - raw) * 0.3 ELSE raw END, 9), 0) AS whole FROM r)
+"""
+
+
+@book.query(f"""WITH {_DERIVED}, {_SIGNALS} SELECT id AS event_id, coalesce((CASE WHEN direction = '中性' OR confidence = 'low' THEN NULL WHEN si <> 0 AND sp <> 0 AND si = -sp THEN least(greatest(whole, 40), 55) ELSE least(greatest(whole, 0), 100) END)::INT, -1) AS score,
+  CASE WHEN kk >= 5 THEN 'verified' WHEN kk >= 1 THEN 'preliminary' ELSE 'observing' END AS state, si <> 0 AND sp <> 0 AND si = -sp AS divergence FROM sc""")
+def q_M12_validation(t: Tables) -> DataFrame:
+    day = F.date_add(F.lit("1995-03-01").cast("date"), ((F.col("k") * 17) % 2200).cast("int"))
+    anchors = t.entities.select(F.col("event_id").alias("id"), F.get("tickers", F.lit(0)).alias("ticker"), F.col("expected_direction").alias("direction"), "confidence", day.alias("day")).filter(bars.is_common_stock(F.col("ticker")))
+    rows = serving.first_on_or_after(bars.derive(t.bars), anchors)
+    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
+    w = rows.groupBy("id").agg(
+        F.max("direction").alias("direction"), F.max("confidence").alias("confidence"), F.avg("net_vs_avg20_volume_pct").alias("mean_pct"), F.max_by("foreign_consecutive_days", "date").alias("cons"),
+        F.max("volume_ratio_vs_avg20").alias("ratio"), *[first(f"return_{k}d").alias(f"r{k}") for k in (1, 3, 5)], first("sigma_20d").alias("sigma"),
+    )
+    i_sign, i_str = scoring.institution_signal(F.col("mean_pct"), F.col("cons"))
+    p_sign, p_str, k = scoring.price_signal(F.col("r1"), F.col("r3"), F.col("r5"), F.col("sigma"))
+    w = w.select("*", i_sign.alias("i_sign"), i_str.alias("i_str"), p_sign.alias("p_sign"), p_str.alias("p_str"), k.alias("k"), scoring.volume_amplifier(F.col("ratio")).alias("amp"))
+    score = scoring.validation(F.col("i_sign"), F.col("i_str"), F.col("p_sign"), F.col("p_str"), F.col("amp"), F.col("direction"), F.col("confidence"))
+    opposed = (F.col("i_sign") != 0) & (F.col("p_sign") != 0) & (F.col("i_sign") == -F.col("p_sign"))
+    return w.select(F.col("id").alias("event_id"), F.coalesce(score, F.lit(-1)).alias("score"), scoring.verify_state(F.col("k")).alias("state"), opposed.alias("divergence"))
+
+
+@book.query("""SELECT event_id, CASE WHEN market_validation >= 80 THEN 'strong' WHEN market_validation >= 60 THEN 'supportive' WHEN market_validation >= 45 THEN 'neutral' WHEN market_validation >= 20 THEN 'weak' ELSE 'contrary' END AS band,
+  CASE WHEN market_validation < 45 THEN '背離' WHEN market_validation < 60 THEN '中性' WHEN market_validation >= 60 THEN '支持' END AS label,
+  CASE WHEN market_validation IS NOT NULL THEN NULL WHEN expected_direction = '中性' THEN 'neutral' WHEN tickers[1] IS NULL THEN 'no_ticker' WHEN NOT regexp_full_match(tickers[1], '[1-9][0-9]{3}') THEN 'not_common_stock' ELSE 'observing' END AS why FROM entities""")
+def q_M15_M24_M25_labels(t: Tables) -> DataFrame:
+    s = F.col("market_validation")
+    why = scoring.no_score_reason(F.col("expected_direction"), F.col("tickers"), F.lit("observing"), s)
+    return t.entities.select("event_id", scoring.band(s).alias("band"), scoring.reaction_label(s).alias("label"), why.alias("why"))
+
+
+@book.query(f"SELECT event_id, stars::BIGINT AS stars, coalesce(market_validation, -1)::BIGINT AS market_validation, occurred FROM entities WHERE {_READY} AND list_contains(categories, '財報') ORDER BY {_RANK} LIMIT 20 OFFSET 3")
+def q_E01_page(t: Tables) -> DataFrame:
+    return serving.page(t.entities, "財報", 20, 3).select("event_id", F.col("stars").cast("long").alias("stars"), F.coalesce("market_validation", F.lit(-1)).cast("long").alias("market_validation"), "occurred")
+
+
+@book.query(f"SELECT event_id, n_members FROM entities WHERE {_READY} AND list_contains(tickers, '2330')")
+def q_E05_by_ticker(t: Tables) -> DataFrame:
+    return serving.by_ticker(t.entities, "2330").select("event_id", "n_members")
+
+
+@book.query(f"SELECT event_id FROM entities WHERE {_READY} AND len(list_intersect(categories, ['政策', '法說'])) > 0")
+def q_F03_overlap(t: Tables) -> DataFrame:
+    return serving.overlapping(t.entities, ["政策", "法說"]).select("event_id")
+
+
+@book.query("SELECT ticker, name FROM tickers WHERE contains(lower(name), '11') OR starts_with(lower(ticker), '11') ORDER BY starts_with(lower(ticker), '11') DESC, ticker LIMIT 20")
+def q_E04_search_tickers(t: Tables) -> DataFrame:
+    return serving.search_tickers(t.tickers, " 11 ").select("ticker", "name")
+
+
+@book.query("""WITH x AS (SELECT event_id, unnest(tickers) AS ticker, generate_subscripts(tickers, 1) AS p FROM entities),
+n AS (SELECT event_id, string_agg(ticker || '=' || coalesce(name, '?'), ';' ORDER BY p) AS s FROM x LEFT JOIN tickers USING (ticker) GROUP BY 1) SELECT event_id, coalesce(s, '') AS named FROM entities LEFT JOIN n USING (event_id)""")
+def q_J03_named_tickers(t: Tables) -> DataFrame:
+    named = serving.named_tickers(t.entities, t.tickers)
+    return named.select("event_id", F.array_join(F.transform("tickers", lambda x: F.concat(x["ticker"], F.lit("="), F.coalesce(x["name"], F.lit("?")))), ";").alias("named"))
+
+
+@book.query("SELECT event_id, string_agg(article_id || ':' || source_type, ';' ORDER BY published, article_id) AS members FROM articles GROUP BY event_id")
+def q_J04_members(t: Tables) -> DataFrame:
+    m = serving.members(t.entities, t.articles)
+    return m.select("event_id", F.array_join(F.transform("members", lambda x: F.concat(x["article_id"], F.lit(":"), x["source_type"])), ";").alias("members"))
+
+
+@book.query(f"""WITH hit AS (SELECT event_id FROM (SELECT event_id, unnest(tickers) AS ticker FROM entities) JOIN tickers USING (ticker) WHERE contains(lower(name), '110') OR contains(ticker, '110')
+  UNION SELECT event_id FROM entities WHERE contains(lower(title), '110')) SELECT event_id FROM entities SEMI JOIN hit USING (event_id) WHERE {_READY}""")
+def q_E09_search(t: Tables) -> DataFrame:
+    return serving.search(t.entities, t.tickers, " 110 ").select("event_id")
+
+
+@book.query(f"""WITH r AS (SELECT * FROM entities WHERE {_READY}), x AS (SELECT a.event_id AS anchor_id, e.event_id, e.occurred, a.event_id = e.event_id AS is_current,
+  row_number() OVER (PARTITION BY a.event_id ORDER BY e.occurred DESC, a.event_id = e.event_id DESC, e.event_id DESC) AS k
+  FROM r a JOIN r e ON list_contains(e.tickers, a.tickers[1]) AND e.occurred <= a.occurred AND e.occurred > a.occurred - 60 * 86400) SELECT anchor_id, event_id, occurred, is_current FROM x WHERE k <= 6""")
+def q_J10_timeline(t: Tables) -> DataFrame:
+    return serving.timeline(t.entities)
+
+
+@book.query("""WITH a AS (SELECT event_id AS id, tickers[1] AS ticker, DATE '1995-03-01' + ((k * 17) % 2200)::INT AS day FROM entities), j AS (SELECT a.*, date, close FROM a JOIN bars USING (ticker))
+SELECT id, date, round(close, 6) AS close, (1 - k)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS k FROM j WHERE date <= day) WHERE k <= 6
+UNION ALL SELECT id, date, round(close, 6), k::INT FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS k FROM j WHERE date > day) WHERE k <= 5""", days=("date",))
+def q_J15_around(t: Tables) -> DataFrame:
+    day = F.date_add(F.lit("1995-03-01").cast("date"), ((F.col("k") * 17) % 2200).cast("int"))
+    anchors = t.entities.select(F.col("event_id").alias("id"), F.get("tickers", F.lit(0)).alias("ticker"), day.alias("day"))
+    return serving.around(t.bars, anchors).select("id", "date", F.round("close", 6).alias("close"), F.col("place").cast("int").alias("place"))
+
+
+@book.query(f"SELECT DISTINCT make_timestamp(occurred * 1000000)::DATE AS day FROM entities WHERE {_READY} ORDER BY day DESC LIMIT 30", days=("day",))
+def q_A20_days(t: Tables) -> DataFrame:
+    return serving.catalogue_days(t.entities)
+
+
+@book.query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY {_RANK}) AS r FROM entities WHERE {_READY}), c AS (SELECT r, unnest(categories) AS category, generate_subscripts(categories, 1) AS p FROM r),
+m AS (SELECT category, min(r * 100 + p) AS k FROM c GROUP BY 1 UNION ALL SELECT '全部', 0) SELECT category, (row_number() OVER (ORDER BY k) - 1)::INT AS place FROM m""")
+def q_A21_categories(t: Tables) -> DataFrame:
+    return serving.categories_seen(t.entities).withColumn("place", F.col("place").cast("int"))
+
+
+@book.query("SELECT DISTINCT ticker FROM (SELECT unnest(tickers) AS ticker FROM entities WHERE market_validation IS NULL UNION ALL SELECT unnest(['2330', '0050', '2317'])) WHERE regexp_full_match(ticker, '[1-9][0-9]{3}')")
+def q_A22_demand(t: Tables) -> DataFrame:
+    return bars.demand(t.entities, ["2330", "0050", "2317"], F.col("market_validation").isNotNull())
+
+
+@book.query(f"""WITH x AS (SELECT DISTINCT event_id, greatest(coalesce(source_count, 0), 1) AS w, industry FROM (SELECT *, unnest(tickers) AS ticker FROM entities WHERE {_READY}) JOIN tickers USING (ticker) WHERE industry IS NOT NULL),
+a AS (SELECT industry, count(*) AS e, sum(w) AS s FROM x GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY s DESC, industry) AS r FROM a),
+g AS (SELECT CASE WHEN r <= 3 THEN industry ELSE 'other' END AS industry, sum(e)::BIGINT AS events, sum(s)::BIGINT AS articles FROM k GROUP BY 1) SELECT *, round(100.0 * articles / sum(articles) OVER (), 6) AS share_pct FROM g""")
+def q_A17_industry_heat(t: Tables) -> DataFrame:
+    return serving.industry_heat(t.entities, t.tickers, 3).withColumn("share_pct", F.col("share_pct").cast("double"))
+
+
+@book.query("SELECT stage, count(*) AS n, max(published) AS latest FROM articles GROUP BY stage")
+def q_A08_stages(t: Tables) -> DataFrame:
+    return t.articles.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.max("published").alias("latest"))
+
+
+@book.query("SELECT title, count(*) AS n, string_agg(article_id, ',' ORDER BY article_id) AS ids, floor((max(published) - min(published)) / 86400)::BIGINT AS span FROM articles GROUP BY title HAVING count(*) > 1")
+def q_A11_A12_same_title(t: Tables) -> DataFrame:
+    g = t.articles.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("article_id")), ",").alias("ids"), F.floor((F.max("published") - F.min("published")) / 86400).cast("long").alias("span"))
+    return g.filter("n > 1")
+
+
+@book.query("SELECT c AS category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM entities WHERE title IS NOT NULL), 6)::DOUBLE AS pct FROM (SELECT unnest(categories) AS c FROM entities WHERE title IS NOT NULL) GROUP BY c ORDER BY n DESC, c LIMIT 1")
+def q_A14_top_category(t: Tables) -> DataFrame:
+    e = t.entities.filter("title is not null")
+    top = e.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(1)
+    return top.crossJoin(e.agg(F.count(F.lit(1)).alias("t"))).select("category", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).cast("double").alias("pct"))
+
+
+_OFFICIAL = "EXISTS (SELECT 1 FROM articles a WHERE a.event_id = e.event_id AND a.source_type IN ('official', 'gov'))"
+
+
+@book.query(f"SELECT stars::BIGINT AS stars, count(*) AS n, round(avg((coalesce(source_count, 0) >= 4 OR {_OFFICIAL})::INT), 6) AS recall FROM entities e WHERE stars IS NOT NULL GROUP BY stars")
+def q_A15_recall_by_star(t: Tables) -> DataFrame:
+    official = t.articles.filter("source_type in ('official', 'gov')").select(F.col("event_id").alias("_o")).distinct()
+    e = t.entities.filter("stars is not null").join(official, F.col("event_id") == F.col("_o"), "left")
+    keep = (F.coalesce("source_count", F.lit(0)) >= 4) | F.col("_o").isNotNull()
+    return e.groupBy(F.col("stars").cast("long").alias("stars")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(keep.cast("int")), 6).alias("recall"))
+
+
+_WAITING = "title IS NULL AND EXISTS (SELECT 1 FROM articles a WHERE a.event_id = e.event_id AND a.stage = 'clustered')"
+_ROUTINE = gates.ROUTINE
+
+
+@book.query(f"SELECT event_id FROM entities e WHERE {_WAITING} AND (coalesce(source_count, 0) >= 4 OR ({_OFFICIAL} AND NOT regexp_matches(representative_title, '{_ROUTINE}')))")
+def q_Q02_must_send(t: Tables) -> DataFrame:
+    return gates.must_send(t.entities, t.articles, min_sources=4, min_members=99).select("event_id")
+
+
+@book.query(f"""WITH s AS (SELECT event_id FROM entities e WHERE k % 10 = 4)
+SELECT article_id FROM articles a WHERE stage = 'clustered' AND published < 1740000000 - 7 * 86400 AND EXISTS (SELECT 1 FROM entities e WHERE e.event_id = a.event_id AND e.title IS NULL) AND event_id NOT IN (SELECT event_id FROM s)""")
+def q_Q03_expired(t: Tables) -> DataFrame:
+    return gates.expired(t.articles, t.entities, 1740000000, t.entities.filter("k % 10 = 4")).select("article_id")
+
+
+@book.query("SELECT CASE WHEN trim(coalesce(title, '')) = '' THEN '無標題' WHEN length(trim(content)) < 400 THEN '內文過短（<400 字）' END AS reason, count(*) AS n FROM articles WHERE stage = 'pending' GROUP BY 1")
+def q_Q01_prescreen(t: Tables) -> DataFrame:
+    rows = t.articles.filter("stage = 'pending'").withColumn("reason", gates.rejection(F.col("title"), F.col("content"), 400))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@book.query(f"SELECT event_id, CASE WHEN status = 'official_confirmed' AND NOT {_OFFICIAL} THEN 'developing' ELSE status END AS status FROM entities e")
+def q_Q07_official_guard(t: Tables) -> DataFrame:
+    return gates.guard_official(t.entities, t.articles).select("event_id", "status")
+
+
+@book.query("SELECT e.event_id FROM entities e WHERE EXISTS (SELECT 1 FROM articles a WHERE a.event_id = e.event_id AND a.stage = 'clustered')")
+def q_J07_semi(t: Tables) -> DataFrame:
+    return t.entities.join(t.articles.filter("stage = 'clustered'"), "event_id", "left_semi").select("event_id")
+
+
+@book.query("SELECT event_id, t AS ticker FROM (SELECT event_id, unnest(tickers) AS t FROM entities) x WHERE NOT EXISTS (SELECT 1 FROM tickers k WHERE k.ticker = x.t)")
+def q_J08_anti(t: Tables) -> DataFrame:
+    return t.entities.select("event_id", F.explode("tickers").alias("ticker")).join(t.tickers, "ticker", "left_anti").select("event_id", "ticker")
+
+
+@book.query("""SELECT count(*) AS items, count(*) FILTER (WHERE p = 0) AS valid, count(DISTINCT url) AS distinct_urls, round(count(*) FILTER (WHERE p = 0) / count(*), 6) AS valid_rate, round(count(DISTINCT url) / count(*), 6) AS unique_rate
+FROM (SELECT url, (length(trim(title)) < 4)::INT + (length(trim(content)) < 40)::INT + (n % 13 = 0)::INT AS p FROM articles)""")
+def q_Q04_funnel(t: Tables) -> DataFrame:
+    published = F.when(F.col("n") % 13 == 0, F.lit("")).otherwise(F.col("published").cast("string"))
+    problems = gates.item_problems(F.col("title"), F.col("url"), F.col("content"), published, ["example.com"])
+    return gates.funnel(t.articles, problems)
+
+
+@book.query("SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(html, '(?i)captcha|access denied|cloudflare|verify you are human')) AS hits, count(DISTINCT substr(html, 1, 200)) AS leads, false AS blocked FROM pages")
+def q_Q05_block_page(t: Tables) -> DataFrame:
+    return gates.block_page(t.pages.select(F.col("html").alias("text")))
+
+
+@book.query("SELECT article_id, CASE WHEN stage = 'clustered' AND n % 3 = 0 THEN 'summarized' ELSE stage END AS stage FROM articles")
+def q_ST1_advance(t: Tables) -> DataFrame:
+    ids = t.articles.filter("n % 3 = 0").select("article_id")
+    return gates.advance(t.articles, ids, "clustered", "summarized").select("article_id", "stage")

@@ -2,6 +2,197 @@
 
 from __future__ import annotations
 
-from tidemark.plans.book import Book
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import dates, scoring, text
+from tidemark.plans.book import Book, Tables
 
 book = Book()
+
+# Small fixed inputs for rules whose alphabet the tables lack; both engines get the same rows.
+TITLES = (
+    "《美股》道瓊大漲千點", "〈台股盤後〉量縮震盪收紅", "台積電法說會釋利多", "鴻海 7月營收速報 年增12%", "三大法人買超 120 億元", "外資今日大舉買超半導體",
+    "聯發科宣布併購 早盤台股走高", "〈熱門股〉航運股飆漲", "運價指數連三週上漲", "存股族必看操作策略", "群創早盤亮燈漲停", "大盤爆量創高 該追還是該收", "本週大事回顧", "中鋼(2002) 調漲報價",
+)
+PASSAGES = (
+    "群創 (3481-TW) 與友達(2409) 今 (2026) 年營收成長 12.5 %，達 1,200 億元", "去 (2025)4 月 大成鋼 (2027-TW) 漲停，(2027) 成交 3 萬張", "台積電(2330)(2330-TW)；EPS 9.5元、目標價 1,000 元，上漲 5 點", "no codes here (12) (1234567)", "(1999) 今(114)年", "",
+)
+STAMPS = (
+    "", "1735689600000", "1735689600", "2026-01-02T03:04:05+08:00", "2026-01-02 03:04", "114/05/06", "Fri, 02 Jan 2026 03:04:05 +0800", "3 小時前", "2026/1/2", "soon", "1150102", "2026-01-02T03:04:05Z",
+)
+URLS = ("HTTPS://News.Example.com:443/a/b/?id=2&utm=x&cat=1#top", "http://example.com:80", "http://Example.com:8080/x//?b=1&a=2", "not a url", "https://a.b/c?id=1&id=0")
+
+
+def _values(rows: tuple[str, ...]) -> str:
+    return "(VALUES " + ", ".join("({}, '{}')".format(i, r.replace("'", "''")) for i, r in enumerate(rows)) + ") AS v(i, s)"
+
+
+def _rows(t: Tables, rows: tuple[str, ...]) -> DataFrame:
+    return t.spark.createDataFrame(list(enumerate(rows)), "i int, s string")
+
+
+def _when(rules, column: str) -> str:
+    return " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{n}'" for n, p in rules)
+
+
+_PERIODIC = f"CASE {_when(text.COLUMNS_ALWAYS, 's')} WHEN regexp_matches(s, '{text.EVENTS}') THEN NULL {_when(text.COLUMNS, 's')} END"
+
+
+@book.query(f"SELECT i, {_PERIODIC} AS kind FROM {_values(TITLES)}")
+def q_X10_periodic_type(t: Tables) -> DataFrame:
+    return _rows(t, TITLES).select("i", text.periodic_type(F.col("s")).alias("kind"))
+
+
+_TEMPLATE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\([0-9]{{3,6}}[-A-Za-z]*\)', '', 'g'), '[0-9]+[.,]?[0-9]*', '#', 'g'), '[年月日]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@book.query(f"SELECT i, {_TEMPLATE.format('s')} AS template FROM {_values(TITLES + PASSAGES)}")
+def q_X09_title_template(t: Tables) -> DataFrame:
+    return _rows(t, TITLES + PASSAGES).select("i", text.title_template(F.col("s")).alias("template"))
+
+
+@book.query(f"SELECT article_id, {_TEMPLATE.format('title')} AS template, count(*) OVER (PARTITION BY {_TEMPLATE.format('title')}) AS n FROM articles")
+def q_X11_templates(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    a = t.articles.select("article_id", text.title_template(F.col("title")).alias("template"))
+    return a.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("template")))
+
+
+@book.query(rf"""WITH c AS (SELECT i, regexp_replace(s, '[今去前明後隔]\s*\([0-9]{{3,4}}\)\s*年', ' ', 'g') AS s FROM {_values(PASSAGES)}),
+h AS (SELECT i, unnest(regexp_extract_all(s, '\([0-9]{{3,6}}(?:-[A-Za-z]{{1,4}})?\)')) AS m, generate_subscripts(regexp_extract_all(s, '\([0-9]{{3,6}}(?:-[A-Za-z]{{1,4}})?\)'), 1) AS p FROM c),
+d AS (SELECT i, p, regexp_extract(m, '[0-9]+') AS code, contains(m, '-') AS suf FROM h),
+f AS (SELECT i, code, min(p) AS p FROM d WHERE suf OR NOT regexp_full_match(code, '(19|20)[0-9]{{2}}') OR EXISTS (SELECT 1 FROM d e WHERE e.i = d.i AND e.code = d.code AND e.suf) GROUP BY 1, 2)
+SELECT v.i, coalesce((SELECT string_agg(code, ',' ORDER BY p) FROM f WHERE f.i = v.i), '') AS codes FROM {_values(PASSAGES)}""")
+def q_X12_bracketed_tickers(t: Tables) -> DataFrame:
+    return _rows(t, PASSAGES).select("i", F.array_join(text.bracketed_tickers(F.col("s")), ",").alias("codes"))
+
+
+@book.query(rf"SELECT i, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(s, '[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|％|億元|億|萬張|萬|張|點|倍|美元|元)'), lambda x: regexp_replace(x, '\s+', '', 'g')))), ';'), '') AS details FROM {_values(PASSAGES)}")
+def q_X13_details(t: Tables) -> DataFrame:
+    return _rows(t, PASSAGES).select("i", F.array_join(F.array_sort(text.money_details(F.col("s"))), ";").alias("details"))
+
+
+def _unescaped(x: str) -> str:
+    for entity, plain in text.ENTITIES:
+        x = f"replace({x}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+@book.query(rf"""SELECT page_id, md5(trim(regexp_replace(regexp_replace({_unescaped("coalesce(html, '')")}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS cleaned,
+  md5(trim({_unescaped("regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')")})) AS legacy FROM pages""")
+def q_X01_X02_clean_html(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.md5(text.clean_html(F.col("html")).cast("binary")).alias("cleaned"), F.md5(text.clean_html_legacy(F.col("html")).cast("binary")).alias("legacy"))
+
+
+@book.query("SELECT doc_id, 'news_' || substr(sha256(trim(text)), 1, 16) AS a, substr(sha256(source || '|' || lang || '|' || n_chars::VARCHAR), 1, 16) AS b FROM documents")
+def q_X05_X07_ids(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.article_id(F.lit("news"), F.col("text")).alias("a"), text.composite_id(F.col("source"), F.col("lang"), F.col("n_chars").cast("string")).alias("b"))
+
+
+@book.query("""SELECT event_id, 'evt_' || strftime(to_timestamp(min(published))::TIMESTAMP, '%Y%m%d') || '_NA_' || substr(sha1(string_agg(article_id, '' ORDER BY article_id)), 1, 8) AS hashed FROM articles GROUP BY event_id""")
+def q_X06_event_id(t: Tables) -> DataFrame:
+    a = t.articles.groupBy("event_id").agg(F.to_date(F.timestamp_seconds(F.min("published"))).alias("day"), F.collect_list("article_id").alias("ids"))
+    return a.select("event_id", text.event_id(F.col("day"), F.lit(None).cast("array<string>"), F.col("ids")).alias("hashed"))
+
+
+@book.query("""SELECT event_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha1(event_id), ''), lambda x: (strpos('0123456789abcdef', x) - 1)::BIGINT)), lambda a, d: (a * 16 + d) % 7) AS bucket FROM entities""")
+def q_X08_pick(t: Tables) -> DataFrame:
+    return t.entities.select("event_id", text.pick(F.col("event_id"), F.lit(7).cast("long")).alias("bucket"))
+
+
+@book.query("SELECT article_id, md5(trim(title) || chr(10) || substr(coalesce(content, ''), 1, 500)) AS h FROM articles")
+def q_X19_embed_text(t: Tables) -> DataFrame:
+    return t.articles.select("article_id", F.md5(text.embed_text(F.col("title"), F.col("content")).cast("binary")).alias("h"))
+
+
+@book.query("""SELECT conv_id, md5(string_agg('[' || (k - 1)::VARCHAR || '] ' || coalesce(role, '?') || ': ' || coalesce(text, '?'), chr(10) ORDER BY k)) AS prompt
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id""")
+def q_X21_prompt(t: Tables) -> DataFrame:
+    ordered = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    block = lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.coalesce(x["role"], F.lit("?")), F.lit(": "), F.coalesce(x["text"], F.lit("?")))
+    return ordered.select("conv_id", F.md5(F.array_join(F.transform("x", block), "\n").cast("binary")).alias("prompt"))
+
+
+@book.query(rf"""WITH p AS (SELECT i, s, lower(regexp_extract(s, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sc, lower(regexp_extract(s, '^[^:]+://([^/?#]*)', 1)) AS h,
+    regexp_replace(regexp_extract(s, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS pa, list_sort(list_filter(string_split(regexp_extract(s, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1) IN ('id', 'cat'))) AS q FROM {_values(URLS)})
+SELECT i, CASE WHEN sc <> '' THEN sc || '://' || CASE sc WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END || pa || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url FROM p""")
+def q_X22_canonical_url(t: Tables) -> DataFrame:
+    return _rows(t, URLS).select("i", text.canonical_url(F.col("s"), ("id", "cat")).alias("url"))
+
+
+@book.query("SELECT page_id, h = 'example.com' OR ends_with(h, '.example.com') OR h = 'example.org' OR ends_with(h, '.example.org') AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages)")
+def q_X23_host_allowed(t: Tables) -> DataFrame:
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    return t.pages.select("page_id", text.host_allowed(host, ["example.com", "example.org"]).alias("allowed"))
+
+
+@book.query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM w WHERE len(w) >= 24)
+SELECT doc_id, round(count(DISTINCT s) / count(*), 6) AS share FROM g GROUP BY doc_id UNION ALL SELECT doc_id, 1.0 FROM w WHERE len(w) < 24""")
+def q_X24_distinct_share(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.round(text.distinct_share(F.col("text")), 6).alias("share"))
+
+
+@book.query("SELECT c_custkey AS id, printf('%+.1f%%', floor(c_acctbal) / 1000 * 100) AS pct FROM customer")
+def q_X28_signed_percent(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), text.signed_percent(F.floor("c_acctbal") / 1000).alias("pct"))
+
+
+@book.query("""SELECT doc_id, n, md5(j) AS h FROM (SELECT doc_id, count(*) AS n, string_agg(l, chr(10) || chr(10) ORDER BY p) AS j FROM (
+  SELECT doc_id, l, min(p) AS p FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE l <> '' AND NOT regexp_matches(l, '^(相關新聞|延伸閱讀|Related)') GROUP BY doc_id, l) GROUP BY doc_id)""")
+def q_X31_paragraphs(t: Tables) -> DataFrame:
+    p = text.paragraphs(F.col("text"))
+    return t.documents.select("doc_id", F.size(F.split(p, "\n\n")).cast("long").alias("n"), F.md5(p.cast("binary")).alias("h")).filter("h <> md5('')")
+
+
+@book.query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS head FROM documents),
+c AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN 401 - strpos(reverse(head), chr(10)) ELSE 0 END AS p, CASE WHEN contains(head, '.') THEN 401 - strpos(reverse(head), '.') ELSE 0 END AS s FROM h)
+SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text WHEN p >= 280 THEN substr(head, 1, p - 1) WHEN s >= 280 THEN substr(head, 1, s) ELSE head END) AS h FROM c""")
+def q_X25_clip(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(text.clip(F.col("text"), 400).cast("binary")).alias("h"))
+
+
+@book.query("SELECT doc_id, regexp_matches(lower(text), 'market|license|rights reserved|the') AS hit FROM documents")
+def q_X17_X27_any_word(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.any_word(F.lower("text"), ["market", "license", "rights reserved", "the"]).alias("hit"))
+
+
+_ZONED = r"regexp_matches(t, '(Z|[+-][0-9]{2}:?[0-9]{2})$')"
+
+
+@book.query(rf"""WITH x AS (SELECT i, trim(s) AS t FROM {_values(STAMPS)}),
+k AS (SELECT i, CASE WHEN t = '' THEN 'missing' WHEN regexp_matches(t, '^[0-9]{{13}}$') THEN 'epoch_millis' WHEN regexp_matches(t, '^[0-9]{{10}}$') THEN 'epoch_seconds'
+  WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}') THEN CASE WHEN {_ZONED} THEN 'iso8601_tz' ELSE 'iso8601_naive' END
+  WHEN regexp_matches(t, '^[0-9]{{2,3}}[/年.-][0-9]{{1,2}}[/月.-][0-9]{{1,2}}') THEN 'roc_year' WHEN regexp_matches(t, '^[A-Z][a-z]{{2}}, [0-9]{{1,2}} [A-Z][a-z]{{2}} [0-9]{{4}}') THEN 'rfc822'
+  WHEN regexp_matches(t, '前|昨天|剛剛|ago') THEN 'relative' WHEN regexp_matches(t, '^[0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}$') THEN 'date_only' ELSE 'unknown' END AS kind FROM x)
+SELECT i, kind, kind IN ('epoch_millis', 'epoch_seconds', 'iso8601_tz', 'rfc822') AS has_tz FROM k""")
+def q_D09_classify(t: Tables) -> DataFrame:
+    return _rows(t, STAMPS).select("i", dates.classify(F.col("s")).alias("d")).select("i", "d.kind", "d.has_tz")
+
+
+@book.query("""SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS day, make_date((year(l_shipdate) - 1911)::INT + 1911, month(l_shipdate)::INT, day(l_shipdate)::INT) AS roc FROM lineitem WHERE l_orderkey % 7 = 0""", days=("day", "roc"))
+def q_D01_D07_days(t: Tables) -> DataFrame:
+    day = F.to_date("l_shipdate")
+    text_roc = F.concat(F.lpad((F.year(day) - 1911).cast("string"), 3, "0"), F.date_format(day, "MMdd"))
+    return t.lineitem.filter("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", dates.to_day(F.col("l_shipdate").cast("string")).alias("day"), dates.roc_date(text_roc).alias("roc"))
+
+
+@book.query("""SELECT event_id, CASE WHEN s < 60 THEN s::VARCHAR || ' 秒' WHEN s < 3600 THEN (s // 60)::VARCHAR || ' 分' WHEN s < 86400 THEN (s // 3600)::VARCHAR || ' 小時' ELSE (s // 86400)::VARCHAR || ' 天' END AS age
+FROM (SELECT event_id, (event_id * 37) % 200000 AS s FROM events)""")
+def q_D15_age(t: Tables) -> DataFrame:
+    return t.events.select("event_id", dates.age((F.col("event_id") * 37) % 200000).alias("age"))
+
+
+@book.query("SELECT event_id, CASE WHEN occurred < first_published - 36000 THEN first_published ELSE occurred END AS guarded FROM (SELECT event_id, occurred, first_published FROM entities)")
+def q_D11_guarded_time(t: Tables) -> DataFrame:
+    guarded = F.when(F.col("occurred") < F.col("first_published") - 36000, F.col("first_published")).otherwise(F.col("occurred"))
+    return t.entities.select("event_id", guarded.alias("guarded"))
+
+
+@book.query("""SELECT c_custkey AS id, round(CASE WHEN n = 0 THEN 0 ELSE (p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n) END, 6) AS wilson,
+  abs(round(1 / (1 + exp(-least(greatest(c_acctbal / 100, -35), 35))), 6)) AS sig FROM (SELECT *, (c_custkey % 50)::DOUBLE AS n, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE (c_custkey % 7)::DOUBLE / (c_custkey % 50) END AS p FROM customer WHERE c_custkey % 7 <= c_custkey % 50)""")
+def q_M16_M17_statistics(t: Tables) -> DataFrame:
+    rows = t.customer.filter("c_custkey % 7 <= c_custkey % 50")
+    return rows.select(F.col("c_custkey").alias("id"), F.round(scoring.wilson_lower(F.col("c_custkey") % 7, F.col("c_custkey") % 50), 6).alias("wilson"), F.round(scoring.sigmoid(F.col("c_acctbal") / 100), 6).alias("sig"))

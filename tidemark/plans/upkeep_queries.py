@@ -1,7 +1,201 @@
-"""Text and date rules: registered queries."""
+"""Merges, repairs, audits, evaluation, similarity: registered queries."""
 
 from __future__ import annotations
 
-from tidemark.plans.book import Book
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import scoring
+from tidemark.operators import bars, cluster, evaluate, merge, upkeep
+from tidemark.plans.book import Book, Tables
 
 book = Book()
+
+
+@book.query("""WITH o AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, min(source) AS source, min(n_chars) AS n_chars FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
+SELECT * FROM o UNION ALL SELECT * FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)""")
+def q_SNK1_insert_new(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "source", "n_chars")
+    return merge.insert_new(d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 2 = 0"), ["doc_id"], "source")
+
+
+@book.query("""WITH o AS (SELECT doc_id, source, n_chars, lang FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, 'new' AS source, n_chars + 1 AS n_chars, 'xx' AS lang FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(n.n_chars, o.n_chars) AS n_chars, CASE WHEN o.doc_id IS NULL THEN n.lang ELSE o.lang END AS lang FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+def q_SNK2_upsert(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "source", "n_chars", "lang")
+    new = d.filter("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("source"), (F.col("n_chars") + 1).alias("n_chars"), F.lit("xx").alias("lang"))
+    return merge.upsert(d.filter("doc_id % 3 <> 0"), new, ["doc_id"], ["source", "n_chars"])
+
+
+@book.query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def q_W14_latest(t: Tables) -> DataFrame:
+    return merge.latest(t.events, ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@book.query("""WITH r AS (SELECT user_id AS key, event_id AS seq, event_id % 3 <> 0 AS ok, event_id % 4 AS retries, event_id % 100 AS tokens FROM events), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+SELECT count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg((ok AND retries = 0)::INT), 6) AS first_pass_rate, round(avg(retries) FILTER (WHERE ok), 6) AS mean_retries, (SELECT sum(tokens)::BIGINT FROM r) AS tokens FROM l""")
+def q_A19_ledger(t: Tables) -> DataFrame:
+    rows = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 3 != 0).alias("ok"), (F.col("event_id") % 4).alias("retries"), (F.col("event_id") % 100).alias("tokens"))
+    return merge.ledger_summary(rows)
+
+
+@book.query("SELECT 'articles' AS name, count(*) AS n, max(published) AS latest FROM articles UNION ALL SELECT 'entities', count(*), max(occurred) FROM entities UNION ALL SELECT 'bars', count(*), -1 FROM bars WHERE volume > 0 HAVING count(*) > 0")
+def q_A25_tables(t: Tables) -> DataFrame:
+    row = lambda df, name, c: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), c.cast("long").alias("latest"))
+    return row(t.articles, "articles", F.max("published")).unionByName(row(t.entities, "entities", F.max("occurred"))).unionByName(row(t.bars.filter("volume > 0"), "bars", F.lit(-1)))
+
+
+_TITLES = "SELECT event_id, min(title) AS title_key, min(published) AS t0, count(*) FILTER (WHERE stage IN ('summarized', 'scored')) > 1 AS summarised FROM articles GROUP BY event_id"
+
+
+@book.query(f"""WITH e AS ({_TITLES}), m AS (SELECT *, count(*) OVER g AS n, max(t0) OVER g - min(t0) OVER g AS span, first_value(event_id) OVER (PARTITION BY title_key ORDER BY summarised DESC, event_id) AS keeper FROM e WINDOW g AS (PARTITION BY title_key))
+SELECT event_id, keeper FROM m WHERE n > 1 AND span <= 30 * 86400""")
+def q_CL10_merge_titles(t: Tables) -> DataFrame:
+    done = F.count_if(F.col("stage").isin("summarized", "scored")) > 1
+    e = t.articles.groupBy("event_id").agg(F.min("title").alias("title_key"), F.min("published").alias("at"), done.alias("summarised"))
+    return upkeep.merge_same_title(e, 30)
+
+
+@book.query("SELECT event_id, count(*) AS n FROM articles GROUP BY event_id HAVING avg(regexp_matches(title, '[Tt]h')::INT) >= 0.8")
+def q_CL11_dissolve(t: Tables) -> DataFrame:
+    return upkeep.dissolve(t.articles, "[Tt]h")
+
+
+@book.query("SELECT e.event_id, string_agg(DISTINCT article_id, ',' ORDER BY article_id) AS members, count(DISTINCT a.source) AS sources FROM entities e LEFT JOIN articles a ON e.event_id = a.event_id GROUP BY e.event_id")
+def q_CL12_rebuild_members(t: Tables) -> DataFrame:
+    r = upkeep.rebuild_members(t.entities, t.articles)
+    return r.select("event_id", F.array_join("members", ",").alias("members"), "sources")
+
+
+@book.query("""WITH s AS (SELECT count(*) AS t, count(*) FILTER (WHERE length(title) > 25) AS a, count(*) FILTER (WHERE expected_direction = '中性') AS b, count(*) FILTER (WHERE len(tickers) > 2) AS c FROM entities WHERE title IS NOT NULL)
+SELECT name, hits, round(100.0::DOUBLE * hits / t, 6) AS pct, 100.0 * hits / t > most AS alert FROM (SELECT t, unnest([{'name': 'long_title', 'hits': a, 'most': 5.0}, {'name': 'neutral', 'hits': b, 'most': 60.0}, {'name': 'many_tickers', 'hits': c, 'most': 3.0}], recursive := true) FROM s)""")
+def q_Q09_audit(t: Tables) -> DataFrame:
+    checks = {"long_title": (F.length("title") > 25, 5.0), "neutral": (F.col("expected_direction") == "中性", 60.0), "many_tickers": (F.size("tickers") > 2, 3.0)}
+    return upkeep.audit(t.entities.filter("title is not null"), t.tickers, checks)
+
+
+@book.query("""WITH v AS (SELECT 'pending' AS name, count(*) AS value, 800 AS most, 'WARN' AS bad FROM articles WHERE stage = 'pending' UNION ALL SELECT 'vectorized', count(*), 0, 'WARN' FROM articles WHERE stage = 'vectorized'
+UNION ALL SELECT 'clustered', count(*), 4000, 'WARN' FROM articles WHERE stage = 'clustered' UNION ALL SELECT 'unscored', count(*), 0, 'ALARM' FROM entities WHERE title IS NOT NULL AND stars IS NULL UNION ALL SELECT 'stale', DATE '2001-11-20' - max(date), 4, 'WARN' FROM bars)
+SELECT CASE WHEN value > most THEN bad ELSE 'OK' END AS level, name, value FROM v""")
+def q_Q10_health(t: Tables) -> DataFrame:
+    return upkeep.health(t.articles, t.entities, t.bars, "2001-11-20")
+
+
+@book.query("SELECT ticker, count(*) AS days, max(date) AS last FROM bars WHERE foreign_net = 0 AND trust_net = 0 AND dealer_net = 0 AND volume > 0 GROUP BY ticker HAVING count(*) >= 3", days=("last",))
+def q_Q11_fake_zeros(t: Tables) -> DataFrame:
+    return upkeep.fake_zeros(t.bars)
+
+
+@book.query("""WITH n AS (SELECT stock_id, date, sum(CASE WHEN name IN ('Foreign_Investor', 'Foreign_Dealer_Self') THEN buy - sell ELSE 0 END)::BIGINT AS f, sum(CASE WHEN name = 'Investment_Trust' THEN buy - sell ELSE 0 END)::BIGINT AS i, sum(CASE WHEN name IN ('Dealer_self', 'Dealer_Hedging') THEN buy - sell ELSE 0 END)::BIGINT AS d FROM flows_long GROUP BY 1, 2)
+SELECT ticker, b.date, f - foreign_net AS d_foreign_net, i - trust_net AS d_trust_net, d - dealer_net AS d_dealer_net FROM bars b JOIN n ON ticker = stock_id AND b.date = n.date WHERE f <> foreign_net OR i <> trust_net OR d <> dealer_net""", days=("date",))
+def q_R04_compare_nets(t: Tables) -> DataFrame:
+    return upkeep.compare_nets(t.bars, bars.investor_nets(t.flows_long))
+
+
+@book.query("""WITH b AS (SELECT event_id AS id, user_id % 40 AS g, (user_id % 40) * 2 + (event_id % 5 = 0)::INT AS p FROM events),
+x AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM b GROUP BY g, p)) AS tp, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM b GROUP BY g)) AS gp, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM b GROUP BY p)) AS pp)
+SELECT tp::BIGINT AS tp, gp::BIGINT AS gold_pairs, pp::BIGINT AS predicted_pairs, round(tp / pp, 6) AS precision, round(tp / gp, 6) AS recall, round(2 * (tp / pp) * (tp / gp) / (tp / pp + tp / gp), 6) AS f1 FROM x""")
+def q_Q12_pair_scores(t: Tables) -> DataFrame:
+    gold = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("grp"))
+    predicted = t.events.select(F.col("event_id").alias("id"), ((F.col("user_id") % 40) * 2 + (F.col("event_id") % 5 == 0).cast("int")).alias("grp"))
+    return evaluate.pair_scores(gold, predicted)
+
+
+@book.query("""WITH t AS (SELECT count(*) AS t, count(*) FILTER (WHERE quality = toxic) AS same, (count(*) FILTER (WHERE quality = 0)) * (count(*) FILTER (WHERE toxic = 0)) + (count(*) FILTER (WHERE quality = 1)) * (count(*) FILTER (WHERE toxic = 1)) AS c FROM labels)
+SELECT round((same / t - c / (t * t)) / (1 - c / (t * t)), 6) AS kappa, round(same / t, 6) AS agreement FROM t""")
+def q_M19_kappa(t: Tables) -> DataFrame:
+    return evaluate.kappa(t.labels, "quality", "toxic")
+
+
+_SETS = "(SELECT k, coalesce(categories, []) AS g, CASE WHEN k % 4 = 0 THEN ['營收'] WHEN k % 4 = 1 THEN coalesce(categories, []) ELSE coalesce(categories, [])[1:1] END AS p FROM entities)"
+
+
+def _sets(t: Tables) -> DataFrame:
+    empty = F.array().cast("array<string>")
+    c = F.coalesce("categories", empty)
+    return t.entities.select("k", c.alias("g"), F.when(F.col("k") % 4 == 0, F.array(F.lit("營收"))).when(F.col("k") % 4 == 1, c).otherwise(F.slice(c, 1, 1)).alias("p"))
+
+
+@book.query(f"SELECT round(avg((list_sort(g) = list_sort(p))::INT), 6) AS exact, round(avg(CASE WHEN len(list_distinct(list_concat(g, p))) = 0 THEN 1 ELSE len(list_intersect(g, p)) / len(list_distinct(list_concat(g, p))) END), 6) AS jaccard FROM {_SETS}")
+def q_Q13_set_agreement(t: Tables) -> DataFrame:
+    return evaluate.set_agreement(_sets(t), "g", "p")
+
+
+@book.query(f"""WITH s AS (SELECT * FROM {_SETS}), l AS (SELECT label, count(*) FILTER (WHERE side = 'g' AND list_contains(p, label)) AS tp, count(*) FILTER (WHERE side = 'g') AS gold, count(*) FILTER (WHERE side = 'p') AS predicted
+  FROM (SELECT unnest(g) AS label, 'g' AS side, p FROM s UNION ALL SELECT unnest(p), 'p', p FROM s) GROUP BY label), a AS (SELECT * FROM l UNION ALL SELECT '*', sum(tp), sum(gold), sum(predicted) FROM l)
+SELECT label, tp::BIGINT AS tp, gold::BIGINT AS gold, predicted::BIGINT AS predicted, round(CASE WHEN predicted = 0 THEN 1 ELSE tp / predicted END, 6)::DOUBLE AS precision, round(CASE WHEN gold = 0 THEN 1 ELSE tp / gold END, 6)::DOUBLE AS recall FROM a""")
+def q_Q14_multi_label(t: Tables) -> DataFrame:
+    return evaluate.multi_label(_sets(t), "g", "p")
+
+
+@book.query("""WITH s AS (SELECT (doc_id * 31) % 50 AS score, quality FROM labels), b AS (SELECT score, count(*) AS n, sum(quality) AS y FROM s GROUP BY 1), r AS (SELECT score, sum(n) OVER w AS n, sum(y) OVER w AS y FROM b WINDOW w AS (ORDER BY score DESC))
+SELECT min(score) AS threshold, max(n)::BIGINT AS covered FROM r WHERE y / n >= 0.85 AND n >= 20""")
+def q_Q18_threshold(t: Tables) -> DataFrame:
+    return evaluate.threshold(t.labels.select(((F.col("doc_id") * 31) % 50).alias("score"), F.col("quality").alias("label")), 0.85, 20)
+
+
+@book.query("""WITH r AS (SELECT user_id % 10 AS g, event_id % 97 AS a, round(value) AS b FROM events), k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY g ORDER BY b) + (count(*) OVER (PARTITION BY g, b) - 1) / 2 AS rb FROM r WHERE b IS NOT NULL)
+SELECT g, round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM k GROUP BY g""")
+def q_Q23_spearman(t: Tables) -> DataFrame:
+    rows = t.events.select((F.col("user_id") % 10).alias("g"), (F.col("event_id") % 97).alias("a"), F.round("value").alias("b"))
+    return evaluate.spearman(rows, "a", "b", "g")
+
+
+@book.query("SELECT user_id, max(j) AS max_jump FROM (SELECT user_id, abs((event_id * 13) % 101 - lag((event_id * 13) % 101) OVER (PARTITION BY user_id ORDER BY event_id)) AS j FROM events) GROUP BY user_id HAVING max(j) IS NOT NULL")
+def q_W17_smoothness(t: Tables) -> DataFrame:
+    rows = t.events.select("user_id", "event_id", ((F.col("event_id") * 13) % 101).alias("s"))
+    return evaluate.smoothness(rows, "user_id", "event_id", "s").filter("max_jump is not null")
+
+
+_GRID = """g AS (SELECT s, v, k, c, w, 0.0::DOUBLE + b * (0.30::DOUBLE + w) + 50 * 0.25::DOUBLE + i * (0.30::DOUBLE - w) + ct * 0.15::DOUBLE AS x
+  FROM (SELECT unnest([1, 3, 5, 8]) AS s) JOIN (SELECT unnest([0, 1, 2]) AS k) ON true JOIN (SELECT unnest(['財報', '營收', '其他']) AS c) ON true JOIN (SELECT unnest([1, 2, 6]) AS v) ON true JOIN (SELECT unnest([-0.1, 0.0, 0.1])::DOUBLE AS w) ON true,
+  LATERAL (SELECT CASE s WHEN 1 THEN 25 WHEN 3 THEN 60 WHEN 5 THEN 80 ELSE 100 END AS b, CASE k WHEN 0 THEN 35 WHEN 1 THEN 45 ELSE 60 END AS i, CASE c WHEN '財報' THEN 85 WHEN '營收' THEN 60 ELSE 50 END AS ct))"""
+
+
+@book.query(f"WITH {_GRID} SELECT w AS shift, count(*) AS n, round(avg(least(x * CASE v WHEN 1 THEN 0.9 WHEN 2 THEN 1.0 ELSE 1.15 END::DOUBLE, 100)), 6) AS mean_total FROM g GROUP BY w")
+def q_Q23_weight_grid(t: Tables) -> DataFrame:
+    """All combinations of a few settings, scored at once under shifted weights."""
+    listed = lambda *x: F.explode(F.array(*map(F.lit, x)))
+    grid = t.spark.range(1).select(listed(1, 3, 5, 8).alias("s")).select("*", listed(0, 1, 2).alias("k")).select("*", listed("財報", "營收", "其他").alias("c")).select("*", listed(1, 2, 6).alias("v")).select("*", listed(-0.1, 0.0, 0.1).alias("w"))
+    weights = {"breadth": F.lit(0.30) + F.col("w"), "authority": 0.25, "impact": F.lit(0.30) - F.col("w"), "category": 0.15}
+    tickers = F.slice(F.array(F.lit("1101"), F.lit("1102")), F.lit(1), F.col("k"))
+    score = scoring.importance(F.col("s"), F.array().cast("array<string>"), F.lit("developing"), tickers, F.array("c"), F.col("v"), weights)
+    return grid.withColumn("x", score["total"]).groupBy(F.col("w").alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_total"))
+
+
+@book.query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3""")
+def q_M18_similar_pairs(t: Tables) -> DataFrame:
+    pairs = cluster.similar_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3)
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@book.query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 50 <> 0),
+d AS (SELECT q.vec_id AS id, t.vec_id AS target, 1 - list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS d FROM q, t) SELECT id, target, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, target) = 1""")
+def q_J13_nearest(t: Tables) -> DataFrame:
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0).cast("long").alias("day"))
+    found = cluster.nearest(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0"), farthest=2.0)
+    return found.select("id", "target", F.round("distance", 6).alias("distance"))
+
+
+@book.query("SELECT label AS event, p AS place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) GROUP BY 1, 2")
+def q_A23_means(t: Tables) -> DataFrame:
+    each = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
+    return each.groupBy(F.col("label").alias("event"), F.col("place").cast("long").alias("place")).agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@book.query()
+def q_CL01_cluster(t: Tables) -> DataFrame:
+    return cluster.cluster(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.62)
+
+
+@book.query()
+def q_CL03_segments(t: Tables) -> DataFrame:
+    day = F.unix_date(F.to_date("ts")).cast("long")
+    return cluster.date_segments(t.events.filter("event_id % 10 < 3").select(F.col("user_id").alias("cluster"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 17 != 0, day).alias("day")), 1, 7)
+
+
+@book.query()
+def q_CL07_assemble(t: Tables) -> DataFrame:
+    tickers = F.when(F.col("vec_id") % 3 != 0, F.array((F.col("vec_id") % 4).cast("string")))
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 9).cast("long").alias("day"), tickers.alias("tickers"), (F.col("vec_id") % 20 == 0).alias("periodic"))
+    return cluster.assemble_events(rows, 0.62)
