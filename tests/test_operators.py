@@ -1,0 +1,69 @@
+"""Kernels and folds against plain versions."""
+
+import numpy as np
+import pytest
+
+from tidemark.operators import cluster, evaluate, gates, merge
+from tidemark.operators.graph import connected_components
+
+
+def test_components(spark):
+    rng = np.random.default_rng(0)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, None), (7, 7)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if b is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in parent}
+
+
+def test_linkage_by_components_is_global_linkage(spark):
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 8))
+    x = np.array([centers[i % 12] + rng.normal(size=8) * 0.45 for i in range(120)])
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+    got = {r["id"]: r["cluster"] for r in cluster.cluster(d, 0.35).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = cluster.average_linkage(u @ u.T, 0.35)
+    assert [got[i] for i in range(120)] == [int(min(np.nonzero(label == label[i])[0])) for i in range(120)]
+    with pytest.raises(Exception, match="a component has"):
+        cluster.cluster(d, 0.35, largest=2).collect()
+
+
+def test_date_segments(spark):
+    rows = [(1, i, d) for i, d in enumerate([10, 11, 14, 18, 19, 30, None])] + [(2, 99, None)]
+    got = {(r["cluster"], r["id"]): r["segment"] for r in cluster.date_segments(spark.createDataFrame(rows, "cluster long, id long, day long")).collect()}
+    assert [got[1, i] for i in range(7)] == [0, 0, 0, 1, 1, 2, 2] and got[2, 99] == 0
+
+
+def test_subject_groups():
+    s = np.array([[1.0, 0.9, 0.8], [0.9, 1.0, 0.7], [0.8, 0.7, 1.0]])
+    assert sorted(map(sorted, cluster.subject_groups(s, [{"a"}, {"b"}, {"a", "b"}], 0.65))) == [[0, 2], [1]]
+    assert sorted(map(sorted, cluster.subject_groups(s, [set(), {"b"}, set()], 0.65))) == [[0, 1, 2]]
+
+
+def test_upsert_touches_only_listed_columns(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, w string")
+    new = spark.createDataFrame([(2, None, "n"), (3, "c", "z")], "k long, v string, w string")
+    got = sorted(tuple(r) for r in merge.upsert(old, new, ["k"], ["v"]).collect())
+    assert got == [(1, "a", "x"), (2, None, "y"), (3, "c", "z")]
+
+
+def test_pair_scores_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, grp long")
+    r = evaluate.pair_scores(empty, empty).first()
+    assert (r["precision"], r["recall"]) == (1.0, 1.0)
+
+
+def test_unknown_transition_is_refused(spark):
+    with pytest.raises(ValueError, match="no transition"):
+        gates.advance(spark.createDataFrame([("a", "pending")], "article_id string, stage string"), spark.createDataFrame([("a",)], "article_id string"), "pending", "scored")

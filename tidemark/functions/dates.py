@@ -63,7 +63,8 @@ def parse(text: Column, now: Column) -> Column:
     t = F.trim(text)
     n = F.regexp_extract(t, r"([0-9]+)", 1).try_cast("int")
     local = lambda c: F.to_utc_timestamp(c, ZONE)
-    forms = [F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "EEE, dd MMM yyyy HH:mm:ss Z")]
+    mail = F.regexp_replace(t, r"^[A-Z][a-z]{2}, ", "")
+    forms = [F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))]
     naive = [local(F.try_to_timestamp(t, F.lit(f))) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd")]
     ago = (
         F.when(t.contains("剛剛"), now)
