@@ -199,3 +199,30 @@ def q_CL07_assemble(t: Tables) -> DataFrame:
     tickers = F.when(F.col("vec_id") % 3 != 0, F.array((F.col("vec_id") % 4).cast("string")))
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 9).cast("long").alias("day"), tickers.alias("tickers"), (F.col("vec_id") % 20 == 0).alias("periodic"))
     return cluster.assemble_events(rows, 0.62)
+
+
+@book.query()
+def q_X14_tag(t: Tables) -> DataFrame:
+    from tidemark.operators import tagging
+
+    titles = t.articles.select("article_id", F.concat(F.lit("NATION_"), F.substring("title", 1, 20), F.lit(" (1103) NATION_1"), F.col("n") % 25).alias("title"))
+    return tagging.tag(titles, t.tickers).select("article_id", F.array_join("related_tickers", ",").alias("tickers"))
+
+
+@book.query("""WITH c AS (SELECT event_id, string_agg(title || chr(10) || content, chr(10)) || ' 1103 2330' AS corpus FROM articles GROUP BY 1), x AS (SELECT event_id, unnest(tickers) AS ticker, generate_subscripts(tickers, 1) AS p FROM entities),
+k AS (SELECT event_id, string_agg(x.ticker, ',' ORDER BY p) AS tickers FROM x LEFT JOIN tickers d ON x.ticker = d.ticker JOIN c USING (event_id) WHERE NOT regexp_full_match(x.ticker, '[0-9]{5,}') AND (contains(corpus, x.ticker) OR coalesce(contains(corpus, name), false)) GROUP BY 1)
+SELECT event_id, coalesce(k.tickers, '') AS tickers FROM entities LEFT JOIN k USING (event_id)""")
+def q_X16_verified(t: Tables) -> DataFrame:
+    from tidemark.operators import tagging
+
+    text = F.array_join(F.sort_array(F.collect_list(F.concat(F.col("title"), F.lit("\n"), F.col("content")))), "\n")
+    corpora = t.articles.groupBy("event_id").agg(F.concat(text, F.lit(" 1103 2330")).alias("corpus"))
+    return tagging.verified(t.entities, t.tickers, corpora).select("event_id", F.array_join("tickers", ",").alias("tickers"))
+
+
+@book.query()
+def q_SRC11_links(t: Tables) -> DataFrame:
+    from tidemark.sources import markup
+
+    e = markup.page_links(t.pages)
+    return e.select("page_id", F.size("evidence.links").cast("long").alias("links"), "evidence.canonical")
