@@ -46,7 +46,7 @@ def test_quality_is_one_projection_and_a_filter_keeps_columns(spark):
 
 def test_url_parts_rules_and_edges(spark):
     urls = ["https://A.Example.NET/en/x?q=1#f", "http://example.net/de/", "ftp://x.org/fr/", "no scheme", None, "", "://h", "http://notexample.net/en/", "http://b.example.com/de/1", "http://example.com/fr/1"]
-    d = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    d = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string").withColumn("suffix_share", F.lit("clash"))
     got = {r["page_id"]: r for r in url_filter.judge(d, rules=queries.URL_RULES).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(10)] == [
         ("a.example.net", "/en/x", "example.net/en/"), ("example.net", "/de/", "net/"), ("x.org", "/fr/", "org/fr/"), ("", "", None), ("", "", None), ("", "", None), ("h", "", None),

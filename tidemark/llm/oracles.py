@@ -50,4 +50,21 @@ p AS (SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0.0::DOUBL
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
 """
 
-SQL = {"op2_quality_rules": OP2, "op7_mixing": OP7}
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+u AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+m AS (SELECT *, regexp_replace(array_to_string(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM u),
+l AS (SELECT *, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:4], ' ') AS lead FROM m WHERE m <> ''),
+c AS (SELECT m, n, lead, count(DISTINCT k) AS docs, min(doc_id) AS first FROM l GROUP BY 1, 2, 3),
+met AS (SELECT * FROM c WHERE docs < 3 AND n >= 8 QUALIFY count(*) OVER (PARTITION BY n, lead) >= 3),
+t AS (SELECT m, n, lead, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS place FROM met),
+con AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY n, lead, place, token) >= 3),
+shape AS (SELECT m, n, lead, string_agg(place || ':' || token, ' ' ORDER BY place) AS shape FROM con GROUP BY 1, 2, 3 HAVING count(*) >= 0.6 * n),
+gen AS (SELECT s.m, sum(docs) OVER w AS docs, min(first) OVER w AS first FROM shape s JOIN met USING (m) WINDOW w AS (PARTITION BY s.n, s.lead, shape)),
+found AS (SELECT m, first FROM c WHERE docs >= 3 UNION ALL SELECT m, first FROM gen WHERE docs >= 3),
+x AS (SELECT m.*, coalesce(m.doc_id IS DISTINCT FROM f.first, false) AND f.m IS NOT NULL AS gone FROM m LEFT JOIN found f ON m.m = f.m)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE m <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, md5(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM x GROUP BY k
+"""
+
+SQL = {"op6_line_dedup": OP6, "op2_quality_rules": OP2, "op7_mixing": OP7}

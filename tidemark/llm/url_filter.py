@@ -126,10 +126,11 @@ def featured(urls: DataFrame, url_col: str = "url", statistics: DataFrame | None
     """
     statistics = suffix_statistics(urls, url_col) if statistics is None else statistics
     rows = urls.withColumn("_p", parts(F.col(f"`{url_col}`"))).withColumn("_suffix", suffix(F.col("_p.host")))
-    joined = rows.join(statistics.withColumnRenamed("suffix", "_s"), F.col("_suffix") == F.col("_s"), "left")
+    named = statistics.select(*[F.col(c).alias(f"_of_{c}") for c in ("suffix", "suffix_share", "suffix_hosts")])
+    joined = rows.join(named, F.col("_suffix") == F.col("_of_suffix"), "left")
     columns = lexical(F.col("_p.host"), F.col("_p.path"), F.col("_p.query"))
     for name in ("suffix_share", "suffix_hosts"):
-        columns[name] = F.coalesce(F.col(name), F.lit(0.0))
+        columns[name] = F.coalesce(F.col(f"_of_{name}"), F.lit(0.0))
     features = F.struct(*[columns[n].alias(n) for n in FEATURES])
     return joined.select(*[F.col(f"`{c}`") for c in urls.columns], F.col("_p.host").alias("_host"), F.col("_p.path").alias("_path"), features.alias("_features"))
 
