@@ -201,7 +201,7 @@ def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:
     n = F.nullif(n.cast("double"), F.lit(0.0))
     p = hits.cast("double") / n
     root = F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
-    return F.coalesce((p + z * z / (2 * n) - z * root) / (1 + z * z / n), F.lit(0.0))
+    return F.when(p > 0, (p + z * z / (2 * n) - z * root) / (1 + z * z / n)).otherwise(0.0)
 
 
 def sigmoid(x: Column) -> Column:

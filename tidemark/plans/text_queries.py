@@ -191,7 +191,7 @@ def q_D11_guarded_time(t: Tables) -> DataFrame:
     return t.entities.select("event_id", guarded.alias("guarded"))
 
 
-@book.query("""SELECT c_custkey AS id, round(CASE WHEN n = 0 THEN 0 ELSE (p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n) END, 6) AS wilson,
+@book.query("""SELECT c_custkey AS id, round(CASE WHEN n = 0 OR p = 0 THEN 0.0 ELSE (p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n) END, 6) AS wilson,
   CASE WHEN c_acctbal / 100 < -14.5 THEN 0.0::DOUBLE ELSE round(1 / (1 + exp(-least(greatest(c_acctbal / 100, -35), 35))), 6) END AS sig FROM (SELECT *, (c_custkey % 50)::DOUBLE AS n, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE (c_custkey % 7)::DOUBLE / (c_custkey % 50) END AS p FROM customer WHERE c_custkey % 7 <= c_custkey % 50)""")
 def q_M16_M17_statistics(t: Tables) -> DataFrame:
     rows = t.customer.filter("c_custkey % 7 <= c_custkey % 50")
