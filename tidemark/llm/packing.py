@@ -23,6 +23,10 @@ class Encoder:
     """Token ids of texts, word by word: words are what stands between ASCII white space, where
     the tokenizer's own splitting never reaches across, so a text's ids are those of its words.
 
+    The tokenizer lower-cases and splits a letter from a full stop or comma behind it, so words
+    come in lower case (but for texts that may hold its special tokens, which it looks for in
+    the raw text), and a closed word has the ids of its stem and of its mark.
+
     Ids of the first CACHED_WORDS different words are remembered, those of later ones only while
     their batch lasts.
     """
@@ -36,9 +40,13 @@ class Encoder:
 
     def encode_batch(self, split: list[list[bytes]], end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text, given as its words, and end_id, as little-endian 32-bit numbers."""
-        new = list(set().union(*split) - self.known.keys())
-        ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, ids, strict=True)}
+        new = set().union(*split) - self.known.keys()
+        closed = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        todo = list((new - closed | {w[:-1] for w in closed} | {b".", b","}) - self.known.keys())
+        ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in todo], add_special_tokens=False)
+        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(todo, ids, strict=True)}
+        for w in closed:
+            found[w] = b"".join(found.get(x) or self.known[x] for x in (w[:-1], w[-1:]))
         if len(self.known) < CACHED_WORDS:
             self.known |= found
             look = self.known.__getitem__
@@ -50,6 +58,10 @@ class Encoder:
             yield np.frombuffer(b"".join([*map(look, words), end]), dtype="<u4")
 
 
+def _words(text: bytes | None) -> list[bytes]:
+    return [] if text is None else text.split() if b"<|" in text else text.lower().split()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -165,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", length: int =
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
-                split = [t.as_py().split() if t.is_valid else [] for t in texts[at : at + 256]]
+                split = [_words(t.as_py()) for t in texts[at : at + 256]]
                 for doc_id, got in zip(ids[at : at + 256], codes.encode_batch(split, end_id), strict=True):
                     for window in packer.add(doc_id, got):
                         emit(window)
