@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import materialize
 
-BLOCK = 64
+BLOCK = 512
 
 # Bytes between terms, beside white space.
 PUNCTUATION = b"\"'()*,-./:;<>?![]_`{|}~#$%&+=@^\\"
@@ -52,15 +52,28 @@ def _binary(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, text_col: str, max_per_class: int) -> tuple[DataFrame, tuple[int, int]]:
     """(doc_id, label, text) of labelled documents, at most max_per_class for each label, and the
-    number of labelled rows by label. The documents taken are the first by hash of doc_id; equal
-    texts of one label are taken once."""
+    number of labelled rows by label. The documents taken are the first by hash of doc_id; of
+    near-copies under one label, which would make all their words stand out, one is taken."""
     labels = labels.filter("label in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     totals = labels.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
     parts = [labels.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    kept = rows.select("doc_id", "label", "text").filter("text is not null").dropDuplicates(["label", "text"])
-    return materialize(kept, "toxicity-sample"), (totals[0], totals[1])
+    rows = rows.filter("text is not null").select("doc_id", "label", "text", F.col("text").cast("binary").alias("raw")).mapInArrow(_sketched, "doc_id long, label int, text string, sketch long")
+    return materialize(rows.dropDuplicates(["label", "sketch"]).drop("sketch"), "toxicity-sample"), (totals[0], totals[1])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the least hash of their 5-word windows, which near-copies mostly share."""
+    import xxhash
+
+    def least(words: list[bytes]) -> int:
+        windows = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
+        return min(xxhash.xxh64_intdigest(b" ".join(w)) for w in windows) >> 1
+
+    for batch in batches:
+        sketch = pa.array([least(terms(t)) for t in batch.column(3).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], sketch], ["doc_id", "label", "text", "sketch"])
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +224,7 @@ def v_first(row: tuple) -> tuple:
     return (v[heaviest][0], v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 4096, max_terms: int = 4096, least: float = 16.0) -> tuple[list[bytes], Index]:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 4096, max_terms: int = 2048, least: float = 24.0) -> tuple[list[bytes], Index]:
     """Vocabulary and index. labels: (doc_id, label), label 1 for toxic.
 
     The bounds: max_per_class examples a label and max_terms terms, which is what the driver and
