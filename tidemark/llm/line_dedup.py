@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import let, words
+from tidemark.llm.text import SEPARATORS, let
 from tidemark.runtime import broadcast_if_small, materialize
 
 # Words with a digit are variable fields wherever they stand: numbers, dates, ids, addresses.
@@ -15,56 +15,69 @@ _WITH_DIGIT = r"[^ ]*[0-9][^ ]*"
 
 def masked(line: Column) -> Column:
     """The words of a line, joined by one space, with variable fields masked."""
-    plain = F.array_join(words(line), " ")
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _WITH_DIGIT, VARIABLE)).otherwise(plain)
+    spaced = F.trim(F.translate(line, SEPARATORS, " " * len(SEPARATORS)))
+    plain = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
+    return let(plain, lambda p: F.when(p.rlike("[0-9]"), F.regexp_replace(p, _WITH_DIGIT, VARIABLE)).otherwise(p))
 
 
-def _lines(text: Column, depth: int) -> Column:
-    """struct(pos, n, path, full) of each line with a word: path is the tree's leaf, full the
-    whole masked line. n is the token count; both hashes are 64 bits wide."""
+def _tokens(m: Column) -> Column:
+    return F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+
+
+def _lines(text: Column, depth: int, with_text: bool = False) -> Column:
+    """struct(pos, n, path, full) of each line with a word: path is the tree's leaf, by token
+    count n and leading tokens, full the whole masked line; both hashes have 64 bits."""
 
     def parse(line: Column, pos: Column) -> Column:
         def key(m: Column) -> Column:
-            tokens = F.split(m, " ")
-            n = F.when(m == "", F.lit(0)).otherwise(F.size(tokens))
-            return F.struct(pos.alias("pos"), n.alias("n"), F.xxhash64(n, F.slice(tokens, 1, depth)).alias("path"), F.xxhash64(m).alias("full"), m.alias("m"))
+            n = F.when(m == "", F.lit(0)).otherwise(_tokens(m)).cast("int")
+            more = [m.alias("m")] if with_text else []
+            return F.struct(pos.alias("pos"), n.alias("n"), F.xxhash64(n, F.substring_index(m, " ", depth)).alias("path"), F.xxhash64(m).alias("full"), *more)
 
         return let(masked(line), key)
 
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), parse), lambda x: x["n"] > 0)
 
 
-def _first_of(kind: str) -> Column:
-    return F.min("first").alias(kind)
+def parsed(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
+    """Lines of docs as (row, doc_id, n_lines, pos, n, path, full), written once for all steps.
+    row is a hash of doc_id and text; rows that repeat as a whole are one document."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id"), _lines(text, depth).alias("l"))
+    rows = rows.select("row", "doc_id", F.size("l").alias("n_lines"), F.explode("l").alias("l"))
+    return materialize(rows.select("row", "doc_id", "n_lines", "l.*"), "lines")
 
 
-def templates(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Recurring templates as (path, full, docs, first): whole masked lines, and generalised ones.
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8) -> DataFrame:
+    """Recurring templates as (path, full, first): whole masked lines, and generalised ones.
 
     The tree's first level is the token count, then come `depth` leading tokens; a line's path
     leads to a leaf. A masked line that min_docs documents share is a template as it stands. In
     a leaf where enough other lines meet, a token is constant if min_docs different lines have
     it at its place, and other places become variable fields; lines that agree on all constants
-    share a template, if `constant` of its tokens are so. Documents are counted as rows.
+    share a template, if `constant` of its tokens are so. Only documents with lines in such
+    leaves are parsed again, for the words.
     """
-    rows = docs.select(F.col("doc_id"), F.explode(F.array_distinct(F.transform(_lines(F.col(f"`{text_col}`"), depth), lambda x: F.struct(x["path"].alias("path"), x["full"].alias("full"), x["n"].alias("n"))))).alias("l"))
-    counted = materialize(rows.groupBy("l.path", "l.full", "l.n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "lines")
+    once = lines.select("path", "full", "n", "row", "doc_id").distinct()
+    counted = materialize(once.groupBy("path", "full", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "line-counts")
     whole = counted.filter(F.col("docs") >= min_docs).select("path", "full", "first")
 
     rare = counted.filter((F.col("docs") < min_docs) & (F.col("n") >= min_tokens))
-    leaves = rare.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs")).filter((F.col("lines") >= min_docs) & (F.col("docs") >= min_docs)).select("path")
+    leaves = rare.groupBy("path").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= min_docs).select("path")
     met = broadcast_if_small(materialize(rare.join(leaves, "path").select("path", "full", "docs", "first"), "met"))
-    texts = docs.select(F.explode(_lines(F.col(f"`{text_col}`"), depth)).alias("l")).filter(F.col("l.n") >= min_tokens).select("l.path", "l.full", "l.m")
-    tokens = materialize(
-        texts.join(met, ["path", "full"]).groupBy("path", "full").agg(F.min("m").alias("m"), F.first("docs").alias("docs"), F.first("first").alias("first")), "leaves"
-    )
+    where = broadcast_if_small(materialize(lines.join(met.select("path", "full"), ["path", "full"], "left_semi").select(F.col("row").alias("_row")).distinct(), "met-rows"))
+    text = F.col(f"`{text_col}`")
+    again = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).join(where, F.col("row") == F.col("_row"), "left_semi")
+    words = again.select(F.explode(_lines(F.col("text"), depth, True)).alias("l")).select("l.path", "l.full", "l.m")
+    tokens = words.join(met, ["path", "full"]).groupBy("path", "full").agg(F.min("m").alias("m"), F.min("docs").alias("docs"), F.min("first").alias("first"))
+    tokens = materialize(tokens, "leaves")
     placed = tokens.select("path", "full", F.posexplode(F.split("m", " ")).alias("place", "token"))
     constants = placed.groupBy("path", "place", "token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= min_docs).select("path", "place", "token")
     shape = placed.join(constants, ["path", "place", "token"]).groupBy("path", "full").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("shape"))
     shaped = tokens.join(shape, ["path", "full"]).filter(F.size("shape") >= constant * F.size(F.split("m", " "))).withColumn("template", F.xxhash64("path", "shape"))
-    general = shaped.groupBy("path", "template").agg(F.sum("docs").alias("docs"), _first_of("first"), F.count(F.lit(1)).alias("lines")).filter(F.col("docs") >= min_docs)
+    general = shaped.groupBy("path", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs)
     generalised = shaped.select("path", "full", "template").join(general.select("path", "template", "first"), ["path", "template"]).select("path", "full", "first")
-    return whole, generalised
+    return broadcast_if_small(materialize(whole.unionByName(generalised), "templates"))
 
 
 def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8) -> DataFrame:
@@ -77,22 +90,21 @@ def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int
     with a null doc_id are documents that are never first unless all are. Columns of docs that
     are named n_lines or n_dropped are replaced. Empty table: no rows.
 
-    Decisions are (row key, line number) pairs; they meet the rows of docs in one join, where
-    every text is shuffled once. A hot line is one row a task of the first aggregation; in the
-    join of lines with templates Spark may split it, as templates are unique there.
+    Texts are parsed once; decisions are (row hash, line number) pairs, which meet the rows of
+    docs in one join, where every text is shuffled once. A hot line is spread by its documents
+    before they are counted, and Spark may split it in the join with the templates, as those
+    are unique there.
     """
     docs = docs.drop("n_lines", "n_dropped")
     columns = docs.columns
     text = F.col(f"`{text_col}`")
-    whole, generalised = templates(docs, text_col, depth, min_docs, constant, min_tokens)
-    found = broadcast_if_small(materialize(whole.unionByName(generalised), "templates"))
-    key = F.xxhash64("doc_id", text)
-    lines = docs.select(key.alias("row"), F.col("doc_id"), F.explode(F.transform(_lines(text, depth), lambda x: F.struct(x["pos"].alias("pos"), x["path"].alias("path"), x["full"].alias("full")))).alias("l"))
-    hit = lines.select("row", "doc_id", "l.pos", "l.path", "l.full").join(found, ["path", "full"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    lines = parsed(docs, text_col, depth)
+    found = templates(docs, lines, text_col, depth, min_docs, constant, min_tokens)
+    hit = lines.join(found, ["path", "full"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("row", F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_drop"))
-    joined = docs.withColumn("_row", key).join(drops.withColumnRenamed("row", "_key"), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(drops.withColumnRenamed("row", "_key"), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     gone = F.coalesce("_drop", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.size(words(x)) > 0)).cast("long")
+    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.translate(x, SEPARATORS, " " * len(SEPARATORS))) != "")).cast("long")
     new = {c: F.col(f"`{c}`") for c in columns} | {text_col: F.when(F.col("_drop").isNull(), text).otherwise(kept)}
     return joined.select(*[v.alias(c) for c, v in new.items()], n_lines.alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
