@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tidemark.llm import chat, line_dedup, mixing, packing, quality_rules, queries, simhash
+from tidemark.llm import chat, line_dedup, mixing, near_copies, packing, quality_rules, queries, simhash
 
 CONTROL = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "/", "s>", "INST]", "|", "a", " ", "\n", "é", ">"]), max_size=12).map("".join)
 
@@ -181,3 +181,39 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in seen["mixing"]}
     assert quality_rules.DEFAULT_RULES and line_dedup.VARIABLE
+
+
+def test_pipeline_keeps_no_two_edited_copies(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = [f"wo{x}{y}" for x in letters for y in letters] + ["the", "of", "and", "to"] * 60
+    base = [" ".join(rng.choice(vocab, 120)) for _ in range(30)]
+    rows = []
+    for i in range(120):
+        w = base[i % 30].split()
+        for at in rng.choice(24, i // 30, replace=False):
+            w[5 * int(at)] = "changed"
+        w += ["more"] * (i // 30)  # lines of other lengths are no templates of each other
+        rows.append((i, " ".join(w), "en", f"src{i % 4}", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {r[0]: {" ".join(r[1].split()[k : k + 5]) for k in range(len(r[1].split()) - 4)} for r in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 60 < len(near) < 180  # some copies of copies are under 0.8
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    named = {r["doc_id"]: r["component"] for r in near_copies.components(docs).collect()}
+    assert [(a, b) for a in sets for b in sets if (named[a] == named[b]) != (find(a) == find(b))] == []
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in sets}
+    got = {p["doc_id"] for p in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got and not [(a, b) for a, b in near if a in got and b in got]
+    assert near_copies.components(docs.limit(0)).count() == 0
