@@ -156,3 +156,18 @@ def test_line_templates(spark):
     assert got[-1]["n_dropped"] == 0
     assert line_dedup.dedup(d.limit(0)).count() == 0
     assert sum(r["doc_id"] == 53 for r in line_dedup.dedup(d).collect()) == 2
+
+
+def test_line_variants_are_weighed_by_documents(spark):
+    text = "the {} report of the {} office went out to every reader today"
+    lines = [text.format("annual", "north")] * 4 + [text.format("annual", "south")]  # a verbatim line and one variant
+    lines += ["our letter came on a cold night with news from {} at last".format(x) for x in ("ann", "ann", "bob", "bob")]  # two and two
+    rows = [(i, f"{x}\nown") for i, x in enumerate(lines)]
+    rows += [(20, "\n".join(f"we sold the old house by the {x} road for good money" for x in ("west", "east", "mill")))]  # three lines, one document
+    rows += [(21 + i, f"he gave us the big map of the {x} river before he left") for i, x in enumerate(("dry", "wide"))]  # two documents
+    rows += [(30, "the long road to town\n" + text.format("annual", "late"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d, by_documents=True).collect()}
+    # own recurs verbatim in documents 0 to 8
+    assert got == {0: 0, **{i: 2 for i in range(1, 5)}, 5: 1, 6: 2, 7: 2, 8: 2, 20: 0, 21: 0, 22: 0, 30: 1}
+    assert line_dedup.dedup(d.limit(0), by_documents=True).count() == 0

@@ -48,7 +48,53 @@ def parsed(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     return materialize(rows.select("row", "doc_id", "n_lines", "l.*"), "lines")
 
 
-def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8) -> DataFrame:
+def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: str, depth: int, min_docs: int, constant: float, min_tokens: int) -> DataFrame:
+    """Generalised templates by documents, as (path, full, first), over counted(.., recurs).
+
+    All lines of a leaf vote, those that recur verbatim too. A token is constant if min_docs
+    documents have it at its place. A rare line of which enough is constant recurs if min_docs
+    documents have lines in the leaf with all its constant tokens; these lines are one template.
+    Documents with several lines in a leaf count once: they are counted apart from the rest.
+    """
+    leaves = counted.filter(F.col("n") >= min_tokens).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.count_if(~F.col("recurs")).alias("rare"))
+    leaves = leaves.filter((F.col("lines") > 1) & (F.col("docs") >= min_docs) & (F.col("rare") > 0)).select("path")
+    member = lines.join(broadcast_if_small(materialize(leaves, "voting-leaves")), "path").select("path", "full", "row", "doc_id").distinct()
+    member = materialize(member, "voting-lines")
+    several = member.groupBy("path", "row").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("path", "row")
+    several = materialize(member.join(broadcast_if_small(materialize(several, "several")), ["path", "row"]).select("path", "full", "row").distinct(), "several-lines")
+    shared = several.groupBy("path", "full").agg(F.count(F.lit(1)).alias("shared"))
+    voters = member.groupBy("path", "full").agg(F.countDistinct("row").alias("docs"), F.min("row").alias("row"), F.min("doc_id").alias("first"))
+    voters = voters.join(shared, ["path", "full"], "left").join(counted.select("path", "full", "recurs"), ["path", "full"])
+    voters = materialize(voters.select("path", "full", "row", "first", "recurs", (F.col("docs") - F.coalesce("shared", F.lit(0))).alias("single")), "voters")
+
+    text = F.col(f"`{text_col}`")
+    where = broadcast_if_small(materialize(voters.select(F.col("row").alias("_row")).distinct(), "voter-rows"))
+    again = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).join(where, F.col("row") == F.col("_row"), "left_semi")
+    words = again.select("row", F.explode(_lines(F.col("text"), depth, True)).alias("l")).select("row", "l.path", "l.full", "l.m").distinct()
+    tokens = words.join(voters, ["path", "full", "row"]).drop("row").withColumn("w", F.split("m", " ")).drop("m")
+    tokens = materialize(tokens, "voter-tokens")
+
+    def by_documents(keyed: DataFrame, *key: str) -> DataFrame:
+        """Documents of each key of (path, full, single, *key), as (*key, docs)."""
+        alone = keyed.groupBy(*key).agg(F.sum("single").alias("docs"))
+        more = keyed.select("path", "full", *key[1:]).join(several, ["path", "full"]).select(*key, "row").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("docs"))
+        return alone.unionByName(more).groupBy(*key).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+
+    placed = tokens.select("path", "full", "single", "recurs", F.posexplode("w").alias("place", "token"))
+    constants = by_documents(placed, "path", "place", "token").drop("docs")
+    shape = placed.filter(~F.col("recurs")).join(constants, ["path", "place", "token"]).groupBy("path", "full").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    shape = tokens.join(shape, ["path", "full"]).filter(F.size("places") >= constant * F.size("w")).select("path", "full", "places")
+    shape = materialize(shape, "shapes")
+    masks = broadcast_if_small(materialize(shape.select("path", "places").distinct(), "masks"))
+    key = F.xxhash64("places", F.transform("places", lambda p: F.get(F.col("w"), p)))
+    cut = materialize(tokens.join(masks, "path").select("path", "full", "single", "first", "places", key.alias("template")), "cut-lines")
+    owned = cut.join(shape, ["path", "full", "places"], "left_semi").select("path", "template").distinct()
+    found = by_documents(cut, "path", "template").drop("docs").join(owned, ["path", "template"])
+    firsts = cut.join(found, ["path", "template"]).groupBy("path", "template").agg(F.min("first").alias("first"))
+    return cut.drop("first").join(firsts, ["path", "template"]).select("path", "full", "first")
+
+
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False) -> DataFrame:
     """Recurring templates as (path, full, first): whole masked lines, and generalised ones.
 
     The tree's first level is the token count, then come `depth` leading tokens; a line's path
@@ -56,13 +102,18 @@ def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth:
     a leaf where enough other lines meet, a token is constant if min_docs different lines have
     it at its place, and other places become variable fields; lines that agree on all constants
     share a template, if `constant` of its tokens are so. Only documents with lines in such
-    leaves are parsed again, for the words.
+    leaves are parsed again, for the words. With by_documents, see _variants: also the lines
+    that recur verbatim vote, and documents are counted, not lines.
     """
     once = lines.select("path", "full", "n", "row", "doc_id").distinct()
     counted = materialize(once.groupBy("path", "full", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "line-counts")
-    whole = counted.filter(F.col("docs") >= min_docs).select("path", "full", "first")
+    recurs = F.col("docs") >= min_docs
+    whole = counted.filter(recurs).select("path", "full", "first")
+    if by_documents:
+        found = whole.unionByName(_variants(docs, lines, counted.withColumn("recurs", recurs), text_col, depth, min_docs, constant, min_tokens))
+        return broadcast_if_small(materialize(found.groupBy("path", "full").agg(F.min("first").alias("first")), "templates"))
 
-    rare = counted.filter((F.col("docs") < min_docs) & (F.col("n") >= min_tokens))
+    rare = counted.filter(~recurs & (F.col("n") >= min_tokens))
     leaves = rare.groupBy("path").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= min_docs).select("path")
     met = broadcast_if_small(materialize(rare.join(leaves, "path").select("path", "full", "docs", "first"), "met"))
     where = broadcast_if_small(materialize(lines.join(met.select("path", "full"), ["path", "full"], "left_semi").select(F.col("row").alias("_row")).distinct(), "met-rows"))
@@ -80,7 +131,7 @@ def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth:
     return broadcast_if_small(materialize(whole.unionByName(generalised), "templates"))
 
 
-def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False) -> DataFrame:
     """docs with the text of each row cleared of recurring lines, and n_lines, n_dropped.
 
     A line goes if its template recurs (see templates) and this is not the template's first
@@ -99,7 +150,7 @@ def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int
     columns = docs.columns
     text = F.col(f"`{text_col}`")
     lines = parsed(docs, text_col, depth)
-    found = templates(docs, lines, text_col, depth, min_docs, constant, min_tokens)
+    found = templates(docs, lines, text_col, depth, min_docs, constant, min_tokens, by_documents)
     hit = lines.join(found, ["path", "full"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("row", F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_drop"))
     joined = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(drops.withColumnRenamed("row", "_key"), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
