@@ -171,3 +171,12 @@ def test_line_variants_are_weighed_by_documents(spark):
     # own recurs verbatim in documents 0 to 8
     assert got == {0: 0, **{i: 2 for i in range(1, 5)}, 5: 1, 6: 2, 7: 2, 8: 2, 20: 0, 21: 0, 22: 0, 30: 1}
     assert line_dedup.dedup(d.limit(0), by_documents=True).count() == 0
+
+
+@pytest.mark.parametrize("by_documents", [False, True])
+def test_long_lines_recur_from_two_documents(spark, by_documents):
+    long, short = " ".join(["some", "word"] * 25 + ["more"]), " ".join(["some", "word"] * 25)
+    rows = [(0, long), (1, f"{long}\nits own"), (2, short), (3, short), (5, f"{long} end\n{long} end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d, by_documents=by_documents, long_tokens=50).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 5: 0}

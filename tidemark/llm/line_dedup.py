@@ -94,7 +94,7 @@ def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: s
     return cut.drop("first").join(firsts, ["path", "template"]).select("path", "full", "first")
 
 
-def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False, long_tokens: int | None = None) -> DataFrame:
     """Recurring templates as (path, full, first): whole masked lines, and generalised ones.
 
     The tree's first level is the token count, then come `depth` leading tokens; a line's path
@@ -103,11 +103,14 @@ def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth:
     it at its place, and other places become variable fields; lines that agree on all constants
     share a template, if `constant` of its tokens are so. Only documents with lines in such
     leaves are parsed again, for the words. With by_documents, see _variants: also the lines
-    that recur verbatim vote, and documents are counted, not lines.
+    that recur verbatim vote, and documents are counted, not lines. A masked line of more than
+    long_tokens tokens is a template as soon as two documents share it.
     """
     once = lines.select("path", "full", "n", "row", "doc_id").distinct()
     counted = materialize(once.groupBy("path", "full", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "line-counts")
     recurs = F.col("docs") >= min_docs
+    if long_tokens is not None:
+        recurs |= (F.col("n") > long_tokens) & (F.col("docs") >= 2)
     whole = counted.filter(recurs).select("path", "full", "first")
     if by_documents:
         found = whole.unionByName(_variants(docs, lines, counted.withColumn("recurs", recurs), text_col, depth, min_docs, constant, min_tokens))
@@ -131,7 +134,7 @@ def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth:
     return broadcast_if_small(materialize(whole.unionByName(generalised), "templates"))
 
 
-def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False, long_tokens: int | None = None) -> DataFrame:
     """docs with the text of each row cleared of recurring lines, and n_lines, n_dropped.
 
     A line goes if its template recurs (see templates) and this is not the template's first
@@ -150,7 +153,7 @@ def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int
     columns = docs.columns
     text = F.col(f"`{text_col}`")
     lines = parsed(docs, text_col, depth)
-    found = templates(docs, lines, text_col, depth, min_docs, constant, min_tokens, by_documents)
+    found = templates(docs, lines, text_col, depth, min_docs, constant, min_tokens, by_documents, long_tokens)
     hit = lines.join(found, ["path", "full"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("row", F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_drop"))
     joined = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(drops.withColumnRenamed("row", "_key"), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
