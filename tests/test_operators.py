@@ -67,3 +67,24 @@ def test_pair_scores_of_nothing(spark):
 def test_unknown_transition_is_refused(spark):
     with pytest.raises(ValueError, match="no transition"):
         gates.advance(spark.createDataFrame([("a", "pending")], "article_id string, stage string"), spark.createDataFrame([("a",)], "article_id string"), "pending", "scored")
+
+
+def test_segments_cover_all_events(spark):
+    from tidemark.plans.upkeep_queries import book
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["id"]: (r["cluster"], r["segment"]) for r in book.queries["q_CL03_segments"](spark, sf).collect()}
+    users, want = {}, {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        day = r["ts"].date().toordinal() if r["event_id"] % 17 else None
+        users.setdefault(r["user_id"], []).append((day is None, day or 0, r["event_id"], day))
+    for user, rows in users.items():
+        first = last = None
+        segment = 0
+        for *_, i, day in sorted(rows):
+            if day is not None:
+                if last is not None and (day - last > 1 or day - first > 7):
+                    segment, first = segment + 1, day
+                first, last = day if first is None else first, day
+            want[i] = (user, segment)
+    assert got == want
