@@ -111,6 +111,48 @@ def test_levels_are_the_least_squares():
         list(p.add(0, np.zeros(size, np.uint32)))
 
 
+WORDS = st.lists(st.sampled_from(["l'été", "ÀÉÎ", "straße.", "ẞ", "İ", "K", "e\u0301t", "don't", "!'s", "¿qué?", "«a»", "12a3", "<|endoftext|>", "<|EndOfText|>", "x<|", "\u00a0", "\u3000b", "中文", "ß\xad", "à", "í", "a,", ".", "ab.,", "\x00", "😀"]), max_size=5).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(WORDS, st.text(max_size=8)), max_size=12), st.sampled_from([" ", "\n", "\t "]))
+def test_ids_of_words_are_those_of_the_whole_text(words, between):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    if "whole" not in WHOLE:
+        WHOLE["whole"] = Tokenizer.from_file(path)
+    text = between.join(words).encode("utf-8", "ignore").decode()
+    want = WHOLE["whole"].encode(text, add_special_tokens=False).ids + [1]
+    assert packing.encoder(path).encode(packing._words(text.encode()), 1).tolist() == want
+
+
+WHOLE = {}
+
+
+def test_words_are_forgotten_by_generations_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    codes = packing.Encoder(queries.tokenizer_path())
+    text = b"one two three four five six seven eight one two nine one."
+    first = codes.encode(packing._words(text), 1).tolist()
+    for _ in range(3):
+        assert codes.encode(packing._words(text), 1).tolist() == first
+    assert first == codes.tokenizer.encode(text.decode(), add_special_tokens=False).ids + [1]
+
+
+def test_the_rule_places_all_but_a_few_windows():
+    rng = np.random.default_rng(3)
+    packer, seen = packing.Packer(), 0
+    for doc, size in enumerate(rng.geometric(1 / 700, 3000).tolist()):
+        for window in packer.add(doc, np.zeros(size, "<u4")):
+            assert sum(len(p[2]) for p in window) == packing.LENGTH
+        assert packer.n_open == packer.count.sum() <= packing.MOST_OPEN
+        seen += size
+    list(packer.close())
+    assert packer.placed["full"] + packer.placed["rule"] + packer.placed["cut"] == seen
+    assert packer.placed["left"] + packer.placed["cut"] < 0.05 * seen
+
+
 def test_packing_is_an_exact_round_trip(spark):
     from tokenizers import Tokenizer
 

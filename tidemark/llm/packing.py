@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -14,48 +15,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 2048
-CACHED_WORDS = 700_000
+MOST_OPEN = 16
+CACHED_WORDS = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+# How the tokenizer splits words of ASCII and Latin-1 letters, which need no
+# normalisation but lower case, and what its byte-level vocabulary writes for those of their
+# bytes that it does not write as the characters of the same number.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_PLAIN = re.compile(f"[!-~\xa1\xab\xbb\xbf{_LETTERS}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_WRITTEN = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
+_WORD_END = "</w>"
+
+
+def _parts(word: bytes) -> list[bytes] | None:
+    """A plain word's parts, each of which the tokenizer's model takes alone; None for others."""
+    word = word.lower()
+    if word.isalpha():
+        return [word]
+    if word[-1:] in (b".", b",") and word[:-1].isalpha():
+        return [word[:-1], word[-1:]]
+    text = word.decode("utf-8", "replace").lower()
+    if "<|" in text or not _PLAIN.fullmatch(text):
+        return None
+    return [part.encode() for part in _PARTS.findall(text)]
+
 
 class Encoder:
     """Token ids of texts, word by word: words are what stands between ASCII white space, where
     the tokenizer's own splitting never reaches across, so a text's ids are those of its words.
 
-    The tokenizer lower-cases and splits a letter from a full stop or comma behind it, so words
-    come in lower case (but for texts that may hold its special tokens, which it looks for in
-    the raw text), and a closed word has the ids of its stem and of its mark.
-
-    Ids of the first CACHED_WORDS different words are remembered, those of later ones only while
-    their batch lasts.
+    Words are looked up in lower case (but for texts that may hold the tokenizer's special
+    tokens, which it looks for in the raw text). The parts of plain words go to the tokenizer's
+    model without its normaliser and pattern, and come back as one list, where the ids that end a
+    word tell them apart; every other word goes through the whole tokenizer. Ids of words are
+    remembered in two generations: when the younger holds CACHED_WORDS, the older is forgotten.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_batch(self, split: list[list[bytes]], end_id: int) -> Iterator[np.ndarray]:
-        """The ids of each text, given as its words, and end_id, as little-endian 32-bit numbers."""
-        new = set().union(*split) - self.known.keys()
-        closed = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        todo = list((new - closed | {w[:-1] for w in closed} | {b".", b","}) - self.known.keys())
-        ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in todo], add_special_tokens=False)
-        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(todo, ids, strict=True)}
-        for w in closed:
-            found[w] = b"".join(found.get(x) or self.known[x] for x in (w[:-1], w[-1:]))
-        if len(self.known) < CACHED_WORDS:
-            self.known |= found
-            look = self.known.__getitem__
-        else:
-            known = self.known
-            look = lambda w: known.get(w) or found.get(w, b"")
-        end = end_id.to_bytes(4, "little")
-        for words in split:
-            yield np.frombuffer(b"".join([*map(look, words), end]), dtype="<u4")
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for text, k in vocabulary.items() if text.endswith(_WORD_END)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _unseen(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found, plain, after, flat, rest = {}, [], [], [], []
+        for word in words:
+            if parts := _parts(word):
+                flat += parts
+                plain.append(word)
+                after.append(len(flat))
+            else:
+                rest.append(word)
+        if plain:
+            joined = b" ".join(flat).decode("latin-1")
+            for byte, written in _WRITTEN:
+                joined = joined.replace(byte, written)
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids])[np.array(after) - 1] + 1)).tolist()
+            raw = ids.tobytes()
+            found = {w: raw[i:j] for w, i, j in zip(plain, [0, *stops], stops, strict=False)}
+        if rest:
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+            found |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(rest, got, strict=True)}
+        return found
+
+    def encode(self, words: list[bytes], end_id: int) -> np.ndarray:
+        """The ids of a text, given as its words, and end_id, as little-endian 32-bit numbers."""
+        ids = list(map(self.young.get, words))
+        missing = [k for k, got in enumerate(ids) if got is None]
+        if missing:
+            found, new = {}, []
+            for w in {words[k] for k in missing}:
+                got = self.old.get(w)
+                if got is None:
+                    new.append(w)
+                else:
+                    found[w] = got
+            found |= self._unseen(new)
+            for k in missing:
+                ids[k] = found[words[k]]
+            if len(self.young) + len(found) > CACHED_WORDS:
+                self.old, self.young = self.young, {}
+            self.young |= found
+        ids.append(end_id.to_bytes(4, "little"))
+        return np.frombuffer(b"".join(ids), dtype="<u4")
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -76,13 +129,21 @@ class Packer:
     Packing"): an item goes to the fill level where the sum over levels of the squared number of
     windows at that level comes out least. The level array holds those numbers.
 
+    At most `most_open` windows are partially filled at a time: an item that the rule would begin
+    one more for is cut, its beginning fills the fullest window and the rule places the rest. So
+    few windows are left over in the end, and those alone are cut anew.
+
     A piece is (doc_id, start, ids, doc_tokens); closed windows come out of add() and close().
+    `placed` counts tokens by what placed them: full (windows cut from one document), rule and cut
+    (beginnings that filled a window); left is those of windows open in the end, counted before too.
     """
 
-    def __init__(self, length: int = LENGTH) -> None:
-        self.length = length
+    def __init__(self, length: int = LENGTH, most_open: int = MOST_OPEN) -> None:
+        self.length, self.most_open = length, most_open
         self.count = np.zeros(length + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
+        self.n_open = 0
+        self.placed = {"full": 0, "rule": 0, "cut": 0, "left": 0}
 
     def level(self, size: int) -> int:
         """The fill level to put an item of this size on; 0: a new window. Ties: the fullest."""
@@ -92,30 +153,38 @@ class Packer:
         arrive = 2 * count[size : self.length + 1] + 1
         arrive[top] = 0  # a full window is no level
         change = leave + arrive
-        if size < self.length:
-            change[np.arange(top + 1) == 0] = 2 * count[size] + 1
         change[1:][count[1 : top + 1] == 0] = np.iinfo(np.int64).max
         return top - int(np.argmin(change[::-1]))
 
+    def _take(self, level: int) -> list:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
     def add(self, doc_id, ids: np.ndarray) -> Iterator[list]:
         n, total = self.length, len(ids)
-        at = 0
-        while total - at >= n:
-            yield [(doc_id, at, ids[at : at + n], total)]
-            at += n
-        if at == total:
-            return
-        size = total - at
-        h = self.level(size)
-        window = self.open[h].pop() if h else []
-        window.append((doc_id, at, ids[at:], total))
-        if h:
-            self.count[h] -= 1
-        if h + size == n:
-            yield window
-        else:
-            self.open[h + size].append(window)
-            self.count[h + size] += 1
+        at = total - total % n
+        for start in range(0, at, n):
+            yield [(doc_id, start, ids[start : start + n], total)]
+        self.placed["full"] += at
+        while at < total:
+            size = total - at
+            h = self.level(size)
+            if not h and self.n_open >= self.most_open:
+                h = int(np.flatnonzero(self.count)[-1])
+                size = min(size, n - h)
+                self.placed["cut"] += size
+            else:
+                self.placed["rule"] += size
+            window = self._take(h) if h else []
+            window.append((doc_id, at, ids[at : at + size], total))
+            at += size
+            if h + size == n:
+                yield window
+            else:
+                self.open[h + size].append(window)
+                self.count[h + size] += 1
+                self.n_open += 1
 
     def close(self) -> Iterator[list]:
         """The windows still open: emptier ones are cut to fill the fuller ones, then what is
@@ -125,7 +194,9 @@ class Packer:
         pieces = [p for w in reversed(left) for p in reversed(w)]  # the last of these are in the fullest window
         self.open.clear()
         self.count[:] = 0
+        self.n_open = 0
         tokens = sum(len(p[2]) for p in pieces)
+        self.placed["left"] += tokens
         while pieces:
             room = n if tokens >= n else 1 << (tokens.bit_length() - 1)
             tokens -= room
@@ -143,9 +214,9 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", length: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every task packs the rows of its own partition in one pass, so nothing is shuffled and no
-    text leaves its task; at its end it cuts what is still open into full windows and powers of
-    two, so there is no padding at all. Memory: one Arrow batch and the open windows, at most a
-    few on each of the length - 1 levels. sequence_id is the partition's number shifted by 40
+    text leaves its task; at its end it cuts the few windows still open into full ones and powers
+    of two, so there is no padding at all. Memory: one Arrow batch, the words remembered and
+    MOST_OPEN windows. sequence_id is the partition's number shifted by 40
     bits plus a running number.
 
     A document's ids are its text's, then end_id; null, empty and blank texts have end_id alone.
@@ -176,11 +247,9 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", length: int =
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                split = [_words(t.as_py()) for t in texts[at : at + 256]]
-                for doc_id, got in zip(ids[at : at + 256], codes.encode_batch(split, end_id), strict=True):
-                    for window in packer.add(doc_id, got):
-                        emit(window)
+            for doc_id, text in zip(ids, texts, strict=True):
+                for window in packer.add(doc_id, codes.encode(_words(text.as_py()), end_id)):
+                    emit(window)
             if len(rows) >= 4096:
                 yield flush()
         for window in packer.close():
