@@ -167,16 +167,33 @@ def test_line_variants_are_weighed_by_documents(spark):
     rows += [(21 + i, f"he gave us the big map of the {x} river before he left") for i, x in enumerate(("dry", "wide"))]  # two documents
     rows += [(30, "the long road to town\n" + text.format("annual", "late"))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d, by_documents=True).collect()}
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d).collect()}
     # own recurs verbatim in documents 0 to 8
     assert got == {0: 0, **{i: 2 for i in range(1, 5)}, 5: 1, 6: 2, 7: 2, 8: 2, 20: 0, 21: 0, 22: 0, 30: 1}
-    assert line_dedup.dedup(d.limit(0), by_documents=True).count() == 0
+    assert line_dedup.dedup(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("by_documents", [False, True])
-def test_long_lines_recur_from_two_documents(spark, by_documents):
+def test_long_lines_recur_from_two_documents(spark):
     long, short = " ".join(["some", "word"] * 25 + ["more"]), " ".join(["some", "word"] * 25)
     rows = [(0, long), (1, f"{long}\nits own"), (2, short), (3, short), (5, f"{long} end\n{long} end")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d, by_documents=by_documents, long_tokens=50).collect()}
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 5: 0}
+
+
+def test_a_text_of_many_lines_is_cleared_in_time(spark):
+    shared = [f"line of stock number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} x" for i in range(100_000)]
+    own = [f"own {x}" for x in shared]
+    long = "\n".join(x for pair in zip(shared, own, strict=True) for x in pair)
+    rows = [(1, "\n".join(shared)), (2, "\n".join(shared)), (9, long)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), constant=2.0).collect()}
+    assert (got[9]["n_lines"], got[9]["n_dropped"], got[9]["text"]) == (200_000, 100_000, "\n".join(own))
+    assert (got[1]["n_dropped"], got[2]["n_dropped"]) == (0, 100_000)
+
+
+def test_lines_as_short_as_the_tree_is_deep_only_recur_verbatim(spark):
+    rows = [(i, f"the end of {x}\nthe sad end of {x}\nwith many thanks to our {x}") for i, x in enumerate(("ann", "bob", "cy"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(d).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == f"the end of {x}" for i, x in ((1, "bob"), (2, "cy")))

@@ -10,53 +10,51 @@ from tidemark.runtime import broadcast_if_small, materialize
 
 # Words with a digit are variable fields wherever they stand: numbers, dates, ids, addresses.
 VARIABLE = "<*>"
-_WITH_DIGIT = r"[^ ]*[0-9][^ ]*"
+_WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
-def masked(line: Column) -> Column:
-    """The words of a line, joined by one space, with variable fields masked."""
-    spaced = F.trim(F.translate(line, SEPARATORS, " " * len(SEPARATORS)))
-    plain = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
-    return let(plain, lambda p: F.when(p.rlike("[0-9]"), F.regexp_replace(p, _WITH_DIGIT, VARIABLE)).otherwise(p))
+def _has_words(line: Column) -> Column:
+    return F.btrim(line, F.lit(SEPARATORS)) != ""
 
 
-def _tokens(m: Column) -> Column:
-    return F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+def lines_of(docs: DataFrame, text: Column, depth: int) -> DataFrame:
+    """One row a line with a word: the columns of docs, pos, n, path, full and m, the words of the
+    line joined by one space, with variable fields masked. path is the tree's leaf, by token count
+    n and `depth` leading tokens, full the whole masked line; both hashes have 64 bits.
 
-
-def _lines(text: Column, depth: int, with_text: bool = False) -> Column:
-    """struct(pos, n, path, full) of each line with a word: path is the tree's leaf, by token
-    count n and leading tokens, full the whole masked line; both hashes have 64 bits."""
-
-    def parse(line: Column, pos: Column) -> Column:
-        def key(m: Column) -> Column:
-            n = F.when(m == "", F.lit(0)).otherwise(_tokens(m)).cast("int")
-            more = [m.alias("m")] if with_text else []
-            return F.struct(pos.alias("pos"), n.alias("n"), F.xxhash64(n, F.substring_index(m, " ", depth)).alias("path"), F.xxhash64(m).alias("full"), *more)
-
-        return let(masked(line), key)
-
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), parse), lambda x: x["n"] > 0)
+    Each step looks for what it replaces first, as most lines hold no such thing.
+    """
+    rows = docs.select("*", F.posexplode(F.split(text, "\n")).alias("pos", "_line")).filter(_has_words(F.col("_line")))
+    rows = rows.withColumn("_line", F.btrim("_line", F.lit(SEPARATORS)))
+    others = [F.contains("_line", F.lit(c)) for c in SEPARATORS.strip(" \n")]
+    blank = others[0]
+    for more in others[1:]:
+        blank |= more
+    rows = rows.withColumn("_line", F.when(blank, F.translate("_line", SEPARATORS, " " * len(SEPARATORS))).otherwise(F.col("_line")))
+    rows = rows.withColumn("_line", F.when(F.contains("_line", F.lit("  ")), F.regexp_replace("_line", " +", " ")).otherwise(F.col("_line")))
+    rows = rows.withColumn("m", F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", _WITH_DIGIT, VARIABLE)).otherwise(F.col("_line"))).drop("_line")
+    rows = rows.withColumn("n", (F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1).cast("int"))
+    return rows.withColumn("path", F.xxhash64("n", F.substring_index("m", " ", depth))).withColumn("full", F.xxhash64("m"))
 
 
 def parsed(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """Lines of docs as (row, doc_id, n_lines, pos, n, path, full), written once for all steps.
-    row is a hash of doc_id and text; rows that repeat as a whole are one document."""
+    """Lines of docs as (row, doc_id, pos, n, path, full), written once for all steps. row is a
+    hash of doc_id and text; rows that repeat as a whole are one document."""
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id"), _lines(text, depth).alias("l"))
-    rows = rows.select("row", "doc_id", F.size("l").alias("n_lines"), F.explode("l").alias("l"))
-    return materialize(rows.select("row", "doc_id", "n_lines", "l.*"), "lines")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id"), text.alias("_text"))
+    return materialize(lines_of(rows, F.col("_text"), depth).select("row", "doc_id", "pos", "n", "path", "full"), "lines")
 
 
-def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: str, depth: int, min_docs: int, constant: float, min_tokens: int) -> DataFrame:
+def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: str, depth: int, min_docs: int, constant: float) -> DataFrame:
     """Generalised templates by documents, as (path, full, first), over counted(.., recurs).
 
     All lines of a leaf vote, those that recur verbatim too. A token is constant if min_docs
     documents have it at its place. A rare line of which enough is constant recurs if min_docs
     documents have lines in the leaf with all its constant tokens; these lines are one template.
     Documents with several lines in a leaf count once: they are counted apart from the rest.
+    A line of no more than `depth` tokens is its own path, so nothing of it can vary.
     """
-    leaves = counted.filter(F.col("n") >= min_tokens).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.count_if(~F.col("recurs")).alias("rare"))
+    leaves = counted.filter(F.col("n") > depth).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.count_if(~F.col("recurs")).alias("rare"))
     leaves = leaves.filter((F.col("lines") > 1) & (F.col("docs") >= min_docs) & (F.col("rare") > 0)).select("path")
     member = lines.join(broadcast_if_small(materialize(leaves, "voting-leaves")), "path").select("path", "full", "row", "doc_id").distinct()
     member = materialize(member, "voting-lines")
@@ -69,8 +67,8 @@ def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: s
 
     text = F.col(f"`{text_col}`")
     where = broadcast_if_small(materialize(voters.select(F.col("row").alias("_row")).distinct(), "voter-rows"))
-    again = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).join(where, F.col("row") == F.col("_row"), "left_semi")
-    words = again.select("row", F.explode(_lines(F.col("text"), depth, True)).alias("l")).select("row", "l.path", "l.full", "l.m").distinct()
+    again = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("_text")).join(where, F.col("row") == F.col("_row"), "left_semi")
+    words = lines_of(again, F.col("_text"), depth).select("row", "path", "full", "m").distinct()
     tokens = words.join(voters, ["path", "full", "row"]).drop("row").withColumn("w", F.split("m", " ")).drop("m")
     tokens = materialize(tokens, "voter-tokens")
 
@@ -94,47 +92,25 @@ def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: s
     return cut.drop("first").join(firsts, ["path", "template"]).select("path", "full", "first")
 
 
-def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False, long_tokens: int | None = None) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, long_tokens: int = 50) -> DataFrame:
     """Recurring templates as (path, full, first): whole masked lines, and generalised ones.
 
     The tree's first level is the token count, then come `depth` leading tokens; a line's path
-    leads to a leaf. A masked line that min_docs documents share is a template as it stands. In
-    a leaf where enough other lines meet, a token is constant if min_docs different lines have
-    it at its place, and other places become variable fields; lines that agree on all constants
-    share a template, if `constant` of its tokens are so. Only documents with lines in such
-    leaves are parsed again, for the words. With by_documents, see _variants: also the lines
-    that recur verbatim vote, and documents are counted, not lines. A masked line of more than
-    long_tokens tokens is a template as soon as two documents share it.
+    leads to a leaf. A masked line that min_docs documents share is a template as it stands, one
+    of more than long_tokens tokens as soon as two do. In a leaf where other lines meet too,
+    places where they differ become variable fields: see _variants. Only documents with lines
+    in such leaves are parsed again, for the words.
     """
     once = lines.select("path", "full", "n", "row", "doc_id").distinct()
-    counted = materialize(once.groupBy("path", "full", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "line-counts")
-    recurs = F.col("docs") >= min_docs
-    if long_tokens is not None:
-        recurs |= (F.col("n") > long_tokens) & (F.col("docs") >= 2)
-    whole = counted.filter(recurs).select("path", "full", "first")
-    if by_documents:
-        found = whole.unionByName(_variants(docs, lines, counted.withColumn("recurs", recurs), text_col, depth, min_docs, constant, min_tokens))
-        return broadcast_if_small(materialize(found.groupBy("path", "full").agg(F.min("first").alias("first")), "templates"))
-
-    rare = counted.filter(~recurs & (F.col("n") >= min_tokens))
-    leaves = rare.groupBy("path").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= min_docs).select("path")
-    met = broadcast_if_small(materialize(rare.join(leaves, "path").select("path", "full", "docs", "first"), "met"))
-    where = broadcast_if_small(materialize(lines.join(met.select("path", "full"), ["path", "full"], "left_semi").select(F.col("row").alias("_row")).distinct(), "met-rows"))
-    text = F.col(f"`{text_col}`")
-    again = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).join(where, F.col("row") == F.col("_row"), "left_semi")
-    words = again.select(F.explode(_lines(F.col("text"), depth, True)).alias("l")).select("l.path", "l.full", "l.m")
-    tokens = words.join(met, ["path", "full"]).groupBy("path", "full").agg(F.min("m").alias("m"), F.min("docs").alias("docs"), F.min("first").alias("first"))
-    tokens = materialize(tokens, "leaves")
-    placed = tokens.select("path", "full", F.posexplode(F.split("m", " ")).alias("place", "token"))
-    constants = placed.groupBy("path", "place", "token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= min_docs).select("path", "place", "token")
-    shape = placed.join(constants, ["path", "place", "token"]).groupBy("path", "full").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("shape"))
-    shaped = tokens.join(shape, ["path", "full"]).filter(F.size("shape") >= constant * F.size(F.split("m", " "))).withColumn("template", F.xxhash64("path", "shape"))
-    general = shaped.groupBy("path", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs)
-    generalised = shaped.select("path", "full", "template").join(general.select("path", "template", "first"), ["path", "template"]).select("path", "full", "first")
-    return broadcast_if_small(materialize(whole.unionByName(generalised), "templates"))
-
-
-def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, min_tokens: int = 8, by_documents: bool = False, long_tokens: int | None = None) -> DataFrame:
+    counted = once.groupBy("path", "full", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    recurs = (F.col("docs") >= min_docs) | ((F.col("n") > long_tokens) & (F.col("docs") >= 2))
+    counted = materialize(counted.withColumn("recurs", recurs), "line-counts")
+    whole = counted.filter("recurs").select("path", "full", "first")
+    found = whole.unionByName(_variants(docs, lines, counted, text_col, depth, min_docs, constant))
+    return broadcast_if_small(materialize(found.groupBy("path", "full").agg(F.min("first").alias("first")), "templates"))
+
+
+def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, long_tokens: int = 50) -> DataFrame:
     """docs with the text of each row cleared of recurring lines, and n_lines, n_dropped.
 
     A line goes if its template recurs (see templates) and this is not the template's first
@@ -144,21 +120,22 @@ def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int
     with a null doc_id are documents that are never first unless all are. Columns of docs that
     are named n_lines or n_dropped are replaced. Empty table: no rows.
 
-    Texts are parsed once; decisions are (row hash, line number) pairs, which meet the rows of
-    docs in one join, where every text is shuffled once. A hot line is spread by its documents
-    before they are counted, and Spark may split it in the join with the templates, as those
-    are unique there.
+    Decisions are (row hash, line number) pairs, which meet the rows of docs in one join, where
+    every text is shuffled once; work on a text grows with its lines, not their square. A hot
+    line is spread by its documents before they are counted, and Spark may split it in the join
+    with the templates, as those are unique there.
     """
     docs = docs.drop("n_lines", "n_dropped")
     columns = docs.columns
     text = F.col(f"`{text_col}`")
     lines = parsed(docs, text_col, depth)
-    found = templates(docs, lines, text_col, depth, min_docs, constant, min_tokens, by_documents, long_tokens)
+    found = templates(docs, lines, text_col, depth, min_docs, constant, long_tokens)
     hit = lines.join(found, ["path", "full"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("row", F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_drop"))
     joined = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(drops.withColumnRenamed("row", "_key"), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    gone = F.coalesce("_drop", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.translate(x, SEPARATORS, " " * len(SEPARATORS))) != "")).cast("long")
-    new = {c: F.col(f"`{c}`") for c in columns} | {text_col: F.when(F.col("_drop").isNull(), text).otherwise(kept)}
-    return joined.select(*[v.alias(c) for c, v in new.items()], n_lines.alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
+    gone = F.col("_drop")
+    kept = let(F.split(text, "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))
+    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _has_words)).cast("long")
+    new = {c: F.col(f"`{c}`") for c in columns} | {text_col: F.when(gone.isNull(), text).otherwise(kept)}
+    n_dropped = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return joined.select(*[v.alias(c) for c, v in new.items()], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
