@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-# The entities that feeds use.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+from pyspark.sql.types import StringType
 
 # Titles of columns that appear by schedule. The first list overrules the list of
 # true events, the second does not.
@@ -43,33 +43,50 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# White space in Python's sense, which Unicode's own leaves four control characters out of.
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+
+
+def strip(text: Column) -> Column:
+    """text without white space at its ends, that of other scripts included."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, f"{SPACE}+$", "")
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space of any script to one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def unescape_entities(text: Column) -> Column:
-    out = text
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """text with HTML's character references replaced. Only texts with an ampersand go to Python."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def clean_html(text: Column) -> Column:
-    """Entities once, tags to blanks, white space collapsed."""
-    return collapse(F.regexp_replace(unescape_entities(F.coalesce(text, F.lit(""))), r"<[^>]+>", " "))
+    """Character references once, tags to blanks, white space collapsed; null: empty."""
+    return collapse(F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), r"<[^>]+>", " "))
 
 
 def clean_html_legacy(text: Column) -> Column:
-    """Tags removed, entities once, ends trimmed."""
-    return F.trim(unescape_entities(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", "")))
+    """Tags removed, character references once, ends trimmed."""
+    return strip(unescape(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", "")))
 
 
 def clean_html_twice(text: Column) -> Column:
-    return clean_html(unescape_entities(F.coalesce(text, F.lit(""))))
+    return clean_html(unescape(F.coalesce(text, F.lit(""))))
 
 
 def article_id(prefix: Column, identity: Column) -> Column:
-    return F.concat(prefix, F.lit("_"), F.substring(F.sha2(F.trim(identity), 256), 1, 16))
+    return F.concat(prefix, F.lit("_"), F.substring(F.sha2(strip(identity), 256), 1, 16))
 
 
 def event_id(day: Column, tickers: Column, member_ids: Column) -> Column:
@@ -132,20 +149,54 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
 
 
 def embed_text(title: Column, content: Column, n: int = 500) -> Column:
-    return F.concat(F.trim(title), F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, n))
+    """A title and the beginning of its text, as one document to embed."""
+    return F.concat(strip(title), F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, n))
+
+
+def form_encoded(text: Column) -> Column:
+    """text as a form's parameter: letters, digits and _.-~ stay, a blank is a plus sign."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def canonical_url(url: Column, keep: Sequence[str] = ()) -> Column:
-    """Scheme and host lower-cased, default port and fragment gone, declared parameters sorted,
-    no slash at the end. What is no URL is null."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_replace(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    wanted = F.array_sort(F.filter(F.split(query, "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1)).isin(*keep) if keep else F.lit(False)))
-    tail = F.when(F.size(wanted) > 0, F.concat(F.lit("?"), F.array_join(wanted, "&"))).otherwise("")
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, path, tail))
+    """Scheme and host lower-cased, user and default port gone, no slash at the path's end, no
+    fragment; of the query only the parameters named in keep, decoded, their names lower-cased,
+    sorted and encoded again. Text without a host keeps its form but for these rules; an address
+    with an impossible port comes back stripped."""
+
+    def parts(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        rest = F.when(scheme != "", F.regexp_replace(u, r"^[^:]*:", "")).otherwise(u)
+        place = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
+        host_port = F.regexp_replace(place, r"^.*@", "")
+        return F.struct(
+            u.alias("u"),
+            scheme.alias("scheme"),
+            F.lower(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1)).alias("host"),
+            F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port"),
+            F.startswith(rest, F.lit("//")).alias("placed"),
+            F.regexp_replace(F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1), "/+$", "").alias("path"),
+            F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+        )
+
+    def kept(query: Column) -> Column:
+        decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+        pair = lambda x: F.struct(F.lower(decoded(F.regexp_extract(x, "^([^=]*)", 1))).alias("k"), decoded(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).alias("v"))
+        wanted = F.filter(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), pair), lambda x: x["k"].isin(*[k.lower() for k in keep]))
+        return F.array_join(F.transform(F.array_sort(wanted), lambda x: F.concat(form_encoded(x["k"]), F.lit("="), form_encoded(x["v"]))), "&")
+
+    def written(p: Column) -> Column:
+        port = F.regexp_replace(p["port"], "^0+(?=[0-9])", "")
+        plain = (port == "") | (port == "0") | ((p["scheme"] == "http") & (port == "80")) | ((p["scheme"] == "https") & (port == "443"))
+        place = F.concat(p["host"], F.when(plain, "").otherwise(F.concat(F.lit(":"), port)))
+        query = kept(p["query"]) if keep else F.lit("")
+        head = F.concat(F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(""), F.when(place != "", F.concat(F.lit("//"), place)).otherwise(""))
+        path = F.when((place != "") & (p["path"] != "") & ~F.startswith(p["path"], F.lit("/")), F.concat(F.lit("/"), p["path"])).otherwise(p["path"])
+        full = F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        wrong = (p["port"] != "") & ~(p["port"].rlike("^[0-9]+$") & (F.try_to_number(F.substring(port, 1, 9), F.lit("999999999")) <= 65535) & (F.length(port) <= 5))
+        return F.when(wrong, p["u"]).otherwise(full)
+
+    return let(let(F.translate(strip(url), "\t\r\n", ""), parts), written)
 
 
 def host_allowed(host: Column, domains: Sequence[str]) -> Column:
@@ -158,7 +209,7 @@ def host_allowed(host: Column, domains: Sequence[str]) -> Column:
 def distinct_share(text: Column, n: int = 8, least: int = 24) -> Column:
     """Different n-word windows over all of them; 1 for texts of under `least` words."""
     def share(words: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        windows = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
         return F.when(F.size(words) < least, 1.0).otherwise(let(windows, lambda w: F.size(F.array_distinct(w)) / F.size(w)))
 
     return let(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""), share)
@@ -173,17 +224,27 @@ def lots(x: Column) -> Column:
     return F.when(F.abs(x) >= 10000, F.format_string("%+.1f萬", x / 10000)).when(F.abs(x) >= 1000, F.format_string("%+.1fk", x / 1000)).otherwise(F.format_string("%+d", x.cast("long")))
 
 
+# What lines that lead to other news begin with.
+LEAD_INS = ("延伸閱讀", "相關新聞", "更多新聞")
+
+
 def paragraphs(text: Column) -> Column:
-    """Lines with text, trimmed, repeated ones and lead-ins to related news dropped."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
-    return F.array_join(F.array_distinct(F.filter(parts, lambda x: (x != "") & ~x.rlike("^(相關新聞|延伸閱讀|Related)"))), "\n\n")
+    """Lines of at least two characters, white space collapsed; repeated ones and lead-ins dropped."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), collapse)
+    leads = lambda x: F.substring(x, 1, len(LEAD_INS[0])).isin(*LEAD_INS)
+    return F.array_join(F.array_distinct(F.filter(parts, lambda x: (F.length(x) >= 2) & ~leads(x))), "\n\n")
 
 
 def clip(text: Column, limit: int) -> Column:
-    """At most limit characters: up to a paragraph's end past 70% of it, else a sentence's, else cut."""
-    head, least = F.substring(text, 1, limit), int(limit * 0.7)
-    back = lambda mark: F.when(F.locate(mark, F.reverse(head)) > 0, limit + 1 - F.locate(mark, F.reverse(head))).otherwise(0)
-    paragraph = back("\n")
-    sentence = F.greatest(back("。"), back("."), back("！"), back("？"))
-    cut = F.when(paragraph >= least, F.substr(head, F.lit(1), paragraph - 1)).when(sentence >= least, F.substr(head, F.lit(1), sentence)).otherwise(head)
-    return F.when(F.length(text) <= limit, text).otherwise(cut)
+    """At most limit characters (and a sentence's mark): up to a paragraph's end past 70% of it,
+    else a sentence's, else cut; white space at the end goes."""
+    head, least = F.substring(text, 1, limit + 1), int(limit * 0.7)
+
+    def last(mark: str, size: int = 1) -> Column:
+        """Characters before the last mark in head that lies whole in it; -1 if none does."""
+        at = F.locate(mark[::-1], F.reverse(head))
+        return F.when(at > 0, F.length(head) - at - size + 1).otherwise(-1)
+
+    paragraph, sentence = last("\n\n", 2), F.greatest(last("。"), last("！"), last("？"))
+    cut = F.when(paragraph >= least, F.substr(text, F.lit(1), paragraph)).when(sentence >= least, F.substr(text, F.lit(1), sentence + 1)).otherwise(F.substring(text, 1, limit))
+    return F.when(F.length(text) <= limit, text).otherwise(rstrip(cut))

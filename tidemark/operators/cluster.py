@@ -188,13 +188,18 @@ def assemble_events(articles: DataFrame, cut: float = 0.35, gap: int = 3, span:
     return last.select(F.min("id").over(Window.partitionBy("cluster", "segment")).alias("event"), "id")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, farthest: float = 0.35, days: int = 3) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, farthest: float = 0.35, days: int = 3, today: int | None = None, fresh: int = 30) -> DataFrame:
     """(id, target, distance) of each query's one nearest target, if that one is near enough in
-    distance and days; there is no second best.
+    distance and days; there is no second best. Targets with a query's id are left out, and with
+    `today` (a day number) those not updated within the last `fresh` days.
 
-    queries and targets: id, vector, day. Both are dealt into blocks; a task finds the best of a
-    pair of blocks and a min-aggregation the best of all.
+    queries and targets: id, vector, day; targets also updated, if today is given. Both are dealt
+    into blocks; a task finds the best of a pair of blocks and a min-aggregation the best of all.
+    Distances are compared to 12 digits, ties go to the smallest target.
     """
+    targets = targets.join(queries.select("id"), "id", "left_anti")
+    if today is not None:
+        targets = targets.filter(F.col("updated") > today - fresh)
     blocks = F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))
     own = F.pmod(F.xxhash64("id"), F.lit(BLOCKS))
     q = queries.select("id", "day", F.col("vector").cast("array<double>").alias("v"), F.lit(True).alias("asks"), own.alias("qb"), F.explode(blocks).alias("tb"))
@@ -206,7 +211,7 @@ def nearest(queries: DataFrame, targets: DataFrame, farthest: float = 0.35, days
         if not len(a) or not len(b):
             return pd.DataFrame({c.split()[0]: pd.Series(dtype={"long": "int64", "double": "float64"}[c.split()[1]]) for c in schema.split(", ")})
         unit = lambda p: (lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300))(np.stack(p["v"].to_numpy()).astype(float))
-        d = 1.0 - unit(a) @ unit(b).T
+        d = np.round(1.0 - unit(a) @ unit(b).T, 12)
         k = d.argmin(axis=1)
         return pd.DataFrame({"id": a["id"].to_numpy(), "day": a["day"].to_numpy(), "distance": d[np.arange(len(a)), k], "target": b["id"].to_numpy()[k], "target_day": b["day"].to_numpy()[k]})
 
@@ -215,6 +220,30 @@ def nearest(queries: DataFrame, targets: DataFrame, farthest: float = 0.35, days
     return one.select("id", "m.*").filter((F.col("distance") <= farthest) & (F.abs(F.col("day") - F.col("target_day")) <= days)).select("id", "target", "distance")
 
 
+def attach(batch: DataFrame, existing: DataFrame, today: int, farthest: float = 0.35, days: int = 3, fresh: int = 30) -> DataFrame:
+    """Events after a batch of new ones: (event_id, members, source_count, state).
+
+    batch: event_id, vector, day, members (structs of article_id, source); existing: also
+    last_seen and updated (day numbers). A new event whose nearest existing one is near enough
+    gives that one the members it has not got yet, so a batch that comes twice changes nothing;
+    other new events are appended. state: grown, same or new.
+    """
+    batch = batch.select("event_id", "vector", "day", "members")
+    asked = batch.select(F.col("event_id").alias("id"), "vector", "day")
+    known = existing.select(F.col("event_id").alias("id"), "vector", F.col("last_seen").alias("day"), "updated")
+    found = materialize(nearest(asked.filter("vector is not null and day is not null"), known.filter("vector is not null and day is not null"), farthest, days, today, fresh), "attached")
+    arriving = found.join(batch, F.col("id") == F.col("event_id")).select("target", F.explode("members").alias("m")).dropDuplicates(["target", "m"])
+    more = arriving.groupBy("target").agg(F.sort_array(F.collect_list("m")).alias("_more"))
+    grown = existing.join(more, F.col("event_id") == F.col("target"), "left")
+    have = F.transform("members", lambda m: m["article_id"])
+    added = F.filter(F.coalesce("_more", F.slice("members", 1, 0)), lambda m: ~F.array_contains(have, m["article_id"]))
+    grown = grown.withColumn("_added", added).withColumn("state", F.when(F.size("_added") > 0, "grown").otherwise("same"))
+    grown = grown.select("event_id", F.concat("members", "_added").alias("members"), "state")
+    new = batch.join(found.select(F.col("id").alias("event_id")), "event_id", "left_anti").join(existing.select("event_id"), "event_id", "left_anti").select("event_id", "members", F.lit("new").alias("state"))
+    sources = F.size(F.array_distinct(F.transform("members", lambda m: m["source"])))
+    return grown.unionByName(new).select("event_id", "members", sources.alias("source_count"), "state")
+
+
 def centroids(members: DataFrame) -> DataFrame:
     """(event, centroid): normalised mean vector of each event's members (event, vector)."""
     each = members.select("event", F.posexplode(F.col("vector").cast("array<double>")).alias("p", "x")).groupBy("event", "p").agg(F.avg("x").alias("x"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,15 +114,29 @@ def reason_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.filter(F.col(reason).isNotNull()).groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 
 
-def block_page(pages: DataFrame, pattern: str = r"(?i)captcha|access denied|cloudflare|verify you are human") -> DataFrame:
-    """Whether a batch of texts looks like a block page: half of them match, or their first 200
-    characters are nearly all alike."""
-    rows = pages.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike(pattern)).alias("hits"), F.countDistinct(F.substring("text", 1, 200)).alias("leads")
-    )
-    ratio = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("n")), F.lit(0.0))
-    alike = (F.col("n") >= 3) & (F.col("leads") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
-    return rows.select("n", "hits", "leads", ((ratio >= 0.5) | alike).alias("blocked"))
+# What block and error pages say.
+BLOCK_PAGES = (
+    r"\baccess denied\b", r"\brequest (?:was )?blocked\b", r"\battention required\b", r"\bverify (?:that )?you are human\b", r"\bchecking your browser\b",
+    r"\bjust a moment\b", r"\benable (?:java\s*script|javascript|cookies?)\b", r"\bcloudflare\b", r"\b(?:404 not found|error 50\d|service unavailable)\b",
+    "拒絕存取", "請確認您不是機器人", "請稍候", "服務暫時無法使用",
+)
+LEAD, LOOKED_AT = 200, 800
+
+
+def block_page(items: DataFrame, by: list[str], patterns: Sequence[str] = BLOCK_PAGES) -> DataFrame:
+    """A verdict for each batch of items (by its columns): block if half of them look like a block
+    page in their title and the beginning of their content, or if, of three items and more, the
+    beginnings of the contents are nearly all alike; else content.
+
+    items: title, content and the columns of by. Blank contents have no beginning.
+    """
+    content = F.coalesce("content", F.lit(""))
+    seen = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(content, 1, LOOKED_AT))
+    lead = F.when(text.strip(content) != "", F.substring(content, 1, LEAD))
+    rows = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(seen.rlike("(?is)" + "|".join(patterns))).alias("hits"), F.countDistinct(lead).alias("leads"))
+    ratio = F.col("hits") / F.col("n")
+    alike = (F.col("n") >= 3) & (F.col("leads") > 0) & (F.col("leads") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
+    return rows.select(*by, "n", F.when((ratio >= 0.5) | alike, "block").otherwise("content").alias("verdict"), F.round(ratio, 2).alias("block_ratio"), alike.alias("near_identical"))
 
 
 def advance(articles: DataFrame, ids: DataFrame, before: str, after: str, on: str = "article_id") -> DataFrame:

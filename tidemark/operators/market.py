@@ -9,11 +9,13 @@ MONEY = 1e8  # unit of turnover
 
 
 def _slice(bars: DataFrame, days: int = 20, day: str | None = None) -> DataFrame:
-    """Bars of the `days` calendar days up to the latest day (or up to `day`), with that day."""
-    if day is not None:
-        return bars.filter(F.col("date").between(F.date_sub(F.lit(day).cast("date"), days - 1), F.lit(day).cast("date"))).withColumn("_d", F.lit(day).cast("date"))
-    latest = F.broadcast(bars.agg(F.max("date").alias("_d")))
-    return bars.join(latest, (F.col("date") <= F.col("_d")) & (F.col("date") > F.date_sub("_d", days)))
+    """Bars of the `days` calendar days up to the latest day (or up to `day`), with that day.
+
+    The latest day is fetched first: as a literal it reaches the scan as a filter.
+    """
+    last = day if day is not None else bars.agg(F.max("date").cast("string")).first()[0]
+    end = F.lit(last).cast("date")
+    return bars.filter(F.col("date").between(F.date_sub(end, days - 1), end)).withColumn("_d", end)
 
 
 def day_changes(bars: DataFrame, day: str | None = None) -> DataFrame:

@@ -41,13 +41,25 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def ledger_summary(rows: DataFrame) -> DataFrame:
-    """Over the latest row a key: success and first-pass rates, mean retries of successes; tokens
-    are of all rows. rows: key, seq, ok, retries, tokens."""
-    last = latest(rows, ["key"], "seq")
-    a = last.agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.round(F.avg(F.col("ok").cast("double")), 6).alias("success_rate"),
-        F.round(F.avg((F.col("ok") & (F.col("retries") == 0)).cast("double")), 6).alias("first_pass_rate"),
-        F.round(F.avg(F.when(F.col("ok"), F.col("retries").cast("double"))), 6).alias("mean_retries"),
+    """One row over a ledger of runs: the latest run of a site is the site's state, tokens and
+    runs_total are of all runs.
+
+    rows: source_prefix, site_name, seq, status, retry_count, repair_count, first_pass_success,
+    coder_tokens. A site is known by its prefix, else its name, else '?'. Runs that do not say
+    whether they passed at first did if they had no retry; repairs are else retries.
+    """
+    key = F.coalesce(F.nullif("source_prefix", F.lit("")), "site_name", F.lit("?"))
+    last = latest(rows.withColumn("_key", key), ["_key"], "seq")
+    good = F.col("status") == "success"
+    sites = last.agg(
+        F.count(F.lit(1)).alias("sites_distinct"),
+        F.count_if(good).alias("success"),
+        F.round(F.avg(F.coalesce(good, F.lit(False)).cast("double")), 4).alias("success_rate"),
+        F.count_if(F.col("status") == "escalated").alias("escalated"),
+        F.count_if(F.col("status") == "error").alias("error"),
+        F.round(F.avg(F.when(good, F.col("retry_count"))), 2).alias("avg_retries_on_success"),
+        F.count_if(F.coalesce("first_pass_success", F.col("retry_count") == 0)).alias("first_try_success"),
+        F.coalesce(F.sum(F.coalesce("repair_count", "retry_count")), F.lit(0)).alias("repairs_total"),
     )
-    return a.crossJoin(rows.agg(F.sum("tokens").alias("tokens")))
+    sites = sites.withColumn("first_pass_rate", F.round(F.try_divide(F.col("first_try_success").cast("double"), F.col("sites_distinct")), 4))
+    return sites.crossJoin(rows.agg(F.count(F.lit(1)).alias("runs_total"), F.coalesce(F.sum("coder_tokens"), F.lit(0)).alias("coder_tokens_total")))

@@ -81,24 +81,35 @@ def timeline(entities: DataFrame, days: int = 60, n: int = 6) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("anchor_id", "event_id", "occurred", (F.col("event_id") == F.col("anchor_id")).alias("is_current"))
 
 
+def _numbered(bars: DataFrame, anchors: DataFrame, same_day: bool) -> tuple[DataFrame, DataFrame]:
+    """Bars with `_n`, their number in their ticker's order of dates, and anchors with `_at`, the
+    number of bars before their day, or up to it. Both are one window by ticker: no anchor meets
+    a bar that it does not want."""
+    rows = bars.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    each = anchors.select("ticker", F.col("day").alias("_day"), F.lit(None).cast("int").alias("_n"), F.struct(*anchors.columns).alias("_a"))
+    marks = rows.select("ticker", F.col("date").alias("_day"), "_n", F.lit(None).cast(each.schema["_a"].dataType).alias("_a"))
+    order = Window.partitionBy("ticker").orderBy("_day", F.col("_a").isNotNull() if same_day else F.col("_a").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(each).withColumn("_at", F.coalesce(F.last("_n", True).over(order), F.lit(0))).filter("_a is not null")
+    return rows, placed.select("_a.*", "_at")
+
+
 def around(bars: DataFrame, anchors: DataFrame, before: int = 6, after: int = 5) -> DataFrame:
     """(id, date, close, place): the last bars up to an anchor's day and the first ones after it.
 
-    place counts from 0 at the anchor bar. anchors: id, ticker, day.
+    place counts from 0 at the anchor bar. anchors: id, ticker, day; bars: one a ticker and date.
+    An equality join on ticker and number: an anchor looks up before + after bars.
     """
-    joined = anchors.join(bars.select("ticker", "date", "close"), "ticker")
-    up = Window.partitionBy("id").orderBy(F.desc("date"))
-    down = Window.partitionBy("id").orderBy("date")
-    past = joined.filter(F.col("date") <= F.col("day")).withColumn("r", F.row_number().over(up)).filter(F.col("r") <= before).withColumn("place", 1 - F.col("r"))
-    future = joined.filter(F.col("date") > F.col("day")).withColumn("r", F.row_number().over(down)).filter(F.col("r") <= after).withColumn("place", F.col("r"))
-    return past.unionByName(future).select("id", "date", "close", "place")
+    rows, placed = _numbered(bars.select("ticker", "date", "close"), anchors.select("id", "ticker", "day"), True)
+    wanted = placed.withColumn("_n", F.explode(F.sequence(F.col("_at") - before + 1, F.col("_at") + after)))
+    return wanted.join(rows, ["ticker", "_n"]).select("id", "date", "close", (F.col("_n") - F.col("_at")).alias("place"))
 
 
 def first_on_or_after(bars: DataFrame, anchors: DataFrame, rows: int = 6) -> DataFrame:
-    """Bars of an anchor from its first trading day on or after `day`, with a positive close."""
-    joined = anchors.join(bars.filter("close > 0"), "ticker").filter(F.col("date") >= F.col("day"))
-    n = F.row_number().over(Window.partitionBy("id").orderBy("date"))
-    return joined.withColumn("n", n).filter(F.col("n") <= rows)
+    """Bars of an anchor from its first trading day on or after `day`, with a positive close;
+    n counts them from 1. Anchors without such a bar have no row."""
+    numbered, placed = _numbered(bars.filter("close > 0"), anchors, False)
+    wanted = placed.withColumn("_n", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + rows)))
+    return wanted.join(numbered, ["ticker", "_n"]).withColumn("n", F.col("_n") - F.col("_at")).drop("_n", "_at")
 
 
 def catalogue_days(entities: DataFrame, n: int = 30) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_same_title(events: DataFrame, days: int = 3) -> DataFrame:
-    """(event_id, keeper): events of one title within `days` go to the first summarised of them,
-    else to the first id. events: event_id, title_key, at, summarised."""
-    g = Window.partitionBy("title_key")
-    marked = events.filter("title_key is not null").withColumn("_n", F.count(F.lit(1)).over(g)).withColumn("_span", F.max("at").over(g) - F.min("at").over(g))
-    keeper = F.min(F.struct((~F.col("summarised")).alias("x"), F.col("event_id").alias("id"))).over(g)["id"]
-    return marked.withColumn("keeper", keeper).filter((F.col("_n") > 1) & (F.col("_span") <= days * 86400)).select("event_id", "keeper")
+def merge_same_title(events: DataFrame, articles: DataFrame, days: int = 3) -> DataFrame:
+    """(event_id, keeper): events of one title go to the first of them that has a summary title,
+    else to the first id, if their articles lie within `days` whole days of each other.
+
+    events: event_id, representative_title, title; articles: event_id, at (seconds). Events
+    without any dated article do not merge, nor do those without a representative title.
+    """
+    times = articles.groupBy("event_id").agg(F.min("at").alias("_from"), F.max("at").alias("_to"))
+    rows = events.filter("representative_title is not null").join(times, "event_id", "left")
+    keeper = F.min(F.struct(F.col("title").isNull().alias("x"), F.col("event_id").alias("id")))["id"].alias("keeper")
+    span = F.floor((F.max("_to") - F.min("_from")) / 86400).alias("span")
+    groups = rows.groupBy("representative_title").agg(F.count(F.lit(1)).alias("n"), keeper, span).filter((F.col("n") > 1) & (F.col("span") <= days))
+    return events.select("event_id", "representative_title").join(groups, "representative_title").select("event_id", "keeper")
 
 
 def dissolve(articles: DataFrame, pattern: str, share: float = 0.8) -> DataFrame:
@@ -22,9 +28,26 @@ def dissolve(articles: DataFrame, pattern: str, share: float = 0.8) -> DataFrame
 
 
 def rebuild_members(entities: DataFrame, articles: DataFrame) -> DataFrame:
-    """Members and distinct sources of each event from the articles that point to it."""
-    m = articles.groupBy("event_id").agg(F.array_sort(F.collect_set("article_id")).alias("members"), F.countDistinct("source").alias("sources"))
-    return entities.select("event_id").join(m, "event_id", "left").select("event_id", F.coalesce("members", F.array().cast("array<string>")).alias("members"), F.coalesce("sources", F.lit(0)).alias("sources"))
+    """(event_id, members, source_count, added) of the events that have more articles than members.
+
+    entities: event_id, members (structs of article_id, source, title, url, has_unique_detail);
+    articles: event_id, article_id, source, title, url. A member that the articles confirm keeps
+    its entry, missing ones are added and marked restored, others go. Events with nothing to add
+    are not returned.
+    """
+    old = entities.select("event_id", F.size(F.coalesce("members", F.array())).alias("_had"), F.explode_outer("members").alias("_m"))
+    known = old.select("event_id", F.col("_m.article_id").alias("article_id"), "_m").filter("article_id is not null")
+    had = old.select("event_id", F.greatest("_had", F.lit(0)).alias("_had")).distinct()
+    mine = articles.select("event_id", "article_id", *[F.col(c).alias(f"_{c}") for c in ("source", "title", "url")])
+    rows = mine.join(had, "event_id").join(known, ["event_id", "article_id"], "left")
+    fresh = F.col("_m").isNull()
+    text_of = lambda c: F.when(fresh, F.coalesce(f"_{c}", F.lit(""))).otherwise(F.col(f"_m.{c}")).alias(c)
+    source = F.when(fresh, F.col("_source")).otherwise(F.col("_m.source"))
+    entry = F.struct("article_id", source.alias("source"), text_of("title"), text_of("url"), F.coalesce("_m.has_unique_detail", F.lit(False)).alias("has_unique_detail"), fresh.alias("restored"))
+    built = rows.groupBy("event_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("members"), F.countDistinct(source).alias("source_count"), F.count_if(fresh).alias("added"), F.count(F.lit(1)).alias("_n"), F.max("_had").alias("_had")
+    )
+    return built.filter((F.col("_n") > F.col("_had")) & (F.col("added") > 0)).drop("_n", "_had")
 
 
 def audit(entities: DataFrame, tickers: DataFrame, checks: dict[str, tuple[Column, float]]) -> DataFrame:

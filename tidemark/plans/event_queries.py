@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators import bars, gates, serving
+from tidemark.operators import bars, gates, serving, validation
 from tidemark.plans.book import Book, Tables
 from tidemark.plans.market_queries import _DERIVED
 
@@ -66,6 +66,7 @@ def q_A06_heat_sources(t: Tables) -> DataFrame:
     return gates.heat_sources(t.articles)
 
 
+_COMMON = "regexp_full_match(tickers[1], '[1-9][0-9]{3}')"
 _SIGNALS = """
 anc AS (SELECT event_id AS id, tickers[1] AS ticker, expected_direction AS direction, confidence, DATE '1995-03-01' + ((k * 17) % 2200)::INT AS day FROM entities WHERE regexp_full_match(tickers[1], '[1-9][0-9]{3}')),
 j AS (SELECT anc.*, c.* EXCLUDE (ticker), row_number() OVER (PARTITION BY id ORDER BY date) AS n FROM anc JOIN chips c ON anc.ticker = c.ticker AND c.date >= anc.day AND c.close > 0),
@@ -80,23 +81,16 @@ sc AS (SELECT *, round_even(round(CASE WHEN raw > 85 THEN 85 + (raw - 85) * 0.3
 """
 
 
-@book.query(f"""WITH {_DERIVED}, {_SIGNALS} SELECT id AS event_id, coalesce((CASE WHEN direction = '中性' OR confidence = 'low' THEN NULL WHEN si <> 0 AND sp <> 0 AND si = -sp THEN least(greatest(whole, 40), 55) ELSE least(greatest(whole, 0), 100) END)::INT, -1) AS score,
-  CASE WHEN kk >= 5 THEN 'verified' WHEN kk >= 1 THEN 'preliminary' ELSE 'observing' END AS state, si <> 0 AND sp <> 0 AND si = -sp AS divergence FROM sc""")
+@book.query(f"""WITH {_DERIVED}, {_SIGNALS}, seen AS (SELECT id AS event_id, coalesce((CASE WHEN direction = '中性' OR confidence = 'low' THEN NULL WHEN si <> 0 AND sp <> 0 AND si = -sp THEN least(greatest(whole, 40), 55) ELSE least(greatest(whole, 0), 100) END)::INT, -1) AS score,
+  CASE WHEN kk >= 5 THEN 'verified' WHEN kk >= 1 THEN 'preliminary' ELSE 'observing' END AS state, si <> 0 AND sp <> 0 AND si = -sp AS divergence FROM sc)
+SELECT event_id, coalesce(score, -1) AS score, coalesce(state, 'observing') AS state, coalesce(divergence, false) AS divergence
+FROM entities LEFT JOIN seen USING (event_id) WHERE {_COMMON}""")
 def q_M12_validation(t: Tables) -> DataFrame:
     day = F.date_add(F.lit("1995-03-01").cast("date"), ((F.col("k") * 17) % 2200).cast("int"))
     anchors = t.entities.select(F.col("event_id").alias("id"), F.get("tickers", F.lit(0)).alias("ticker"), F.col("expected_direction").alias("direction"), "confidence", day.alias("day")).filter(bars.is_common_stock(F.col("ticker")))
-    rows = serving.first_on_or_after(bars.derive(t.bars), anchors)
-    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    w = rows.groupBy("id").agg(
-        F.max("direction").alias("direction"), F.max("confidence").alias("confidence"), F.avg("net_vs_avg20_volume_pct").alias("mean_pct"), F.max_by("foreign_consecutive_days", "date").alias("cons"),
-        F.max("volume_ratio_vs_avg20").alias("ratio"), *[first(f"return_{k}d").alias(f"r{k}") for k in (1, 3, 5)], first("sigma_20d").alias("sigma"),
-    )
-    i_sign, i_str = scoring.institution_signal(F.col("mean_pct"), F.col("cons"))
-    p_sign, p_str, k = scoring.price_signal(F.col("r1"), F.col("r3"), F.col("r5"), F.col("sigma"))
-    w = w.select("*", i_sign.alias("i_sign"), i_str.alias("i_str"), p_sign.alias("p_sign"), p_str.alias("p_str"), k.alias("k"), scoring.volume_amplifier(F.col("ratio")).alias("amp"))
-    score = scoring.validation(F.col("i_sign"), F.col("i_str"), F.col("p_sign"), F.col("p_str"), F.col("amp"), F.col("direction"), F.col("confidence"))
-    opposed = (F.col("i_sign") != 0) & (F.col("p_sign") != 0) & (F.col("i_sign") == -F.col("p_sign"))
-    return w.select(F.col("id").alias("event_id"), F.coalesce(score, F.lit(-1)).alias("score"), scoring.verify_state(F.col("k")).alias("state"), opposed.alias("divergence"))
+    found = validation.market_validation(bars.derive(t.bars), anchors)
+    return found.select(F.col("id").alias("event_id"), F.coalesce("score", F.lit(-1)).alias("score"), "state", "divergence")
+
 
 
 @book.query("""SELECT event_id, CASE WHEN market_validation >= 80 THEN 'strong' WHEN market_validation >= 60 THEN 'supportive' WHEN market_validation >= 45 THEN 'neutral' WHEN market_validation >= 20 THEN 'weak' ELSE 'contrary' END AS band,
@@ -259,9 +253,19 @@ def q_Q04_funnel(t: Tables) -> DataFrame:
     return gates.funnel(t.articles, problems)
 
 
-@book.query("SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(html, '(?i)captcha|access denied|cloudflare|verify you are human')) AS hits, count(DISTINCT substr(html, 1, 200)) AS leads, false AS blocked FROM pages")
+_BLOCKED = "|".join(gates.BLOCK_PAGES).replace("'", "''")
+_ITEMS = "SELECT source, CASE WHEN source IN ('src1', 'src2') AND n % 2 = 0 THEN 'Just a Moment...' ELSE title END AS title, CASE WHEN source = 'src4' THEN 'Service' || chr(10) || 'Unavailable' WHEN source = 'src6' THEN ' ' ELSE content END AS content FROM articles"
+
+
+@book.query(rf"""WITH i AS ({_ITEMS}), r AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(coalesce(title, '') || ' ' || substr(coalesce(content, ''), 1, 800), '{_BLOCKED}', 'is')) AS hits,
+  count(DISTINCT substr(content, 1, 200)) FILTER (WHERE trim(content) <> '') AS leads FROM i GROUP BY source),
+a AS (SELECT *, n >= 3 AND leads > 0 AND leads <= greatest(1, n // 5) AS near_identical FROM r)
+SELECT source, n, CASE WHEN hits / n >= 0.5 OR near_identical THEN 'block' ELSE 'content' END AS verdict, round(hits / n, 2) AS block_ratio, near_identical FROM a""")
 def q_Q05_block_page(t: Tables) -> DataFrame:
-    return gates.block_page(t.pages.select(F.col("html").alias("text")))
+    blocked = F.col("source").isin("src1", "src2") & (F.col("n") % 2 == 0)
+    content = F.when(F.col("source") == "src4", "Service\nUnavailable").when(F.col("source") == "src6", " ").otherwise(F.col("content"))
+    items = t.articles.select("source", F.when(blocked, "Just a Moment...").otherwise(F.col("title")).alias("title"), content.alias("content"))
+    return gates.block_page(items, ["source"])
 
 
 @book.query("SELECT article_id, CASE WHEN stage = 'clustered' AND n % 3 = 0 THEN 'summarized' ELSE stage END AS stage FROM articles")

@@ -32,10 +32,22 @@ def q_W14_latest(t: Tables) -> DataFrame:
     return merge.latest(t.events, ["user_id"], "event_id").select("user_id", "event_id", "event_type")
 
 
-@book.query("""WITH r AS (SELECT user_id AS key, event_id AS seq, event_id % 3 <> 0 AS ok, event_id % 4 AS retries, event_id % 100 AS tokens FROM events), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
-SELECT count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg((ok AND retries = 0)::INT), 6) AS first_pass_rate, round(avg(retries) FILTER (WHERE ok), 6) AS mean_retries, (SELECT sum(tokens)::BIGINT FROM r) AS tokens FROM l""")
+_RUNS = """SELECT event_id AS seq, CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'p' || CAST(user_id AS VARCHAR) END AS source_prefix, CASE WHEN user_id % 7 = 1 THEN NULL ELSE 's' || CAST(user_id AS VARCHAR) END AS site_name,
+  CASE event_id % 5 WHEN 0 THEN 'escalated' WHEN 1 THEN 'error' ELSE 'success' END AS status, CASE WHEN event_id % 6 = 5 THEN NULL ELSE event_id % 3 END AS retry_count, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 8 END AS repair_count,
+  CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS first_pass_success, CASE WHEN event_id % 9 = 8 THEN NULL ELSE event_id % 100 END AS coder_tokens FROM events"""
+
+
+@book.query(f"""WITH r AS ({_RUNS}), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(source_prefix, ''), site_name, '?') ORDER BY seq DESC) = 1)
+SELECT count(*) AS sites_distinct, count(*) FILTER (WHERE status = 'success') AS success, round(count(*) FILTER (WHERE status = 'success') / count(*), 4) AS success_rate, count(*) FILTER (WHERE status = 'escalated') AS escalated, count(*) FILTER (WHERE status = 'error') AS error,
+  round(avg(retry_count) FILTER (WHERE status = 'success'), 2) AS avg_retries_on_success, count(*) FILTER (WHERE CASE WHEN first_pass_success IS NOT NULL THEN first_pass_success ELSE retry_count = 0 END) AS first_try_success,
+  round(count(*) FILTER (WHERE CASE WHEN first_pass_success IS NOT NULL THEN first_pass_success ELSE retry_count = 0 END) / count(*), 4) AS first_pass_rate, sum(coalesce(repair_count, retry_count, 0))::BIGINT AS repairs_total, (SELECT count(*) FROM r) AS runs_total, (SELECT sum(coalesce(coder_tokens, 0))::BIGINT FROM r) AS coder_tokens_total FROM l""")
 def q_A19_ledger(t: Tables) -> DataFrame:
-    rows = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 3 != 0).alias("ok"), (F.col("event_id") % 4).alias("retries"), (F.col("event_id") % 100).alias("tokens"))
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = t.events.select(
+        e.alias("seq"), F.when(u % 5 == 0, "").when(u % 5 != 1, F.concat(F.lit("p"), u)).alias("source_prefix"), F.when(u % 7 != 1, F.concat(F.lit("s"), u)).alias("site_name"),
+        F.when(e % 5 == 0, "escalated").when(e % 5 == 1, "error").otherwise("success").alias("status"), F.when(e % 6 != 5, e % 3).alias("retry_count"), F.when(e % 4 != 3, e % 8).alias("repair_count"),
+        F.when(e % 3 != 0, e % 3 == 1).alias("first_pass_success"), F.when(e % 9 != 8, e % 100).alias("coder_tokens"),
+    )
     return merge.ledger_summary(rows)
 
 
@@ -45,15 +57,16 @@ def q_A25_tables(t: Tables) -> DataFrame:
     return row(t.articles, "articles", F.max("published")).unionByName(row(t.entities, "entities", F.max("occurred"))).unionByName(row(t.bars.filter("volume > 0"), "bars", F.lit(-1)))
 
 
-_TITLES = "SELECT event_id, min(title) AS title_key, min(published) AS t0, count(*) FILTER (WHERE stage IN ('summarized', 'scored')) > 1 AS summarised FROM articles GROUP BY event_id"
+_STORIES = "SELECT event_id, 'story ' || CAST(k // 8 AS VARCHAR) || CASE WHEN k % 8 = 7 THEN 'b' ELSE '' END AS representative_title, title FROM entities"
 
 
-@book.query(f"""WITH e AS ({_TITLES}), m AS (SELECT *, count(*) OVER g AS n, max(t0) OVER g - min(t0) OVER g AS span, first_value(event_id) OVER (PARTITION BY title_key ORDER BY summarised DESC, event_id) AS keeper FROM e WINDOW g AS (PARTITION BY title_key))
-SELECT event_id, keeper FROM m WHERE n > 1 AND span <= 30 * 86400""")
+@book.query(f"""WITH e AS ({_STORIES}), s AS (SELECT representative_title, floor((max(published) - min(published)) / 86400) AS span FROM e JOIN articles USING (event_id) GROUP BY 1),
+g AS (SELECT representative_title, coalesce(min(event_id) FILTER (WHERE title IS NOT NULL), min(event_id)) AS keeper FROM e GROUP BY 1 HAVING count(*) > 1)
+SELECT event_id, keeper FROM e JOIN g USING (representative_title) JOIN s USING (representative_title) WHERE span <= 3""")
 def q_CL10_merge_titles(t: Tables) -> DataFrame:
-    done = F.count_if(F.col("stage").isin("summarized", "scored")) > 1
-    e = t.articles.groupBy("event_id").agg(F.min("title").alias("title_key"), F.min("published").alias("at"), done.alias("summarised"))
-    return upkeep.merge_same_title(e, 30)
+    k = F.col("k")
+    story = F.concat(F.lit("story "), F.floor(k / 8), F.when(k % 8 == 7, "b").otherwise(""))
+    return upkeep.merge_same_title(t.entities.select("event_id", story.alias("representative_title"), "title"), t.articles.select("event_id", F.col("published").alias("at")))
 
 
 @book.query("SELECT event_id, count(*) AS n FROM articles GROUP BY event_id HAVING avg(regexp_matches(title, '[Tt]h')::INT) >= 0.8")
@@ -61,10 +74,18 @@ def q_CL11_dissolve(t: Tables) -> DataFrame:
     return upkeep.dissolve(t.articles, "[Tt]h")
 
 
-@book.query("SELECT e.event_id, string_agg(DISTINCT article_id, ',' ORDER BY article_id) AS members, count(DISTINCT a.source) AS sources FROM entities e LEFT JOIN articles a ON e.event_id = a.event_id GROUP BY e.event_id")
+@book.query("""WITH m AS (SELECT event_id, article_id, 'kept' AS source, n % 5 = 0 AS u FROM articles WHERE n % 3 <> 0 UNION ALL SELECT event_id, 'gone_' || event_id, 'gone', false FROM entities WHERE k % 6 = 0),
+c AS (SELECT event_id, count(*) AS had FROM m GROUP BY 1),
+j AS (SELECT a.event_id, a.article_id, m.event_id IS NULL AS fresh, CASE WHEN m.event_id IS NULL THEN a.source ELSE m.source END AS source, coalesce(m.u, false) AS u FROM articles a LEFT JOIN m ON a.event_id = m.event_id AND a.article_id = m.article_id)
+SELECT event_id, string_agg(article_id || ':' || source || ':' || u::VARCHAR || ':' || fresh::VARCHAR, ',' ORDER BY article_id) AS members, count(DISTINCT source) AS source_count, count(*) FILTER (WHERE fresh) AS added
+FROM j GROUP BY event_id HAVING count(*) FILTER (WHERE fresh) > 0 AND count(*) > (SELECT coalesce(max(had), 0) FROM c WHERE c.event_id = j.event_id)""")
 def q_CL12_rebuild_members(t: Tables) -> DataFrame:
-    r = upkeep.rebuild_members(t.entities, t.articles)
-    return r.select("event_id", F.array_join("members", ",").alias("members"), "sources")
+    old = t.articles.filter("n % 3 <> 0").select("event_id", "article_id", F.lit("kept").alias("source"), "title", "url", (F.col("n") % 5 == 0).alias("has_unique_detail"))
+    gone = t.entities.filter("k % 6 = 0").select("event_id", F.concat(F.lit("gone_"), "event_id").alias("article_id"), F.lit("gone").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"), F.lit(False).alias("has_unique_detail"))
+    members = old.unionByName(gone).groupBy("event_id").agg(F.collect_list(F.struct("article_id", "source", "title", "url", "has_unique_detail")).alias("members"))
+    r = upkeep.rebuild_members(t.entities.select("event_id").join(members, "event_id", "left"), t.articles)
+    entry = F.transform("members", lambda m: F.concat_ws(":", m["article_id"], m["source"], m["has_unique_detail"].cast("string"), m["restored"].cast("string")))
+    return r.select("event_id", F.array_join(entry, ",").alias("members"), "source_count", "added")
 
 
 @book.query("""WITH s AS (SELECT count(*) AS t, count(*) FILTER (WHERE length(title) > 25) AS a, count(*) FILTER (WHERE expected_direction = '中性') AS b, count(*) FILTER (WHERE len(tickers) > 2) AS c FROM entities WHERE title IS NOT NULL)
@@ -169,18 +190,45 @@ def q_M18_similar_pairs(t: Tables) -> DataFrame:
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@book.query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 50 <> 0),
-d AS (SELECT q.vec_id AS id, t.vec_id AS target, 1 - list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS d FROM q, t) SELECT id, target, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, target) = 1""")
+_NEAR = """WITH v AS (SELECT *, vec_id % 9 AS day, vec_id % 61 AS updated FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), t AS (SELECT * FROM v WHERE vec_id % 25 <> 0 AND updated > 60 - 30),
+d AS (SELECT q.vec_id AS id, t.vec_id AS target, abs(q.day - t.day) AS days, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 12) AS d FROM q, t),
+n AS (SELECT id, target, d FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, target) = 1) WHERE d <= 0.7 AND days <= 3)"""
+
+
+def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """New and existing events: the ids divisible by 50 stand in both."""
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 9).alias("day"), (F.col("vec_id") % 61).alias("updated"))
+    return v.filter("id % 50 = 0"), v.filter("id % 50 = 0 or id % 25 <> 0")
+
+
+@book.query(_NEAR + "SELECT id, target, round(d, 6) AS distance FROM n")
 def q_J13_nearest(t: Tables) -> DataFrame:
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0).cast("long").alias("day"))
-    found = cluster.nearest(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0"), farthest=2.0)
+    found = cluster.nearest(*_vectors(t), farthest=0.7, days=3, today=60, fresh=30)
     return found.select("id", "target", F.round("distance", 6).alias("distance"))
 
 
-@book.query("SELECT label AS event, p AS place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) GROUP BY 1, 2")
-def q_A23_means(t: Tables) -> DataFrame:
-    each = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
-    return each.groupBy(F.col("label").alias("event"), F.col("place").cast("long").alias("place")).agg(F.round(F.avg("x"), 6).alias("mean"))
+@book.query(_NEAR + """, m AS (SELECT vec_id AS event_id, unnest([vec_id * 10, vec_id * 10 + 1 + (vec_id % 50 = 0)::INT]) AS article_id, 's' || CAST((unnest([vec_id, vec_id + 1])) % 3 AS VARCHAR) AS source FROM v),
+e AS (SELECT vec_id AS event_id FROM v WHERE vec_id % 25 <> 0),
+g AS (SELECT event_id, article_id, source, 0 AS added FROM m JOIN e USING (event_id) UNION SELECT target, article_id, source, 1 FROM n JOIN m ON m.event_id = n.id),
+w AS (SELECT event_id, article_id, source, 2 AS added FROM m WHERE event_id % 50 = 0 AND event_id NOT IN (SELECT id FROM n))
+SELECT event_id, string_agg(article_id, ',' ORDER BY article_id) AS members, count(DISTINCT source) AS source_count, CASE max(added) WHEN 0 THEN 'same' WHEN 1 THEN 'grown' ELSE 'new' END AS state FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY event_id""")
+def q_J19_CL09_attach(t: Tables) -> DataFrame:
+    batch, existing = (x.withColumn("event_id", F.col("id")) for x in _vectors(t))
+    second = F.col("id") * 10 + 1 + (F.col("id") % 50 == 0).cast("int")
+    member = lambda article, k: F.struct(article.alias("article_id"), F.concat(F.lit("s"), (F.col("id") + k) % 3).alias("source"))
+    listed = F.array(member(F.col("id") * 10, 0), member(second, 1))
+    known = existing.filter("id % 25 <> 0").withColumn("members", listed).withColumnRenamed("day", "last_seen")
+    got = cluster.attach(batch.withColumn("members", listed), known, today=60, farthest=0.7)
+    ids = F.transform(F.array_sort(F.transform("members", lambda m: m["article_id"])), lambda x: x.cast("string"))
+    return got.select("event_id", F.array_join(ids, ",").alias("members"), F.col("source_count").cast("long").alias("source_count"), "state")
+
+
+@book.query("""WITH m AS (SELECT label AS event, p AS place, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) GROUP BY 1, 2)
+SELECT event, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY event)), 6) AS x FROM m""")
+def q_A23_centroids(t: Tables) -> DataFrame:
+    found = cluster.centroids(t.embeddings.select(F.col("label").alias("event"), F.col("embedding").alias("vector")))
+    each = found.select("event", F.posexplode("centroid").alias("place", "x"))
+    return each.select("event", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 @book.query()
@@ -220,9 +268,23 @@ def q_X16_verified(t: Tables) -> DataFrame:
     return tagging.verified(t.entities, t.tickers, corpora).select("event_id", F.array_join("tickers", ",").alias("tickers"))
 
 
-@book.query()
+@book.query(r"""WITH s AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(script|style)[ >].*?</(script|style)>', ' ', 'g') AS h FROM pages),
+a AS (SELECT page_id, origin, regexp_extract_all(h, '(?s)<a href="([^"]*)">[^<]*</a>', 1) AS href, regexp_extract_all(h, '(?s)<a href="[^"]*">([^<]*)</a>', 1) AS text FROM s)
+SELECT page_id, least(len(href), 40) AS links, md5(array_to_string(list_transform(href[1:40], lambda x: origin || x), ' ')) AS addresses, md5(array_to_string(list_transform(text[1:40], lambda x: trim(x)), ' ')) AS texts, NULL::VARCHAR AS canonical FROM a""")
 def q_SRC11_links(t: Tables) -> DataFrame:
     from tidemark.sources import markup
 
     e = markup.page_links(t.pages)
-    return e.select("page_id", F.size("evidence.links").cast("long").alias("links"), "evidence.canonical")
+    joined = lambda c: F.md5(F.array_join(F.transform("evidence.links", lambda x: x[c]), " ").cast("binary"))
+    return e.select("page_id", F.size("evidence.links").cast("long").alias("links"), joined("url").alias("addresses"), joined("text").alias("texts"), "evidence.canonical")
+
+
+@book.query("SELECT article_id, n, trim(title) AS title, url, published AS published_at FROM articles WHERE trim(title) <> ''")
+def q_SRC10_feed(t: Tables) -> DataFrame:
+    from tidemark.sources import markup
+
+    plain = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>"), plain("title"), F.lit("</title><link>"), F.col("url"), F.lit("</link><pubDate>"), F.col("published"), F.lit("</pubDate><guid>"), F.col("article_id"), F.lit("</guid></item>"))
+    feeds = t.articles.groupBy(F.floor(F.col("n") / 16).alias("f")).agg(F.concat(F.lit("<rss><channel><title>c</title>"), F.array_join(F.sort_array(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("xml"))
+    i = markup.feed_items(feeds).select(F.explode("items").alias("i"))
+    return i.select(F.col("i.source_record_id").alias("article_id"), F.substring("i.source_record_id", 5, 20).cast("long").alias("n"), "i.title", "i.url", F.col("i.published_at").cast("long").alias("published_at"))
