@@ -91,25 +91,121 @@ def test_toxicity_on_held_out_rows_and_edges(spark):
     assert {r["score"] for r in toxicity.score(d, empty).collect()} == {0.5}
 
 
-def test_nearest_examples_are_exact():
+def _plain_cosines(rows, weight, q):
+    """Brute force over dense vectors."""
+    dense = np.zeros((len(rows) + 1, len(weight)))
+    for i, v in enumerate([*(r[2] for r in rows), q]):
+        dense[i, v[0]] = (1 + np.log(v[1])) * weight[v[0]]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    return dense[:-1] @ dense[-1]
+
+
+def test_nearest_examples_are_exact_and_blocks_prune():
     rng = np.random.default_rng(3)
-    idf = rng.uniform(1, 5, 40)
-    draw = lambda: tuple(sorted({int(k): int(rng.integers(1, 4)) for k in rng.integers(0, 40, rng.integers(1, 8))}.items()))
-    rows = [(i, int(rng.integers(2)), draw()) for i in range(2000)]
-    index = toxicity.Index.build(idf, rows, 0.1, (1.0, 1.0))
-    dense = np.zeros((2000, 40))
-    for i, _, v in rows:
-        dense[i, [k for k, _ in v]] = toxicity.Index.weigh(v, idf)
-    for _ in range(50):
-        q = draw()
-        v = np.zeros(40)
-        v[[k for k, _ in q]] = toxicity.Index.weigh(q, idf)
-        s = dense @ v
+    weight = rng.uniform(1, 5, 400)
+
+    def draw(topic):
+        at = np.unique(np.concatenate([rng.integers(topic * 80, topic * 80 + 80, rng.integers(4, 20)), rng.integers(0, 400, int(rng.integers(50) == 0))]))
+        return at, rng.integers(1, 4, len(at)).astype(float)
+
+    rows = [(i, int(rng.integers(2)), draw(i % 5)) for i in range(1500)]
+    rows += [(1500 + i, 1, rows[i][2]) for i in range(3)]  # ties
+    index = toxicity.Index.build(weight, rows, 25, 0.1, (1.0, 1.0))
+    place = {int(i): k for k, i in enumerate(index.ids)}
+    read = []
+    whole = index._cosines
+    index._cosines = lambda f, w, blocks=None: read.append(len(blocks)) or whole(f, w, blocks)
+    for j in range(60):
+        q = draw(j % 5)
+        s = _plain_cosines(rows, weight, q)
         kth = np.sort(s)[-25]
-        n, found = index.nearest(q, 25)
-        expected = {i for i in range(2000) if s[i] >= kth - 1e-12 and s[i] > 0}
+        n, found = index.nearest(q)
+        expected = {i for i in range(len(rows)) if s[i] >= kth - 1e-12 and s[i] > 0}
         assert {int(index.ids[k]) for k in n} == expected
         assert np.allclose(sorted(found), sorted(s[list(expected)]))
+        votes = (s / s.max()) ** 3
+        toxic = np.array([r[1] for r in rows]) == 1
+        near = np.isin(np.arange(len(rows)), list(expected))
+        share = (votes[near & toxic].sum() + 0.1) / (votes[near].sum() + 1)
+        slope, shift = index.line
+        before = len(read)
+        assert np.isclose(index.vote(q)[0], 1 / (1 + np.exp(-(slope * np.log(share / (1 - share)) + shift))))
+        del read[before:]
+    assert sum(read) < 0.7 * 60 * index.block_max.shape[1] and len(place) == len(rows)
+
+
+def test_toxicity_scores_match_brute_force_end_to_end(spark):
+    """Vocabulary, frequencies, relevance, cosines, votes and calibration, recomputed plainly."""
+    rng = np.random.default_rng(5)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    texts = {i: " ".join([*rng.choice(words, int(rng.integers(3, 30))), *(["vile,"] * (i % 4 == 0))]) for i in range(240)} | {900: None, 901: "", 902: "only unseen", 903: "long vile " * 60_000}
+    d = spark.createDataFrame([(i, t, "x", 1.0) for i, t in texts.items()], "doc_id long, text string, label string, score double")
+    labels = {i: int(i % 4 == 0) for i in range(200)}
+    k = 7
+    fitted = toxicity.fit(d, spark.createDataFrame(list(labels.items()), "doc_id long, label int"), k=k)
+    got = {r["doc_id"]: r for r in toxicity.score(d, fitted).collect()}
+
+    def plain(text):
+        out = Counter()
+        for t in re.split(r"[\s,]+", (text or "").lower()):
+            if t:
+                out.update([t, *[t[:n] + "*" for n in range(3, min(8, len(t)))]])
+        return out
+
+    vectors = {i: plain(t) for i, t in texts.items()}
+    vocab = sorted({f for i in labels for f in vectors[i]})
+    df = {f: sum(f in v for v in vectors.values()) for f in vocab}
+    n1 = sum(labels.values())
+    n0 = len(labels) - n1
+    part = lambda x, e: x * math.log(x / e) if x else 0.0
+    weight = []
+    for f in vocab:
+        b = sum(f in vectors[i] for i in labels if labels[i])
+        a = sum(f in vectors[i] for i in labels) - b
+        share = (a + b) / len(labels)
+        g = 2 * (part(a, share * n0) + part(b, share * n1) + part(n0 - a, (1 - share) * n0) + part(n1 - b, (1 - share) * n1))
+        weight.append((math.log((1 + len(texts)) / (1 + df[f])) + 1) * (1 + max(0.0, math.sqrt(max(g, 0.0)) - 3)))
+
+    def unit(v):
+        x = np.array([(1 + math.log(v[f])) * w if f in v else 0.0 for f, w in zip(vocab, weight, strict=True)])
+        return x / (np.linalg.norm(x) or 1.0)
+
+    ids = sorted(labels)
+    m, y = np.stack([unit(vectors[i]) for i in ids]), np.array([labels[i] for i in ids])
+    prior = (n1 + 0.5) / (len(ids) + 1)
+
+    def share(s):
+        kth = np.sort(s)[-k]
+        near = (s >= kth - 1e-12) & (s > 1e-15)
+        if not near.any():
+            return prior
+        v = (s[near] / s[near].max()) ** 3
+        return (v[y[near] == 1].sum() + prior) / (v.sum() + 1)
+
+    own = m @ m.T
+    np.fill_diagonal(own, -1)
+    line = toxicity.calibrated(np.array([share(r) for r in own]), y, np.ones(len(y)), prior)
+    for i, v in vectors.items():
+        s = m @ unit(v)
+        x = share(s)
+        want = 1 / (1 + math.exp(-(line[0] * math.log(x / (1 - x)) + line[1]))) if s.max() > 0 else prior
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-6), i
+    assert got[900]["score"] == got[901]["score"] == got[902]["score"] == prior
+    assert got[903]["predicted"] == 1
+
+
+def test_toxicity_examples_are_bounded_and_do_not_depend_on_partitions(spark):
+    rows = [(i % 40, f"text {i % 7} of {'vile ' * (i % 2)} sort {i // 40}") for i in range(200)] + [(None, "x")]
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(40)), (0, 1), (None, 1), (3, None)], "doc_id long, label int")
+    found = []
+    for parts in (1, 5):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        sampled, totals = toxicity.sample(d, labels, "text", 6)
+        sampled = sampled.collect()
+        assert totals == (19, 21) and max(Counter(r["label"] for r in sampled).values()) <= 6
+        assert len({r["doc_id"] for r in sampled}) == len(sampled)
+        found.append(sorted((r["doc_id"], tuple(sorted(r["features"]))) for r in sampled))
+    assert found[0] == found[1]
 
 
 def test_ngram_model_matches_brute_force(spark):

@@ -1,10 +1,16 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine."""
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
+
+All terms of the examples count, those of both labels. Terms whose share of label 1 departs from
+the sample's beyond chance weigh more than their TF-IDF alone, as a plain cosine is one of topic
+(see relevance).
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import materialize
 
-BLOCK = 512
+BLOCK = 128
+PIVOTS = 16
+CHANCE = 3.0  # standard deviations a term's share of label 1 may depart by without a say
 
 # Bytes between terms, beside white space.
 PUNCTUATION = b"\"'()*,-./:;<>?![]_`{|}~#$%&+=@^\\"
@@ -32,255 +40,302 @@ def features(term: bytes) -> list[bytes]:
     return [term, *[word[:n].encode() + b"*" for n in range(3, min(8, len(word)))]]
 
 
+Vector = tuple[np.ndarray, np.ndarray]  # numbers of features, ascending, and their occurrences
+
+
 class Lookup(dict):
     """Term to the numbers of its features in the vocabulary; remembers up to a bound."""
 
-    def __init__(self, vocab: list[bytes], bound: int = 500_000) -> None:
+    def __init__(self, vocab: list[bytes], bound: int = 300_000) -> None:
         super().__init__()
         self.wanted, self.bound = {t: k for k, t in enumerate(vocab)}, bound
 
     def __missing__(self, term: bytes) -> tuple[int, ...]:
         if len(self) >= self.bound:
             self.clear()
-        got = self[term] = tuple(self.wanted[f] for f in features(term) if f in self.wanted)
+        got = self[term] = tuple(k for f in features(term) if (k := self.wanted.get(f)) is not None)
         return got
 
 
+def vector(text: bytes | None, wanted: Lookup) -> Vector:
+    """The vocabulary features of a whole text and how often each occurs in it."""
+    counts = Counter(terms(text))
+    numbers = [wanted[t] for t in counts]
+    flat = np.fromiter(chain.from_iterable(numbers), np.int64)
+    if not len(flat):
+        return flat, np.zeros(0)
+    times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(k) for k in numbers])
+    found, at = np.unique(flat, return_inverse=True)
+    return found, np.bincount(at, times)
+
+
 def _binary(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     return docs.select(*more, F.col(f"`{text_col}`").cast("binary").alias("text"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, text_col: str, max_per_class: int) -> tuple[DataFrame, tuple[int, int]]:
-    """(doc_id, label, text) of labelled documents, at most max_per_class for each label, and the
-    number of labelled rows by label. The documents taken are the first by hash of doc_id; of
-    near-copies under one label, which would make all their words stand out, one is taken."""
-    labels = labels.filter("label in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
+    """(doc_id, label, features, times) of labelled documents, at most max_per_class for each
+    label, and the number of labelled documents by label. The documents taken are the first by
+    hash of doc_id; of several rows of one doc_id the smallest text is taken, of near-copies
+    under one label, which would make all their words stand out, the smallest doc_id. Labels
+    that contradict each other count as 1."""
+    labels = labels.filter("label in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
     totals = labels.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
     parts = [labels.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.filter("text is not null").select("doc_id", "label", "text", F.col("text").cast("binary").alias("raw")).mapInArrow(_sketched, "doc_id long, label int, text string, sketch long")
-    return materialize(rows.dropDuplicates(["label", "sketch"]).drop("sketch"), "toxicity-sample"), (totals[0], totals[1])
+    rows = rows.filter("text is not null").groupBy("doc_id", "label").agg(F.min("text").cast("binary").alias("text")).mapInArrow(_examples, EXAMPLE)
+    first = rows.groupBy("label", "sketch").agg(F.min(F.struct("doc_id", "features", "times")).alias("x"))
+    return materialize(first.select("x.doc_id", "label", "x.features", "x.times"), "toxicity-sample"), (totals[0], totals[1])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the least hash of their 5-word windows, which near-copies mostly share."""
+EXAMPLE = "doc_id long, label int, sketch long, features array<binary>, times array<int>"
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with all their features and the least hash of their 5-word windows, which near-copies
+    mostly share."""
     import xxhash
 
     def least(words: list[bytes]) -> int:
         windows = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
         return min(xxhash.xxh64_intdigest(b" ".join(w)) for w in windows) >> 1
 
+    kinds = {"features": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
     for batch in batches:
-        sketch = pa.array([least(terms(t)) for t in batch.column(3).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], sketch], ["doc_id", "label", "text", "sketch"])
-
-
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents a term, by label, of a task's rows."""
-    by: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by[label].update({f for t in set(terms(text)) for f in features(t)})
-    names = list(by[0].keys() | by[1].keys())
-    for at in range(0, len(names), 10_000):
-        part = names[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([by[0][t] for t in part], pa.int64()), pa.array([by[1][t] for t in part], pa.int64())], ["term", "n0", "n1"])
-
-
-def vocabulary(rows: DataFrame, max_terms: int, least: float) -> list[bytes]:
-    """Features that stand out in label 1: log-likelihood ratio of at least `least`, the largest first.
-
-    The rest of a text says nothing about its label; a cosine over all its terms would be one of
-    topic. Counting is a map-side combined aggregation over the sample; max_terms terms at most
-    reach the driver.
-    """
-    counts = rows.select("label", F.col("text").cast("binary").alias("text")).mapInArrow(_partial_counts, "term binary, n0 long, n1 long")
-    counts = counts.groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    n = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-    if not n[0] or not n[1]:
-        return []
-    a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    share = both / F.lit(float(n[0] + n[1]))
-    ratio = 2 * (part(a, share * n[0]) + part(b, share * n[1]) + part(n[0] - a, (1 - share) * n[0]) + part(n[1] - b, (1 - share) * n[1]))
-    best = counts.filter((b >= 3) & (b * n[0] > a * n[1])).withColumn("g", ratio).filter(F.col("g") >= least)
-    return [bytes(r["term"]) for r in best.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
+        rows: dict[str, list] = {"sketch": [], "features": [], "times": []}
+        for text in batch.column(2).to_pylist():
+            words = terms(text)
+            found: Counter = Counter()
+            for t, n in Counter(words).items():
+                for f in features(t):
+                    found[f] += n
+            rows["sketch"].append(least(words))
+            rows["features"].append(list(found))
+            rows["times"].append(list(found.values()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()]], ["doc_id", "label", *rows])
 
 
 def document_frequencies(docs: DataFrame, text_col: str, vocab: list[bytes]) -> tuple[np.ndarray, int]:
-    """Documents a vocabulary term, and documents, over all of docs: one row a task."""
+    """Documents a vocabulary feature, and documents, over all of docs: a task sends one row for
+    each feature that it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, wanted = np.zeros(len(vocab), np.int64), 0, Lookup(vocab)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                for k in {k for t in set(terms(text)) for k in wanted[t]}:
-                    df[k] += 1
+                df[list(set(chain.from_iterable(map(wanted.__getitem__, set(terms(text))))))] += 1
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*df[at].tolist(), n], pa.int64())], ["k", "n"])
 
-    sums = _binary(docs, text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(vocab)), 0
-    for r in sums:
-        if r["k"] < 0:
-            n = r["n"]
-        else:
-            df[r["k"]] = r["n"]
-    return df, n
+    sums = _binary(docs, text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = sums["k"].to_numpy(), sums["n"].to_numpy()
+    df = np.zeros(len(vocab))
+    df[k[k >= 0]] = n[k >= 0]
+    return df, int(n[k < 0].sum())
 
 
-def vector(text: bytes | None, wanted: Lookup) -> tuple[tuple[int, int], ...]:
-    """((feature number, occurrences), ...) of a text's vocabulary features, by number."""
-    found = [k for ks in map(wanted.__getitem__, terms(text)) for k in ks]
-    return tuple(sorted(Counter(found).items())) if found else ()
+def relevance(examples: list[tuple[int, int, Vector]], size: int) -> np.ndarray:
+    """A factor of at least 1 for every feature: 1 and the standard deviations, beyond CHANCE, by
+    which the share of label 1 among its examples departs from the sample's (the root of the
+    log-likelihood ratio)."""
+    n, seen = np.zeros(2), np.zeros((2, size))
+    for _, label, (found, _) in examples:
+        n[label] += 1
+        seen[label, found] += 1
+    share = seen.sum(axis=0) / max(1.0, n.sum())
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    ratio = sum(part(seen[k], share * n[k]) + part(n[k] - seen[k], (1 - share) * n[k]) for k in (0, 1))
+    return 1.0 + np.maximum(np.sqrt(np.maximum(2 * ratio, 0.0)) - CHANCE, 0.0)
 
 
 @dataclass
 class Index:
-    """Inverted lists of the examples, with each list's largest weight in every block of them."""
+    """Inverted lists of the examples by feature and block of examples, with the largest weight
+    of each feature in every block.
+
+    start[f, b] to start[f, b + 1] are the postings of feature f in block b. Like examples stand
+    together, so that the bounds of other blocks are low.
+    """
 
-    idf: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    block_max: np.ndarray  # terms x blocks
+    start: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
+    block_max: np.ndarray
+    k: int
     prior: float
     weights: tuple[float, float]
+    line: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def build(cls, idf: np.ndarray, rows: list[tuple[int, int, tuple]], prior: float, weights: tuple[float, float]) -> Index:
-        """rows: (doc_id, label, vector). Examples stand in order of their heaviest terms, so that
-        blocks hold like examples and their bounds are tight; examples without a term have
-        cosine 0 to everything and are left out."""
-        weighed = []
-        for doc_id, label, v in rows:
-            if v:
-                w = cls.weigh(v, idf)
-                weighed.append((int(np.argmax(w)), v, doc_id, label, w))
-        weighed.sort(key=lambda x: (v_first(x), x[2]))
-        lists: list[list] = [[] for _ in idf]
-        for n, (_, v, _, _, w) in enumerate(weighed):
-            for (k, _), x in zip(v, w.tolist(), strict=True):
-                lists[k].append((n, x))
-        postings = [(np.array([n for n, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-        block_max = np.zeros((len(idf), -(-len(weighed) // BLOCK)))
-        for k, (n, w) in enumerate(postings):
-            np.maximum.at(block_max[k], n // BLOCK, w)
-        return cls(idf, np.array([x[2] for x in weighed], np.int64), np.array([x[3] for x in weighed], np.int64), postings, block_max, prior, weights)
+    def build(cls, weight: np.ndarray, rows: list[tuple[int, int, Vector]], k: int, prior: float, weights: tuple[float, float]) -> Index:
+        """rows: (doc_id, label, vector); weight: what a feature's (1 + log occurrences) is
+        multiplied by. Votes are calibrated on the examples, each judged by the others."""
+        rows = sorted((r for r in rows if len(r[2][0])), key=lambda r: r[:2])
+        index = cls._of(weight, rows, k, prior, weights)
+        if not rows:
+            return index
+        cosine = np.stack([index._cosines(*cls._unit(v, weight)) for _, _, v in rows])
+        pivots = [0]
+        while len(pivots) < min(PIVOTS, len(rows)):
+            pivots.append(int(np.argmin(cosine[:, pivots].max(axis=1))))
+        nearest = cosine[:, pivots].argmax(axis=1)
+        out = cls._of(weight, [rows[i] for i in np.lexsort((np.arange(len(rows)), nearest)).tolist()], k, prior, weights)
+        np.fill_diagonal(cosine, -1.0)
+        shares = []
+        for row in cosine:
+            kth = np.partition(row, len(row) - min(k, len(row)))[len(row) - min(k, len(row))]
+            near = np.nonzero((row >= kth - 1e-12) & (row > 0))[0]
+            shares.append(index._share(near, row[near]))
+        out.line = calibrated(np.array(shares), index.labels, np.array(weights)[index.labels], prior)
+        return out
 
-    @staticmethod
-    def weigh(v: tuple, idf: np.ndarray) -> np.ndarray:
-        w = np.array([(1 + np.log(n)) * idf[k] for k, n in v])
-        return w / np.sqrt((w * w).sum())
+    @classmethod
+    def _of(cls, weight: np.ndarray, rows: list, k: int, prior: float, weights: tuple[float, float]) -> Index:
+        units = [cls._unit(v, weight) for _, _, v in rows]
+        feature = np.concatenate([u[0] for u in units]) if units else np.zeros(0, np.int64)
+        value = np.concatenate([u[1] for u in units]) if units else np.zeros(0)
+        example = np.repeat(np.arange(len(units), dtype=np.int32), [len(u[0]) for u in units])
+        order = np.lexsort((example, feature))
+        feature, example, value = feature[order], example[order], value[order]
+        blocks = -(-len(units) // BLOCK)
+        at = feature * blocks + example // BLOCK
+        start = np.searchsorted(at, np.arange(len(weight) * blocks + 1)).astype(np.int32)
+        bound = np.zeros(len(weight) * blocks)
+        np.maximum.at(bound, at, value)
+        edges = np.arange(len(weight))[:, None] * blocks + np.arange(blocks + 1)[None, :]
+        return cls(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), start[edges], example, value, bound.reshape(len(weight), blocks), k, prior, weights)
 
-    def nearest(self, v: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _unit(v: Vector, weight: np.ndarray) -> Vector:
+        """A vector's features with their weights, at length 1."""
+        w = (1.0 + np.log(v[1])) * weight[v[0]]
+        return v[0], w / np.sqrt((w * w).sum())
+
+    def _cosines(self, found: np.ndarray, w: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+        """Cosines with the examples of those blocks (None: all); 0 for other examples."""
+        if blocks is None:
+            low, high = self.start[found, 0], self.start[found, -1]
+        else:
+            low, high = self.start[found][:, blocks].ravel(), self.start[found][:, blocks + 1].ravel()
+            w = np.repeat(w, len(blocks))
+        n = high - low
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
+        return np.minimum(np.bincount(self.example[at], np.repeat(w, n) * self.value[at], len(self.ids)), 1.0)
+
+    def nearest(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine over 0, and of all that tie with
-        the last. Blocks are read by falling bound until none can reach the k-th cosine."""
-        q = self.weigh(v, self.idf)
-        names = [t for t, _ in v]
-        bound = q @ self.block_max[names]
-        found_n, found_s, kth = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < kth - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(names, q.tolist(), strict=True):
-                n, w = self.postings[t]
-                i, j = np.searchsorted(n, (b * BLOCK, (b + 1) * BLOCK))
-                acc[n[i:j] - b * BLOCK] += x * w[i:j]
-            hit = np.nonzero(acc > 0)[0]
-            found_n.append(hit + b * BLOCK)
-            found_s.append(np.minimum(acc[hit], 1.0))
-            s = np.concatenate(found_s)
-            if len(s) >= k:
-                kth = float(np.partition(s, len(s) - k)[len(s) - k])
-        if not found_n:
+        the last. The blocks with the highest bounds give a first k-th cosine; then those whose
+        bounds reach it are read."""
+        if not len(v[0]) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        n, s = np.concatenate(found_n), np.concatenate(found_s)
-        near = s >= kth - 1e-12
-        n, s = n[near], s[near]
-        order = np.lexsort((self.ids[n], -np.round(s, 12)))
-        return n[order], s[order]
-
-    def vote(self, v: tuple, k: int) -> tuple[float, list[int]]:
-        """Score and the first examples behind it.
-
-        A vote weighs cosine squared over distance, times what its label is under-represented by
-        in the sample; the share of label 1 among all labelled rows joins in with a fixed weight,
-        so texts without evidence score that share.
-        """
-        n, s = self.nearest(v, k) if v else (np.zeros(0, np.int64), np.zeros(0))
-        w = s * s / (1.05 - s)
-        toxic = self.labels[n] == 1
-        one, zero = float((w * toxic).sum()) * self.weights[1], float((w * ~toxic).sum()) * self.weights[0]
-        return (one + 2.0 * self.prior) / (one + zero + 2.0), self.ids[n[:5]].tolist()
-
-
-def v_first(row: tuple) -> tuple:
-    """Sort key of an example: its heaviest term, then all its terms."""
-    heaviest, v = row[0], row[1]
-    return (v[heaviest][0], v)
-
-
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 4096, max_terms: int = 2048, least: float = 24.0) -> tuple[list[bytes], Index]:
+        found, w = self._unit(v, self.weight)
+        bound = w @ self.block_max[found]
+        order = np.argsort(-bound, kind="stable")
+        first = -(-self.k // BLOCK)
+        s = self._cosines(found, w, order[:first])
+        kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
+        more = order[first:][bound[order[first:]] >= kth - 1e-9]
+        if len(more):
+            s += self._cosines(found, w, more)
+            kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
+        n = np.nonzero((s >= kth - 1e-12) & (s > 0))[0]
+        order = np.lexsort((self.ids[n], -np.round(s[n], 12)))
+        return n[order], s[n][order]
+
+    def _share(self, n: np.ndarray, s: np.ndarray) -> float:
+        """Label 1's share of the votes: a vote weighs the cube of its cosine over the largest,
+        times what its label is under-represented by in the sample; the prior has one vote."""
+        if not len(n):
+            return self.prior
+        votes = (s / s.max()) ** 3 * np.array(self.weights)[self.labels[n]]
+        return float((votes[self.labels[n] == 1].sum() + self.prior) / (votes.sum() + 1.0))
+
+    def vote(self, v: Vector) -> tuple[float, list[int]]:
+        """The calibrated score and the first examples behind it."""
+        n, s = self.nearest(v)
+        if not len(n):
+            return self.prior, []
+        slope, shift = self.line
+        return float(1.0 / (1.0 + np.exp(-(slope * _logit(self._share(n, s)) + shift)))), self.ids[n[:5]].tolist()
+
+
+def _logit(share):
+    inside = np.clip(share, 0.001, 0.999)
+    return np.log(inside / (1.0 - inside))
+
+
+def calibrated(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the logistic line from vote shares to probabilities (Platt scaling),
+    by Newton steps over weighted examples. One label only: the shares as they are."""
+    if len(set(labels.tolist())) < 2:
+        return 1.0, 0.0
+    x = np.stack([_logit(shares), np.ones(len(shares))], axis=1)
+    n1 = weights[labels == 1].sum()
+    n0 = weights[labels == 0].sum()
+    y = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    line = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-(x @ line)))
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weights * (y - p)))
+        line = line + np.clip(step, -2.0, 2.0)
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(line[0]), 0.0), float(line[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 1024, k: int = 50) -> tuple[list[bytes], Index]:
     """Vocabulary and index. labels: (doc_id, label), label 1 for toxic.
 
-    The bounds: max_per_class examples a label and max_terms terms, which is what the driver and
-    each worker hold. Document frequencies are over all of docs. Without examples of both labels
-    the vocabulary is empty and every score is the share of label 1 (one half without labels).
+    The bound is max_per_class examples a label: their features are the vocabulary, which the
+    driver and each worker hold. Document frequencies are over all of docs, null texts being
+    documents without a term. Null doc_ids and labels, and examples without a text, are left
+    out. Without examples of both labels every score is the share of label 1 (one half without
+    labels). Empty tables are such a case.
     """
     rows, totals = sample(docs, labels, text_col, max_per_class)
-    vocab = vocabulary(rows, max_terms, least)
+    got = rows.toArrow().sort_by("doc_id")
     prior = (totals[1] + 0.5) / (sum(totals) + 1.0)
-    df, n = document_frequencies(docs, text_col, vocab) if vocab else (np.zeros(0), 0)
-    idf = np.log((1 + n) / (1 + df)) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Lookup(vocab)
-        for batch in batches:
-            vs = [vector(t, wanted) for t in batch.column(2).to_pylist()]
-            flat = [[x for kn in v for x in kn] for v in vs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.int64()))], ["doc_id", "label", "v"])
-
+    kinds = got["label"].to_pylist()
+    if len(set(kinds)) < 2:
+        return [], Index.build(np.zeros(0), [], k, prior, (1.0, 1.0))
+    vocab = sorted(got["features"].combine_chunks().flatten().unique().to_pylist())
+    number = {f: i for i, f in enumerate(vocab)}
     examples = []
-    if vocab:
-        got = _binary(rows, "text", "doc_id", "label").mapInArrow(run, "doc_id long, label int, v array<long>").collect()
-        examples = [(r["doc_id"], r["label"], tuple(zip(r["v"][::2], r["v"][1::2], strict=True))) for r in got]
-    taken = Counter(label for _, label, _ in examples)
-    weights = tuple(totals[k] / taken[k] if taken[k] else 1.0 for k in (0, 1))
-    mean = (weights[0] * taken[0] + weights[1] * taken[1]) / max(1, len(examples)) or 1.0
-    return vocab, Index.build(idf, sorted(examples), prior, (weights[0] / mean, weights[1] / mean))
-
-
-def score(docs: DataFrame, fitted: tuple[list[bytes], Index], text_col: str = "text", k: int = 25, threshold: float = 0.7) -> DataFrame:
+    for doc_id, label, found, times in zip(got["doc_id"].to_pylist(), kinds, got["features"].to_pylist(), got["times"].to_pylist(), strict=True):
+        at = np.array([number[f] for f in found], np.int64)
+        order = np.argsort(at)
+        examples.append((doc_id, label, (at[order], np.array(times, np.float64)[order])))
+    df, n = document_frequencies(docs, text_col, vocab)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(examples, len(vocab))
+    taken = Counter(kinds)
+    sizes = [totals[j] / taken[j] for j in (0, 1)]
+    mean = (sizes[0] * taken[0] + sizes[1] * taken[1]) / len(kinds)
+    return vocab, Index.build(weight, examples, k, prior, (sizes[0] / mean, sizes[1] / mean))
+
+
+def score(docs: DataFrame, fitted: tuple[list[bytes], Index], text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and evidence (doc_ids of the
     nearest examples) of every row of docs.
 
-    Whole texts are read. Null, empty and other texts without a vocabulary feature score the share
-    of label 1. Ties at the k-th neighbour all vote, so the order of examples never matters.
-    Rows that repeat score alike, a null doc_id stays null, other columns are not read. Empty
-    table: no rows.
+    Whole texts are read; the cosine is over all features of the examples. Null, empty and other
+    texts without such a feature score the share of label 1. Ties at the k-th neighbour all
+    vote, so the order of examples never matters. Rows that repeat score alike, a null doc_id
+    stays null, other columns are not read. Empty table: no rows.
     """
-    vocab, index = fitted
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, index))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, index = shared.value
-        wanted, known = Lookup(vocab), {}
+        wanted = Lookup(vocab)
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                v = vector(text, wanted)
-                if v not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[v] = index.vote(v, k)
-                s, e = known[v]
-                scores.append(s)
-                evidence.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            found = [index.vote(vector(text, wanted)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     out = _binary(docs, text_col, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
