@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_lm, quality_rules, queries, toxicity, url_filter
@@ -208,11 +209,13 @@ def test_toxicity_examples_are_bounded_and_do_not_depend_on_partitions(spark):
     assert found[0] == found[1]
 
 
-def test_ngram_model_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [None, [b"a", b"e", b"never"]])
+def test_ngram_model_matches_brute_force(spark, hot, monkeypatch):
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice(["a", "b", "c", "dd", "E", "f"], rng.integers(0, 30), p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05])) for _ in range(120)] + [None, "", "once only"]
+    texts.append("a b  e\tf " * 40_000)
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = ngram_lm.train(d.filter("doc_id % 4 <> 1"))
+    model = ngram_lm.train(d.filter("doc_id % 4 <> 1").withColumns({"r": F.lit("x"), "blob": F.lit(1), "score": F.lit("x")}), hot=hot)
     asked = [*enumerate(texts), (900, "never seen a b"), (None, "a")]
     got = {r["doc_id"]: r for r in ngram_lm.score(spark.createDataFrame(asked, d.schema), model).collect()}
     tokens = lambda t: [*(t or "").lower().split(), "</s>"]
@@ -240,12 +243,18 @@ def test_ngram_model_matches_brute_force(spark):
         return max(big[v, w] - cut(big[v, w], d2), 0) / total[v] + gamma * low(w)
 
     n_all, vocab = sum(uni.values()), len(uni)
+    monkeypatch.setattr(ngram_lm, "CHUNK", 3)  # texts are cut every 18 bytes or so
+    cut_up = ngram_lm.Scorer(model).score([t.encode() if t else None for _, t in asked if len(t or "") < 1000])
+    short = [i for i, t in asked if len(t or "") < 1000]
+    for k in ("n_tokens", "n_known", "base_score", "score"):
+        assert np.allclose(cut_up[k], [got[i][k] for i in short], rtol=1e-12)
     for i, t in asked:
         w = tokens(t)
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(uni[x] > 0 for x in w), n_all)
-        assert math.isclose(r["base_score"], sum(math.log10((uni[x] + 0.5) / (n_all + 0.5 * (vocab + 1))) for x in w), abs_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w, strict=False)), abs_tol=1e-9)
+        assert math.isclose(r["base_score"], sum(math.log10((uni[x] + 0.5) / (n_all + 0.5 * (vocab + 1))) for x in w), rel_tol=1e-9, abs_tol=1e-9)
+        known = {x: math.log10(p(*x)) for x in set(zip(["<s>", *w], w, strict=False))}
+        assert math.isclose(r["score"], sum(known[x] for x in zip(["<s>", *w], w, strict=False)), rel_tol=1e-9, abs_tol=1e-9)
     every = [*uni, "<unk>"]
     assert all(math.isclose(sum(p(v, w) for w in every), 1.0, abs_tol=1e-9) for v in ["<s>", "a", "dd", "nothing"])
 

@@ -7,7 +7,8 @@ tables of a whole corpus leave room for: see the README for the figures of order
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import lru_cache
 
@@ -65,24 +66,53 @@ class _Words(dict):
         return n
 
 
-def _pairs(texts: list[bytes | None], words: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all tokens of texts, each text with its end, and tokens a text."""
+Piece = tuple[int, bytes, bytes | None, bool]  # text's number, words, word before, text's last piece
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _chunks(texts: list[bytes | None]) -> Iterator[list[Piece]]:
+    """Texts in lists of about CHUNK tokens (six bytes to a token); a longer text comes in
+    pieces, cut between words, each with the word before it."""
+    most = 6 * CHUNK
+    out: list[Piece] = []
+    size = 0
+    for k, text in enumerate(texts):
+        text, at, before = text or b"", 0, None
+        while True:
+            found = _SPACE.search(text, at + most) if len(text) - at > most else None
+            piece = (text[at : found.start()] if found else text[at:]).lower()
+            out.append((k, piece, before, found is None))
+            size += len(piece)
+            if size >= most:
+                yield out
+                out, size = [], 0
+            if found is None:
+                break
+            before = next(iter(piece.split()[-1:]), before)
+            at = found.start()
+    if out:
+        yield out
+
+
+def _tokens(pieces: list[Piece], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all tokens of pieces, each text with its end, those of the tokens before
+    them, and tokens a piece."""
     ids: list[int] = []
-    sizes = []
-    end = words[END]
-    for t in texts:
-        got = t.lower().split() if t else []
+    sizes, begin = [], []
+    end, start = words[END], words[START]
+    for _, text, before, last in pieces:
+        got = text.split()
+        begin.append(start if before is None else words[before])
         ids += map(words.__getitem__, got)
-        ids.append(end)
-        sizes.append(len(got) + 1)
-    return np.array(ids, np.int64), np.array(sizes, np.int64)
-
-
-def _contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = 0  # START is number 0
-    return before
+        if last:
+            ids.append(end)
+        sizes.append(len(got) + last)
+    numbers, n = np.array(ids, np.int64), np.array(sizes, np.int64)
+    context = np.empty_like(numbers)
+    context[1:] = numbers[:-1]
+    some = n > 0
+    context[(np.cumsum(n) - n)[some]] = np.array(begin, np.int64)[some]
+    return numbers, context, n
 
 
 def _packed(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -104,39 +134,38 @@ def _split(raw: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes | None]]]:
-    """Rows in groups of about CHUNK tokens at most (six bytes to a token)."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        at = size = 0
-        for k, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= 6 * CHUNK or k == len(texts) - 1:
-                yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-                at, size = k + 1, 0
+def _route(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The hash by which a bigram goes to its range: that of its first word, or of the whole
+    bigram if the first word is hot."""
+    out = v.copy()
+    there = _find(hot, v)[1]
+    out[there] = _mix(v[there], w[there])
+    return out
 
 
-def _count(ranges: int):
-    """Texts to one row a range: the distinct bigrams whose first word's hash lies there."""
+def _count(ranges: int, hot: np.ndarray):
+    """Texts to one row a range: the distinct bigrams that are routed there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         fold = lambda: _sum_by(np.concatenate([keys, *waiting]), np.concatenate([counts, np.ones(sum(map(len, waiting)), np.int64)]))
-        for _, texts in _batches(batches, 0):
-            ids, sizes = _pairs(texts, words)
-            waiting.append((_contexts(ids, sizes) << 32) | ids)
-            if sum(map(len, waiting)) > 2 * CHUNK:
-                keys, counts = fold()
-                waiting = []
+        for batch in batches:
+            for pieces in _chunks(batch.column(0).to_pylist()):
+                ids, before, _ = _tokens(pieces, words)
+                waiting.append((before << 32) | ids)
+                if sum(map(len, waiting)) > 2 * CHUNK:
+                    keys, counts = fold()
+                    waiting = []
         keys, counts = fold()
         if not len(keys):
             return
         hashes = np.array(words.hashes, np.uint64)
         first, second = hashes[keys >> 32], hashes[keys & 0xFFFFFFFF]
-        order = np.argsort(first, kind="stable")
+        where = _range(_route(first, second, hot), ranges)
+        order = np.lexsort((first, where))
         first, second, counts = first[order], second[order], counts[order]
-        cuts = np.searchsorted(_range(first, ranges), np.arange(ranges + 1))
+        cuts = np.searchsorted(where[order], np.arange(ranges + 1))
         for r in range(ranges):
             a, b = cuts[r], cuts[r + 1]
             if a == b:
@@ -149,6 +178,22 @@ def _count(ranges: int):
     return run
 
 
+def _hot(rows: DataFrame, ranges: int, share: float = 0.01) -> np.ndarray:
+    """Sorted hashes of the beginning of texts, which as many words follow as there are texts, and
+    of the words that make up over a quarter of a range's part of the tokens of a sample: 4 *
+    ranges at most. They only decide which task counts a bigram, never what
+    is counted; missing one costs balance alone."""
+    words = F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+")).alias("w")
+    by = rows.sample(share, 7).select(words).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    total = by.agg(F.sum("n")).first()[0] or 0
+    often = by.filter(F.col("n") * 4 * ranges > total).select("w").collect()
+    return _hashes(r["w"].encode() for r in often)
+
+
+def _hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.sort(np.array([_hash(w) for w in {START, *words}], np.uint64))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows (r, blob) that are sorted by r."""
     now, blobs_ = None, []
@@ -174,8 +219,9 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _bigrams(folder: str, ranges: int):
-    """Merged ranges of bigrams to files, a row of sums each, and continuation counts by range."""
+def _bigrams(folder: str, ranges: int, hot: np.ndarray):
+    """Merged ranges of bigrams to files, a row of sums each, continuation counts by range, and
+    what a range adds to the sums of hot contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, got in _groups(batches):
@@ -196,6 +242,10 @@ def _bigrams(folder: str, ranges: int):
             by = {"context": v[at], "total": np.add.reduceat(c, at)}
             for k, here in (("n1", c == 1), ("n2", c == 2), ("n3", c >= 3)):
                 by[k] = np.add.reduceat(here.astype(np.uint32), at)
+            spread = _find(hot, by["context"])[1]
+            for i in np.nonzero(spread)[0].tolist():
+                yield _row("hot", int(np.searchsorted(hot, by["context"][i])), None, [int(by[k][i]) for k in ("total", "n1", "n2", "n3")])
+            by = {k: x[~spread] for k, x in by.items()}
             keys = _mix(v, w)
             order = np.argsort(keys)
             blobs.put(f"{folder}/bigrams-{r}", by | {"key": keys[order]} | _packed(c[order]))
@@ -251,20 +301,27 @@ class Model:
     n_low: tuple[int, int, int]
 
 
-def train(texts: DataFrame, text_col: str = "text", folder: str | None = None) -> Model:
+def train(texts: DataFrame, text_col: str = "text", folder: str | None = None, hot: Sequence[bytes] | None = None) -> Model:
     """Count the bigrams of all texts and write the model's files; returns where and what.
 
     A-Z are lower-cased; a text's tokens are its words and an end; null texts are empty. Each
     task counts its own texts first, then sends each range of hashes once, as sorted arrays: so
     a very frequent word costs one entry a task. Ranges are merged by one task each, which
-    writes a file that nothing changes later. Counts cover all rows, repeated ones too.
+    writes a file that nothing changes later. Bigrams that begin with a hot word are dealt over
+    all ranges by both words, and the sums of these contexts added up (hot: such words, in lower
+    case; None: found in a sample, see _hot). A text of any length is counted in chunks. Counts
+    cover all rows, repeated ones too. An empty table gives a model without counts.
     """
     spark = texts.sparkSession
     folder = folder or shared_path(spark, "ngram-lm")
     rows = texts.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     ranges = 1 << (min(4096, max(16, rows.rdd.getNumPartitions())) - 1).bit_length()
-    counted = rows.mapInArrow(_count(ranges), "r int, blob binary")
-    merged = materialize(counted.repartition(F.col("r")).sortWithinPartitions("r").mapInArrow(_bigrams(folder, ranges), _OUT), "ngram-types")
+    spread = _hot(rows, ranges) if hot is None else _hashes(hot)
+    counted = rows.mapInArrow(_count(ranges, spread), "r int, blob binary")
+    merged = materialize(counted.repartition(F.col("r")).sortWithinPartitions("r").mapInArrow(_bigrams(folder, ranges, spread), _OUT), "ngram-types")
+    parts = merged.filter("kind = 'hot'").groupBy("r").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(4)]).collect()
+    parts = sorted(parts, key=lambda x: x["r"])
+    blobs.put(f"{folder}/hot", {"context": spread[[x["r"] for x in parts]]} | {k: np.array([x[f"n{i}"] for x in parts], np.int64) for i, k in enumerate(("total", "n1", "n2", "n3"))})
     low = merged.filter("kind = 'types'").select("r", "blob").repartition(F.col("r")).sortWithinPartitions("r")
     low = low.mapInArrow(_unigrams(folder), _OUT)
     sums = lambda df, n: df.select(*[F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)) for i in range(n)]).first()
@@ -325,7 +382,8 @@ class Scorer:
             return
         total, low = np.zeros(len(new)), np.zeros(len(new))
         n = np.zeros((3, len(new)))
-        for rows, f in self._by_range(new, new, "bigrams"):
+        every = (np.arange(len(new)), _file(f"{m.folder}/hot"))
+        for rows, f in [every, *self._by_range(new, new, "bigrams")]:
             at, there = _find(f["context"], new[rows])
             rows, at = rows[there], at[there]
             total[rows] = f["total"][at]
@@ -354,14 +412,23 @@ class Scorer:
 
     def score(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score."""
+        out = {"n_tokens": np.zeros(len(texts), np.int64), "n_known": np.zeros(len(texts), np.int64), "base_score": np.zeros(len(texts)), "score": np.zeros(len(texts))}
+        for pieces in _chunks(texts):
+            ids, before, sizes = _tokens(pieces, self.words)
+            self._learn()
+            text = np.repeat([k for k, *_ in pieces], sizes)
+            count, base, own = self._values(ids, before)
+            for name, x in (("n_tokens", np.ones(len(ids))), ("n_known", count > 0), ("base_score", base), ("score", own)):
+                out[name] += np.bincount(text, x, len(texts)).astype(out[name].dtype)
+        return out
+
+    def _values(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its count in training, its log10 base probability and the model's."""
         m = self.m
-        ids, sizes = _pairs(texts, self.words)
-        self._learn()
-        before = _contexts(ids, sizes)
         pairs, back = np.unique((before << 32) | ids, return_inverse=True)
         v, w = self.hash[pairs >> 32], self.hash[pairs & 0xFFFFFFFF]
         keys, c = _mix(v, w), np.zeros(len(pairs))
-        for rows, f in self._by_range(keys, v, "bigrams"):
+        for rows, f in self._by_range(keys, _route(v, w, _file(f"{m.folder}/hot")["context"]), "bigrams"):
             at, there = _find(f["key"], keys[rows])
             c[rows[there]] = _counts_at(f, at[there])
         total = self.total[pairs >> 32]
@@ -370,14 +437,7 @@ class Scorer:
         count = self.total.copy()
         count[1] = self.ends  # END is number 1 and never a context
         count = count[ids]
-        first = np.cumsum(sizes) - sizes
-        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
-        return {
-            "n_tokens": sizes,
-            "n_known": np.add.reduceat((count > 0).astype(np.int64), first),
-            "base_score": np.add.reduceat(base, first),
-            "score": np.add.reduceat(np.log10(p)[back], first),
-        }
+        return count, np.log10((count + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1))), np.log10(p)[back]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -393,9 +453,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for rows, texts in _batches(batches, 1):
-            got = scorer.score(texts)
-            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(got[n]) for n in names]], ["doc_id", *names])
+        for batch in batches:
+            got = scorer.score(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(got[n]) for n in names]], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
