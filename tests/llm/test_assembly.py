@@ -24,6 +24,28 @@ def test_formatted_turns_read_back(turns):
         assert not any(c in chat.escape(t) for c in chat.CONTROL)
 
 
+def test_a_long_system_turn_does_not_multiply_the_output():
+    for role, system in (("system", "x" * 10_000), ("system", "be brief " * 2000), ("system", "short"), ("assistant", "y" * 10_000)):
+        turns = [(role, system)] + [("user" if i % 2 else "assistant", f"t{i}") for i in range(1000)]
+        w = chat.Windows(256, 64)
+        rows = [r for role, t in turns for r in w.add(role, t)] + [w.flush()]
+        size = sum(len(t) for _, t in turns) + 13 * len(turns)
+        assert sum(len(r["formatted"]) for r in rows) < 2.5 * size
+        back = [chat.read_back(r["formatted"]) for r in rows]
+        assert [x[:2] for r, b in zip(rows, back, strict=True) for x in b[r["repeated"] :]] == turns
+        assert [r["system_cut"] for r in rows] == [k > 0 and role == "system" and len(system) > 100 for k in range(len(rows))]
+        if role == "system":
+            assert all(b[0][0] == "system" and system.startswith(b[0][1]) and b[0][1] for b in back)
+
+
+def test_windows_count_as_they_are_told(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "z" * 50, "a b c d") for i in range(20)]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    whole = lambda out: [r["n_tokens"] for r in out.orderBy("window").collect()]
+    assert whole(chat.format_windows(d, 10_000)) == [20 * 7 + 10 * chat.estimate(chat.role_tag("z" * 50))]
+    assert whole(chat.format_windows(d, 10_000, count=lambda t: 1)) == [20 * 4 + 10]
+
+
 def test_windows_keep_budget_history_and_masks(spark):
     turns = [("system", "be brief")] + [("user" if i % 2 == 0 else "assistant", f"t{i} " + "w " * (i % 7)) for i in range(60)] + [("assistant", "long " * 80)]
     w = chat.Windows(60, 20)

@@ -69,6 +69,78 @@ def test_trees_learn_and_score_alike_in_spark(spark):
     assert np.allclose(got, p[:100], atol=1e-9)
 
 
+def _plain_features(urls):
+    """The features of urls, recomputed in plain Python."""
+
+    def parts(u):
+        rest = u.partition("://")[2] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        query = re.match(r"[^#]*", rest[len(host) + len(path) + 1 :])[0] if rest[len(host) + len(path) :][:1] == "?" else ""
+        return "".join(c.lower() if c.isascii() else c for c in host), path, query
+
+    def entropy(s):
+        return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+
+    suffix = lambda h: (re.search(r"([^.]+(?:\.[^.]+)?)$", h) or [""])[0]
+    ratio = lambda s: sum(c in "0123456789" for c in s) / len(s) if s else 0.0
+    split = [parts(u) for u in urls]
+    by, hosts = Counter(suffix(h) for h, _, _ in split), {}
+    for h, _, _ in split:
+        hosts.setdefault(suffix(h), set()).add(h)
+    return [
+        [
+            len(h) + len(p) + len(q), len(h), len(p), len(q), h.count("."), p.count("/"), ratio(h), ratio(p), entropy(h), entropy(p), q.count("&") + 1 if q else 0, h.count("-"),
+            max(map(len, h.split("."))), by[suffix(h)] / len(urls), math.log1p(len(hosts[suffix(h)])),
+        ]
+        for h, p, q in split
+    ]
+
+
+def _made_urls():
+    rng = np.random.default_rng(8)
+    out = []
+    for i in range(400):
+        spam = i % 2
+        name = "".join(rng.choice(list("abcdefgh0123456789" if spam else "aeioubcdst"), int(rng.integers(4, 18 if spam else 9))))
+        tail = "&".join(f"k{j}={j}" for j in range(int(rng.integers(0, 7 if spam else 2))))
+        out.append((f"https://{name}-x.{'net' if i % 5 else 'org'}/{name[:3]}/" + ("?" + tail if tail else ""), spam))
+    return out
+
+
+def test_url_features_and_verdicts_match_brute_force(spark):
+    made = _made_urls()
+    urls = [u for u, _ in made] + [None, "", "x", "http://A.b", "http://h.net/" + "a1/" * 20_000 + "?" + "p=1&" * 5000, made[0][0], "ftp://é.Ü.org/%20?#f?x"]
+    d = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, label string")
+    want = np.array(_plain_features(urls), float)
+    rows = {r["page_id"]: r["_features"] for r in url_filter.featured(d.select("page_id", "url")).collect()}
+    for i in range(len(urls)):
+        assert np.allclose([rows[i][n] for n in url_filter.FEATURES], want[i], atol=1e-9), urls[i]
+    labelled = spark.createDataFrame(made[:300], "url string, label int")
+    got = {r["page_id"]: r for r in url_filter.judge(d, labelled, queries.URL_RULES).collect()}
+    assert len(got) == len(urls) and got[0]["label"] == "mine"
+    model = url_filter.train(url_filter.featured(labelled, "url", url_filter.suffix_statistics(d)).select("_features", "label"))
+    held = [(got[i]["score"] >= 0.5, bool(made[i][1])) for i in range(300, 400)]
+    assert sum(a == b for a, b in held) >= 90
+    p = model.predict(want)
+    assert np.allclose([got[i]["score"] for i in range(len(urls))], p, atol=1e-9)
+    assert all(got[i]["verdict"] == ("block" if p[i] >= 0.5 else "allow") for i in range(len(urls)) if got[i]["rule"] is None)
+    assert got[len(urls) - 2]["score"] == got[0]["score"] and url_filter.judge(d.limit(0), labelled).count() == 0
+
+
+def test_a_hot_url_takes_one_place_in_training(spark):
+    x = spark.createDataFrame([(tuple(float(j == k) for k in range(len(url_filter.FEATURES))), y, m) for j, (y, m) in enumerate([(1, 5000), (0, 1), (1, 1), (0, 1)])], f"_features struct<{', '.join(f'{n}: double' for n in url_filter.FEATURES)}>, label int, m int")
+    many = x.select("_features", "label", F.explode(F.sequence(F.lit(1), F.col("m")))).drop("col")
+    model = url_filter.train(many, max_rows=4)
+    assert model.base > 3 and url_filter.train(many, max_rows=4).trees == model.trees
+
+
+def test_rules_teach_trees_that_are_measured_on_other_hosts(spark):
+    urls = [f"http://a{i}.{'site.net/x' if i % 2 else 'paper.org/fr/y'}" for i in range(200)] + ["http://other.com/"]
+    r = url_filter.held_out(spark.createDataFrame([(u,) for u in urls], "url string"), queries.URL_RULES).first()
+    assert 20 <= r["n"] <= 60 and r["accuracy"] > 0.95 and r["blocked"] in (0.0, 1.0)
+
+
 def test_toxicity_on_held_out_rows_and_edges(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,14 +71,32 @@ def read_back(formatted: str) -> list[tuple[str | None, str, int, int]]:
     return out
 
 
-def turn_tokens(text: str) -> int:
-    """Tokens of a turn for the budget: its words and three of the template."""
-    return len(text.split()) + 3
+def estimate(text: str) -> int:
+    """Tokens of a text for the budget where no tokenizer is given: its words, and one for every
+    four characters at least."""
+    return max(len(text.split()), -(-len(text) // 4))
+
+
+USUAL = ("user", "assistant", "system")
+
+
+def turn_tokens(text: str, role: str | None = "user", count: Callable[[str], int] = estimate) -> int:
+    """Tokens of a turn: its text's, three of the template, and those of an unusual role's name."""
+    return count(text) + 3 + (0 if role in USUAL else count(role_tag(role)))
+
+
+def cut_to(text: str, most: int, count: Callable[[str], int]) -> str:
+    """The longest beginning of text, or nearly so, that counts at most so many tokens."""
+    low, high = 0, len(text)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if count(text[:middle]) <= most else (low, middle - 1)
+    return text[:low]
 
 
 SCHEMA = (
     "conv_id long, window long, first_turn long, n_new long, formatted string, n_tokens long, over_budget boolean, "
-    "loss_spans array<struct<first: long, end: long>>, repeated long"
+    "loss_spans array<struct<first: long, end: long>>, repeated long, system_cut boolean"
 )
 
 
@@ -90,11 +108,15 @@ class Windows:
     repeated history: as many of the last turns before i as fit into `history` tokens. Each
     turn is new in exactly one window; loss spans are texts of new assistant turns, so targets
     that come again as history are masked. A single turn over the budget has a window of its
-    own, marked, and is not cut. Only the system turn, the history and one window are held.
+    own, marked, and is not cut. The system turn is whole where it is new; where it is repeated,
+    a quarter of the budget is its bound, and a cut one is marked. So what is repeated never
+    takes more than a quarter of the budget and the history, whatever the conversation. Only the
+    system turn, the history and one window are held.
     """
 
-    def __init__(self, budget: int, history: int) -> None:
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, count: Callable[[str], int] = estimate) -> None:
+        self.budget, self.history, self.count = budget, history, count
+        self.system_cut = False
         self.system: tuple | None = None
         self.past: list[tuple] = []
         self.new: list[tuple] = []
@@ -113,7 +135,7 @@ class Windows:
         return out[::-1]
 
     def add(self, role: str | None, text: str) -> Iterator[dict]:
-        turn = (role, text, turn_tokens(text))
+        turn = (role, text, turn_tokens(text, role, self.count))
         fixed = (self.system[2] if self.system else 0) + sum(t[2] for t in self.past)
         if self.new and fixed + self.prefix[-1] + turn[2] > self.budget:
             yield self.flush()
@@ -134,10 +156,16 @@ class Windows:
             parts += (before, body, behind)
             at += len(before) + len(body) + len(behind)
         tokens = sum(t[2] for t in repeated + self.new)
-        row = {"window": self.number, "first_turn": self.seen, "n_new": len(self.new), "formatted": "".join(parts), "n_tokens": tokens, "over_budget": tokens > self.budget, "loss_spans": spans, "repeated": len(repeated)}
+        row = {"window": self.number, "first_turn": self.seen, "n_new": len(self.new), "formatted": "".join(parts), "n_tokens": tokens, "over_budget": tokens > self.budget, "loss_spans": spans, "repeated": len(repeated), "system_cut": bool(repeated) and self.system_cut}
         self.number += 1
         if not self.seen and self.new[0][0] == "system":
-            self.system = self.new[0]
+            role, text, n = self.new[0]
+            most = self.budget // 4
+            self.system_cut = n > most
+            if self.system_cut:
+                text = cut_to(text, most - 3, self.count)
+                n = turn_tokens(text, role, self.count)
+            self.system = (role, text, n)
             tail = self.new[1:]
         else:
             tail = self.new
@@ -148,9 +176,11 @@ class Windows:
         return row
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, count: Callable[[str], int] = estimate) -> DataFrame:
     """Windows of every conversation: the formatted text, its loss spans and counts.
 
+    budget and history are in tokens as count gives them (a tokenizer's count goes there).
+
     conversations: conv_id, turn, role, text; other columns are not read. Turns are ordered by
     turn, then role and text, nulls first, so ties and repeated rows have one order. A null text
     is an empty turn, a null role is kept as such, rows with a null conv_id are one conversation.
@@ -161,7 +191,7 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("conv_id", pa.int64()), ("window", pa.int64()), ("first_turn", pa.int64()), ("n_new", pa.int64()), ("formatted", pa.string()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_()), ("loss_spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("repeated", pa.int64())]
+            [("conv_id", pa.int64()), ("window", pa.int64()), ("first_turn", pa.int64()), ("n_new", pa.int64()), ("formatted", pa.string()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_()), ("loss_spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("repeated", pa.int64()), ("system_cut", pa.bool_())]
         )
         now, state, rows = None, None, []
         for batch in batches:
@@ -169,7 +199,7 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
                 if state is None or conv != now:
                     if state is not None:
                         rows.append({"conv_id": now} | state.flush())
-                    now, state = conv, Windows(budget, history)
+                    now, state = conv, Windows(budget, history, count)
                 rows += ({"conv_id": now} | w for w in state.add(role, text or ""))
             if len(rows) >= 512:
                 yield pa.RecordBatch.from_pylist(rows, schema)

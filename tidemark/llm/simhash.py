@@ -14,6 +14,7 @@ from tidemark.runtime import materialize
 
 SEED = 42
 BLOCK = 4096  # rows of one signature that are compared in one block
+TASK = 8192  # fingerprints whose signatures one task writes
 SHORT = 48  # runs up to this length are compared lag by lag, all at once
 
 
@@ -262,8 +263,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", n: int = 5, distanc
     share their component. Other columns are not read. Empty table: no rows.
     """
     rows = materialize(fingerprints(docs, text_col, n), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(link_fingerprints(nodes.select("fp"), distance))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
+    spread = nodes.select("fp").repartition(-(-max(1, nodes.count()) // TASK))
+    parts = connected_components(link_fingerprints(spread, distance))
     named = nodes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "components")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

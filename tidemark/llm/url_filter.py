@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import let
+from tidemark.runtime import materialize
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -172,14 +173,16 @@ class Trees:
         return 1 / (1 + np.exp(-margin))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, smooth: float = 1.0, least: int = 5) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, smooth: float = 1.0, least: int = 5) -> Trees:
     """Trees for features x and labels y (0 or 1), by second-order boosting over binned features.
 
-    One label only, or no row: no tree, and the score is the smoothed share of label 1.
+    n: how many rows each stands for (None: one); bins are over distinct rows. One label only,
+    or no row: no tree, and the score is the smoothed share of label 1.
     """
-    share = (float(y.sum()) + 0.5) / (len(y) + 1.0)
+    n = np.ones(len(y)) if n is None else np.asarray(n, float)
+    share = (float((n * y).sum()) + 0.5) / (n.sum() + 1.0)
     model = Trees(float(np.log(share / (1 - share))))
-    if len(y) < 2 * least or y.min() == y.max():
+    if n.sum() < 2 * least or y.min() == y.max():
         return model
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)], axis=1)
@@ -187,16 +190,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
 
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
         leaf = -rate * g[rows].sum() / (h[rows].sum() + smooth)
-        if not left or len(rows) < 2 * least:
+        if not left or n[rows].sum() < 2 * least:
             return leaf
         whole, best = g[rows].sum() ** 2 / (h[rows].sum() + smooth), (1e-6, None, None)
         for k, c in enumerate(cuts):
             if not len(c):
                 continue
             at = binned[rows, k]
-            sums = [np.cumsum(np.bincount(at, w, len(c) + 1))[:-1] for w in (g[rows], h[rows], np.ones(len(rows)))]
+            sums = [np.cumsum(np.bincount(at, w, len(c) + 1))[:-1] for w in (g[rows], h[rows], n[rows])]
             gl, hl, nl = sums
-            gr, hr, nr = g[rows].sum() - gl, h[rows].sum() - hl, len(rows) - nl
+            gr, hr, nr = g[rows].sum() - gl, h[rows].sum() - hl, n[rows].sum() - nl
             gain = np.where((nl >= least) & (nr >= least), gl**2 / (hl + smooth) + gr**2 / (hr + smooth) - whole, 0)
             if gain.max() > best[0]:
                 best = (float(gain.max()), k, int(gain.argmax()))
@@ -208,21 +211,40 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        tree = grow(np.arange(len(y)), p - y, p * (1 - p), depth)
+        tree = grow(np.arange(len(y)), n * (p - y), n * p * (1 - p), depth)
         model.trees.append(tree)
         margin += np.log(1 / (1 / Trees(0.0, [tree]).predict(x) - 1))
     return model
 
 
 def train(labelled: DataFrame, max_rows: int = 10_000) -> Trees:
-    """Trees from rows of (_features, label), from at most max_rows of them.
+    """Trees from rows of (_features, label), from at most max_rows different ones.
 
-    The rows taken are the first by hash of their features and label, so any partitioning
-    gives the same model; that bound is what the driver holds.
+    Equal rows are one that weighs as many, so a hot one takes one place. The rows taken are the
+    first by hash of their features and label, so any partitioning gives the same model; that
+    bound is what the driver holds.
     """
-    order = F.xxhash64("_features", "label")
-    rows = labelled.filter("label is not null").select("_features.*", F.col("label").cast("double").alias("label"), order.alias("_o")).orderBy("_o", *FEATURES).limit(max_rows).toPandas()
-    return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
+    each = labelled.filter("label is not null").groupBy("_features", F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = each.select("_features.*", "label", "_n", F.xxhash64("_features", "label").alias("_o")).orderBy("_o", *FEATURES).limit(max_rows).toPandas()
+    return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["label"].to_numpy(np.float64), rows["_n"].to_numpy(np.float64))
+
+
+def held_out(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+    """(n, accuracy, blocked) of the trees on a fifth of the hosts that rules decide, having learnt
+    from the other four; blocked is the share of urls without a rule that they block."""
+    rows = materialize(_ruled(urls.select(F.col(f"`{url_col}`").alias("url")), rules, "url"), "url-features")
+    fold = F.pmod(F.xxhash64("_host"), F.lit(5)) == 0
+    model = train(rows.filter(~fold).select("_features", "label"))
+    judged = rows.select("label", fold.alias("fold"), (model.score(F.col("_features")) >= threshold).cast("int").alias("p"))
+    tested = F.col("fold") & F.col("label").isNotNull()
+    return judged.agg(F.count_if(tested).alias("n"), F.avg(F.when(tested, (F.col("p") == F.col("label")).cast("int"))).alias("accuracy"), F.avg(F.when(F.col("label").isNull(), F.col("p"))).alias("blocked"))
+
+
+def _ruled(urls: DataFrame, rules: Sequence[Rule], url_col: str, statistics: DataFrame | None = None) -> DataFrame:
+    """featured(urls) with _rule, the number of the rule that decides, and label, its verdict."""
+    block = [i for i, r in enumerate(rules) if r.verdict == "block"]
+    rows = featured(urls, url_col, statistics).withColumn("_rule", matching_rule(F.col("_host"), F.col("_path"), list(rules)))
+    return rows.withColumn("label", F.when(F.col("_rule").isNotNull(), F.col("_rule").isin(*block).cast("int")))
 
 
 def judge(urls: DataFrame, labelled: DataFrame | None = None, rules: Sequence[Rule] = (), url_col: str = "url", threshold: float = 0.5, max_rows: int = 10_000) -> DataFrame:
@@ -233,20 +255,23 @@ def judge(urls: DataFrame, labelled: DataFrame | None = None, rules: Sequence[Ru
     score reaches the threshold. Suffix statistics cover all urls; the trees see at most
     max_rows labelled rows. Null urls, and urls without ://, have an empty host and path and are
     judged by the trees like any other. Rows that repeat are judged alike; columns of urls that
-    share a result's name are replaced. Empty table: no rows.
+    share a result's name are replaced. Empty table: no rows. The urls' columns are written once
+    with their features, so pass those that are wanted, not whole pages.
     """
     clash = {"host", "path", "rule", "score", "verdict"} - {url_col}
     urls = urls.drop(*[c for c in urls.columns if c in clash])
-    statistics = suffix_statistics(urls, url_col)
-    rows = featured(urls, url_col, statistics)
-    number = matching_rule(F.col("_host"), F.col("_path"), list(rules))
+    columns = urls.columns
+    urls = urls.withColumnsRenamed({"label": "_label"})
+    statistics = materialize(suffix_statistics(urls, url_col), "suffixes")
+    rows = materialize(_ruled(urls, rules, url_col, statistics), "url-features")
+    number = F.col("_rule")
     if labelled is None:
-        block = [i for i, r in enumerate(rules) if r.verdict == "block"]
-        taught = rows.select("_features", number.alias("n")).filter("n is not null").select("_features", F.col("n").isin(*block).cast("int").alias("label"))
+        taught = rows.select("_features", "label")
     else:
         taught = featured(labelled.select(F.col("url"), F.col("label")), "url", statistics).select("_features", "label")
     model = train(taught, max_rows)
     names, verdicts = (F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>") for x in ([r.name for r in rules], [r.verdict for r in rules]))
     score = model.score(F.col("_features"))
     verdict = F.coalesce(F.get(verdicts, number), F.when(score >= threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.select(*[F.col(f"`{c}`") for c in urls.columns], F.col("_host").alias("host"), F.col("_path").alias("path"), F.get(names, number).alias("rule"), score.alias("score"), verdict.alias("verdict"))
+    kept = [F.col("_label" if c == "label" else f"`{c}`").alias(c) for c in columns]
+    return rows.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.get(names, number).alias("rule"), score.alias("score"), verdict.alias("verdict"))
