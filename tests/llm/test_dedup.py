@@ -182,18 +182,18 @@ def test_long_lines_recur_from_two_documents(spark):
 
 
 def test_a_text_of_many_lines_is_cleared_in_time(spark):
-    shared = [f"line of stock number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} x" for i in range(100_000)]
-    own = [f"own {x}" for x in shared]
+    shared = [f"line of {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} stock x" for i in range(100_000)]
+    own = [f"own {x[3]}{x[8:12]} {x}" for x in shared]
     long = "\n".join(x for pair in zip(shared, own, strict=True) for x in pair)
-    rows = [(1, "\n".join(shared)), (2, "\n".join(shared)), (9, long)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), constant=2.0).collect()}
+    rows = [(1, "\n".join(shared)), (2, "\n".join(shared)), (3, shared[0]), (9, long)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[9]["n_lines"], got[9]["n_dropped"], got[9]["text"]) == (200_000, 100_000, "\n".join(own))
     assert (got[1]["n_dropped"], got[2]["n_dropped"]) == (0, 100_000)
 
 
 def test_lines_as_short_as_the_tree_is_deep_only_recur_verbatim(spark):
-    rows = [(i, f"the end of {x}\nthe sad end of {x}\nwith many thanks to our {x}") for i, x in enumerate(("ann", "bob", "cy"))]
+    rows = [(i, f"the end of {x}\nthe sad end of our {x}\nwith many thanks to our dear {x}") for i, x in enumerate(("ann", "bob", "cy"))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(d).collect()}
     assert got[0] == rows[0][1]
-    assert all(got[i] == f"the end of {x}" for i, x in ((1, "bob"), (2, "cy")))
+    assert all(got[i] == f"the end of {x}\nthe sad end of our {x}" for i, x in ((1, "bob"), (2, "cy")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidemark.runtime import broadcast_if_small, materialize
 
 # Words with a digit are variable fields wherever they stand: numbers, dates, ids, addresses.
 VARIABLE = "<*>"
+FIELD = "<>"  # a variable field of a generalised template
+SEGMENTS = 5
 _WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
@@ -45,16 +49,36 @@ def parsed(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     return materialize(lines_of(rows, F.col("_text"), depth).select("row", "doc_id", "pos", "n", "path", "full"), "lines")
 
 
-def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: str, depth: int, min_docs: int, constant: float) -> DataFrame:
-    """Generalised templates by documents, as (path, full, first), over counted(.., recurs).
+def masked_templates(words: Column, depth: int) -> Column:
+    """Hashes of the templates that a line may belong to: what stands behind its leading tokens is
+    cut into SEGMENTS runs, and the tokens of one or two of them become variable fields, in every
+    way that leaves three fifths of these tokens. So lines with variable fields in any two of the
+    runs share a template, and a line has fifteen of them at most."""
+
+    def key(w: Column, t: Column, a: int, b: int) -> Column:
+        edge = lambda g: F.floor(g * t / SEGMENTS)
+        inside = lambda i, g: (i - depth >= edge(g)) & (i - depth < edge(g + 1))
+        size = edge(a + 1) - edge(a) + (edge(b + 1) - edge(b) if a != b else 0)
+        line = F.transform(w, lambda x, i: F.when(inside(i, a) | inside(i, b), F.lit(FIELD)).otherwise(x))
+        return F.when((size > 0) & (SEGMENTS * size <= 2 * t), F.xxhash64(line))
+
+    def keys(w: Column, t: Column) -> Column:
+        each = [key(w, t, a, b) for a, b in combinations_with_replacement(range(SEGMENTS), 2)]
+        return F.array_distinct(F.filter(F.array(*each), lambda x: x.isNotNull()))
+
+    return let(words, lambda w: let(F.size(w) - depth, lambda t: keys(w, t)))
+
 
-    All lines of a leaf vote, those that recur verbatim too. A token is constant if min_docs
-    documents have it at its place. A rare line of which enough is constant recurs if min_docs
-    documents have lines in the leaf with all its constant tokens; these lines are one template.
-    Documents with several lines in a leaf count once: they are counted apart from the rest.
-    A line of no more than `depth` tokens is its own path, so nothing of it can vary.
+def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: str, depth: int, min_docs: int) -> DataFrame:
+    """Lines of generalised templates that recur, as (path, full, first), over counted(.., recurs).
+
+    A template recurs if min_docs documents have lines of it and one of the lines is rare; lines
+    that recur verbatim count as well. Documents with several lines in a leaf count once a
+    template: they are counted apart from the rest. Behind the leading tokens of a line of
+    depth + 2 tokens or fewer too little stands for a field to vary, so those only recur verbatim.
+    Every line gives its own templates, however many share its leaf, so work grows with lines.
     """
-    leaves = counted.filter(F.col("n") > depth).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.count_if(~F.col("recurs")).alias("rare"))
+    leaves = counted.filter(F.col("n") > depth + 2).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.count_if(~F.col("recurs")).alias("rare"))
     leaves = leaves.filter((F.col("lines") > 1) & (F.col("docs") >= min_docs) & (F.col("rare") > 0)).select("path")
     member = lines.join(broadcast_if_small(materialize(leaves, "voting-leaves")), "path").select("path", "full", "row", "doc_id").distinct()
     member = materialize(member, "voting-lines")
@@ -69,36 +93,23 @@ def _variants(docs: DataFrame, lines: DataFrame, counted: DataFrame, text_col: s
     where = broadcast_if_small(materialize(voters.select(F.col("row").alias("_row")).distinct(), "voter-rows"))
     again = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("_text")).join(where, F.col("row") == F.col("_row"), "left_semi")
     words = lines_of(again, F.col("_text"), depth).select("row", "path", "full", "m").distinct()
-    tokens = words.join(voters, ["path", "full", "row"]).drop("row").withColumn("w", F.split("m", " ")).drop("m")
-    tokens = materialize(tokens, "voter-tokens")
-
-    def by_documents(keyed: DataFrame, *key: str) -> DataFrame:
-        """Documents of each key of (path, full, single, *key), as (*key, docs)."""
-        alone = keyed.groupBy(*key).agg(F.sum("single").alias("docs"))
-        more = keyed.select("path", "full", *key[1:]).join(several, ["path", "full"]).select(*key, "row").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("docs"))
-        return alone.unionByName(more).groupBy(*key).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-
-    placed = tokens.select("path", "full", "single", "recurs", F.posexplode("w").alias("place", "token"))
-    constants = by_documents(placed, "path", "place", "token").drop("docs")
-    shape = placed.filter(~F.col("recurs")).join(constants, ["path", "place", "token"]).groupBy("path", "full").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    shape = tokens.join(shape, ["path", "full"]).filter(F.size("places") >= constant * F.size("w")).select("path", "full", "places")
-    shape = materialize(shape, "shapes")
-    masks = broadcast_if_small(materialize(shape.select("path", "places").distinct(), "masks"))
-    key = F.xxhash64("places", F.transform("places", lambda p: F.get(F.col("w"), p)))
-    cut = materialize(tokens.join(masks, "path").select("path", "full", "single", "first", "places", key.alias("template")), "cut-lines")
-    owned = cut.join(shape, ["path", "full", "places"], "left_semi").select("path", "template").distinct()
-    found = by_documents(cut, "path", "template").drop("docs").join(owned, ["path", "template"])
-    firsts = cut.join(found, ["path", "template"]).groupBy("path", "template").agg(F.min("first").alias("first"))
-    return cut.drop("first").join(firsts, ["path", "template"]).select("path", "full", "first")
-
-
-def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, long_tokens: int = 50) -> DataFrame:
+    keyed = words.join(voters, ["path", "full", "row"]).select("path", "full", "single", "first", "recurs", F.explode(masked_templates(F.split("m", " "), depth)).alias("template"))
+    keyed = materialize(keyed, "line-templates")
+
+    alone = keyed.groupBy("path", "template").agg(F.sum("single").alias("docs"), F.min("first").alias("first"), F.bool_and("recurs").alias("verbatim"))
+    more = keyed.select("path", "full", "template").join(several, ["path", "full"]).select("path", "template", "row").distinct()
+    more = more.groupBy("path", "template").agg(F.count(F.lit(1)).alias("more"))
+    found = alone.join(more, ["path", "template"], "left").filter((F.col("docs") + F.coalesce("more", F.lit(0)) >= min_docs) & ~F.col("verbatim"))
+    return keyed.drop("first").join(found.select("path", "template", "first"), ["path", "template"]).select("path", "full", "first")
+
+
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, long_tokens: int = 50) -> DataFrame:
     """Recurring templates as (path, full, first): whole masked lines, and generalised ones.
 
     The tree's first level is the token count, then come `depth` leading tokens; a line's path
     leads to a leaf. A masked line that min_docs documents share is a template as it stands, one
     of more than long_tokens tokens as soon as two do. In a leaf where other lines meet too,
-    places where they differ become variable fields: see _variants. Only documents with lines
+    runs of tokens in which they differ become variable fields: see _variants. Only documents with lines
     in such leaves are parsed again, for the words.
     """
     once = lines.select("path", "full", "n", "row", "doc_id").distinct()
@@ -106,11 +117,11 @@ def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", depth:
     recurs = (F.col("docs") >= min_docs) | ((F.col("n") > long_tokens) & (F.col("docs") >= 2))
     counted = materialize(counted.withColumn("recurs", recurs), "line-counts")
     whole = counted.filter("recurs").select("path", "full", "first")
-    found = whole.unionByName(_variants(docs, lines, counted, text_col, depth, min_docs, constant))
+    found = whole.unionByName(_variants(docs, lines, counted, text_col, depth, min_docs))
     return broadcast_if_small(materialize(found.groupBy("path", "full").agg(F.min("first").alias("first")), "templates"))
 
 
-def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, constant: float = 0.6, long_tokens: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int = 3, long_tokens: int = 50) -> DataFrame:
     """docs with the text of each row cleared of recurring lines, and n_lines, n_dropped.
 
     A line goes if its template recurs (see templates) and this is not the template's first
@@ -129,7 +140,7 @@ def dedup(docs: DataFrame, text_col: str = "text", depth: int = 4, min_docs: int
     columns = docs.columns
     text = F.col(f"`{text_col}`")
     lines = parsed(docs, text_col, depth)
-    found = templates(docs, lines, text_col, depth, min_docs, constant, long_tokens)
+    found = templates(docs, lines, text_col, depth, min_docs, long_tokens)
     hit = lines.join(found, ["path", "full"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("row", F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_drop"))
     joined = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(drops.withColumnRenamed("row", "_key"), (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")

@@ -56,17 +56,13 @@ u AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_sub
 m AS (SELECT *, regexp_replace(array_to_string(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM u),
 l AS (SELECT *, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:4], ' ') AS lead FROM m WHERE m <> ''),
 c AS (SELECT m, n, lead, count(DISTINCT k) AS docs, min(doc_id) AS first, count(DISTINCT k) >= 3 OR n > 50 AND count(DISTINCT k) >= 2 AS recurs FROM l GROUP BY 1, 2, 3),
-v AS (SELECT * FROM c WHERE n > 4 QUALIFY count(*) OVER (PARTITION BY n, lead) > 1 AND sum(docs) OVER (PARTITION BY n, lead) >= 3),
-o AS (SELECT DISTINCT v.*, l.k, l.doc_id FROM v JOIN l USING (m)),
-t AS (SELECT m, n, lead, recurs, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS place FROM v),
-con AS (SELECT t.n, t.lead, place, token FROM t JOIN o USING (m) GROUP BY ALL HAVING count(DISTINCT k) >= 3),
-shape AS (SELECT m, n, lead, list(place ORDER BY place) AS places FROM t JOIN con USING (n, lead, place, token) WHERE NOT recurs GROUP BY 1, 2, 3 HAVING count(*) >= 0.6 * n),
-masks AS (SELECT DISTINCT n, lead, places FROM shape),
-cut AS (SELECT v.m, n, lead, places, list_transform(places, lambda p: string_split(v.m, ' ')[p]) AS tokens FROM v JOIN masks USING (n, lead)),
-owned AS (SELECT DISTINCT cut.n, cut.lead, cut.places, cut.tokens FROM cut JOIN shape ON cut.m = shape.m AND cut.places = shape.places),
-gen AS (SELECT n, lead, places, tokens, min(o.doc_id) AS first FROM cut JOIN owned USING (n, lead, places, tokens) JOIN o USING (m, n, lead) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT k) >= 3),
+v AS (SELECT *, string_split(m, ' ') AS w, n - 4 AS t FROM c WHERE n > 6),
+pairs AS (SELECT a.g AS a, b.g AS b FROM range(5) a(g), range(5) b(g) WHERE a.g <= b.g),
+cut AS (SELECT DISTINCT m, n, lead, recurs, array_to_string(list_transform(w, lambda x, i: CASE WHEN i - 5 >= a * t // 5 AND i - 5 < (a + 1) * t // 5 OR i - 5 >= b * t // 5 AND i - 5 < (b + 1) * t // 5 THEN '<>' ELSE x END), ' ') AS template
+  FROM v, pairs WHERE 5 * ((a + 1) * t // 5 - a * t // 5 + CASE WHEN a < b THEN (b + 1) * t // 5 - b * t // 5 ELSE 0 END) BETWEEN 1 AND 2 * t),
+gen AS (SELECT cut.n, cut.lead, template, min(l.doc_id) AS first FROM cut JOIN l USING (m) GROUP BY 1, 2, 3 HAVING count(DISTINCT k) >= 3 AND NOT bool_and(recurs)),
 found AS (SELECT m, min(first) AS first FROM (
-  SELECT m, first FROM c WHERE recurs UNION ALL SELECT cut.m, gen.first FROM cut JOIN gen USING (n, lead, places, tokens)) GROUP BY m),
+  SELECT m, first FROM c WHERE recurs UNION ALL SELECT cut.m, gen.first FROM cut JOIN gen USING (n, lead, template)) GROUP BY m),
 x AS (SELECT m.*, coalesce(m.doc_id IS DISTINCT FROM f.first, false) AND f.m IS NOT NULL AS gone FROM m LEFT JOIN found f ON m.m = f.m)
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE m <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, md5(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_md5
 FROM x GROUP BY k
