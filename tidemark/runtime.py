@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,8 @@ def workers_import(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where the setting is absent and all runs on one machine (tests), a temporary folder
+    takes its place.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
@@ -50,14 +53,56 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         known = sc._jsc.sc().getCheckpointDir()
     return str(known.get()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for one run's table or model; no two calls return the same."""
-    return f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A path for one run's table or model; no two calls return the same. What is there when the
+    driver ends is deleted then."""
+    uri = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    store, path = _store(spark, uri)
+    store.deleteOnExit(path)
+    return uri
+
+
+def _store(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+_scopes: list[dict[str, SparkSession]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[_Tables]:
+    """Deletes the tables that materialize() writes inside, but for those that are kept.
+
+    For work whose result is one small table: what leaves the block must not read the others.
+    """
+    _scopes.append({})
+    try:
+        yield _Tables(_scopes[-1])
+    finally:
+        for uri, spark in _scopes.pop().items():
+            store, path = _store(spark, uri)
+            store.delete(path, True)
+
+
+class _Tables:
+    def __init__(self, written: dict[str, SparkSession]) -> None:
+        self.written = written
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Leave a table that materialize() returned, to the scope around or to the driver's end."""
+        uri = table.__dict__["written_to"]
+        spark = self.written.pop(uri)
+        if len(_scopes) > 1:
+            _scopes[-2][uri] = spark
+        return table
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -68,7 +113,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1][path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
