@@ -34,10 +34,10 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def features(term: bytes) -> list[bytes]:
-    """A term, and its beginnings of 3 to 7 characters, marked with a star: stems, in languages
+    """A term, and its beginnings of 3, 5 and 7 characters, marked with a star: stems, in languages
     that build their words from them."""
     word = term.decode("utf-8", "replace")
-    return [term, *[word[:n].encode() + b"*" for n in range(3, min(8, len(word)))]]
+    return [term, *[word[:n].encode() + b"*" for n in (3, 5, 7) if n < len(word)]]
 
 
 Vector = tuple[np.ndarray, np.ndarray]  # numbers of features, ascending, and their occurrences
@@ -156,7 +156,9 @@ class Index:
     of each feature in every block.
 
     start[f, b] to start[f, b + 1] are the postings of feature f in block b. Like examples stand
-    together, so that the bounds of other blocks are low.
+    together, so that the bounds of other blocks are low. The lists of features that a sixteenth
+    of the examples have are rows of a matrix instead (row[f], else -1): their part of all cosines
+    is one product, which makes the bounds tight.
     """
 
     weight: np.ndarray
@@ -166,6 +168,8 @@ class Index:
     example: np.ndarray
     value: np.ndarray
     block_max: np.ndarray
+    row: np.ndarray
+    dense: np.ndarray
     k: int
     prior: float
     weights: tuple[float, float]
@@ -202,13 +206,19 @@ class Index:
         example = np.repeat(np.arange(len(units), dtype=np.int32), [len(u[0]) for u in units])
         order = np.lexsort((example, feature))
         feature, example, value = feature[order], example[order], value[order]
+        often = np.bincount(feature, minlength=len(weight)) * 16 >= max(16, len(units))
+        row = np.where(often, np.cumsum(often) - 1, -1)
+        dense = np.zeros((int(often.sum()), len(units)))
+        there = often[feature]
+        dense[row[feature[there]], example[there]] = value[there]
+        feature, example, value = feature[~there], example[~there], value[~there]
         blocks = -(-len(units) // BLOCK)
         at = feature * blocks + example // BLOCK
         start = np.searchsorted(at, np.arange(len(weight) * blocks + 1)).astype(np.int32)
         bound = np.zeros(len(weight) * blocks)
         np.maximum.at(bound, at, value)
         edges = np.arange(len(weight))[:, None] * blocks + np.arange(blocks + 1)[None, :]
-        return cls(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), start[edges], example, value, bound.reshape(len(weight), blocks), k, prior, weights)
+        return cls(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), start[edges], example, value, bound.reshape(len(weight), blocks).astype(np.float32) * np.float32(1.000001), row, dense, k, prior, weights)
 
     @staticmethod
     def _unit(v: Vector, weight: np.ndarray) -> Vector:
@@ -216,17 +226,25 @@ class Index:
         w = (1.0 + np.log(v[1])) * weight[v[0]]
         return v[0], w / np.sqrt((w * w).sum())
 
-    def _cosines(self, found: np.ndarray, w: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
-        """Cosines with the examples of those blocks (None: all); 0 for other examples."""
-        if blocks is None:
-            low, high = self.start[found, 0], self.start[found, -1]
-        else:
-            low, high = self.start[found][:, blocks].ravel(), self.start[found][:, blocks + 1].ravel()
-            w = np.repeat(w, len(blocks))
-        n = high - low
+    def _dense(self, found: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What frequent features add to every cosine, and the other features with their weights."""
+        row = self.row[found]
+        often = row >= 0
+        return np.einsum("i,ij->j", w[often], self.dense[row[often]]), found[~often], w[~often]  # einsum: one thread
+
+    def _listed(self, found: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """What listed features add to the cosines with the examples of those blocks."""
+        start = self.start[found]
+        low, high = start[:, blocks].ravel(), start[:, blocks + 1].ravel()
+        some = high > low
+        low, n, w = low[some], (high - low)[some], np.repeat(w, len(blocks))[some]
         ends = np.cumsum(n)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
-        return np.minimum(np.bincount(self.example[at], np.repeat(w, n) * self.value[at], len(self.ids)), 1.0)
+        return np.bincount(self.example[at], np.repeat(w, n) * self.value[at], len(self.ids))
+
+    def _cosines(self, found: np.ndarray, w: np.ndarray) -> np.ndarray:
+        s, found, w = self._dense(found, w)
+        return np.minimum(s + self._listed(found, w, np.arange(self.block_max.shape[1])), 1.0)
 
     def nearest(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine over 0, and of all that tie with
@@ -234,16 +252,21 @@ class Index:
         bounds reach it are read."""
         if not len(v[0]) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        found, w = self._unit(v, self.weight)
-        bound = w @ self.block_max[found]
+        part, found, w = self._dense(*self._unit(v, self.weight))
+        firsts = np.arange(0, len(part), BLOCK)
+        bound = np.maximum.reduceat(part, firsts) + np.einsum("i,ij->j", w, self.block_max[found])
         order = np.argsort(-bound, kind="stable")
-        first = -(-self.k // BLOCK)
-        s = self._cosines(found, w, order[:first])
-        kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
-        more = order[first:][bound[order[first:]] >= kth - 1e-9]
-        if len(more):
-            s += self._cosines(found, w, more)
+        blocks = order[: -(-self.k // BLOCK)]
+        s = np.zeros(len(part))
+        kth = 0.0
+        while len(blocks):
+            add = self._listed(found, w, blocks)
+            for b in blocks.tolist():
+                here = slice(b * BLOCK, (b + 1) * BLOCK)
+                s[here] = np.minimum(part[here] + add[here], 1.0)
+            order = order[len(blocks) :]
             kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
+            blocks = order[bound[order] >= kth - 1e-6]
         n = np.nonzero((s >= kth - 1e-12) & (s > 0))[0]
         order = np.lexsort((self.ids[n], -np.round(s[n], 12)))
         return n[order], s[n][order]
