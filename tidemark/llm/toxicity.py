@@ -36,6 +36,8 @@ def terms(text: bytes | None) -> list[bytes]:
 def features(term: bytes) -> list[bytes]:
     """A term, and its beginnings of 3, 5 and 7 characters, marked with a star: stems, in languages
     that build their words from them."""
+    if term.isascii():
+        return [term, *[term[:n] + b"*" for n in (3, 5, 7) if n < len(term)]]
     word = term.decode("utf-8", "replace")
     return [term, *[word[:n].encode() + b"*" for n in (3, 5, 7) if n < len(word)]]
 
@@ -174,6 +176,7 @@ class Index:
     prior: float
     weights: tuple[float, float]
     line: tuple[float, float] = (1.0, 0.0)
+    room: np.ndarray | None = None
 
     @classmethod
     def build(cls, weight: np.ndarray, rows: list[tuple[int, int, Vector]], k: int, prior: float, weights: tuple[float, float]) -> Index:
@@ -230,7 +233,10 @@ class Index:
         """What frequent features add to every cosine, and the other features with their weights."""
         row = self.row[found]
         often = row >= 0
-        return np.einsum("i,ij->j", w[often], self.dense[row[often]]), found[~often], w[~often]  # einsum: one thread
+        if self.room is None:
+            self.room = np.empty_like(self.dense)
+        rows = np.take(self.dense, row[often], axis=0, out=self.room[: int(often.sum())], mode="clip")
+        return np.einsum("i,ij->j", w[often], rows), found[~often], w[~often]  # einsum: one thread
 
     def _listed(self, found: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """What listed features add to the cosines with the examples of those blocks."""
@@ -248,26 +254,18 @@ class Index:
 
     def nearest(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine over 0, and of all that tie with
-        the last. The blocks with the highest bounds give a first k-th cosine; then those whose
-        bounds reach it are read."""
+        the last. What frequent features give is a lower bound of the k-th cosine; the lists are
+        read in those blocks alone whose upper bounds reach it."""
         if not len(v[0]) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         part, found, w = self._dense(*self._unit(v, self.weight))
-        firsts = np.arange(0, len(part), BLOCK)
-        bound = np.maximum.reduceat(part, firsts) + np.einsum("i,ij->j", w, self.block_max[found])
-        order = np.argsort(-bound, kind="stable")
-        blocks = order[: -(-self.k // BLOCK)]
-        s = np.zeros(len(part))
-        kth = 0.0
-        while len(blocks):
-            add = self._listed(found, w, blocks)
-            for b in blocks.tolist():
-                here = slice(b * BLOCK, (b + 1) * BLOCK)
-                s[here] = np.minimum(part[here] + add[here], 1.0)
-            order = order[len(blocks) :]
-            kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
-            blocks = order[bound[order] >= kth - 1e-6]
-        n = np.nonzero((s >= kth - 1e-12) & (s > 0))[0]
+        kth = lambda s: np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
+        bound = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK)) + np.einsum("i,ij->j", w, self.block_max[found])
+        blocks = np.nonzero(bound >= kth(part) - 1e-6)[0]
+        s = np.minimum(part + self._listed(found, w, blocks), 1.0)
+        if len(blocks) < len(bound):
+            s[~np.isin(np.arange(len(s)) // BLOCK, blocks)] = 0.0
+        n = np.nonzero((s >= kth(s) - 1e-12) & (s > 0))[0]
         order = np.lexsort((self.ids[n], -np.round(s[n], 12)))
         return n[order], s[n][order]
 
