@@ -252,19 +252,28 @@ class Index:
         s, found, w = self._dense(found, w)
         return np.minimum(s + self._listed(found, w, np.arange(self.block_max.shape[1])), 1.0)
 
+    def _read(self, part: np.ndarray, found: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of those blocks, 0 for others."""
+        s = np.minimum(part + self._listed(found, w, blocks), 1.0)
+        if len(blocks) < self.block_max.shape[1]:
+            s[~np.isin(np.arange(len(s)) // BLOCK, blocks)] = 0.0
+        return s
+
     def nearest(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine over 0, and of all that tie with
-        the last. What frequent features give is a lower bound of the k-th cosine; the lists are
-        read in those blocks alone whose upper bounds reach it."""
+        the last. What frequent features give is a lower bound of the k-th cosine (where they
+        give none, the blocks with the highest bounds do); the lists are read in those blocks
+        alone whose upper bounds reach it."""
         if not len(v[0]) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         part, found, w = self._dense(*self._unit(v, self.weight))
         kth = lambda s: np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
         bound = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK)) + np.einsum("i,ij->j", w, self.block_max[found])
-        blocks = np.nonzero(bound >= kth(part) - 1e-6)[0]
-        s = np.minimum(part + self._listed(found, w, blocks), 1.0)
-        if len(blocks) < len(bound):
-            s[~np.isin(np.arange(len(s)) // BLOCK, blocks)] = 0.0
+        low = kth(part)
+        if not low:
+            first = np.argsort(-bound, kind="stable")[: -(-self.k // BLOCK)]
+            low = kth(self._read(part, found, w, first))
+        s = self._read(part, found, w, np.nonzero(bound >= low - 1e-6)[0])
         n = np.nonzero((s >= kth(s) - 1e-12) & (s > 0))[0]
         order = np.lexsort((self.ids[n], -np.round(s[n], 12)))
         return n[order], s[n][order]
