@@ -318,11 +318,11 @@ def train(texts: DataFrame, text_col: str = "text", folder: str | None = None, h
     ranges = 1 << (min(4096, max(16, rows.rdd.getNumPartitions())) - 1).bit_length()
     spread = _hot(rows, ranges) if hot is None else _hashes(hot)
     counted = rows.mapInArrow(_count(ranges, spread), "r int, blob binary")
-    merged = materialize(counted.repartition(F.col("r")).sortWithinPartitions("r").mapInArrow(_bigrams(folder, ranges, spread), _OUT), "ngram-types")
+    merged = materialize(counted.repartitionById(ranges, "r").sortWithinPartitions("r").mapInArrow(_bigrams(folder, ranges, spread), _OUT), "ngram-types")
     parts = merged.filter("kind = 'hot'").groupBy("r").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(4)]).collect()
     parts = sorted(parts, key=lambda x: x["r"])
     blobs.put(f"{folder}/hot", {"context": spread[[x["r"] for x in parts]]} | {k: np.array([x[f"n{i}"] for x in parts], np.int64) for i, k in enumerate(("total", "n1", "n2", "n3"))})
-    low = merged.filter("kind = 'types'").select("r", "blob").repartition(F.col("r")).sortWithinPartitions("r")
+    low = merged.filter("kind = 'types'").select("r", "blob").repartitionById(ranges, "r").sortWithinPartitions("r")
     low = low.mapInArrow(_unigrams(folder), _OUT)
     sums = lambda df, n: df.select(*[F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)) for i in range(n)]).first()
     a = sums(merged.filter("kind = 'sums'"), 6)
