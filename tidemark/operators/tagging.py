@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tidemark.runtime import materialize
+
 MAX_NAMES = 100_000  # of the dictionary that workers hold
 
 # What a financial holding's subsidiaries add to its stem.
@@ -21,6 +23,11 @@ def dictionary(tickers: DataFrame, stop: list[str] = ()) -> dict[str, str]:
     names = tickers.filter(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("ticker").alias("ticker")).filter("n = 1")
     if stop:
         names = names.filter(~F.col("name").isin(*stop))
+    return _held(names)
+
+
+def _held(names: DataFrame) -> dict[str, str]:
+    """Names and codes as each worker holds them: MAX_NAMES at most."""
     rows = names.select("name", "ticker").limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         raise ValueError(f"over {MAX_NAMES} names")
@@ -39,7 +46,9 @@ def found_names(text: str, automaton, order: dict[str, int]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _tagger(names: dict[str, str]):
+def _tagger(names: dict[str, str], codes: bool):
+    """Titles to the names in them, or to the codes of those names."""
+
     @F.pandas_udf(ArrayType(StringType()))
     def tag(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
@@ -51,28 +60,30 @@ def _tagger(names: dict[str, str]):
         if names:
             automaton.make_automaton()
         for part in texts:
-            yield part.map(lambda t: found_names(t, automaton, order) if names and t else [])
+            yield part.map(lambda t: [names[n] if codes else n for n in found_names(t, automaton, order)] if names and t else [])
 
     return tag
 
 
 def tag(articles: DataFrame, tickers: DataFrame, stop: list[str] = (), title: str = "title") -> DataFrame:
     """articles with related_tickers: bracketed codes that exist, and names, sorted, once each."""
-    names = dictionary(tickers, list(stop))
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
-    codes = tickers.select(F.array_agg("ticker").alias("_codes"))
-    rows = articles.crossJoin(F.broadcast(codes))
-    known = F.array_intersect(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(CODE), F.lit(1)), F.col("_codes"))
-    named = F.transform(_tagger(names)(F.col(title)), lambda n: F.element_at(lookup, n)) if names else F.array().cast("array<string>")
-    return rows.withColumn("related_tickers", F.array_sort(F.array_union(known, named))).drop("_codes")
+    named = _tagger(dictionary(tickers, list(stop)), True)(F.col(title))
+    rows = articles.withColumn("_at", F.monotonically_increasing_id()).withColumn("_named", named)
+    rows = materialize(rows.withColumn("_said", F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(CODE), F.lit(1))), "tagged")
+    said = rows.filter(F.size("_said") > 0).select("_at", F.explode(F.array_distinct("_said")).alias("ticker"))
+    known = said.join(tickers.select("ticker").distinct(), "ticker", "left_semi").groupBy("_at").agg(F.collect_list("ticker").alias("_known"))
+    none = F.array().cast("array<string>")
+    found = F.array_sort(F.array_distinct(F.concat(F.coalesce("_known", none), "_named")))
+    return rows.join(known, "_at", "left").withColumn("related_tickers", found).drop("_at", "_named", "_said", "_known")
 
 
 def stop_list(articles: DataFrame, tickers: DataFrame, fires: int = 30, rate: float = 0.02) -> DataFrame:
-    """(name, ticker, fires, cooccur_rate) of names that often appear without their code."""
+    """(name, ticker, fires, cooccur_rate) of names that often appear without their code. Over
+    MAX_NAMES names raise."""
     names = tickers.filter("name is not null and name <> ''").groupBy("name").agg(F.min("ticker").alias("ticker"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    plain = {r["name"]: r["ticker"] for r in names.limit(MAX_NAMES).collect()}
-    hits = articles.select(text.alias("t")).select("t", F.explode(_tagger(plain)(F.col("t"))).alias("name")).join(F.broadcast(names), "name")
+    plain = _held(names)
+    hits = articles.select(text.alias("t")).select("t", F.explode(_tagger(plain, False)(F.col("t"))).alias("name")).join(F.broadcast(names), "name")
     agg = hits.groupBy("name", "ticker").agg(F.count(F.lit(1)).alias("fires"), F.avg(F.contains("t", F.col("ticker")).cast("int")).alias("r"))
     return agg.filter((F.col("fires") >= fires) & (F.col("r") < rate)).select("name", "ticker", "fires", F.round("r", 4).alias("cooccur_rate"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators import bars, gates, serving, validation
+from tidemark.operators import bars, contracts, gates, reads, serving, validation
 from tidemark.plans.book import Book, Tables
 from tidemark.plans.market_queries import _DERIVED
 
@@ -272,3 +272,87 @@ def q_Q05_block_page(t: Tables) -> DataFrame:
 def q_ST1_advance(t: Tables) -> DataFrame:
     ids = t.articles.filter("n % 3 = 0").select("article_id")
     return gates.advance(t.articles, ids, "clustered", "summarized").select("article_id", "stage")
+
+
+@book.query(f"""WITH b AS (SELECT event_id AS anchor_id, tickers[1] AS ticker, categories AS mine FROM entities WHERE k % 10 = 0 AND len(tickers) > 0 AND len(categories) > 0)
+SELECT anchor_id, make_timestamp(occurred * 1000000)::DATE AS date, title, event_id, event_id = anchor_id AS is_current FROM entities JOIN b ON list_contains(tickers, ticker) AND list_has_any(categories, mine) WHERE {_READY}""", days=("date",))
+def q_E03_timelines(t: Tables) -> DataFrame:
+    return reads.timelines_of(t.entities, t.entities.filter("k % 10 = 0")).select("anchor_id", "date", "title", "event_id", "is_current")
+
+
+@book.query(f"""WITH r AS (SELECT *, make_timestamp(occurred * 1000000)::DATE AS day FROM entities WHERE {_READY} AND list_contains(tickers, '2330'))
+SELECT 'week' AS kind, event_id FROM (SELECT * FROM r WHERE day >= DATE '2025-01-10' - 7 ORDER BY {_RANK} LIMIT 20) UNION ALL SELECT 'today', event_id FROM r WHERE day = DATE '2025-01-10'
+UNION ALL SELECT 'all', event_id FROM (SELECT * FROM r ORDER BY {_RANK} LIMIT 20 OFFSET 1)""")
+def q_E05_F09_ranges(t: Tables) -> DataFrame:
+    part = lambda kind, keyword, **more: reads.in_range(t.entities, "2330", keyword, "2025-01-10", **more).select(F.lit(kind).alias("kind"), "event_id")
+    return part("week", "week").unionByName(part("today", "no such range")).unionByName(part("all", "all", offset=1))
+
+
+@book.query(f"SELECT event_id, row_number() OVER (ORDER BY {_RANK}) AS place FROM entities WHERE {_READY} AND make_timestamp(occurred * 1000000)::DATE = DATE '2025-01-03'")
+def q_E07_day(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = reads.events_of(t.entities, "2025-01-03").limit(300)
+    return rows.select("event_id", F.row_number().over(Window.orderBy(*serving.ranking())).cast("long").alias("place"))
+
+
+_ANCHORS = "SELECT event_id AS id, tickers[1] AS ticker, DATE '1995-03-01' + ((k * 17) % 2200)::INT AS day FROM entities WHERE len(tickers) > 0"
+
+
+@book.query(f"""WITH {_DERIVED}, xa AS ({_ANCHORS}), xj AS (SELECT xa.id, xa.day, c.* FROM xa JOIN chips c USING (ticker)),
+xs AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS up FROM xj WHERE date <= day), xd AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS down FROM xj WHERE date > day),
+xr AS (SELECT * EXCLUDE (up), 1 - up AS place FROM xs WHERE up <= 6 UNION ALL SELECT * EXCLUDE (down), down FROM xd WHERE down <= 5)
+SELECT id, ticker, (count(*) FILTER (WHERE place < 0))::INT AS event_index, max(date) AS as_of, round(max(return_5d) FILTER (WHERE place = 0), 6) AS return_5d, round(coalesce(max(volume_ratio_vs_avg20) FILTER (WHERE place = 0), 1), 6) AS volume_ratio,
+  coalesce(max(foreign_consecutive_days) FILTER (WHERE place = 0), 0)::INT AS run, string_agg(date::VARCHAR || ':' || foreign_net::VARCHAR, ',' ORDER BY date) AS series FROM xr GROUP BY id, ticker HAVING max(close) FILTER (WHERE place = 0) <> 0""", days=("as_of",))
+def q_E14_reactions(t: Tables) -> DataFrame:
+    day = F.date_add(F.lit("1995-03-01").cast("date"), ((F.col("k") * 17) % 2200).cast("int"))
+    anchors = t.entities.select(F.col("event_id").alias("id"), F.get("tickers", F.lit(0)).alias("ticker"), day.alias("day"))
+    r = reads.reactions(bars.derive(t.bars), anchors)
+    series = F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["date"].cast("string"), x["foreign_net"].cast("string"))), ",")
+    return r.select("id", "ticker", "event_index", "as_of", F.round("return_5d", 6).alias("return_5d"), F.round("volume_ratio", 6).alias("volume_ratio"), F.col("foreign_consecutive_days").cast("int").alias("run"), series.alias("series"))
+
+
+@book.query(f"""WITH d AS (SELECT DISTINCT make_timestamp(occurred * 1000000)::DATE AS day FROM entities WHERE {_READY} ORDER BY day DESC LIMIT 2), e AS (SELECT * FROM entities WHERE {_READY} AND make_timestamp(occurred * 1000000)::DATE IN (SELECT day FROM d) ORDER BY {_RANK} LIMIT 12),
+u AS (SELECT event_id, string_agg(url, ' ' ORDER BY published, article_id) AS urls, count(*) AS n FROM articles GROUP BY 1)
+SELECT event_id, title, len(coalesce(tickers, []))::INT AS tickers, n::INT AS members, urls FROM e JOIN u USING (event_id)""")
+def q_E06_E08_start_page(t: Tables) -> DataFrame:
+    p = reads.start_page(t.entities, t.articles, t.tickers, bars.derive(t.bars))
+    return p.select("event_id", "title", F.size("named").alias("tickers"), F.size("members").alias("members"), F.array_join("urls", " ").alias("urls"))
+
+
+_CATEGORIES = ("財報", "法說", "政策", "關稅", "AI/科技", "產業供需", "營收", "法人動向", "技術突破")
+_OUTPUT = """SELECT event_id, k, title, CASE WHEN k % 13 = 0 THEN ' ' || chr(12288) ELSE 'text' END AS summary, CASE WHEN k % 17 = 3 THEN NULL ELSE 'then' END AS occurred_at_text, 'note' AS confidence_note, status, expected_direction, confidence AS direction_confidence,
+  CASE WHEN k % 19 = 1 THEN CASE WHEN categories IS NOT NULL THEN list_concat(categories, categories) END WHEN k % 19 = 2 THEN [] ELSE categories END AS categories, CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '2025-01-0' || CAST(1 + k % 9 AS VARCHAR) WHEN 2 THEN '2025-01-03T04:05:06+08:00' WHEN 3 THEN 'soon' ELSE '2031-01-01T00:00:00Z' END AS occurred_at_iso,
+  CASE WHEN k % 7 = 2 THEN ['x123'] ELSE tickers END AS related_tickers, CASE WHEN k % 3 = 0 THEN ['ASIA', 'ASIA'] WHEN k % 3 = 1 THEN ['MARS'] ELSE [] END AS industries FROM entities"""
+
+
+def _generated(t: Tables) -> DataFrame:
+    k, none = F.col("k"), F.array().cast("array<string>")
+    iso = F.when(k % 5 == 1, F.concat(F.lit("2025-01-0"), 1 + k % 9)).when(k % 5 == 2, "2025-01-03T04:05:06+08:00").when(k % 5 == 3, "soon").when(k % 5 == 4, "2031-01-01T00:00:00Z")
+    return t.entities.select(
+        "event_id", "k", "title", F.when(k % 13 == 0, " \u3000").otherwise("text").alias("summary"), F.when(k % 17 != 3, "then").alias("occurred_at_text"), F.lit("note").alias("confidence_note"), "status", "expected_direction",
+        F.col("confidence").alias("direction_confidence"), F.when(k % 19 == 1, F.concat("categories", "categories")).when(k % 19 == 2, none).otherwise(F.col("categories")).alias("categories"), iso.alias("occurred_at_iso"),
+        F.when(k % 7 == 2, F.array(F.lit("x123"))).otherwise(F.col("tickers")).alias("related_tickers"), F.when(k % 3 == 0, F.array(F.lit("ASIA"), F.lit("ASIA"))).when(k % 3 == 1, F.array(F.lit("MARS"))).otherwise(none).alias("industries"),
+    )
+
+
+@book.query(f"""WITH g AS ({_OUTPUT}), m AS (SELECT event_id, list_filter([CASE WHEN title IS NULL THEN 'title: missing' END, CASE WHEN occurred_at_text IS NULL THEN 'occurred_at_text: missing' END, CASE WHEN categories IS NULL THEN 'categories: missing' END, CASE WHEN related_tickers IS NULL THEN 'related_tickers: missing' END], lambda x: x IS NOT NULL) AS missing,
+  list_filter([CASE WHEN trim(title) = '' THEN 'title: empty' END, CASE WHEN k % 13 = 0 THEN 'summary: empty' END, CASE WHEN status NOT IN ('official_confirmed', 'rumor_unconfirmed', 'developing', 'market_reacting') THEN 'status: illegal' END, CASE WHEN len(categories) = 0 THEN 'categories: empty' END,
+   CASE WHEN len(list_filter(categories, lambda x: x NOT IN {_CATEGORIES})) > 0 THEN 'categories: illegal' END, CASE WHEN len(list_distinct(categories)) < len(categories) THEN 'categories: repeated' END, CASE WHEN k % 3 = 1 THEN 'industries: illegal' END, CASE WHEN k % 3 = 0 THEN 'industries: repeated' END,
+   CASE WHEN k % 5 = 3 THEN 'occurred_at_iso: unreadable' END, CASE WHEN k % 5 = 4 THEN 'occurred_at_iso: future' END, CASE WHEN len(list_filter(related_tickers, lambda x: NOT regexp_matches(x, '^[0-9]{{4}}'))) > 0 THEN 'related_tickers: illegal' END], lambda x: x IS NOT NULL) AS faults FROM g)
+SELECT event_id, array_to_string(CASE WHEN len(missing) > 0 THEN missing ELSE faults END, ';') AS problems FROM m""")
+def q_Q06_output_problems(t: Tables) -> DataFrame:
+    problems = contracts.output_problems(_CATEGORIES, ("ASIA", "EUROPE"), 1767225600)
+    return _generated(t).select("event_id", F.array_join(problems, ";").alias("problems"))
+
+
+@book.query(f"""WITH g AS ({_OUTPUT}), c AS (SELECT event_id AS case_id, k, occurred_at_iso AS iso, related_tickers AS rt, status, expected_direction AS dir FROM g)
+SELECT case_id, 'occurred_at_within_published' AS key, CASE k % 5 WHEN 0 THEN true WHEN 1 THEN CAST(iso AS DATE) <= DATE '2025-01-05' WHEN 2 THEN true ELSE false END AS passed FROM c WHERE k % 2 = 0
+UNION ALL SELECT case_id, 'related_tickers_allowed', coalesce(len(list_filter(rt, lambda x: x NOT IN ('2330', '0050'))) = 0, false) FROM c UNION ALL SELECT case_id, 'status_not', status <> 'developing' FROM c UNION ALL SELECT case_id, 'expected_direction', dir = '利多' FROM c WHERE k % 3 <> 1""")
+def q_Q15_D12_regression(t: Tables) -> DataFrame:
+    k = F.col("k")
+    cases = _generated(t).select(
+        F.col("event_id").alias("case_id"), "occurred_at_iso", F.array(F.lit("2025-01-02T09:00:00"), F.lit("2025-01-03T17:30:00Z")).alias("published"), "related_tickers", "status", "expected_direction",
+        (k % 2 == 0).alias("within_published"), F.array(F.lit("2330"), F.lit("0050")).alias("tickers_allowed"), F.lit("developing").alias("status_not"), F.when(k % 3 != 1, "利多").alias("direction_is"),
+    )
+    return contracts.regression_checks(cases)

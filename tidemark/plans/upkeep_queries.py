@@ -249,11 +249,15 @@ def q_CL07_assemble(t: Tables) -> DataFrame:
     return cluster.assemble_events(rows, 0.62)
 
 
-@book.query()
+@book.query("""WITH a AS (SELECT article_id, 'ASIA_ ' || title || ' (1103) (9999) ' || (SELECT min(name) FROM tickers) || ' NATION' AS title FROM articles),
+h AS (SELECT article_id, '1103' AS ticker FROM a WHERE EXISTS (SELECT 1 FROM tickers WHERE ticker = '1103') UNION SELECT article_id, ticker FROM a JOIN tickers ON contains(a.title, name) AND NOT EXISTS (SELECT 1 FROM tickers x WHERE length(x.name) > length(tickers.name) AND contains(x.name, tickers.name) AND contains(a.title, x.name)))
+SELECT article_id, coalesce((SELECT string_agg(ticker, ',' ORDER BY ticker) FROM h WHERE h.article_id = a.article_id), '') AS tickers FROM a""")
 def q_X14_tag(t: Tables) -> DataFrame:
+    """Whole titles, with codes and a name put to them that the generated words lack."""
     from tidemark.operators import tagging
 
-    titles = t.articles.select("article_id", F.concat(F.lit("NATION_"), F.substring("title", 1, 20), F.lit(" (1103) NATION_1"), F.col("n") % 25).alias("title"))
+    name = t.tickers.agg(F.min("name").alias("name"))
+    titles = t.articles.crossJoin(F.broadcast(name)).select("article_id", F.concat(F.lit("ASIA_ "), "title", F.lit(" (1103) (9999) "), "name", F.lit(" NATION")).alias("title"))
     return tagging.tag(titles, t.tickers).select("article_id", F.array_join("related_tickers", ",").alias("tickers"))
 
 

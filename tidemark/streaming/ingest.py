@@ -72,10 +72,10 @@ def heat(articles: DataFrame, hours: int = 24, delay: str = "2 days") -> DataFra
     return articles.withWatermark("published_at", delay).groupBy(window, "event_id").agg(F.size(F.collect_set("source")).alias("sources"))
 
 
-def upsert_batches(rows: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: list[str], columns: list[str], checkpoint: str) -> StreamingQuery:
-    """Merge each batch into a table, the batch's last row a key winning."""
+def upsert_batches(rows: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: list[str], columns: list[str], checkpoint: str, order: str) -> StreamingQuery:
+    """Merge each batch into a table, the batch's last row a key, by the column order, winning."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        write(merge.upsert(read(), batch.dropDuplicates(key), key, columns))
+        write(merge.upsert(read(), merge.latest(batch, key, order), key, columns))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
