@@ -88,3 +88,73 @@ def test_segments_cover_all_events(spark):
                 first, last = day if first is None else first, day
             want[i] = (user, segment)
     assert got == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _queries():
+    import __spark_entry__ as driver
+
+    return driver.queries()
+
+
+def test_registered_clusters_are_those_of_plain_average_linkage(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - x @ x.T
+    groups = {i: [i] for i in range(len(rows))}
+    mean = d.copy()
+    np.fill_diagonal(mean, np.inf)
+    while mean.min() < 0.62:
+        i, j = sorted(divmod(int(mean.argmin()), len(rows)))
+        groups[i] += groups.pop(j)
+        mean[j], mean[:, j] = np.inf, np.inf
+        for k in groups:
+            if k != i:
+                mean[i, k] = mean[k, i] = d[np.ix_(groups[i], groups[k])].mean()
+    want = {rows[i][0]: min(rows[k][0] for k in g) for g in groups.values() for i in g}
+    assert {r["id"]: r["cluster"] for r in _queries()["q_CL01_cluster"](spark, SF).collect()} == want
+
+
+def test_registered_segments_are_those_of_a_plain_fold(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "event_id", "unix_date(to_date(ts)) as day").collect()
+    by = {}
+    for user, event, day in rows:
+        by.setdefault(user, []).append((10**9 if event % 17 == 0 else day, event))
+    want = {}
+    for user, events in by.items():
+        first = last = None
+        n = 0
+        for day, event in sorted(events):
+            if day < 10**9:
+                if last is not None and (day - last > 1 or day - first > 7):
+                    n, first = n + 1, None
+                first, last = day if first is None else first, day
+            want[event] = (user, n)
+    assert {r["id"]: (r["cluster"], r["segment"]) for r in _queries()["q_CL03_segments"](spark, SF).collect()} == want
+
+
+def test_registered_events_keep_their_gates(spark):
+    got = [(r["event"], r["id"]) for r in _queries()["q_CL07_assemble"](spark, SF).collect()]
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    assert sorted(i for _, i in got) == sorted(i for i in ids if i % 20)  # each once, periodic ones stay out
+    by = {}
+    for event, i in got:
+        by.setdefault(event, []).append(i)
+    for event, members in by.items():
+        days = sorted(i % 9 for i in members)
+        assert event == min(members) and all(b - a <= 3 for a, b in zip(days, days[1:], strict=False)) and days[-1] - days[0] <= 7
+        assert len({i % 4 for i in members if i % 3}) <= 1
+    assert any(len(m) > 1 for m in by.values())
+
+
+def test_links_are_cut_to_forests_that_keep_components(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6, 8))
+    d = spark.createDataFrame([(i, (base[i % 6] + rng.normal(size=8) * 0.2).tolist()) for i in range(120)], "id long, vector array<double>")
+    whole = cluster.similar_pairs(d, 0.9, blocks=3)
+    tree = cluster.similar_pairs(d, 0.9, blocks=3, forest=True)
+    parts = lambda links: {(r["node"], r["component"]) for r in connected_components(links.select("a", "b")).collect()}
+    assert parts(whole) == parts(tree) and tree.count() < whole.count() / 3

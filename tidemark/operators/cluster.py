@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import connected_components
 from tidemark.runtime import materialize
 
-BLOCKS = 8
+BLOCKS = 8  # at least; beyond, a block has ROWS rows
+ROWS = 2048
+
+
+def _blocks(count: int) -> int:
+    return max(BLOCKS, -(-count // ROWS))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -25,12 +30,32 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), x.cast("double")))
 
 
-def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vector_col: str = "vector", blocks: int = BLOCKS) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links a[k], b[k] join two trees that the ones before left apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    kept = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            kept[k] = True
+    return kept
+
+
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vector_col: str = "vector", blocks: int | None = None, forest: bool = False) -> DataFrame:
     """(a, b, cosine) for all pairs a < b with cosine over `least`, exactly.
 
-    Rows are dealt into blocks; a task compares two blocks as matrices, so memory is two blocks
-    and the work is spread over blocks * (blocks + 1) / 2 tasks. Raise blocks with the data.
+    Rows are dealt into blocks of about ROWS rows (or into so many); a task compares two blocks
+    as matrices, so memory is two blocks and the tasks are as many as pairs of blocks. With
+    forest, of the pairs of two blocks only those come that keep its connected components.
     """
+    blocks = blocks or _blocks(vectors.count())
     b = F.pmod(F.xxhash64(id_col), F.lit(blocks))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), b.alias("block")).filter("v is not null")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -50,6 +75,9 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vector_c
         a, b = ia[r], ib[c]
         keep = (a < b) if key[0] == key[1] else np.ones(len(a), bool)
         a, b, v = a[keep], b[keep], s[r, c][keep]
+        if forest:
+            tree = _forest(a, b)
+            a, b, v = a[tree], b[tree], v[tree]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": v})
 
     return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
@@ -89,7 +117,7 @@ def cluster(vectors: DataFrame, cut: float = 0.35, id_col: str = "id", vector_co
     linkage inside each connected component of the pairs with cosine over 1 - cut is exact
     linkage of everything. A component of over `largest` rows is refused, not thinned out.
     """
-    pairs = materialize(similar_pairs(vectors, 1.0 - cut, id_col, vector_col), "pairs")
+    pairs = materialize(similar_pairs(vectors, 1.0 - cut, id_col, vector_col, forest=True), "pairs")
     parts = connected_components(pairs.select("a", "b"))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).join(parts, F.col("id") == F.col("node"))
 
@@ -200,8 +228,9 @@ def nearest(queries: DataFrame, targets: DataFrame, farthest: float = 0.35, days
     targets = targets.join(queries.select("id"), "id", "left_anti")
     if today is not None:
         targets = targets.filter(F.col("updated") > today - fresh)
-    blocks = F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))
-    own = F.pmod(F.xxhash64("id"), F.lit(BLOCKS))
+    many = _blocks(targets.count())
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))
+    own = F.pmod(F.xxhash64("id"), F.lit(many))
     q = queries.select("id", "day", F.col("vector").cast("array<double>").alias("v"), F.lit(True).alias("asks"), own.alias("qb"), F.explode(blocks).alias("tb"))
     t = targets.select("id", "day", F.col("vector").cast("array<double>").alias("v"), F.lit(False).alias("asks"), F.explode(blocks).alias("qb"), own.alias("tb"))
     schema = "id long, day long, distance double, target long, target_day long"
