@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Taipei"
@@ -86,3 +86,25 @@ def age(seconds: Column) -> Column:
 def guarded_event_time(event: Column, first_article: Column, days: int = 60) -> Column:
     """Event seconds, unless they lie over `days` before the first article: then the article's."""
     return F.when(event < first_article - days * 86400, first_article).otherwise(event)
+
+
+def month_day(at: Column) -> Column:
+    return F.date_format(at, "MM/dd")
+
+
+def previous_day(day: Column) -> Column:
+    return F.date_sub(day, 1)
+
+
+def request_windows(since: Column, until: Column) -> Column:
+    """An array of (first, end) seconds, one for each local day from since to until."""
+    first = lambda d: F.unix_date(d).cast("long") * 86400 - 8 * 3600
+    return F.transform(F.sequence(since, until), lambda d: F.struct(first(d).alias("first"), (first(d) + 86400).alias("end")))
+
+
+def years_of(rows: DataFrame, list_col: str, order: str, month: str, year: int) -> DataFrame:
+    """rows with `year`: a list that goes back in time without naming years, which begins in
+    `year` and is a year further back wherever the month gets larger."""
+    w = Window.partitionBy(list_col).orderBy(order)
+    larger = F.coalesce((F.col(month) > F.lag(month).over(w)).cast("int"), F.lit(0))
+    return rows.withColumn("_larger", larger).withColumn("year", (year - F.sum("_larger").over(w)).cast("int")).drop("_larger")

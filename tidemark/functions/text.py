@@ -153,6 +153,11 @@ def embed_text(title: Column, content: Column, n: int = 500) -> Column:
     return F.concat(strip(title), F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, n))
 
 
+def feature_text(title: Column, content: Column, n: int = 50) -> Column:
+    """A title, white space collapsed, and the beginning of its text, as a classifier reads them."""
+    return F.concat(collapse(F.coalesce(title, F.lit(""))), F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, n))
+
+
 def form_encoded(text: Column) -> Column:
     """text as a form's parameter: letters, digits and _.-~ stay, a blank is a plus sign."""
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring
-from tidemark.operators import bars, contracts, gates, reads, serving, validation
+from tidemark.functions import dates, scoring, text
+from tidemark.operators import assemble, bars, contracts, gates, reads, serving, validation
 from tidemark.plans.book import Book, Tables
 from tidemark.plans.market_queries import _DERIVED
 
@@ -356,3 +356,62 @@ def q_Q15_D12_regression(t: Tables) -> DataFrame:
         (k % 2 == 0).alias("within_published"), F.array(F.lit("2330"), F.lit("0050")).alias("tickers_allowed"), F.lit("developing").alias("status_not"), F.when(k % 3 != 1, "利多").alias("direction_is"),
     )
     return contracts.regression_checks(cases)
+
+
+_TAGGED = "SELECT *, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 THEN [] ELSE [CAST(1100 + n % 7 AS VARCHAR), CAST(1100 + n % 3 AS VARCHAR)] END AS related_tickers FROM articles"
+
+
+def _tagged(t: Tables) -> DataFrame:
+    n = F.col("n")
+    pair = F.array((1100 + n % 7).cast("string"), (1100 + n % 3).cast("string"))
+    return t.articles.withColumn("related_tickers", F.when(n % 5 == 1, F.array().cast("array<string>")).when(n % 5 != 0, pair))
+
+
+@book.query(f"WITH g AS (SELECT event_id, unnest(related_tickers) AS x FROM ({_TAGGED})) SELECT event_id, coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM g WHERE g.event_id = e.event_id), '') AS tickers FROM entities e")
+def q_J12_A13_member_tickers(t: Tables) -> DataFrame:
+    return assemble.member_tickers(t.entities, _tagged(t)).select("event_id", F.array_join("tickers", ",").alias("tickers"))
+
+
+@book.query(f"""WITH g AS (SELECT *, make_timestamp(published * 1000000)::DATE AS day FROM ({_TAGGED})), u AS (SELECT event_id, x, min(n * 10 + p) AS k FROM (SELECT event_id, n, unnest(related_tickers) AS x, generate_subscripts(related_tickers, 1) AS p FROM g) GROUP BY 1, 2),
+a AS (SELECT event_id AS event, count(*)::INT AS members, count(DISTINCT source)::INT AS source_count, min(day) AS date_start, max(day) AS date_end, substr(sha1(string_agg(article_id, '' ORDER BY article_id)), 1, 8) AS h FROM g GROUP BY 1),
+r AS (SELECT a.*, coalesce((SELECT string_agg(x, ',' ORDER BY k) FROM u WHERE u.event_id = event), '') AS related_tickers FROM a)
+SELECT event, members, source_count, date_start, date_end, related_tickers, 'evt_' || strftime(date_start, '%Y%m%d') || '_' || CASE WHEN related_tickers = '' THEN 'NA' ELSE split_part(related_tickers, ',', 1) END || '_' || h AS event_id FROM r""", days=("date_start", "date_end"))
+def q_A26_S04_event_objects(t: Tables) -> DataFrame:
+    rows = _tagged(t).select(F.col("event_id").alias("event"), F.col("n").alias("place"), "article_id", "source", "title", "url", F.col("related_tickers").alias("tickers"), F.to_date(F.timestamp_seconds("published")).alias("day"))
+    return assemble.event_objects(rows).select("event", F.size("members").alias("members"), "source_count", "date_start", "date_end", F.array_join("related_tickers", ",").alias("related_tickers"), "event_id")
+
+
+@book.query("SELECT article_id, row_number() OVER (ORDER BY latest DESC, event_id, published, article_id) AS place FROM (SELECT *, max(published) OVER (PARTITION BY event_id) AS latest FROM articles)")
+def q_W03_newest_first(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = assemble.newest_events_first(t.articles)
+    return rows.select("article_id", F.row_number().over(Window.orderBy(F.desc("latest"), "event_id", "published", "article_id")).cast("long").alias("place"))
+
+
+@book.query("SELECT event_id FROM entities ORDER BY market_validation DESC NULLS LAST, stars DESC NULLS LAST, event_id LIMIT 25")
+def q_S07_by_score(t: Tables) -> DataFrame:
+    return assemble.sorted_by(t.entities, "score").select("event_id").limit(25)
+
+
+@book.query("WITH d AS (SELECT DISTINCT unnest(tickers) AS ticker FROM entities) SELECT ticker, 0 AS priority FROM d UNION ALL SELECT ticker, 1 FROM tickers WHERE ticker NOT IN (SELECT ticker FROM d)")
+def q_S09_fetch_queue(t: Tables) -> DataFrame:
+    return assemble.fetch_queue(t.entities.select(F.explode("tickers").alias("ticker")), t.tickers)
+
+
+@book.query("SELECT article_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) || chr(10) || substr(content, 1, 50) AS feature FROM articles")
+def q_X20_feature_text(t: Tables) -> DataFrame:
+    return t.articles.select("article_id", text.feature_text(F.col("title"), F.col("content")).alias("feature"))
+
+
+@book.query("""WITH r AS (SELECT user_id, event_id, month(ts) AS m FROM events), l AS (SELECT *, coalesce((m > lag(m) OVER (PARTITION BY user_id ORDER BY event_id))::INT, 0) AS up FROM r)
+SELECT event_id, (2026 - sum(up) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS year FROM l""")
+def q_W16_years(t: Tables) -> DataFrame:
+    return dates.years_of(t.events.withColumn("m", F.month("ts")), "user_id", "event_id", "m", 2026).select("event_id", "year")
+
+
+@book.query("""SELECT event_id, strftime(ts, '%m/%d') AS shown, (ts::DATE - 1)::VARCHAR AS before, n, first FROM (SELECT *, 1 + event_id % 4 AS n, (date_diff('day', DATE '1970-01-01', ts::DATE) * 86400 - 28800)::BIGINT AS first FROM events)""")
+def q_D13_D14_D16_days(t: Tables) -> DataFrame:
+    day = F.to_date("ts")
+    windows = dates.request_windows(day, F.date_add(day, (F.col("event_id") % 4).cast("int")))
+    return t.events.select("event_id", dates.month_day(F.col("ts")).alias("shown"), dates.previous_day(day).cast("string").alias("before"), F.size(windows).cast("long").alias("n"), F.get(windows, F.lit(0))["first"].alias("first"))
