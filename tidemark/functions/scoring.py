@@ -63,18 +63,22 @@ def authority(sources: Column, status: Column) -> Column:
     return F.when(status == "official_confirmed", official).when(status == "rumor_unconfirmed", F.least(best, F.lit(30))).otherwise(best)
 
 
+# The impact of policy, of an industry, of several, two, one leading, one other and no ticker.
+IMPACT = {"policy": 100, "industry": 75, "several": 70, "two": 60, "leader": 65, "one": 45, "none": 35}
+
+
 def impact(tickers: Column, categories: Column) -> Column:
     cats = F.coalesce(categories, F.array().cast("array<string>"))
     tks = F.coalesce(tickers, F.array().cast("array<string>"))
     any_of = lambda *names: F.arrays_overlap(cats, F.array(*map(F.lit, names)))
     return (
-        F.when(any_of("政策", "關稅"), 100)
-        .when(any_of("產業供需", "AI/科技"), 75)
-        .when(F.size(tks) >= 3, 70)
-        .when(F.size(tks) == 2, 60)
-        .when((F.size(tks) == 1) & F.get(tks, F.lit(0)).isin(*HEAVYWEIGHTS), 65)
-        .when(F.size(tks) == 1, 45)
-        .otherwise(35)
+        F.when(any_of("政策", "關稅"), IMPACT["policy"])
+        .when(any_of("產業供需", "AI/科技"), IMPACT["industry"])
+        .when(F.size(tks) >= 3, IMPACT["several"])
+        .when(F.size(tks) == 2, IMPACT["two"])
+        .when((F.size(tks) == 1) & F.get(tks, F.lit(0)).isin(*HEAVYWEIGHTS), IMPACT["leader"])
+        .when(F.size(tks) == 1, IMPACT["one"])
+        .otherwise(IMPACT["none"])
     )
 
 

@@ -105,10 +105,18 @@ def pick(identity: Column, n: Column) -> Column:
     return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, d: (acc * 16 + d) % n)
 
 
+# What a title's template leaves out, and what a number, a code in brackets, a year
+# in brackets and an amount look like.
+CODE_IN_TITLE, NUMBER, DATE_MARKS = r"\([0-9]{3,6}[-A-Za-z]*\)", r"[0-9]+[.,]?[0-9]*", "[年月日]"
+YEAR_IN_BRACKETS = r"[今去前明後隔]\s*\([0-9]{3,4}\)\s*年"
+CODE_IN_BRACKETS = r"\(([0-9]{3,6})(-[A-Za-z]{1,4})?\)"
+AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|％|億元|億|萬張|萬|張|點|倍|美元|元))"
+
+
 def title_template(title: Column) -> Column:
-    t = F.regexp_replace(title, r"\([0-9]{3,6}[-A-Za-z]*\)", "")
-    t = F.regexp_replace(t, r"[0-9]+[.,]?[0-9]*", "#")
-    return collapse(F.regexp_replace(t, "[年月日]", ""))
+    t = F.regexp_replace(title, CODE_IN_TITLE, "")
+    t = F.regexp_replace(t, NUMBER, "#")
+    return collapse(F.regexp_replace(t, DATE_MARKS, ""))
 
 
 def periodic_type(title: Column) -> Column:
@@ -125,9 +133,8 @@ def periodic_type(title: Column) -> Column:
 def bracketed_tickers(text: Column) -> Column:
     """Codes in brackets in order, once each; a bare code that looks like a year needs a twin
     with a market suffix in the same text."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[今去前明後隔]\s*\([0-9]{3,4}\)\s*年", " ")
-    pattern = r"\(([0-9]{3,6})(-[A-Za-z]{1,4})?\)"
-    codes, suffixes = (F.regexp_extract_all(t, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), YEAR_IN_BRACKETS, " ")
+    codes, suffixes = (F.regexp_extract_all(t, F.lit(CODE_IN_BRACKETS), F.lit(k)) for k in (1, 2))
     hits = F.arrays_zip(codes.alias("c"), suffixes.alias("s"))
 
     def fine(h: Column) -> Column:
@@ -140,7 +147,7 @@ def bracketed_tickers(text: Column) -> Column:
 
 def money_details(text: Column) -> Column:
     """Numbers with a financial unit, blanks removed, once each."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|％|億元|億|萬張|萬|張|點|倍|美元|元))"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(AMOUNT), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", "")))
 
 
