@@ -158,7 +158,7 @@ class Index:
     of each feature in every block.
 
     start[f, b] to start[f, b + 1] are the postings of feature f in block b. Like examples stand
-    together, so that the bounds of other blocks are low. The lists of features that a sixteenth
+    together, so that the bounds of other blocks are low. The lists of features that an eighth
     of the examples have are rows of a matrix instead (row[f], else -1): their part of all cosines
     is one product, which makes the bounds tight.
     """
@@ -209,7 +209,7 @@ class Index:
         example = np.repeat(np.arange(len(units), dtype=np.int32), [len(u[0]) for u in units])
         order = np.lexsort((example, feature))
         feature, example, value = feature[order], example[order], value[order]
-        often = np.bincount(feature, minlength=len(weight)) * 16 >= max(16, len(units))
+        often = np.bincount(feature, minlength=len(weight)) * 8 >= max(16, len(units))
         row = np.where(often, np.cumsum(often) - 1, -1)
         dense = np.zeros((int(often.sum()), len(units)))
         there = often[feature]
