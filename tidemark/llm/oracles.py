@@ -68,4 +68,30 @@ SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE m <> '') AS n_lines,
 FROM x GROUP BY k
 """
 
-SQL = {"op6_line_dedup": OP6, "op2_quality_rules": OP2, "op7_mixing": OP7}
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT k, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+h AS (SELECT s.k, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM s JOIN d USING (k)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT k, unnest(range(i, i + 35)) AS i FROM r),
+l AS (SELECT k, list(i) AS gone FROM g GROUP BY k),
+x AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN l USING (k))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w WHEN len(gone) = len(w) THEN [] ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM x
+"""
+
+SQL = {"op12_fill_in_middle": OP12, "op13_substring_dedup": OP13, "op6_line_dedup": OP6, "op2_quality_rules": OP2, "op7_mixing": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality_rules, simhash, toxicity, url_filter
+from tidemark.llm import chat, embedding_dedup, fill_in_middle, line_dedup, mixing, ngram_lm, packing, quality_rules, simhash, substring_dedup, toxicity, url_filter, whitening
 from tidemark.llm.text import table
 
 URL_RULES = (
@@ -83,10 +83,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", F.col("n_units").alias("n"), "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=35)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_toxicity, op4_ngram_lm, op5_chat_format,
         op6_line_dedup, op7_mixing, op8_embedding_dedup, op9_simhash, op10_packing,
+        op11_whitening, op12_fill_in_middle, op13_substring_dedup,
     )
 }
