@@ -162,17 +162,47 @@ def test_words_are_forgotten_by_generations_without_changing_ids(monkeypatch):
     assert first == codes.tokenizer.encode(text.decode(), add_special_tokens=False).ids + [1]
 
 
-def test_the_rule_places_all_but_a_few_windows():
+def test_the_rule_places_all_but_a_few_windows_and_is_not_best_fit():
     rng = np.random.default_rng(3)
-    packer, seen = packing.Packer(), 0
-    for doc, size in enumerate(rng.geometric(1 / 700, 3000).tolist()):
+    packer, seen, differs, calls = packing.Packer(), 0, 0, 0
+    level = packer.level
+
+    def watched(size):
+        nonlocal differs, calls
+        fits = np.flatnonzero(packer.count[: packing.LENGTH - size + 1])
+        got = level(size)
+        calls += 1
+        differs += got != (int(fits[-1]) if len(fits) else 0)
+        return got
+
+    packer.level = watched
+    for doc, size in enumerate(np.maximum(1, rng.lognormal(5.9, 1.0, 10_000)).astype(int).tolist()):
         for window in packer.add(doc, np.zeros(size, "<u4")):
             assert sum(len(p[2]) for p in window) == packing.LENGTH
         assert packer.n_open == packer.count.sum() <= packing.MOST_OPEN
         seen += size
-    list(packer.close())
+    lengths = [sum(len(p[2]) for p in window) for window in packer.close()]
+    assert all(n & (n - 1) == 0 for n in lengths) and sorted(lengths, reverse=True) == lengths
     assert packer.placed["full"] + packer.placed["rule"] + packer.placed["cut"] == seen
-    assert packer.placed["left"] + packer.placed["cut"] < 0.05 * seen
+    assert packer.placed["moved"] + packer.placed["cut"] < 0.05 * seen
+    assert differs > 0.3 * calls
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [2047], [2048], [3000, 5], [1100] * 7, [700] * 300, [2000] * 400, [1500] * 300 + [30] * 90])
+def test_closing_loses_and_pads_nothing(sizes):
+    packer = packing.Packer()
+    windows = [w for doc, n in enumerate(sizes) for w in packer.add(doc, np.arange(n, dtype="<u4"))]
+    windows += list(packer.close())
+    parts = defaultdict(list)
+    for w in windows:
+        n = sum(len(p[2]) for p in w)
+        assert n and n <= packing.LENGTH and n & (n - 1) == 0
+        for doc, start, ids, total in w:
+            assert len(ids) and total == sizes[doc]
+            parts[doc] += range(start, start + len(ids))
+            assert ids.tolist() == list(range(start, start + len(ids)))
+    assert all(sorted(parts[doc]) == list(range(n)) for doc, n in enumerate(sizes))
+    assert packer.placed["moved"] <= sum(sizes)
 
 
 def test_packing_is_an_exact_round_trip(spark):

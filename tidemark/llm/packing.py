@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 2048
-MOST_OPEN = 16
+MOST_OPEN = 256
 CACHED_WORDS = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -129,13 +129,14 @@ class Packer:
     Packing"): an item goes to the fill level where the sum over levels of the squared number of
     windows at that level comes out least. The level array holds those numbers.
 
-    At most `most_open` windows are partially filled at a time: an item that the rule would begin
-    one more for is cut, its beginning fills the fullest window and the rule places the rest. So
-    few windows are left over in the end, and those alone are cut anew.
+    At most `most_open` windows are partially filled at a time, to bound memory: an item that the
+    rule would begin one more for is cut, its beginning fills the fullest window and the rule places
+    the rest. In the end the emptier windows are cut to fill the fuller ones.
 
     A piece is (doc_id, start, ids, doc_tokens); closed windows come out of add() and close().
     `placed` counts tokens by what placed them: full (windows cut from one document), rule and cut
-    (beginnings that filled a window); left is those of windows open in the end, counted before too.
+    (beginnings that filled a window); moved is those that close() takes to another window, counted
+    before too.
     """
 
     def __init__(self, length: int = LENGTH, most_open: int = MOST_OPEN) -> None:
@@ -143,7 +144,7 @@ class Packer:
         self.count = np.zeros(length + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
         self.n_open = 0
-        self.placed = {"full": 0, "rule": 0, "cut": 0, "left": 0}
+        self.placed = {"full": 0, "rule": 0, "cut": 0, "moved": 0}
 
     def level(self, size: int) -> int:
         """The fill level to put an item of this size on; 0: a new window. Ties: the fullest."""
@@ -187,36 +188,52 @@ class Packer:
                 self.n_open += 1
 
     def close(self) -> Iterator[list]:
-        """The windows still open: emptier ones are cut to fill the fuller ones, then what is
-        left is cut into sequences whose lengths are powers of two, which need no padding."""
-        n = self.length
-        left = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        pieces = [p for w in reversed(left) for p in reversed(w)]  # the last of these are in the fullest window
+        """The windows still open: the fullest stay as they are and take what they lack from the
+        emptiest, whose pieces are cut. The last one's tokens make sequences whose lengths are
+        powers of two, which need no padding."""
+        held = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
         self.open.clear()
         self.count[:] = 0
         self.n_open = 0
-        tokens = sum(len(p[2]) for p in pieces)
-        self.placed["left"] += tokens
-        while pieces:
-            room = n if tokens >= n else 1 << (tokens.bit_length() - 1)
-            tokens -= room
-            window = []
-            while room:
-                doc_id, start, ids, total = pieces.pop()
-                window.append((doc_id, start, ids[:room], total))
+        spare: list = []  # pieces of the windows that are being emptied
+
+        def fill(window: list, room: int) -> list:
+            while room and (spare or held):
+                if not spare:
+                    spare.extend(held.pop())
+                doc_id, start, ids, total = spare.pop()
                 if len(ids) > room:
-                    pieces.append((doc_id, start + room, ids[room:], total))
-                room -= min(room, len(ids))
-            yield window
+                    spare.append((doc_id, start + room, ids[room:], total))
+                    ids = ids[:room]
+                window.append((doc_id, start, ids, total))
+                self.placed["moved"] += len(ids)
+                room -= len(ids)
+            return window
+
+        while held:
+            window = held.pop(0)
+            size = sum(len(p[2]) for p in window)
+            lack = self.length - size
+            if lack > sum(len(p[2]) for w in [*held, spare] for p in w):
+                spare += window
+                spare += [p for w in held for p in w]
+                held.clear()
+                break
+            yield fill(window, lack)
+        tokens = sum(len(p[2]) for p in spare)
+        while tokens:
+            room = min(self.length, 1 << (tokens.bit_length() - 1))
+            tokens -= room
+            yield fill([], room)
 
 
-def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", length: int = LENGTH, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", length: int = LENGTH, end_id: int = 1, most_open: int = MOST_OPEN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every task packs the rows of its own partition in one pass, so nothing is shuffled and no
-    text leaves its task; at its end it cuts the few windows still open into full ones and powers
-    of two, so there is no padding at all. Memory: one Arrow batch, the words remembered and
-    MOST_OPEN windows. sequence_id is the partition's number shifted by 40
+    text leaves its task; at its end it cuts the emptier of the windows still open to fill the others
+    and powers of two, so there is no padding at all. Memory: one Arrow batch, all ids of its longest
+    text, the words remembered and most_open windows. sequence_id is the partition's number shifted by 40
     bits plus a running number.
 
     A document's ids are its text's, then end_id; null, empty and blank texts have end_id alone.
@@ -226,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", length: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, packer = encoder(tokenizer), Packer(length)
+        codes, packer = encoder(tokenizer), Packer(length, most_open)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
         rows: list[tuple] = []
