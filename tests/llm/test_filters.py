@@ -173,7 +173,9 @@ def _plain_cosines(rows, weight, q):
     return dense[:-1] @ dense[-1]
 
 
-def test_nearest_examples_are_exact_and_blocks_prune():
+@pytest.mark.parametrize("probes", [0, 4, 1000])
+def test_nearest_examples_are_exact(probes, monkeypatch):
+    monkeypatch.setattr(toxicity, "PROBES", probes)
     rng = np.random.default_rng(3)
     weight = rng.uniform(1, 5, 400)
 
@@ -184,31 +186,43 @@ def test_nearest_examples_are_exact_and_blocks_prune():
     rows = [(i, int(rng.integers(2)), draw(i % 5)) for i in range(1500)]
     rows += [(1500 + i, 1, rows[i][2]) for i in range(3)]  # ties
     index = toxicity.Index.build(weight, rows, 25, 0.1, (1.0, 1.0))
-    place = {int(i): k for k, i in enumerate(index.ids)}
-    read = []
-    whole = index._listed
-    index._listed = lambda f, w, blocks: read.append(len(blocks)) or whole(f, w, blocks)
-    for j in range(60):
-        q = draw(j % 5)
+    queries_ = [draw(j % 5) for j in range(60)]
+    for q, (n, found), (score, _) in zip(queries_, index.nearest(queries_), index.votes(queries_), strict=True):
         s = _plain_cosines(rows, weight, q)
         kth = np.sort(s)[-25]
-        n, found = index.nearest(q)
         expected = {i for i in range(len(rows)) if s[i] >= kth - 1e-12 and s[i] > 0}
         assert {int(index.ids[k]) for k in n} == expected
         assert np.allclose(sorted(found), sorted(s[list(expected)]))
-        votes = (s / s.max()) ** 3
+        votes = s / s.max()
         toxic = np.array([r[1] for r in rows]) == 1
         near = np.isin(np.arange(len(rows)), list(expected))
         share = (votes[near & toxic].sum() + 0.1) / (votes[near].sum() + 1)
         slope, shift = index.line
-        before = len(read)
-        assert np.isclose(index.vote(q)[0], 1 / (1 + np.exp(-(slope * np.log(share / (1 - share)) + shift))))
-        del read[before:]
-    assert sum(read) < 0.7 * 60 * index.block_max.shape[1] and len(place) == len(rows)
+        assert np.isclose(score, 1 / (1 + np.exp(-(slope * np.log(share / (1 - share)) + shift))))
+
+
+def test_bounds_never_read_more_than_whole_lists():
+    rng = np.random.default_rng(4)
+    weight = rng.uniform(1, 5, 12_000)
+
+    def draw(topic):
+        at = np.unique(np.concatenate([rng.integers(topic * 1000, topic * 1000 + 1000, 300), rng.integers(8000, 12_000, 60)]))
+        return at, rng.integers(1, 4, len(at)).astype(float)
+
+    index = toxicity.Index.build(weight, [(i, i % 2, draw(i % 8)) for i in range(1600)], 20, 0.1, (1.0, 1.0))
+    asked = [draw(j % 8) for j in range(64)]
+    read, whole = [], index._listed
+    index._listed = lambda low, high, w: read.append(int((high - low).sum())) or whole(low, high, w)
+    list(index.nearest(asked))
+    pruned = sum(read)
+    read.clear()
+    for v in asked:
+        index.cosines(v)
+    assert pruned <= sum(read)
 
 
 def test_toxicity_scores_match_brute_force_end_to_end(spark):
-    """Vocabulary, frequencies, relevance, cosines, votes and calibration, recomputed plainly."""
+    """Vocabulary, frequencies, cosines, votes and calibration, recomputed plainly."""
     rng = np.random.default_rng(5)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
     texts = {i: " ".join([*rng.choice(words, int(rng.integers(3, 30))), *(["vile,"] * (i % 4 == 0))]) for i in range(240)} | {900: None, 901: "", 902: "only unseen", 903: "long vile " * 60_000}
@@ -230,14 +244,7 @@ def test_toxicity_scores_match_brute_force_end_to_end(spark):
     df = {f: sum(f in v for v in vectors.values()) for f in vocab}
     n1 = sum(labels.values())
     n0 = len(labels) - n1
-    part = lambda x, e: x * math.log(x / e) if x else 0.0
-    weight = []
-    for f in vocab:
-        b = sum(f in vectors[i] for i in labels if labels[i])
-        a = sum(f in vectors[i] for i in labels) - b
-        share = (a + b) / len(labels)
-        g = 2 * (part(a, share * n0) + part(b, share * n1) + part(n0 - a, (1 - share) * n0) + part(n1 - b, (1 - share) * n1))
-        weight.append((math.log((1 + len(texts)) / (1 + df[f])) + 1) * (1 + max(0.0, math.sqrt(max(g, 0.0)) - 3)))
+    weight = [math.log((1 + len(texts)) / (1 + df[f])) + 1 for f in vocab]
 
     def unit(v):
         x = np.array([(1 + math.log(v[f])) * w if f in v else 0.0 for f, w in zip(vocab, weight, strict=True)])
@@ -252,7 +259,7 @@ def test_toxicity_scores_match_brute_force_end_to_end(spark):
         near = (s >= kth - 1e-12) & (s > 1e-15)
         if not near.any():
             return prior
-        v = (s[near] / s[near].max()) ** 3
+        v = s[near] / s[near].max()
         return (v[y[near] == 1].sum() + prior) / (v.sum() + 1)
 
     own = m @ m.T
