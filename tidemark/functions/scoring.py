@@ -83,13 +83,7 @@ def impact(tickers: Column, categories: Column) -> Column:
 
 
 def category(categories: Column) -> Column:
-    def one(c: Column) -> Column:
-        out = F.lit(50)
-        for name, s in CATEGORIES.items():
-            out = F.when(c == name, F.lit(s)).otherwise(out)
-        return out
-
-    return F.coalesce(F.array_max(F.transform(categories, one)), F.lit(50))
+    return F.coalesce(F.array_max(F.transform(categories, _category_score)), F.lit(50))
 
 
 def piecewise(x: Column, lo, lo_y, mid, mid_y, hi, hi_y) -> Column:
@@ -125,11 +119,91 @@ def importance(source_count: Column, sources: Column, status: Column, tickers: C
     return F.struct(*[s.cast("int").alias(k) for k, s in parts.items()], amp.alias("amp"), F.round(total, 6).alias("total"), stars.cast("int").alias("stars"))
 
 
-def reasons(score: Column) -> Column:
-    """One line a dimension, in their fixed order, and the amplifier's."""
+# The texts that explain a score.
+WHY = {
+    "official_first": "第一手：官方來源在場（MOPS 等）",
+    "official_second": "二手：主流媒體轉述官方",
+    "official_other": "二手：一般媒體轉述官方",
+    "rumor": "消息未經證實（謠言階段），權威性受限",
+    "official": "含官方來源（%s）",
+    "leading": "主流財經媒體（%s）",
+    "financial": "一般財經媒體（%s）",
+    "social": "僅社群/分析師來源，未經證實",
+    "ordinary": "來源等級一般",
+    "policy": "總經/政策層級，影響全市場",
+    "industry": "產業層級，影響整條供應鏈",
+    "several": "牽動 %d 檔個股",
+    "two": "牽動 2 檔個股",
+    "leader": "權值股 %s（單檔但足以牽動大盤）",
+    "one": "單一個股 %s",
+    "none": "無明確標的",
+    "untyped": "類型未標",
+    "type": "事件類型「%s」",
+    "type_high": "（高影響類型）",
+    "type_middle": "（中影響類型）",
+    "type_routine": "（例行揭露類型）",
+    "breadth": "%d 家獨立來源報導",
+    "breadth_wide": "（廣泛關注）",
+    "breadth_middle": "（多方報導）",
+    "breadth_narrow": "（來源有限）",
+    "heat_unknown": "熱度資料不足，不調整",
+    "heat_fast": "24h 內 %d 家跟進（快速發酵）",
+    "heat_slow": "24h 內僅 %d 家報導（乏人問津）",
+    "heat_usual": "24h 內 %d 家跟進（一般熱度）",
+}
+
+
+def _first_best(items: Column, worth) -> Column:
+    """The first of an array's items with the largest worth; null if none has any."""
+    kind = "struct<w: int, s: string>"
+    each = F.transform(items, lambda x: F.struct(worth(x).cast("int").alias("w"), x.alias("s")).cast(kind))
+    return F.aggregate(each, F.lit(None).cast(kind), lambda acc, x: F.when(x["w"].isNotNull() & (acc["w"].isNull() | (x["w"] > acc["w"])), x).otherwise(acc))["s"]
+
+
+def _category_score(c: Column) -> Column:
+    out = F.lit(50)
+    for name, s in CATEGORIES.items():
+        out = F.when(c == name, F.lit(s)).otherwise(out)
+    return out
+
+
+def explanations(source_count: Column, sources: Column, status: Column, tickers: Column, categories: Column, heat_sources: Column) -> dict[str, Column]:
+    """Why each dimension of importance() is what it is, and the amplifier."""
+    text = lambda k, *args: F.format_string(WHY[k], *args) if args else F.lit(WHY[k])
+    sources = F.coalesce(sources, F.array().cast("array<string>"))
+    score, name = authority(sources, status), _first_best(sources, source_tier)
+    joined = F.lower(F.array_join(sources, " "))
+    by_status = F.when(_holds(joined, TIERS[0][1]), text("official_first")).when(_holds(joined, TIERS[1][1]), text("official_second")).otherwise(text("official_other"))
+    label = F.coalesce(name, F.lit("一般來源"))
+    graded = F.when(score >= 100, text("official", label)).when(score >= 70, text("leading", label)).when(score >= 55, text("financial", label)).when(score <= 30, text("social")).otherwise(text("ordinary"))
+    cats, tks = F.coalesce(categories, F.array().cast("array<string>")), F.coalesce(tickers, F.array().cast("array<string>"))
+    worth = impact(tks, cats)
+    reach = (
+        F.when(worth == IMPACT["policy"], text("policy")).when(worth == IMPACT["industry"], text("industry")).when(worth == IMPACT["several"], text("several", F.size(tks)))
+        .when(worth == IMPACT["two"], text("two")).when(worth == IMPACT["leader"], text("leader", F.get(tks, F.lit(0)))).when(worth == IMPACT["one"], text("one", F.get(tks, F.lit(0)))).otherwise(text("none"))
+    )
+    best = category(cats)
+    kind = F.concat(text("type", _first_best(cats, _category_score)), F.when(best >= 80, text("type_high")).when(best >= 60, text("type_middle")).otherwise(text("type_routine")))
+    seen = breadth(source_count)
+    width = F.when(seen >= 80, text("breadth_wide")).when(seen >= 60, text("breadth_middle")).otherwise(text("breadth_narrow"))
+    amp = piecewise(F.greatest(heat_sources.cast("double"), F.lit(0.0)) / 2.0, 0.5, 0.90, 1.0, 1.0, 2.5, 1.15)
+    heat_n = heat_sources.cast("int")
+    warmth = F.when(heat_sources.isNull(), text("heat_unknown")).when(amp >= 1.10, text("heat_fast", heat_n)).when(amp <= 0.95, text("heat_slow", heat_n)).otherwise(text("heat_usual", heat_n))
+    return {
+        "breadth": F.concat(text("breadth", F.greatest(F.coalesce(source_count, F.lit(1)), F.lit(1)).cast("int")), width),
+        "authority": F.when(status == "official_confirmed", by_status).when(status == "rumor_unconfirmed", text("rumor")).otherwise(graded),
+        "impact": reach,
+        "category": F.when(F.size(cats) == 0, text("untyped")).otherwise(kind),
+        "heat": warmth,
+    }
+
+
+def reasons(score: Column, why: Mapping[str, Column]) -> Column:
+    """One line a dimension, in their fixed order, and the amplifier's; why: explanations()."""
     labels = {"breadth": "來源廣度", "authority": "來源權威", "impact": "影響範圍", "category": "事件類型"}
-    lines = [F.format_string(f"[{name} %d分×{int(WEIGHTS[k] * 100)}%%]", score[k]) for k, name in labels.items()]
-    return F.array(*lines, F.format_string("[熱度 ×%.3f]", score["amp"]))
+    lines = [F.concat(F.format_string(f"[{name} %d分×{int(WEIGHTS[k] * 100)}%%] ", score[k]), why[k]) for k, name in labels.items()]
+    short = F.regexp_replace(F.format_string("%.3f", score["amp"]), r"\.?0+$", "")
+    return F.array(*lines, F.concat(F.lit("[熱度 ×"), short, F.lit("] "), why["heat"]))
 
 
 def institution_signal(mean_pct: Column, consecutive: Column, cfg: Mapping = VALIDATION) -> tuple[Column, Column]:

@@ -64,21 +64,27 @@ def search(entities: DataFrame, tickers: DataFrame, text: str) -> DataFrame:
     return entities.filter(renderable()).join(hit, "event_id", "left_semi").orderBy(*ranking())
 
 
-def timeline(entities: DataFrame, days: int = 60, n: int = 6) -> DataFrame:
-    """For every event: the up to n latest events of its first ticker within `days` before it.
+def timeline(entities: DataFrame, days: int = 60, n: int = 6, most: int = 20) -> DataFrame:
+    """For every event with a ticker and a category: the up to n latest events up to its time, of
+    the `days` before, that have its first ticker and one of its categories. It is one of them.
 
-    An equality join on the ticker and a bucket of `days`: the window before an anchor lies in
-    its own bucket and the one before, so each event is looked up by two buckets, not by all of
-    its ticker's. The anchor, being the latest, is always there.
+    Events of over `most` tickers are of the whole market and stand in their own timeline alone, as
+    those without a time do. Events are numbered by ticker and category in order of time, and an
+    anchor looks up its n last numbers for each category: no two events are paired for a key alone.
     """
-    span = days * 86400
-    ready = entities.filter(renderable() & F.col("occurred").isNotNull())
-    anchors = ready.select(F.col("event_id").alias("anchor_id"), F.get("tickers", F.lit(0)).alias("ticker"), F.col("occurred").alias("anchor")).filter("ticker is not null")
-    anchors = anchors.withColumn("bucket", F.explode(F.array(F.floor(F.col("anchor") / span), F.floor(F.col("anchor") / span) - 1)))
-    events = ready.select("event_id", "occurred", F.explode(F.array_distinct("tickers")).alias("ticker")).withColumn("bucket", F.floor(F.col("occurred") / span))
-    near = anchors.join(events, ["ticker", "bucket"]).filter((F.col("occurred") <= F.col("anchor")) & (F.col("occurred") > F.col("anchor") - span))
-    order = Window.partitionBy("anchor_id").orderBy(F.desc("occurred"), (F.col("event_id") == F.col("anchor_id")).desc(), F.desc("event_id"))
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("anchor_id", "event_id", "occurred", (F.col("event_id") == F.col("anchor_id")).alias("is_current"))
+    ready = entities.filter(renderable())
+    told = ready.filter(F.get("tickers", F.lit(0)).isNotNull() & (F.size("categories") > 0))
+    current = told.select(F.col("event_id").alias("anchor_id"), "event_id", "occurred")
+    listed = ready.filter(F.col("occurred").isNotNull() & (F.size("tickers") <= most)).select("event_id", "occurred", "categories", F.explode(F.array_distinct("tickers")).alias("t"))
+    listed = listed.withColumn("c", F.explode(F.array_distinct("categories"))).select(F.struct("t", "c").alias("ticker"), F.struct("occurred", "event_id").alias("date"))
+    asked = told.filter("occurred is not null").select("event_id", "occurred", F.get("tickers", F.lit(0)).alias("t"), F.explode(F.array_distinct("categories")).alias("c"))
+    last = F.lit(chr(0x10FFFF)).alias("event_id")  # behind all ids of the same time
+    rows, placed = _numbered(listed, asked.select(F.struct("t", "c").alias("ticker"), F.struct("occurred", last).alias("day"), F.col("event_id").alias("anchor_id")), True)
+    wanted = placed.withColumn("_n", F.explode(F.sequence(F.col("_at") - n + 1, F.col("_at"))))
+    found = wanted.join(rows, ["ticker", "_n"]).filter(F.col("date.occurred") >= F.col("day.occurred") - days * 86400).select("anchor_id", "date.event_id", "date.occurred")
+    order = Window.partitionBy("anchor_id").orderBy(F.desc_nulls_last("occurred"), F.desc("is_current"), F.desc("event_id"))
+    both = found.unionByName(current).distinct().withColumn("is_current", F.col("event_id") == F.col("anchor_id"))
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("anchor_id", "event_id", "occurred", "is_current")
 
 
 def _numbered(bars: DataFrame, anchors: DataFrame, same_day: bool) -> tuple[DataFrame, DataFrame]:

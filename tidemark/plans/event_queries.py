@@ -56,9 +56,22 @@ def q_M06_importance(t: Tables) -> DataFrame:
     return _importance(t).select("event_id", "score.*")
 
 
-@book.query(f"WITH {_HEAT}, {_SCORED} SELECT event_id, printf('[來源廣度 %d分×30%%]|[來源權威 %d分×25%%]|[影響範圍 %d分×30%%]|[事件類型 %d分×15%%]|[熱度 ×%.3f]', breadth, authority, impact, category, amp) AS reasons FROM totals")
+@book.query(f"""WITH {_HEAT}, {_SCORED}, x AS (SELECT t.*, e.source_count, e.status, coalesce(e.tickers, []) AS tks, coalesce(e.categories, []) AS cats, src.best, list_filter(src.sources, lambda x: {_tier("x")} = src.best)[1] AS label,
+  list_filter(e.categories, lambda c: CASE c {" ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.CATEGORIES.items())} ELSE 50 END = t.category)[1] AS top,
+  CASE WHEN h <= 1 THEN 0.9 WHEN h <= 2 THEN 0.9::DOUBLE + (h / 2 - 0.5::DOUBLE) / (1.0::DOUBLE - 0.5::DOUBLE) * (1.0::DOUBLE - 0.9::DOUBLE) WHEN h >= 5 THEN 1.15 ELSE 1.0::DOUBLE + (h / 2 - 1.0::DOUBLE) / (2.5::DOUBLE - 1.0::DOUBLE) * (1.15::DOUBLE - 1.0::DOUBLE) END::DOUBLE AS exact
+  FROM totals t JOIN entities e USING (event_id) JOIN src USING (event_id)),
+w AS (SELECT *, greatest(source_count, 1)::VARCHAR || ' 家獨立來源報導' || CASE WHEN breadth >= 80 THEN '（廣泛關注）' WHEN breadth >= 60 THEN '（多方報導）' ELSE '（來源有限）' END AS w1,
+  CASE WHEN status = 'official_confirmed' THEN CASE authority WHEN 100 THEN '第一手：官方來源在場（MOPS 等）' WHEN 85 THEN '二手：主流媒體轉述官方' ELSE '二手：一般媒體轉述官方' END
+    WHEN status = 'rumor_unconfirmed' THEN '消息未經證實（謠言階段），權威性受限' WHEN best = 100 THEN '含官方來源（' || label || '）' WHEN best = 70 THEN '主流財經媒體（' || label || '）' WHEN best = 55 THEN '一般財經媒體（' || label || '）'
+    WHEN best = 30 THEN '僅社群/分析師來源，未經證實' ELSE '來源等級一般' END AS w2,
+  CASE WHEN list_has_any(cats, ['政策', '關稅']) THEN '總經/政策層級，影響全市場' WHEN list_has_any(cats, ['產業供需', 'AI/科技']) THEN '產業層級，影響整條供應鏈' WHEN len(tks) >= 3 THEN '牽動 ' || len(tks)::VARCHAR || ' 檔個股' WHEN len(tks) = 2 THEN '牽動 2 檔個股'
+    WHEN len(tks) = 1 THEN CASE WHEN impact = 65 THEN '權值股 ' || tks[1] || '（單檔但足以牽動大盤）' ELSE '單一個股 ' || tks[1] END ELSE '無明確標的' END AS w3,
+  CASE WHEN len(cats) = 0 THEN '類型未標' ELSE '事件類型「' || top || '」' || CASE WHEN category >= 80 THEN '（高影響類型）' WHEN category >= 60 THEN '（中影響類型）' ELSE '（例行揭露類型）' END END AS w4,
+  CASE WHEN h IS NULL THEN '熱度資料不足，不調整' WHEN exact >= 1.1::DOUBLE THEN '24h 內 ' || h::VARCHAR || ' 家跟進（快速發酵）' WHEN exact <= 0.95::DOUBLE THEN '24h 內僅 ' || h::VARCHAR || ' 家報導（乏人問津）' ELSE '24h 內 ' || h::VARCHAR || ' 家跟進（一般熱度）' END AS w5 FROM x)
+SELECT event_id, printf('[來源廣度 %d分×30%%] %s|[來源權威 %d分×25%%] %s|[影響範圍 %d分×30%%] %s|[事件類型 %d分×15%%] %s|[熱度 ×%s] %s', breadth, w1, authority, w2, impact, w3, category, w4, rtrim(rtrim(printf('%.3f', amp), '0'), '.'), w5) AS reasons FROM w""")
 def q_M06_reasons(t: Tables) -> DataFrame:
-    return _importance(t).select("event_id", F.array_join(scoring.reasons(F.col("score")), "|").alias("reasons"))
+    why = scoring.explanations(F.col("source_count"), F.col("sources"), F.col("status"), F.col("tickers"), F.col("categories"), F.col("heat_sources_24h"))
+    return _importance(t).select("event_id", F.array_join(scoring.reasons(F.col("score"), why), "|").alias("reasons"))
 
 
 @book.query(f"WITH {_HEAT} SELECT event_id, heat_sources_24h FROM heat")
@@ -141,11 +154,30 @@ def q_E09_search(t: Tables) -> DataFrame:
     return serving.search(t.entities, t.tickers, " 110 ").select("event_id")
 
 
-@book.query(f"""WITH r AS (SELECT * FROM entities WHERE {_READY}), x AS (SELECT a.event_id AS anchor_id, e.event_id, e.occurred, a.event_id = e.event_id AS is_current,
-  row_number() OVER (PARTITION BY a.event_id ORDER BY e.occurred DESC, a.event_id = e.event_id DESC, e.event_id DESC) AS k
-  FROM r a JOIN r e ON list_contains(e.tickers, a.tickers[1]) AND e.occurred <= a.occurred AND e.occurred > a.occurred - 60 * 86400) SELECT anchor_id, event_id, occurred, is_current FROM x WHERE k <= 6""")
+# Events of half a day's steps in pairs, so that some lie exactly 60 days apart, some of 21 tickers, without categories or time.
+_STORIES = f"""stories AS (SELECT * REPLACE (CASE WHEN k % 41 = 40 THEN NULL ELSE (1735689600 + (k // 2) * 43200 * (1 + (k % 10 = 2)::INT * 60))::BIGINT END AS occurred,
+  CASE WHEN k % 20 = 7 THEN list_transform(range(1100, 1121), lambda x: CAST(x AS VARCHAR)) ELSE tickers END AS tickers, CASE WHEN k % 30 = 11 THEN [] ELSE categories END AS categories) FROM entities),
+ready AS (SELECT * FROM stories WHERE {_READY})"""
+_LINES = """(SELECT a.event_id AS anchor_id, e.event_id, e.occurred, a.event_id = e.event_id AS is_current,
+  row_number() OVER (PARTITION BY a.event_id ORDER BY e.occurred DESC NULLS LAST, a.event_id = e.event_id DESC, e.event_id DESC) AS place
+  FROM {anchors} a JOIN {events} e ON a.event_id = e.event_id OR list_contains(e.tickers, a.tickers[1]) AND len(e.tickers) <= 20 AND list_has_any(e.categories, a.categories) AND e.occurred <= a.occurred AND e.occurred >= a.occurred - 60 * 86400
+  WHERE len(a.tickers) > 0 AND len(a.categories) > 0)"""
+
+
+def _stories(t: Tables) -> DataFrame:
+    k = F.col("k")
+    spread = (F.lit(1735689600) + F.floor(k / 2) * 43200 * (1 + (k % 10 == 2).cast("int") * 60)).cast("long")
+    market = F.transform(F.sequence(F.lit(1100), F.lit(1120)), lambda x: x.cast("string"))
+    return t.entities.withColumns({
+        "occurred": F.when(k % 41 != 40, spread),
+        "tickers": F.when(k % 20 == 7, market).otherwise(F.col("tickers")),
+        "categories": F.when(k % 30 == 11, F.array().cast("array<string>")).otherwise(F.col("categories")),
+    })
+
+
+@book.query(f"WITH {_STORIES} SELECT anchor_id, event_id, occurred, is_current FROM {_LINES.format(anchors='ready', events='ready')} WHERE place <= 6")
 def q_J10_timeline(t: Tables) -> DataFrame:
-    return serving.timeline(t.entities)
+    return serving.timeline(_stories(t))
 
 
 @book.query("""WITH a AS (SELECT event_id AS id, tickers[1] AS ticker, DATE '1995-03-01' + ((k * 17) % 2200)::INT AS day FROM entities), j AS (SELECT a.*, date, close FROM a JOIN bars USING (ticker))
@@ -312,12 +344,22 @@ def q_E14_reactions(t: Tables) -> DataFrame:
     return r.select("id", "ticker", "event_index", "as_of", F.round("return_5d", 6).alias("return_5d"), F.round("volume_ratio", 6).alias("volume_ratio"), F.col("foreign_consecutive_days").cast("int").alias("run"), series.alias("series"))
 
 
-@book.query(f"""WITH d AS (SELECT DISTINCT make_timestamp(occurred * 1000000)::DATE AS day FROM entities WHERE {_READY} ORDER BY day DESC LIMIT 2), e AS (SELECT * FROM entities WHERE {_READY} AND make_timestamp(occurred * 1000000)::DATE IN (SELECT day FROM d) ORDER BY {_RANK} LIMIT 12),
-u AS (SELECT event_id, string_agg(url, ' ' ORDER BY published, article_id) AS urls, count(*) AS n FROM articles GROUP BY 1)
-SELECT event_id, title, len(coalesce(tickers, []))::INT AS tickers, n::INT AS members, urls FROM e JOIN u USING (event_id)""")
+@book.query(f"""WITH {_DERIVED}, pd AS (SELECT DISTINCT make_timestamp(occurred * 1000000)::DATE AS day FROM entities WHERE {_READY} ORDER BY day DESC LIMIT 2), pe AS (SELECT * FROM entities WHERE {_READY} AND make_timestamp(occurred * 1000000)::DATE IN (SELECT day FROM pd) ORDER BY {_RANK} LIMIT 12),
+pu AS (SELECT event_id, string_agg(url, ' ' ORDER BY published, article_id) AS urls, count(*) AS n FROM articles GROUP BY 1), pr AS (SELECT * FROM entities WHERE {_READY}),
+pl AS (SELECT anchor_id AS event_id, string_agg(event_id || CASE WHEN is_current THEN '*' ELSE '' END, ' ' ORDER BY occurred, event_id) AS timeline FROM {_LINES.format(anchors="pe", events="pr")} WHERE place <= 6 GROUP BY 1),
+xj AS (SELECT pe.event_id AS id, pe.day0 AS day, c.* FROM (SELECT *, (make_timestamp(occurred * 1000000)::DATE - 10957)::DATE AS day0 FROM pe) pe JOIN chips c ON c.ticker = pe.tickers[1]),
+xr AS (SELECT *, 1 - row_number() OVER (PARTITION BY id ORDER BY date DESC) AS place FROM xj WHERE date <= day QUALIFY place > -6 UNION ALL SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS place FROM xj WHERE date > day QUALIFY place <= 5),
+xm AS (SELECT id AS event_id, ticker || ':' || (count(*) FILTER (WHERE place < 0))::VARCHAR || ':' || max(date)::VARCHAR || ':' || string_agg(date::VARCHAR, ',' ORDER BY date) AS reaction FROM xr GROUP BY id, ticker HAVING max(close) FILTER (WHERE place = 0) <> 0)
+SELECT event_id, title, len(coalesce(tickers, []))::INT AS tickers, n::INT AS members, urls, timeline, reaction FROM pe JOIN pu USING (event_id) LEFT JOIN pl USING (event_id) LEFT JOIN xm USING (event_id)""")
 def q_E06_E08_start_page(t: Tables) -> DataFrame:
-    p = reads.start_page(t.entities, t.articles, t.tickers, bars.derive(t.bars))
-    return p.select("event_id", "title", F.size("named").alias("tickers"), F.size("members").alias("members"), F.array_join("urls", " ").alias("urls"))
+    """The bars lie 30 years before the events: their dates are moved for reactions to meet them."""
+    moved = bars.derive(t.bars).withColumn("date", F.date_add("date", 10957))
+    p = reads.start_page(t.entities, t.articles, t.tickers, moved)
+    back = lambda d: F.date_sub(d, 10957).cast("string")
+    line = F.array_join(F.transform("timeline", lambda x: F.concat(x["id"], F.when(x["is_current"], "*").otherwise(""))), " ")
+    r = F.col("reaction")
+    market = F.when(r.isNotNull(), F.concat_ws(":", r["ticker"], r["event_index"].cast("string"), back(r["as_of"]), F.array_join(F.transform(r["series"], lambda x: back(x["date"])), ",")))
+    return p.select("event_id", "title", F.size("named").alias("tickers"), F.size("members").alias("members"), F.array_join("urls", " ").alias("urls"), line.alias("timeline"), market.alias("reaction"))
 
 
 _CATEGORIES = ("財報", "法說", "政策", "關稅", "AI/科技", "產業供需", "營收", "法人動向", "技術突破")
