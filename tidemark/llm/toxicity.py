@@ -181,13 +181,14 @@ class Index:
         index = cls._of(weight, rows, k, prior, weights)
         if not rows:
             return index
-        cosine = np.stack([index.cosines(v) for _, _, v in rows])
-        out = cls._of(weight, [rows[i] for i in _arranged(cosine).tolist()], k, prior, weights)
-        np.fill_diagonal(cosine, -1.0)
-        shares = []
-        for row in cosine:
-            near = np.nonzero((row >= _kth(row, k) - 1e-12) & (row > 0))[0]
+        cosine, shares = np.zeros((len(rows), len(rows)), np.float32), []
+        for i, (_, _, v) in enumerate(rows):
+            row = index.cosines(v)
+            cosine[i] = row
+            row[i] = -1.0
+            near = np.flatnonzero((row >= _kth(row, k) - 1e-12) & (row > 0))
             shares.append(index._share(near, row[near]))
+        out = cls._of(weight, [rows[i] for i in _arranged(cosine).tolist()], k, prior, weights)
         out.line = calibrated(np.array(shares), index.labels, np.array(weights)[index.labels], prior)
         return out
 
@@ -323,8 +324,7 @@ def _arranged(cosine: np.ndarray) -> np.ndarray:
         lean = cosine[part[one], part]
         for _ in range(6):
             by = np.argsort(-lean, kind="stable")
-            of = cosine[part]
-            lean = of[:, part[by[:half]]].mean(axis=1) - of[:, part[by[half:]]].mean(axis=1)
+            lean = cosine[np.ix_(part, part[by[:half]])].mean(axis=1) - cosine[np.ix_(part, part[by[half:]])].mean(axis=1)
         by = np.argsort(-lean, kind="stable")
         parts += [part[by[half:]], part[by[:half]]]
     return np.concatenate(order)
@@ -359,7 +359,7 @@ def calibrated(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray, prio
     return max(float(line[0]), 0.0), float(line[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 4096, k: int = 30) -> tuple[list[bytes], Index]:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 2048, k: int = 30) -> tuple[list[bytes], Index]:
     """Vocabulary and index. labels: (doc_id, label), label 1 for toxic.
 
     The bound is max_per_class examples a label: their features are the vocabulary, which the
@@ -369,18 +369,18 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_clas
     labels). Empty tables are such a case.
     """
     rows, totals = sample(docs, labels, text_col, max_per_class)
-    got = rows.toArrow().sort_by("doc_id")
+    got = rows.toArrow().sort_by("doc_id").combine_chunks()
     prior = (totals[1] + 0.5) / (sum(totals) + 1.0)
     kinds = got["label"].to_pylist()
     if len(set(kinds)) < 2:
         return [], Index.build(np.zeros(0), [], k, prior, (1.0, 1.0))
-    vocab = sorted(got["features"].combine_chunks().flatten().unique().to_pylist())
-    number = {f: i for i, f in enumerate(vocab)}
-    examples = []
-    for doc_id, label, found, times in zip(got["doc_id"].to_pylist(), kinds, got["features"].to_pylist(), got["times"].to_pylist(), strict=True):
-        at = np.array([number[f] for f in found], np.int64)
-        order = np.argsort(at)
-        examples.append((doc_id, label, (at[order], np.array(times, np.float64)[order])))
+    features_of = got["features"].combine_chunks()
+    coded = features_of.flatten().dictionary_encode()
+    ends, times = np.asarray(features_of.offsets), got["times"].combine_chunks().flatten().to_numpy().astype(float)
+    vocab = coded.dictionary.to_pylist()
+    at = coded.indices.to_numpy()
+    order = [a + np.argsort(at[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    examples = [(doc_id, label, (at[o], times[o])) for doc_id, label, o in zip(got["doc_id"].to_pylist(), kinds, order, strict=True)]
     df, n = document_frequencies(docs, text_col, vocab)
     weight = np.log((1 + n) / (1 + df)) + 1
     taken = Counter(kinds)
