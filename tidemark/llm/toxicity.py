@@ -216,7 +216,7 @@ class Index:
         block_max = np.zeros((int(longer.sum()), blocks))
         of_mid = mid[feature] >= 0
         np.maximum.at(block_max, (mid[feature[of_mid]], example[of_mid] // BLOCK), value[of_mid])
-        return cls(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), row, dense, start, example, value, mid, np.searchsorted(at, edges), block_max, k, prior, weights)
+        return cls(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), row.astype(np.int32), dense, start.astype(np.int32), example, value, mid.astype(np.int32), np.searchsorted(at, edges).astype(np.int32), block_max.astype(np.float32) * np.float32(1.000001), k, prior, weights)
 
     @staticmethod
     def _unit(v: Vector, weight: np.ndarray) -> Vector:
@@ -359,7 +359,7 @@ def calibrated(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray, prio
     return max(float(line[0]), 0.0), float(line[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 2048, k: int = 30) -> tuple[list[bytes], Index]:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_per_class: int = 1024, k: int = 30) -> tuple[list[bytes], Index]:
     """Vocabulary and index. labels: (doc_id, label), label 1 for toxic.
 
     The bound is max_per_class examples a label: their features are the vocabulary, which the
