@@ -83,56 +83,131 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vector_c
     return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
 
 
-def average_linkage(similarity: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster number of each row: average linkage on 1 - similarity, cut strictly below `cut`.
+INSIDE = 4096  # clusters of a component that one task links; beyond, rounds over blocks come first
 
-    Nearest pairs merge first, ties by the lowest rows; distances between clusters follow from
-    the sizes (Lance and Williams).
+
+def nearest_groups(sums: np.ndarray, n: np.ndarray, others: np.ndarray, m: np.ndarray, same: bool, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """For each group the number of the other group with the largest mean cosine, and that cosine.
+
+    The mean cosine of two groups of unit vectors is the product of their sums over both sizes,
+    taken to 12 digits; of equals the first is taken. same: both sides are one list.
     """
-    n = len(similarity)
-    d = 1.0 - similarity.astype(float)
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - 1):
-        at = int(np.argmin(d))
-        i, j = divmod(at, n)
-        if not d[i, j] < cut:
+    best, value = np.zeros(len(sums), np.int64), np.full(len(sums), -np.inf)
+    for at in range(0, len(sums), chunk):
+        mean = np.round((sums[at : at + chunk] @ others.T) / (n[at : at + chunk, None] * m[None, :]), 12)
+        if same:
+            mean[np.arange(len(mean)), at + np.arange(len(mean))] = -np.inf
+        if mean.shape[1]:
+            best[at : at + chunk] = mean.argmax(axis=1)
+            value[at : at + chunk] = mean.max(axis=1)
+    return best, value
+
+
+def average_linkage(sums: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Cluster number of each row: average linkage of groups, given by the sums of their unit
+    vectors and their sizes, as long as a mean cosine exceeds `least`.
+
+    All pairs that are each other's nearest merge at once: merging others never brings a group
+    nearer to them than they are, so the order makes no difference. A cluster's number is its
+    first row's.
+    """
+    label, rows = np.arange(len(sums)), np.arange(len(sums))
+    sums, n = sums.copy(), n.astype(float)
+    while len(rows) > 1:
+        best, value = nearest_groups(sums, n, sums, n, True)
+        here = np.arange(len(rows))
+        first = np.flatnonzero((best[best] == here) & (here < best) & (value > least))
+        if not len(first):
             break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[j], d[:, j] = np.inf, np.inf
-        d[i, i] = np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == label[j]] = label[i]
-        d[i, ~alive], d[~alive, i] = np.inf, np.inf
+        second = best[first]
+        sums[first] += sums[second]
+        n[first] += n[second]
+        into = np.arange(len(label))
+        into[rows[second]] = rows[first]
+        label = into[label]
+        stay = np.ones(len(rows), bool)
+        stay[second] = False
+        rows, sums, n = rows[stay], sums[stay], n[stay]
     return label
 
 
-def cluster(vectors: DataFrame, cut: float = 0.35, id_col: str = "id", vector_col: str = "vector", largest: int = 5000) -> DataFrame:
+_GROUPS = "component long, id long, n long, s array<double>"
+
+
+def _round(groups: DataFrame, least: float) -> DataFrame:
+    """(id, into): the groups that merge into another one, their nearest, in one round.
+
+    Groups of a component are dealt into blocks of about ROWS; a task compares two blocks.
+    """
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("long").alias("blocks"))
+    dealt = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("component", "id", "n", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["block"] == k].sort_values("id") for k in dict.fromkeys(key[1:])]
+        ids = [p["id"].to_numpy() for p in sides]
+        sums = [np.stack(p["s"].to_numpy()) if len(p) else np.zeros((0, 1)) for p in sides]
+        n = [p["n"].to_numpy().astype(float) for p in sides]
+        out = []
+        for a, b in ((0, 0),) if len(sides) == 1 else ((0, 1), (1, 0)):
+            if len(ids[a]) and len(ids[b]):
+                best, value = nearest_groups(sums[a], n[a], sums[b], n[b], a == b)
+                some = value > least
+                out.append(pd.DataFrame({"id": ids[a][some], "into": ids[b][best[some]], "mean": value[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "into": pd.Series(dtype="int64"), "mean": pd.Series(dtype="float64")})
+
+    found = dealt.groupBy("component", "i", "j").applyInPandas(compare, "id long, into long, mean double")
+    best = found.groupBy("id").agg(F.max_by("into", F.struct("mean", -F.col("into"))).alias("into"))
+    back = best.select(F.col("id").alias("into"), F.col("into").alias("id"))
+    return best.join(back, ["id", "into"]).filter("into < id").select("id", "into")
+
+
+def cluster(vectors: DataFrame, cut: float = 0.35, id_col: str = "id", vector_col: str = "vector", inside: int = INSIDE) -> DataFrame:
     """(id, cluster): average linkage over all rows; cluster is the smallest id in it.
 
     Two clusters can only merge below the cut if some pair of theirs lies below it. So exact
     linkage inside each connected component of the pairs with cosine over 1 - cut is exact
-    linkage of everything. A component of over `largest` rows is refused, not thinned out.
+    linkage of everything. A component of over `inside` groups is linked by rounds over all
+    tasks, in each of which all groups that are each other's nearest merge, until `inside` or
+    fewer are left or none merge; no table of all its pairs is held anywhere. Where two pairs are
+    equally near to 12 digits, the smaller id is taken. Null vectors stay alone.
     """
-    pairs = materialize(similar_pairs(vectors, 1.0 - cut, id_col, vector_col, forest=True), "pairs")
+    least = 1.0 - cut
+    pairs = materialize(similar_pairs(vectors, least, id_col, vector_col, forest=True), "pairs")
     parts = connected_components(pairs.select("a", "b"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).join(parts, F.col("id") == F.col("node"))
+    rows = vectors.select(F.col(id_col).alias("id"), normalised(F.col(vector_col).cast("array<double>")).alias("s")).join(parts, F.col("id") == F.col("node"))
+    groups = materialize(rows.select("component", "id", F.lit(1).cast("long").alias("n"), "s"), "groups")
+    moved = None  # (node, into): where the ids that left are now
+    while True:
+        sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > inside)
+        if sizes.isEmpty():
+            break
+        large = groups.join(sizes.select("component"), "component", "left_semi")
+        merges = materialize(_round(large, least), "merges")
+        if merges.isEmpty():
+            break
+        into = groups.join(merges, "id", "left").select("component", F.coalesce("into", "id").alias("id"), F.col("id").alias("was"), "n", "s")
+        both = into.groupBy("component", "id").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("was", "s"))).alias("x"))
+        sum_of = F.when(F.size("x") > 1, F.zip_with(F.col("x")[0]["s"], F.get("x", F.lit(1))["s"], lambda a, b: a + b)).otherwise(F.col("x")[0]["s"])
+        groups = materialize(both.select("component", "id", "n", sum_of.alias("s")), "groups")
+        step = merges.select(F.col("id").alias("node"), "into")
+        if moved is not None:
+            onward = step.select(F.col("node").alias("into"), F.col("into").alias("then"))
+            step = moved.join(onward, "into", "left").select("node", F.coalesce("then", "into").alias("into")).unionByName(step)
+        moved = materialize(step, "moved")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > largest:
-            raise ValueError(f"a component has {len(pdf)} rows, over {largest}")
         pdf = pdf.sort_values("id")
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        x = x / np.where(n == 0, 1, n)
-        label = average_linkage(x @ x.T, cut)
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "cluster": ids[label]})
-
-    linked = rows.groupBy("component").applyInPandas(link, "id long, cluster long")
+        if len(ids) > inside:  # rounds have ended: nothing merges any more
+            return pd.DataFrame({"id": ids, "cluster": ids})
+        return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(np.stack(pdf["s"].to_numpy()), pdf["n"].to_numpy(), least)]})
+
+    linked = groups.groupBy("component").applyInPandas(link, "id long, cluster long")
+    if moved is not None:
+        linked = materialize(linked, "linked")
+        linked = linked.unionByName(moved.join(linked, F.col("into") == F.col("id")).select(F.col("node").alias("id"), "cluster"))
     single = vectors.select(F.col(id_col).alias("id")).join(parts.select(F.col("node").alias("id")), "id", "left_anti")
     return linked.unionByName(single.select("id", F.col("id").alias("cluster")))
 
@@ -233,12 +308,14 @@ def nearest(queries: DataFrame, targets: DataFrame, farthest: float = 0.35, days
     own = F.pmod(F.xxhash64("id"), F.lit(many))
     q = queries.select("id", "day", F.col("vector").cast("array<double>").alias("v"), F.lit(True).alias("asks"), own.alias("qb"), F.explode(blocks).alias("tb"))
     t = targets.select("id", "day", F.col("vector").cast("array<double>").alias("v"), F.lit(False).alias("asks"), F.explode(blocks).alias("qb"), own.alias("tb"))
-    schema = "id long, day long, distance double, target long, target_day long"
+    kind = queries.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, day long, distance double, target {kind}, target_day long"
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
         if not len(a) or not len(b):
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype={"long": "int64", "double": "float64"}[c.split()[1]]) for c in schema.split(", ")})
+            none = pdf.iloc[:0]
+            return pd.DataFrame({"id": none["id"], "day": none["day"], "distance": pd.Series(dtype="float64"), "target": none["id"], "target_day": none["day"]})
         unit = lambda p: (lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300))(np.stack(p["v"].to_numpy()).astype(float))
         d = np.round(1.0 - unit(a) @ unit(b).T, 12)
         k = d.argmin(axis=1)
@@ -255,22 +332,54 @@ def attach(batch: DataFrame, existing: DataFrame, today: int, farthest: float =
     batch: event_id, vector, day, members (structs of article_id, source); existing: also
     last_seen and updated (day numbers). A new event whose nearest existing one is near enough
     gives that one the members it has not got yet, so a batch that comes twice changes nothing;
-    other new events are appended. state: grown, same or new.
+    what stands under its own id stays as it was. Others are appended, or replace the event of
+    their id. state: grown, same, new or replaced.
     """
     batch = batch.select("event_id", "vector", "day", "members")
-    asked = batch.select(F.col("event_id").alias("id"), "vector", "day")
-    known = existing.select(F.col("event_id").alias("id"), "vector", F.col("last_seen").alias("day"), "updated")
-    found = materialize(nearest(asked.filter("vector is not null and day is not null"), known.filter("vector is not null and day is not null"), farthest, days, today, fresh), "attached")
+    found = materialize(attached(batch, existing, today, farthest, days, fresh), "attached")
     arriving = found.join(batch, F.col("id") == F.col("event_id")).select("target", F.explode("members").alias("m")).dropDuplicates(["target", "m"])
     more = arriving.groupBy("target").agg(F.sort_array(F.collect_list("m")).alias("_more"))
-    grown = existing.join(more, F.col("event_id") == F.col("target"), "left")
+    alone = batch.join(found.select(F.col("id").alias("event_id")), "event_id", "left_anti").select("event_id", "members")
+    kept = existing.join(alone.select("event_id"), "event_id", "left_anti")
+    grown = kept.join(more, F.col("event_id") == F.col("target"), "left")
     have = F.transform("members", lambda m: m["article_id"])
     added = F.filter(F.coalesce("_more", F.slice("members", 1, 0)), lambda m: ~F.array_contains(have, m["article_id"]))
     grown = grown.withColumn("_added", added).withColumn("state", F.when(F.size("_added") > 0, "grown").otherwise("same"))
     grown = grown.select("event_id", F.concat("members", "_added").alias("members"), "state")
-    new = batch.join(found.select(F.col("id").alias("event_id")), "event_id", "left_anti").join(existing.select("event_id"), "event_id", "left_anti").select("event_id", "members", F.lit("new").alias("state"))
+    known = existing.select("event_id", F.lit("replaced").alias("_known"))
+    put = alone.join(known, "event_id", "left").select("event_id", "members", F.coalesce("_known", F.lit("new")).alias("state"))
     sources = F.size(F.array_distinct(F.transform("members", lambda m: m["source"])))
-    return grown.unionByName(new).select("event_id", "members", sources.alias("source_count"), "state")
+    return grown.unionByName(put).select("event_id", "members", sources.alias("source_count"), "state")
+
+
+def attached(batch: DataFrame, existing: DataFrame, today: int, farthest: float = 0.35, days: int = 3, fresh: int = 30) -> DataFrame:
+    """(id, target, distance): which events of a batch join which existing one; see attach()."""
+    asked = batch.select(F.col("event_id").alias("id"), "vector", "day")
+    known = existing.select(F.col("event_id").alias("id"), "vector", F.col("last_seen").alias("day"), "updated")
+    # the batch's own ids are no targets, whether or not they can be asked for
+    known = known.join(batch.select(F.col("event_id").alias("id")), "id", "left_anti")
+    return nearest(asked.filter("vector is not null and day is not null"), known.filter("vector is not null and day is not null"), farthest, days, today, fresh)
+
+
+def move_articles(articles: DataFrame, batch: DataFrame, existing: DataFrame, found: DataFrame, periodic: DataFrame) -> DataFrame:
+    """articles (article_id, event_id, stage) after attach(): only those at 'vectorized' move.
+
+    Members that are new to the event they join go there, on to 'summarized' if it has a title, else
+    to 'clustered'; all other members of the batch go to their own event, 'clustered'; periodic
+    articles (article_id) keep their event and end at 'periodic'. found: attached(); existing: also
+    title.
+    """
+    member = batch.select("event_id", F.explode("members").alias("m")).select("event_id", F.col("m.article_id").alias("article_id"))
+    held = existing.select(F.col("event_id").alias("target"), F.explode("members").alias("m")).select("target", F.col("m.article_id").alias("article_id"))
+    titled = existing.select(F.col("event_id").alias("target"), F.when(F.col("title").isNotNull(), "summarized").otherwise("clustered").alias("to"))
+    joining = member.join(found.select(F.col("id").alias("event_id"), "target"), "event_id").join(held, ["target", "article_id"], "left_anti").join(titled, "target")
+    moves = joining.select("article_id", F.lit(0).alias("turn"), F.col("target").alias("event"), "to")
+    moves = moves.unionByName(member.select("article_id", F.lit(1).alias("turn"), F.col("event_id").alias("event"), F.lit("clustered").alias("to")))
+    moves = moves.unionByName(periodic.select("article_id", F.lit(2).alias("turn"), F.lit(None).cast(batch.schema["event_id"].dataType).alias("event"), F.lit("periodic").alias("to")))
+    first = moves.groupBy("article_id").agg(F.min(F.struct("turn", "event", "to")).alias("move"))
+    going = F.col("move").isNotNull() & (F.col("stage") == "vectorized")
+    joined = articles.join(first, "article_id", "left")
+    return joined.withColumns({"event_id": F.when(going, F.coalesce("move.event", "event_id")).otherwise(F.col("event_id")), "stage": F.when(going, F.col("move.to")).otherwise(F.col("stage"))}).select(*articles.columns)
 
 
 def centroids(members: DataFrame) -> DataFrame:

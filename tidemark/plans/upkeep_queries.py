@@ -190,15 +190,15 @@ def q_M18_similar_pairs(t: Tables) -> DataFrame:
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-_NEAR = """WITH v AS (SELECT *, vec_id % 9 AS day, vec_id % 61 AS updated FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), t AS (SELECT * FROM v WHERE vec_id % 25 <> 0 AND updated > 60 - 30),
+_NEAR = """WITH v AS (SELECT *, vec_id % 9 AS day, vec_id % 61 AS updated FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), t AS (SELECT * FROM v WHERE vec_id % 50 <> 0 AND updated > 60 - 30),
 d AS (SELECT q.vec_id AS id, t.vec_id AS target, abs(q.day - t.day) AS days, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 12) AS d FROM q, t),
 n AS (SELECT id, target, d FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, target) = 1) WHERE d <= 0.7 AND days <= 3)"""
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """New and existing events: the ids divisible by 50 stand in both."""
+    """New and existing events: the ids divisible by 50 are new, those by 100 come again."""
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 9).alias("day"), (F.col("vec_id") % 61).alias("updated"))
-    return v.filter("id % 50 = 0"), v.filter("id % 50 = 0 or id % 25 <> 0")
+    return v.filter("id % 50 = 0"), v.filter("id % 100 <> 50")
 
 
 @book.query(_NEAR + "SELECT id, target, round(d, 6) AS distance FROM n")
@@ -207,18 +207,17 @@ def q_J13_nearest(t: Tables) -> DataFrame:
     return found.select("id", "target", F.round("distance", 6).alias("distance"))
 
 
-@book.query(_NEAR + """, m AS (SELECT vec_id AS event_id, unnest([vec_id * 10, vec_id * 10 + 1 + (vec_id % 50 = 0)::INT]) AS article_id, 's' || CAST((unnest([vec_id, vec_id + 1])) % 3 AS VARCHAR) AS source FROM v),
-e AS (SELECT vec_id AS event_id FROM v WHERE vec_id % 25 <> 0),
-g AS (SELECT event_id, article_id, source, 0 AS added FROM m JOIN e USING (event_id) UNION SELECT target, article_id, source, 1 FROM n JOIN m ON m.event_id = n.id),
-w AS (SELECT event_id, article_id, source, 2 AS added FROM m WHERE event_id % 50 = 0 AND event_id NOT IN (SELECT id FROM n))
-SELECT event_id, string_agg(article_id, ',' ORDER BY article_id) AS members, count(DISTINCT source) AS source_count, CASE max(added) WHEN 0 THEN 'same' WHEN 1 THEN 'grown' ELSE 'new' END AS state FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY event_id""")
+@book.query(_NEAR + """, m AS (SELECT vec_id AS event_id, unnest([vec_id * 10, vec_id * 10 + 1]) AS article_id, 's' || CAST((unnest([vec_id, vec_id + 1])) % 3 AS VARCHAR) AS source FROM v WHERE vec_id % 100 <> 50),
+b AS (SELECT vec_id AS event_id, unnest([vec_id * 10, vec_id * 10 + 2, vec_id * 10 + 3]) AS article_id, 's' || CAST((unnest([vec_id, vec_id + 1, vec_id + 2])) % 3 AS VARCHAR) AS source FROM q),
+alone AS (SELECT * FROM b WHERE event_id NOT IN (SELECT id FROM n)),
+g AS (SELECT event_id, article_id, source, 0 AS added FROM m WHERE event_id NOT IN (SELECT event_id FROM alone) UNION SELECT target, article_id, source, 1 FROM n JOIN b ON b.event_id = n.id),
+w AS (SELECT event_id, article_id, source, 2 + (event_id IN (SELECT event_id FROM m))::INT AS added FROM alone)
+SELECT event_id, string_agg(article_id, ',' ORDER BY article_id) AS members, count(DISTINCT source) AS source_count, ['same', 'grown', 'new', 'replaced'][max(added) + 1] AS state FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY event_id""")
 def q_J19_CL09_attach(t: Tables) -> DataFrame:
     batch, existing = (x.withColumn("event_id", F.col("id")) for x in _vectors(t))
-    second = F.col("id") * 10 + 1 + (F.col("id") % 50 == 0).cast("int")
-    member = lambda article, k: F.struct(article.alias("article_id"), F.concat(F.lit("s"), (F.col("id") + k) % 3).alias("source"))
-    listed = F.array(member(F.col("id") * 10, 0), member(second, 1))
-    known = existing.filter("id % 25 <> 0").withColumn("members", listed).withColumnRenamed("day", "last_seen")
-    got = cluster.attach(batch.withColumn("members", listed), known, today=60, farthest=0.7)
+    member = lambda *k: F.array(*(F.struct((F.col("id") * 10 + x).alias("article_id"), F.concat(F.lit("s"), (F.col("id") + y) % 3).alias("source")) for y, x in enumerate(k)))
+    known = existing.withColumn("members", member(0, 1)).withColumnRenamed("day", "last_seen")
+    got = cluster.attach(batch.withColumn("members", member(0, 2, 3)), known, today=60, farthest=0.7)
     ids = F.transform(F.array_sort(F.transform("members", lambda m: m["article_id"])), lambda x: x.cast("string"))
     return got.select("event_id", F.array_join(ids, ",").alias("members"), F.col("source_count").cast("long").alias("source_count"), "state")
 
@@ -249,6 +248,24 @@ def q_CL07_assemble(t: Tables) -> DataFrame:
     return cluster.assemble_events(rows, 0.62)
 
 
+def _embedded(t: Tables) -> DataFrame:
+    """Articles with vectors; titles and tickers of all kinds, some of a scheduled column."""
+    n = F.col("n")
+    title = F.when(n % 23 == 7, F.concat(F.lit("營收速報 - "), "title")).when(n % 4 == 1, F.concat("title", F.concat(F.lit(" (1103-TW) (2025) "), n.cast("string"), F.lit("億元 3% 7 張")))).otherwise(F.col("title"))
+    declared = F.when(n % 5 == 0, F.array().cast("array<string>")).when(n % 5 > 2, F.array((n % 4).cast("string"), F.lit("2330")))
+    return t.articles.join(t.embeddings, n == F.col("vec_id")).select(n.alias("id"), F.col("embedding").alias("vector"), title.alias("title"), "content", "url", "published", F.when(n % 11 != 3, F.col("source")).alias("source"), declared.alias("related_tickers"))
+
+
+@book.query()
+def q_CL07_records(t: Tables) -> DataFrame:
+    from tidemark.operators import events
+
+    found, filtered = events.records(_embedded(t), 0.75)
+    one = F.transform("members", lambda m: F.concat_ws(":", m["article_id"].cast("string"), m["source"], F.when(m["has_unique_detail"], "*").otherwise("")))
+    rows = found.select("event_id", "representative_title", "source_count", F.array_join(one, " ").alias("members"), F.array_join("related_tickers", ",").alias("tickers"), F.col("date_start").cast("string").alias("date_start"), F.col("date_end").cast("string").alias("date_end"))
+    return rows.unionByName(filtered.select(F.concat(F.lit("filtered "), F.col("article_id").cast("string")).alias("event_id"), F.col("periodic_type").alias("representative_title")), allowMissingColumns=True)
+
+
 @book.query("""WITH a AS (SELECT article_id, 'ASIA_ ' || title || ' (1103) (9999) ' || (SELECT min(name) FROM tickers) || ' NATION' AS title FROM articles),
 h AS (SELECT article_id, '1103' AS ticker FROM a WHERE EXISTS (SELECT 1 FROM tickers WHERE ticker = '1103') UNION SELECT article_id, ticker FROM a JOIN tickers ON contains(a.title, name) AND NOT EXISTS (SELECT 1 FROM tickers x WHERE length(x.name) > length(tickers.name) AND contains(x.name, tickers.name) AND contains(a.title, x.name)))
 SELECT article_id, coalesce((SELECT string_agg(ticker, ',' ORDER BY ticker) FROM h WHERE h.article_id = a.article_id), '') AS tickers FROM a""")
