@@ -46,32 +46,50 @@ Vector = tuple[np.ndarray, np.ndarray]  # numbers of features, ascending, and th
 
 
 class Lookup(dict):
-    """Term to a place in `numbers`, which has the numbers of its features in the vocabulary, -1
-    for none; place 0 has none. Terms are remembered up to a bound, looked at before each text."""
+    """Term to a row of `numbers`, which has the numbers of its features in the vocabulary, -1 for
+    none; row 0 has none. Terms are remembered up to a bound, looked at before each text.
+
+    A vocabulary holds the shorter stems of all its features, so a term whose stem is missing has
+    no longer one in it.
+    """
 
     def __init__(self, vocab: list[bytes], bound: int = 300_000) -> None:
         super().__init__()
         self.wanted, self.bound = {t: k for k, t in enumerate(vocab)}, bound
-        self.numbers, self.used = np.full((1024, 1 + len(STEMS)), -1, np.int32), 1
+        self.rows: dict[tuple[int, ...], int] = {(): 0}
+        self.numbers = np.full((1024, 1 + len(STEMS)), -1, np.int32)
 
     def __missing__(self, term: bytes) -> int:
-        got = [k for f in features(term) if (k := self.wanted.get(f)) is not None]
-        if not got:
-            self[term] = 0
-            return 0
-        at = self[term] = self.used
-        if at == len(self.numbers):
-            self.numbers = np.concatenate([self.numbers, np.full_like(self.numbers, -1)])
-        self.numbers[at] = -1
-        self.numbers[at, : len(got)] = got
-        self.used += 1
+        get, got = self.wanted.get, []
+        word = term if term.isascii() else term.decode("utf-8", "replace")
+        for n in STEMS:
+            if n >= len(word):
+                break
+            stem = word[:n] if word is term else word[:n].encode()
+            k = get(stem + b"*")
+            if k is None:
+                break
+            got.append(k)
+        else:
+            n = 0
+        if n == 0 or n >= len(word):
+            k = get(term)
+            if k is not None:
+                got.append(k)
+        key = tuple(got)
+        at = self.rows.get(key)
+        if at is None:
+            at = self.rows[key] = len(self.rows)
+            if at == len(self.numbers):
+                self.numbers = np.concatenate([self.numbers, np.full_like(self.numbers, -1)])
+            self.numbers[at, : len(got)] = got
+        self[term] = at
         return at
 
     def vector(self, text: bytes | None) -> Vector:
         """The vocabulary features of a whole text and how often each occurs in it."""
         if len(self) > self.bound:
             self.clear()
-            self.used = 1
         words = terms(text)
         at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         all_of = self.numbers[at].ravel()
@@ -232,18 +250,17 @@ class Index:
         return np.bincount(self.example[at], np.repeat(w, n) * self.value[at], len(self.ids))
 
     def _begun(self, vectors: list[Vector]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each vector, the cosines as far as frequent features and short lists give them, and
-        the features with longer lists, with their weights."""
+        """For each vector, the part of the cosines that frequent features make, and the other
+        features with their weights."""
         units = [self._unit(v, self.weight) for v in vectors]
-        w = np.zeros((len(units), len(self.dense)))
+        w, rest = np.zeros((len(units), len(self.dense))), []
         for i, (found, of) in enumerate(units):
-            often = self.row[found] >= 0
-            w[i, self.row[found[often]]] = of[often]
-        for (found, of), part in zip(units, w @ self.dense, strict=True):
-            longer = self.mid[found] >= 0
-            short = ~longer & (self.row[found] < 0)
-            part += self._whole(found[short], of[short])
-            yield part, found[longer], of[longer]
+            row = self.row[found]
+            often = row >= 0
+            w[i, row[often]] = of[often]
+            rest.append((found[~often], of[~often]))
+        for part, (found, of) in zip(w @ self.dense, rest, strict=True):
+            yield part, found, of
 
     def _whole(self, found: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What whole lists add to all cosines."""
@@ -273,11 +290,12 @@ class Index:
         first = -(-self.k // BLOCK) + 1
         many, reached = self.block_max.shape[1], 0
         for at, (part, found, w) in enumerate(self._begun(vectors) if len(self.ids) else ()):
-            if not len(found):
-                s = part
-            elif at >= PROBES and 2 * reached > many * PROBES:
+            if at >= PROBES and 2 * reached > many * PROBES:
                 s = part + self._whole(found, w)
             else:
+                longer = self.mid[found] >= 0
+                part = part + self._whole(found[~longer], w[~longer])
+                found, w = found[longer], w[longer]
                 bound = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK)) + w @ self.block_max[self.mid[found]]
                 best = np.argpartition(-bound, first)[:first] if many > first else np.arange(many)
                 s = part + self._read(found, w, best)
