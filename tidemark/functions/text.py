@@ -161,8 +161,9 @@ def embed_text(title: Column, content: Column, n: int = 500) -> Column:
 
 
 def feature_text(title: Column, content: Column, n: int = 50) -> Column:
-    """A title, white space collapsed, and the beginning of its text, as a classifier reads them."""
-    return F.concat(collapse(F.coalesce(title, F.lit(""))), F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, n))
+    """A title and the beginning of its text, white space collapsed in both, as a classifier reads them."""
+    lead = F.substring(collapse(F.coalesce(content, F.lit(""))), 1, n)
+    return strip(F.concat(collapse(F.coalesce(title, F.lit(""))), F.lit("\n"), lead))
 
 
 def form_encoded(text: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scoring, text
-from tidemark.operators import assemble, bars, contracts, gates, reads, serving, validation
+from tidemark.operators import assemble, bars, contracts, gates, reads, serving, topic, validation
 from tidemark.plans.book import Book, Tables
 from tidemark.plans.market_queries import _DERIVED
 
 book = Book()
 
+_FEATURE = "trim(trim(regexp_replace(title, '\\s+', ' ', 'g')) || chr(10) || substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 50), ' ' || chr(10))"
 _HEAT = "heat AS (SELECT a.event_id, count(DISTINCT a.source) AS heat_sources_24h FROM articles a JOIN (SELECT event_id, min(published) AS f FROM articles GROUP BY 1) m ON a.event_id = m.event_id AND a.published <= m.f + 86400 GROUP BY 1)"
 _READY = "title IS NOT NULL AND categories IS NOT NULL AND stars IS NOT NULL"
 _RANK = "stars DESC NULLS FIRST, market_validation DESC NULLS LAST, occurred DESC NULLS FIRST, event_id"
@@ -441,11 +442,47 @@ def q_S09_fetch_queue(t: Tables) -> DataFrame:
     return assemble.fetch_queue(t.entities.select(F.explode("tickers").alias("ticker")), t.tickers)
 
 
-@book.query("SELECT article_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) || chr(10) || substr(content, 1, 50) AS feature FROM articles")
+@book.query(f"SELECT article_id, {_FEATURE} AS feature FROM articles")
 def q_X20_feature_text(t: Tables) -> DataFrame:
     return t.articles.select("article_id", text.feature_text(F.col("title"), F.col("content")).alias("feature"))
 
 
+def _topics() -> list[topic.Classifier]:
+    """Two made-up topics, so that the SQL can state them: coefficients by a rule, in 64ths."""
+    return [
+        topic.Classifier("finance", tuple(((k * 37) % 101 - 50) / 64 for k in range(topic.DIMENSIONS)), 0.25, 2.0, -0.5, 0.55, 0.35),
+        topic.Classifier("public_policy", tuple(((k * 53) % 89 - 44) / 64 for k in range(topic.DIMENSIONS)), -0.5, 1.5, 0.25, 0.6, 0.4),
+    ]
+
+
+_TOPICS = f"""f AS (SELECT article_id, source, {_FEATURE} AS t FROM articles), g AS (SELECT *, list_distinct(list_transform(range(1, length(t) - 1), lambda i: ('0x' || substr(md5(substr(t, i, 3)), 1, 4))::INT % 128)) AS b FROM f),
+raw AS (SELECT article_id, source, coalesce(list_sum(list_transform(b, lambda k: ((k * 37) % 101 - 50) / 64)) / sqrt(len(b)), 0) + 0.25 AS r1, coalesce(list_sum(list_transform(b, lambda k: ((k * 53) % 89 - 44) / 64)) / sqrt(len(b)), 0) - 0.5 AS r2 FROM g),
+s AS (SELECT article_id, source, round(1 / (1 + exp(-(2.0::DOUBLE * r1 - 0.5::DOUBLE))), 6) AS finance, round(1 / (1 + exp(-(1.5::DOUBLE * r2 + 0.25::DOUBLE))), 6) AS policy FROM raw),
+d AS (SELECT *, CASE WHEN finance >= 0.55 OR policy >= 0.6 THEN 'accept' WHEN finance <= 0.35 AND policy <= 0.4 THEN 'reject' ELSE 'review' END AS decision FROM s)"""
+
+
+@book.query(f"WITH {_TOPICS} SELECT article_id, finance, policy, concat_ws(',', CASE WHEN finance >= 0.55 THEN 'finance' END, CASE WHEN policy >= 0.6 THEN 'public_policy' END) AS labels, decision FROM d")
+def q_Q16_topics(t: Tables) -> DataFrame:
+    found = topic.classify(t.articles, _topics())
+    return found.select("article_id", F.col("score_finance").alias("finance"), F.col("score_public_policy").alias("policy"), F.array_join("labels", ",").alias("labels"), "decision")
+
+
+@book.query(f"""WITH {_TOPICS}, c AS (SELECT source, count(*) FILTER (WHERE decision = 'accept') AS relevant_count, count(*) FILTER (WHERE decision = 'review') AS review_count, count(*) FILTER (WHERE decision = 'reject') AS reject_count, count(*) AS n FROM d GROUP BY source)
+SELECT source, relevant_count, review_count, reject_count, round(relevant_count / n, 3) AS relevant_ratio, relevant_count >= 5 AND relevant_count / n >= 0.3 AS gate_pass, relevant_count >= 5 AND relevant_count / n >= 0.3 AS passes FROM c""")
+def q_Q17_topic_gate(t: Tables) -> DataFrame:
+    return topic.gate(topic.classify(t.articles, _topics()), ["source"], 5, 0.3)
+
+
+@book.query()
+def q_Q20_train_topics(t: Tables) -> DataFrame:
+    """Two languages as topics of the documents, learnt, calibrated and measured on other documents."""
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    split = F.when(part < 6, "train").when(part < 8, "calibration").otherwise("test")
+    rows = t.articles.join(t.documents.select("doc_id", "lang"), F.col("n") == F.col("doc_id")).select("title", "content", split.alias("split"), *((F.col("lang") == x).cast("int").alias(x) for x in ("en", "es")))
+    _, metrics = topic.train(rows, ["en", "es"], min_precision=0.8, min_npv=0.8, least=5)
+    return metrics
+
+
 @book.query("""WITH r AS (SELECT user_id, event_id, month(ts) AS m FROM events), l AS (SELECT *, coalesce((m > lag(m) OVER (PARTITION BY user_id ORDER BY event_id))::INT, 0) AS up FROM r)
 SELECT event_id, (2026 - sum(up) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS year FROM l""")
 def q_W16_years(t: Tables) -> DataFrame:
