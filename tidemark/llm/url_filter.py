@@ -84,10 +84,12 @@ def _entropy(text: Column) -> Column:
     return F.coalesce(let(F.filter(F.split(text, ""), lambda x: x != ""), runs), F.lit(0.0))
 
 
-FEATURES = (
+FOLDS = 5  # of hosts: a labelled url's shares come from the hosts of the other folds
+BASE = (
     "url_length", "host_length", "path_length", "query_length", "host_depth", "path_depth", "host_digit_ratio", "path_digit_ratio",
     "host_entropy", "path_entropy", "n_params", "n_hyphens", "longest_label", "suffix_share", "suffix_hosts",
 )
+FEATURES = (*BASE, "suffix_block_share", "tld_block_share")
 
 
 def suffix_statistics(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -120,7 +122,7 @@ def lexical(host: Column, path: Column, query: Column) -> dict[str, Column]:
 
 
 def featured(urls: DataFrame, url_col: str = "url", statistics: DataFrame | None = None) -> DataFrame:
-    """urls with _host, _path and _features (FEATURES in order, as struct of doubles).
+    """urls with _host, _path and _features (BASE in order, as struct of doubles).
 
     The statistics join is by suffix; equal suffixes are one row there, and Spark may split the
     urls of a hot suffix.
@@ -132,10 +134,44 @@ def featured(urls: DataFrame, url_col: str = "url", statistics: DataFrame | None
     columns = lexical(F.col("_p.host"), F.col("_p.path"), F.col("_p.query"))
     for name in ("suffix_share", "suffix_hosts"):
         columns[name] = F.coalesce(F.col(f"_of_{name}"), F.lit(0.0))
-    features = F.struct(*[columns[n].alias(n) for n in FEATURES])
+    features = F.struct(*[columns[n].alias(n) for n in BASE])
     return joined.select(*[F.col(f"`{c}`") for c in urls.columns], F.col("_p.host").alias("_host"), F.col("_p.path").alias("_path"), features.alias("_features"))
 
 
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
+def _keys(host: Column) -> Column:
+    """What label shares are gathered by: the suffix, and the last label alone with a dot."""
+    return F.array(suffix(host), F.concat(F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1)))
+
+
+def label_shares(labelled: DataFrame) -> DataFrame:
+    """(key, n, y, folds): urls and those to block of each suffix and last label, in all and by
+    fold of hosts. labelled: _host, label."""
+    each = labelled.filter("label is not null").select(F.explode(_keys(F.col("_host"))).alias("key"), _fold(F.col("_host")).alias("fold"), F.col("label").cast("long").alias("y"))
+    by = each.groupBy("key", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    fold = F.struct("fold", F.struct("n", "y").alias("of"))
+    return by.groupBy("key").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.map_from_entries(F.collect_list(fold)).alias("folds"))
+
+
+def with_label_shares(rows: DataFrame, shares: DataFrame, own: bool) -> DataFrame:
+    """rows of featured() with all FEATURES. The shares of blocked urls are smoothed by one of either
+    label. own: rows with a label are among those counted, so they leave out what their own fold
+    says; their host's own verdict never tells on them."""
+    at = F.when(F.col("label").isNotNull(), _fold(F.col("_host"))) if own else F.lit(None).cast("int")
+    out, found = rows.withColumn("_keys", _keys(F.col("_host"))), []
+    for k, name in enumerate(("suffix_block_share", "tld_block_share")):
+        named = shares.select(F.col("key").alias(f"_key{k}"), F.struct("n", "y", "folds").alias(f"_of{k}"))
+        out = out.join(named, F.col("_keys")[k] == F.col(f"_key{k}"), "left")
+        mine = F.try_element_at(F.col(f"_of{k}.folds"), at)
+        left = lambda c: F.coalesce(F.col(f"_of{k}.{c}"), F.lit(0)) - F.coalesce(mine[c], F.lit(0))  # noqa: B023, E731
+        found.append(((left("y") + 1.0) / (left("n") + 2.0)).alias(name))
+    features = F.struct(*[F.col(f"_features.{n}").alias(n) for n in BASE], *found)
+    return out.withColumn("_features", features).select(*rows.columns)
+
+
 @dataclass
 class Trees:
     """Gradient-boosted regression trees for log-loss; score() is one Spark expression."""
@@ -233,7 +269,8 @@ def held_out(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url", thres
     """(n, accuracy, blocked) of the trees on a fifth of the hosts that rules decide, having learnt
     from the other four; blocked is the share of urls without a rule that they block."""
     rows = materialize(_ruled(urls.select(F.col(f"`{url_col}`").alias("url")), rules, "url"), "url-features")
-    fold = F.pmod(F.xxhash64("_host"), F.lit(5)) == 0
+    fold = _fold(F.col("_host")) == 0
+    rows = materialize(with_label_shares(rows, label_shares(rows.filter(~fold)), own=True), "url-shares")
     model = train(rows.filter(~fold).select("_features", "label"))
     judged = rows.select("label", fold.alias("fold"), (model.score(F.col("_features")) >= threshold).cast("int").alias("p"))
     tested = F.col("fold") & F.col("label").isNotNull()
@@ -252,8 +289,9 @@ def judge(urls: DataFrame, labelled: DataFrame | None = None, rules: Sequence[Ru
 
     labelled: rows of (url, label), label 1 for block; without it, urls that a rule decides are
     the labelled ones. The longest fitting rule decides; for the rest, the trees: block if the
-    score reaches the threshold. Suffix statistics cover all urls; the trees see at most
-    max_rows labelled rows. Null urls, and urls without ://, have an empty host and path and are
+    score reaches the threshold. Suffix statistics cover all urls, and the shares of labels by suffix
+    all labelled ones, which see those of other hosts only; the trees see at most max_rows labelled
+    rows. Null urls, and urls without ://, have an empty host and path and are
     judged by the trees like any other. Rows that repeat are judged alike; columns of urls that
     share a result's name are replaced. Empty table: no rows. The urls' columns are written once
     with their features, so pass those that are wanted, not whole pages.
@@ -265,11 +303,10 @@ def judge(urls: DataFrame, labelled: DataFrame | None = None, rules: Sequence[Ru
     statistics = materialize(suffix_statistics(urls, url_col), "suffixes")
     rows = materialize(_ruled(urls, rules, url_col, statistics), "url-features")
     number = F.col("_rule")
-    if labelled is None:
-        taught = rows.select("_features", "label")
-    else:
-        taught = featured(labelled.select(F.col("url"), F.col("label")), "url", statistics).select("_features", "label")
-    model = train(taught, max_rows)
+    taught = rows if labelled is None else featured(labelled.select(F.col("url"), F.col("label")), "url", statistics)
+    shares = materialize(label_shares(taught), "label-shares")
+    model = train(with_label_shares(taught, shares, own=True).select("_features", "label"), max_rows)
+    rows = with_label_shares(rows, shares, own=labelled is None)
     names, verdicts = (F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>") for x in ([r.name for r in rules], [r.verdict for r in rules]))
     score = model.score(F.col("_features"))
     verdict = F.coalesce(F.get(verdicts, number), F.when(score >= threshold, F.lit("block")).otherwise(F.lit("allow")))
