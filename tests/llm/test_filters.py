@@ -125,16 +125,23 @@ def test_url_features_and_verdicts_match_brute_force(spark):
     hosts = {u: re.match(r"https://([^/]*)", u)[1] for u, _ in made}
     fold = {r["h"]: r["f"] for r in spark.createDataFrame([(h,) for h in set(hosts.values())], "h string").select("h", url_filter._fold(F.col("h")).alias("f")).collect()}
 
-    def share(key, leave):
-        counted = [y for u, y in made[:300] if fold[hosts[u]] != leave and key in (".".join(hosts[u].split(".")[-2:]), "." + hosts[u].split(".")[-1])]
-        return (sum(counted) + 1) / (len(counted) + 2)
+    def keys(u):
+        rest = (u or "").partition("://")[2]
+        h = re.sub("[A-Z]", lambda c: c[0].lower(), re.match(r"[^/?#]*", rest)[0])
+        last = ".".join(h.split(".")[-2:])
+        return "." + h.split(".")[-1], last, last + "/" + (re.match(r"/([^/?#]*)", rest[len(h) :]) or ["", ""])[1]
+
+    def shares_of(u, leave):
+        out = [0.5]
+        for key in keys(u):
+            counted = [y for v, y in made[:300] if fold[hosts[v]] != leave and key in keys(v)]
+            out.append((sum(counted) + 2 * out[-1]) / (len(counted) + 2))
+        return out[1:]
 
     for r in taught.limit(40).collect():
-        h = hosts[r["url"]]
-        assert r["_features"]["suffix_block_share"] == pytest.approx(share(h, fold[h])) and r["_features"]["tld_block_share"] == pytest.approx(share("." + h.split(".")[-1], fold[h]))
+        assert [r["_features"][n] for n in url_filter.SHARES] == pytest.approx(shares_of(r["url"], fold[hosts[r["url"]]]))
     model = url_filter.train(taught.select("_features", "label"))
-    host = [re.sub("[A-Z]", lambda c: c[0].lower(), re.match(r"[^/?#]*", (u or "").partition("://")[2])[0]) for u in urls]
-    want = np.c_[want, [[share(re.search(r"([^.]+(?:\.[^.]+)?)?$", h)[0], None), share("." + h.split(".")[-1], None)] for h in host]]
+    want = np.c_[want, [shares_of(u, None) for u in urls]]
     held = [(got[i]["score"] >= 0.5, bool(made[i][1])) for i in range(300, 400)]
     assert sum(a == b for a, b in held) >= 90
     p = model.predict(want)

@@ -89,7 +89,8 @@ BASE = (
     "url_length", "host_length", "path_length", "query_length", "host_depth", "path_depth", "host_digit_ratio", "path_digit_ratio",
     "host_entropy", "path_entropy", "n_params", "n_hyphens", "longest_label", "suffix_share", "suffix_hosts",
 )
-FEATURES = (*BASE, "suffix_block_share", "tld_block_share")
+SHARES = ("tld_block_share", "suffix_block_share", "section_block_share")
+FEATURES = (*BASE, *SHARES)
 
 
 def suffix_statistics(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -142,33 +143,35 @@ def _fold(host: Column) -> Column:
     return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
 
 
-def _keys(host: Column) -> Column:
-    """What label shares are gathered by: the suffix, and the last label alone with a dot."""
-    return F.array(suffix(host), F.concat(F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1)))
+def _keys(host: Column, path: Column) -> Column:
+    """What label shares are gathered by: the last label with a dot, the suffix, and the suffix with
+    the first part of the path."""
+    return F.array(F.concat(F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1)), suffix(host), F.concat(suffix(host), F.lit("/"), F.regexp_extract(path, r"^/([^/]*)", 1)))
 
 
 def label_shares(labelled: DataFrame) -> DataFrame:
-    """(key, n, y, folds): urls and those to block of each suffix and last label, in all and by
-    fold of hosts. labelled: _host, label."""
-    each = labelled.filter("label is not null").select(F.explode(_keys(F.col("_host"))).alias("key"), _fold(F.col("_host")).alias("fold"), F.col("label").cast("long").alias("y"))
+    """(key, n, y, folds): urls and those to block of each suffix, last label and section, in all
+    and by fold of hosts. labelled: _host, _path, label."""
+    each = labelled.filter("label is not null").select(F.explode(_keys(F.col("_host"), F.col("_path"))).alias("key"), _fold(F.col("_host")).alias("fold"), F.col("label").cast("long").alias("y"))
     by = each.groupBy("key", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
     fold = F.struct("fold", F.struct("n", "y").alias("of"))
     return by.groupBy("key").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.map_from_entries(F.collect_list(fold)).alias("folds"))
 
 
 def with_label_shares(rows: DataFrame, shares: DataFrame, own: bool) -> DataFrame:
-    """rows of featured() with all FEATURES. The shares of blocked urls are smoothed by one of either
-    label. own: rows with a label are among those counted, so they leave out what their own fold
+    """rows of featured() with all FEATURES. A share of blocked urls is smoothed by two urls of the
+    share before it, the first by one of either label: what is unknown is judged by what it
+    belongs to. own: rows with a label are among those counted, so they leave out what their own fold
     says; their host's own verdict never tells on them."""
     at = F.when(F.col("label").isNotNull(), _fold(F.col("_host"))) if own else F.lit(None).cast("int")
-    out, found = rows.withColumn("_keys", _keys(F.col("_host"))), []
-    for k, name in enumerate(("suffix_block_share", "tld_block_share")):
+    out, found = rows.withColumn("_keys", _keys(F.col("_host"), F.col("_path"))), [F.lit(0.5)]
+    for k in range(len(SHARES)):
         named = shares.select(F.col("key").alias(f"_key{k}"), F.struct("n", "y", "folds").alias(f"_of{k}"))
         out = out.join(named, F.col("_keys")[k] == F.col(f"_key{k}"), "left")
         mine = F.try_element_at(F.col(f"_of{k}.folds"), at)
         left = lambda c: F.coalesce(F.col(f"_of{k}.{c}"), F.lit(0)) - F.coalesce(mine[c], F.lit(0))  # noqa: B023, E731
-        found.append(((left("y") + 1.0) / (left("n") + 2.0)).alias(name))
-    features = F.struct(*[F.col(f"_features.{n}").alias(n) for n in BASE], *found)
+        found.append((left("y") + 2.0 * found[-1]) / (left("n") + 2.0))
+    features = F.struct(*[F.col(f"_features.{n}").alias(n) for n in BASE], *(c.alias(n) for n, c in zip(SHARES, found[1:], strict=True)))
     return out.withColumn("_features", features).select(*rows.columns)
 
 
