@@ -38,6 +38,17 @@ def test_a_long_system_turn_does_not_multiply_the_output():
             assert all(b[0][0] == "system" and system.startswith(b[0][1]) and b[0][1] for b in back)
 
 
+def test_the_repeated_system_turn_has_its_own_bound():
+    for system, cut in ((None, 64), (20, 20), (150, 150), (1000, None)):
+        w = chat.Windows(256, 0, system)
+        turns = [("system", "be brief " * 60)] + [("user", f"t{i} " + "w " * 40) for i in range(12)]
+        rows = [r for role, t in turns for r in w.add(role, t)] + [w.flush()]
+        repeated = [chat.read_back(r["formatted"])[0] for r in rows[1:]]
+        assert len(repeated) > 1 and all(r["system_cut"] == (cut is not None) for r in rows[1:])
+        for role, text, *_ in repeated:
+            assert role == "system" and chat.turn_tokens(text, role, chat.estimate) <= (cut or 10_000) and (cut is not None or text == turns[0][1])
+
+
 def test_windows_count_as_they_are_told(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "z" * 50, "a b c d") for i in range(20)]
     d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")

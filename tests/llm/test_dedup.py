@@ -112,7 +112,9 @@ def test_keep_one_of_each_group(spark):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
-def test_embeddings_match_brute_force(spark):
+@pytest.mark.parametrize("width", [2048, 8, 3])
+def test_embeddings_match_brute_force(spark, width):
+    """With one level of lists, with two and with four."""
     rng = np.random.default_rng(7)
     rows = []
     for i in range(900):
@@ -124,7 +126,7 @@ def test_embeddings_match_brute_force(spark):
     rows += [(2000, rows[0][1], 0), (2001, rows[0][1], 0), (2002, rows[0][1], 1)]
     odd = [(3000, None, 0), (3001, [], 0), (3002, [0.0] * 16, 0), (3003, [None, *[1.0] * 15], 0), (3004, [float("nan")] * 16, 0), (3005, [float("inf")] * 16, 0), (3006, rows[0][1], None), (3007, rows[0][1][:8], 0), (None, rows[3][1], 1)]
     d = spark.createDataFrame([(a, b, c, "x") for a, b, c in rows + odd], "vec_id long, embedding array<double>, label int, n_links string")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(d, list_size=32, probes=8).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(d, list_size=32, probes=8, width=width).collect()}
     everything = [*rows, odd[-1]]
     x = np.array([r[1] for r in everything])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -140,6 +142,24 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_lists_follow_the_rows_at_any_size():
+    """The levels of centroids multiply, their lists are found as by a full search, and their
+    numbers give the centres back."""
+    x = np.random.default_rng(3).normal(size=(600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for lists, width, deep in ((20, 64, 1), (50, 16, 2), (300, 8, 3)):
+        index = embedding_dedup.fit(x, lists, width=width)
+        total = int(np.prod([len(level) for level in index.levels]))
+        assert len(index.levels) == deep and lists <= total < 2 * lists + 1 and all(len(level) <= width for level in index.levels)
+        centers = index.center(np.arange(total))
+        far = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+        got = index.lists(x, 4)
+        assert all(len(set(row)) == 4 for row in got.tolist())
+        picked = np.take_along_axis(far, got, axis=1)
+        assert (np.diff(picked, axis=1) >= -1e-9).all()
+        assert (picked[:, 0] <= far.min(axis=1) + 1e-9).mean() > 0.97
+
+
 def test_line_templates(spark):
     shared = "this passage stands in many documents and says the same each time"
     rows = [(i, f"own line {chr(97 + i)} of the text\n{shared}\nuser {i * 17} logged in from 10.0.0.{i} at noon today ok", "x") for i in range(6)]

@@ -109,13 +109,14 @@ class Windows:
     turn is new in exactly one window; loss spans are texts of new assistant turns, so targets
     that come again as history are masked. A single turn over the budget has a window of its
     own, marked, and is not cut. The system turn is whole where it is new; where it is repeated,
-    a quarter of the budget is its bound, and a cut one is marked. So what is repeated never
-    takes more than a quarter of the budget and the history, whatever the conversation. Only the
+    `system` tokens are its bound, and a cut one is marked. So what is repeated never takes more
+    than that and the history, whatever the conversation. Only the
     system turn, the history and one window are held.
     """
 
-    def __init__(self, budget: int, history: int, count: Callable[[str], int] = estimate) -> None:
+    def __init__(self, budget: int, history: int, system: int | None = None, count: Callable[[str], int] = estimate) -> None:
         self.budget, self.history, self.count = budget, history, count
+        self.most = budget // 4 if system is None else system
         self.system_cut = False
         self.system: tuple | None = None
         self.past: list[tuple] = []
@@ -160,10 +161,9 @@ class Windows:
         self.number += 1
         if not self.seen and self.new[0][0] == "system":
             role, text, n = self.new[0]
-            most = self.budget // 4
-            self.system_cut = n > most
+            self.system_cut = n > self.most
             if self.system_cut:
-                text = cut_to(text, most - 3, self.count)
+                text = cut_to(text, self.most - 3, self.count)
                 n = turn_tokens(text, role, self.count)
             self.system = (role, text, n)
             tail = self.new[1:]
@@ -176,10 +176,12 @@ class Windows:
         return row
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, count: Callable[[str], int] = estimate) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, system: int | None = None, count: Callable[[str], int] = estimate) -> DataFrame:
     """Windows of every conversation: the formatted text, its loss spans and counts.
 
-    budget and history are in tokens as count gives them (a tokenizer's count goes there).
+    budget, history and system, the bounds of a window, of its repeated turns and of its repeated
+    system turn (None: a quarter of the budget), are in tokens as count gives them (a tokenizer's
+    count goes there).
 
     conversations: conv_id, turn, role, text; other columns are not read. Turns are ordered by
     turn, then role and text, nulls first, so ties and repeated rows have one order. A null text
@@ -199,7 +201,7 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
                 if state is None or conv != now:
                     if state is not None:
                         rows.append({"conv_id": now} | state.flush())
-                    now, state = conv, Windows(budget, history, count)
+                    now, state = conv, Windows(budget, history, system, count)
                 rows += ({"conv_id": now} | w for w in state.add(role, text or ""))
             if len(rows) >= 512:
                 yield pa.RecordBatch.from_pylist(rows, schema)

@@ -16,6 +16,7 @@ from tidemark.runtime import broadcast_if_small, materialize
 
 BLOCK = 4096  # stored vectors that one group holds at most, on average
 STEP = 512  # queries compared at once
+SLICE = 64  # rows whose lists are sought at once
 
 
 def usable(embedding: Column) -> Column:
@@ -26,22 +27,55 @@ def usable(embedding: Column) -> Column:
 
 @dataclass
 class Index:
-    """Coarse centroids, and codewords of residuals for each subspace (m x words x width)."""
+    """Coarse centroids by level, and codewords of residuals for each subspace (m x words x width).
 
-    centroids: np.ndarray
+    A list is one centroid of each level, and its centre their sum: the second level divides what
+    the first leaves over, and so on. So the lists multiply while the centroids add up, and the
+    index stays small at any number of lists.
+    """
+
+    levels: list[np.ndarray]
     words: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.between = {(a, b): self.levels[a] @ self.levels[b].T for b in range(len(self.levels)) for a in range(b)}
+
+    def center(self, lists: np.ndarray) -> np.ndarray:
+        """The centres of lists; a list's number has its centroids as digits, first level first."""
+        rest, out = np.asarray(lists, np.int64), 0
+        for level in reversed(self.levels):
+            rest, digit = np.divmod(rest, len(level))
+            out = out + level[digit]
+        return out
+
     def padded(self, x: np.ndarray) -> np.ndarray:
         width = self.words.shape[0] * self.words.shape[2]
         return np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
     def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest lists of each row, nearest first; the first owns it."""
-        d = (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
-        probes = min(probes, d.shape[1])
-        near = np.argpartition(d, probes - 1, axis=1)[:, :probes]
-        order = np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable")
-        return np.take_along_axis(near, order, axis=1)
+        """The nearest lists of each row, nearest first; the first owns it.
+
+        With several levels, each keeps four times as many candidates as are wanted in the end.
+        """
+        parts = [self._lists(part, probes) for part in np.array_split(x, max(1, -(-len(x) // SLICE)))]
+        return np.concatenate(parts)
+
+    def _lists(self, x: np.ndarray, probes: int) -> np.ndarray:
+        n, last = len(x), len(self.levels) - 1
+        row = np.arange(n)[:, None]
+        number, digits, d = np.zeros((n, 1), np.int64), [], np.zeros((n, 1))
+        for k, level in enumerate(self.levels):
+            # |x - c1 - .. - ck|^2, less |x|^2, grows by |ck|^2 - 2 x.ck + 2 (c1 + .. ).ck
+            step = ((level**2).sum(axis=1) - 2 * x @ level.T)[:, None, :]
+            step = step + 2 * sum(self.between[j, k][digit] for j, digit in enumerate(digits)) if digits else step
+            d = (d[:, :, None] + step).reshape(n, -1)
+            keep = min(probes if k == last else 4 * probes, d.shape[1])
+            near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+            near = near[row, np.argsort(d[row, near], axis=1, kind="stable")]
+            before, digit = np.divmod(near, len(level))
+            number, d = number[row, before] * len(level) + digit, d[row, near]
+            digits = [*(held[row, before] for held in digits), digit]
+        return number
 
     def encode(self, residual: np.ndarray) -> np.ndarray:
         m, _, width = self.words.shape
@@ -71,13 +105,23 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centers
 
 
-def fit(x: np.ndarray, lists: int, subspaces: int = 8, words: int = 256, seed: int = 11) -> Index:
-    """An index from a sample of unit vectors, the same for the same rows."""
+def fit(x: np.ndarray, lists: int, subspaces: int = 8, words: int = 256, seed: int = 11, width: int = 2048) -> Index:
+    """An index from a sample of unit vectors, the same for the same rows.
+
+    It has at least `lists` lists, by as few levels of at most `width` centroids as give them.
+    """
     rng = np.random.default_rng(seed)
-    lists = max(1, min(lists, len(x)))
-    index = Index(_means(x, lists, 6, rng), np.zeros((subspaces, 1, -(-x.shape[1] // subspaces))))
-    residual = index.padded(x - index.centroids[index.lists(x, 1)[:, 0]])
-    parts = residual.reshape(len(x), subspaces, -1)
+    deep = 1
+    while width**deep < lists:
+        deep += 1
+    each = lists if deep == 1 else next(k for k in range(2, width + 1) if k**deep >= lists)
+    index, residual = Index([], np.zeros((subspaces, 1, -(-x.shape[1] // subspaces)))), x
+    for _ in range(deep):
+        level = _means(residual, max(1, min(each, len(x))), 6, rng)
+        residual = residual - level[Index([level], index.words).lists(residual, 1)[:, 0]]
+        index.levels.append(level)
+    index.__post_init__()
+    parts = index.padded(x - index.center(index.lists(x, 1)[:, 0])).reshape(len(x), subspaces, -1)
     index.words = np.stack([_means(np.ascontiguousarray(parts[:, k]), min(words, len(x)), 6, rng) for k in range(subspaces)])
     return index
 
@@ -98,12 +142,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-_POSTED = "label int, size int, list int, visit boolean, owner int, probes array<int>, node long, copies long, vector array<double>, codes binary, error double"
 _FOUND = "a long, b long, links long"
 
 
-def _post(index, probes: int, dim: int):
-    """Nodes to one row for each list they visit, and one for the list that stores them."""
+def _place(index, probes: int, dim: int, names: list[str]):
+    """Nodes with the lists they visit, nearest first, their residual codes and the codes' error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -112,19 +155,13 @@ def _post(index, probes: int, dim: int):
                 continue
             x = _unit(_matrix(batch.column("embedding"), dim))
             near = ix.lists(x, probes)
-            own = near[:, 0]
-            residual = x - ix.centroids[own]
+            residual = x - ix.center(near[:, 0])
             codes = ix.encode(residual)
             error = np.sqrt(((ix.padded(residual) - ix.decode(codes)) ** 2).sum(axis=1))
             n, p = near.shape
-            take = np.concatenate([np.arange(n), np.repeat(np.arange(n), p)])
-            lists = np.concatenate([own, near.reshape(-1)]).astype(np.int32)
-            visit = np.arange(len(take)) >= n
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.reshape(-1))).take(pa.array(take))
-            probed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p), pa.array(near.reshape(-1).astype(np.int32))).take(pa.array(take))
-            raw = [None if v else codes[i].tobytes() for i, v in zip(take.tolist(), visit.tolist(), strict=True)]
-            cols = [batch.column("label").take(pa.array(take)), batch.column("size").take(pa.array(take)), pa.array(lists), pa.array(visit), pa.array(own[take].astype(np.int32)), probed, batch.column("node").take(pa.array(take)), batch.column("copies").take(pa.array(take)), vectors, pa.array(raw, pa.binary()), pa.array(error[take])]
-            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _POSTED.split(", ")])
+            probed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p), pa.array(near.reshape(-1)))
+            raw = pa.array([row.tobytes() for row in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), probed, raw, pa.array(error)], [*names, "probes", "codes", "error"])
 
     return run
 
@@ -153,9 +190,9 @@ def _search(index, threshold: float, dim: int):
 
         def visitors(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             here = now[2]
-            x, node, copies, owner = _matrix(part.column("vector"), dim), *(part.column(c).to_numpy() for c in ("node", "copies", "owner"))
+            x, node, copies, owner = _unit(_matrix(part.column("embedding"), dim)), *(part.column(c).to_numpy() for c in ("node", "copies", "owner"))
             g, stored = group, len(group["node"])
-            tables = ix.tables(x - ix.centroids[here]).astype(np.float32)
+            tables = ix.tables(x - ix.center(here)).astype(np.float32)
             adc = np.zeros((len(x), stored), np.float32)
             for k in range(tables.shape[1]):
                 adc += tables[:, k][:, g["codes"][:, k]]
@@ -188,7 +225,7 @@ def _search(index, threshold: float, dim: int):
             n = rows.num_rows
             probes = rows.column("probes").combine_chunks()
             group = {
-                "x": _matrix(rows.column("vector").combine_chunks(), dim),
+                "x": _unit(_matrix(rows.column("embedding").combine_chunks(), dim)),
                 "node": rows.column("node").to_numpy(),
                 "copies": rows.column("copies").to_numpy(),
                 "codes": np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(n, -1),
@@ -224,7 +261,7 @@ def _search(index, threshold: float, dim: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, probes: int = 16, list_size: int = 128, max_lists: int = 2048, sample: int = 20_000, subspaces: int = 8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, probes: int = 16, list_size: int = 128, width: int = 2048, sample: int = 20_000, subspaces: int = 8) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding, label).
 
     Rows link where labels are equal and not null, lengths are equal, and the cosine in double
@@ -240,26 +277,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, probes: int = 1
     visits the `probes` nearest; a pair is found if either visits the other's list. Table look-up
     distances less the stored error are a lower bound, so within a list nothing is lost before
     the exact rerank; how many links the lists themselves lose is measured in tests/llm. Lists
-    number one for every list_size nodes, max_lists at most, and a list of a label with over
-    BLOCK nodes is dealt over several groups, each of which sees all visitors.
+    number one for every list_size nodes at any size: beyond `width` of them the coarse quantiser
+    has a second level of centroids, and so on. A list of a label with over BLOCK nodes is dealt
+    over several groups, each of which sees all visitors.
     """
     emb = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), emb.alias("embedding"))
     linked = usable(emb) & F.col("label").isNotNull()
-    node = F.when(linked, F.xxhash64("label", "embedding"))
-    keyed = materialize(rows.select("vec_id", "label", "embedding", node.alias("node")), "vectors")
-    nodes = keyed.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    nodes = materialize(nodes.withColumn("size", F.size("embedding")), "vector-nodes")
+    keyed = materialize(rows.withColumn("linked", linked), "vectors")
+    same = keyed.filter("linked").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # The numbers are only names: written once, they stay as they are.
+    nodes = materialize(same.select("*", F.size("embedding").alias("size"), F.monotonically_increasing_id().alias("node")), "vector-nodes")
     count, dim = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(1))).first()
     found = None
     if count:
-        got = nodes.select("node", "embedding").orderBy("node").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
-        lists = int(min(max_lists, max(1, round(count / list_size))))
-        index = vectors.sparkSession.sparkContext.broadcast(fit(_unit(_matrix(got, dim)), lists, subspaces))
-        posted = materialize(nodes.select("label", "size", "node", "copies", "embedding").mapInArrow(_post(index, probes, dim), _POSTED), "postings")
+        got = nodes.select("label", "embedding").orderBy(F.xxhash64("label", "embedding"), "label", "embedding").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+        index = vectors.sparkSession.sparkContext.broadcast(fit(_unit(_matrix(got, dim)), max(1, round(count / list_size)), subspaces, width=width))
+        names = ["label", "size", "node", "copies", "embedding"]
+        kind = nodes.schema["embedding"].dataType.simpleString()
+        placed = nodes.select(names).mapInArrow(_place(index, probes, dim, names), f"label int, size int, node long, copies long, embedding {kind}, probes array<long>, codes binary, error double")
+        placed = materialize(placed, "placed").withColumn("owner", F.get("probes", F.lit(0)))
+        groups = placed.groupBy("label", "size", F.col("owner").alias("list")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        # One row stores the node in its own list, one a probe visits; a visitor needs no codes.
+        visits = F.transform("probes", lambda p: F.struct(p.alias("list"), F.lit(True).alias("visit")))
+        posted = placed.select("*", F.explode(F.concat(F.array(F.struct(F.col("owner").alias("list"), F.lit(False).alias("visit"))), visits)).alias("at")).select("*", "at.*").drop("at")
+        posted = posted.withColumns({c: F.when(~F.col("visit"), F.col(c)) for c in ("probes", "codes", "error")})
         where = ["label", "size", "list"]
-        groups = posted.filter("not visit").groupBy(where).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        dealt = posted.join(broadcast_if_small(materialize(groups, "lists")), where)
+        # Most lists are one block: only those of more are looked up, the rest need no join.
+        long_lists = broadcast_if_small(materialize(groups.filter("blocks > 1"), "lists"))
+        dealt = posted.join(long_lists, where, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         every = F.when(F.col("visit"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.col("node"), F.col("blocks")).cast("int")))
         dealt = dealt.withColumn("block", F.explode(every)).drop("blocks")
         sorted_ = dealt.repartition(*where, "block").sortWithinPartitions(*where, "block", "visit", "node")
@@ -272,6 +318,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, probes: int = 1
     info = materialize(info.select("node", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "vector-components")
     least = info.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = info.join(least, "component").select(F.col("node").alias("_node"), "copies", "links", "component_id")
-    out = keyed.join(named, F.col("node") == F.col("_node"), "left")
+    named = nodes.select("node", F.col("label").alias("_label"), F.col("embedding").alias("_embedding")).join(named, F.col("node") == F.col("_node")).drop("node")
+    alike = F.col("linked") & (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))
+    out = keyed.join(named, alike, "left")
     component = F.when(F.col("_node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
