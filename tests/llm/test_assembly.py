@@ -41,7 +41,7 @@ def test_a_long_system_turn_does_not_multiply_the_output():
 def test_the_repeated_system_turn_has_its_own_bound():
     for system, cut in ((None, 64), (20, 20), (150, 150), (1000, None)):
         w = chat.Windows(256, 0, system)
-        turns = [("system", "be brief " * 60)] + [("user", f"t{i} " + "w " * 40) for i in range(12)]
+        turns = [("system", "be brief " * 80)] + [("user", f"t{i} " + "w " * 40) for i in range(12)]
         rows = [r for role, t in turns for r in w.add(role, t)] + [w.flush()]
         repeated = [chat.read_back(r["formatted"])[0] for r in rows[1:]]
         assert len(repeated) > 1 and all(r["system_cut"] == (cut is not None) for r in rows[1:])
