@@ -23,7 +23,8 @@ TIERS = (
 HEAVYWEIGHTS = ("2330", "2317", "2454", "2308", "2382", "2412", "2881", "2882", "2891", "3711", "2303", "2886", "2884", "1216", "2002")
 CATEGORIES = {"法說": 90, "財報": 85, "政策": 85, "關稅": 80, "產業供需": 70, "AI/科技": 65, "營收": 60, "技術突破": 55, "法人動向": 40}
 STAR_CUTS = ((80, 5), (65, 4), (50, 3), (35, 2))
-VALIDATION = {"w_inst": 25.0, "w_price": 20.0, "days_cap": 5.0, "pct_cap": 0.20, "days_weight": 0.3, "z_div": 2.0, "min_pct": 0.01, "min_z": 0.3, "gate_lo": 40.0, "gate_hi": 55.0}
+VALIDATION = {"w_inst": 25.0, "w_price": 20.0, "days_cap": 5.0, "pct_cap": 0.20, "days_weight": 0.3, "z_div": 2.0, "min_pct": 0.01, "min_z": 0.3, "gate_lo": 40.0, "gate_hi": 55.0, "amp_hi": 1.15}
+HEAT = {"baseline": 2.0, "lo": 0.90, "hi": 1.15}
 BLEND = {1: 0.2, 3: 0.3, 5: 0.5}
 
 
@@ -97,26 +98,37 @@ def piecewise(x: Column, lo, lo_y, mid, mid_y, hi, hi_y) -> Column:
     )
 
 
-def heat(sources_24h: Column) -> Column:
-    """Amplifier 0.90 to 1.15 of the number of sources within a day; unknown: 1."""
-    ratio = F.greatest(sources_24h.cast("double"), F.lit(0.0)) / 2.0
-    return F.coalesce(F.round(piecewise(ratio, 0.5, 0.90, 1.0, 1.0, 2.5, 1.15), 3), F.lit(1.0))
+def heat(sources_24h: Column, cfg: Mapping = HEAT) -> Column:
+    """Amplifier, lo to hi, of the number of sources within a day; unknown: 1."""
+    ratio = F.greatest(sources_24h.cast("double"), F.lit(0.0)) / _col(cfg["baseline"])
+    return F.coalesce(F.round(piecewise(ratio, 0.5, cfg["lo"], 1.0, 1.0, 2.5, cfg["hi"]), 3), F.lit(1.0))
 
 
 def importance(source_count: Column, sources: Column, status: Column, tickers: Column, categories: Column, heat_sources: Column, weights: Mapping = WEIGHTS) -> Column:
     """struct(breadth, authority, impact, category, amp, total, stars); stars are cut on the
     total before it is rounded."""
     parts = {"breadth": breadth(source_count), "authority": authority(sources, status), "impact": impact(tickers, categories), "category": category(categories)}
+    amp = heat(heat_sources)
+    sum_ = weighted(parts, amp, weights)
+    return F.struct(*[s.cast("int").alias(k) for k, s in parts.items()], amp.alias("amp"), F.round(sum_, 6).alias("total"), star_count(sum_).cast("int").alias("stars"))
+
+
+def weighted(parts: Mapping[str, Column], amp: Column, weights: Mapping = WEIGHTS) -> Column:
+    """The dimensions' weighted sum, amplified, within 0 and 100.
+
+    Doubles like 64.99999999999999 are what the weights' sum gives; both cuts and digits follow it.
+    """
     total = F.lit(0.0)
     for k, s in parts.items():
         total = total + s * _col(weights[k])
-    amp = heat(heat_sources)
-    # Doubles like 64.99999999999999 are what the weights' sum gives; both cuts and digits follow it.
-    total = F.least(F.greatest(total * amp, F.lit(0.0)), F.lit(100.0))
+    return F.least(F.greatest(total * amp, F.lit(0.0)), F.lit(100.0))
+
+
+def star_count(total: Column) -> Column:
     stars = F.lit(1)
     for cut, star in reversed(STAR_CUTS):
         stars = F.when(total >= cut, star).otherwise(stars)
-    return F.struct(*[s.cast("int").alias(k) for k, s in parts.items()], amp.alias("amp"), F.round(total, 6).alias("total"), stars.cast("int").alias("stars"))
+    return stars
 
 
 # The texts that explain a score.
@@ -239,8 +251,8 @@ def blended_price_signal(r1: Column, r3: Column, r5: Column, sigma: Column, cfg:
     return _direction(z, cfg), F.coalesce(F.least(F.abs(z) / _col(cfg["z_div"]), F.lit(1.0)), F.lit(0.0)), k
 
 
-def volume_amplifier(max_ratio: Column) -> Column:
-    return piecewise(F.coalesce(max_ratio, F.lit(1.0)), 0.7, 0.80, 1.0, 1.0, 2.5, 1.15)
+def volume_amplifier(max_ratio: Column, cfg: Mapping = VALIDATION) -> Column:
+    return piecewise(F.coalesce(max_ratio, F.lit(1.0)), 0.7, 0.80, 1.0, 1.0, 2.5, cfg["amp_hi"])
 
 
 def verify_state(k: Column) -> Column:

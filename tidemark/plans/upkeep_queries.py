@@ -168,22 +168,6 @@ def q_W17_smoothness(t: Tables) -> DataFrame:
     return evaluate.smoothness(rows, "user_id", "event_id", "s").filter("max_jump is not null")
 
 
-_GRID = """g AS (SELECT s, v, k, c, w, 0.0::DOUBLE + b * (0.30::DOUBLE + w) + 50 * 0.25::DOUBLE + i * (0.30::DOUBLE - w) + ct * 0.15::DOUBLE AS x
-  FROM (SELECT unnest([1, 3, 5, 8]) AS s) JOIN (SELECT unnest([0, 1, 2]) AS k) ON true JOIN (SELECT unnest(['財報', '營收', '其他']) AS c) ON true JOIN (SELECT unnest([1, 2, 6]) AS v) ON true JOIN (SELECT unnest([-0.1, 0.0, 0.1])::DOUBLE AS w) ON true,
-  LATERAL (SELECT CASE s WHEN 1 THEN 25 WHEN 3 THEN 60 WHEN 5 THEN 80 ELSE 100 END AS b, CASE k WHEN 0 THEN 35 WHEN 1 THEN 45 ELSE 60 END AS i, CASE c WHEN '財報' THEN 85 WHEN '營收' THEN 60 ELSE 50 END AS ct))"""
-
-
-@book.query(f"WITH {_GRID} SELECT w AS shift, count(*) AS n, round(avg(least(x * CASE v WHEN 1 THEN 0.9 WHEN 2 THEN 1.0 ELSE 1.15 END::DOUBLE, 100)), 6) AS mean_total FROM g GROUP BY w")
-def q_Q23_weight_grid(t: Tables) -> DataFrame:
-    """All combinations of a few settings, scored at once under shifted weights."""
-    listed = lambda *x: F.explode(F.array(*map(F.lit, x)))
-    grid = t.spark.range(1).select(listed(1, 3, 5, 8).alias("s")).select("*", listed(0, 1, 2).alias("k")).select("*", listed("財報", "營收", "其他").alias("c")).select("*", listed(1, 2, 6).alias("v")).select("*", listed(-0.1, 0.0, 0.1).alias("w"))
-    weights = {"breadth": F.lit(0.30) + F.col("w"), "authority": 0.25, "impact": F.lit(0.30) - F.col("w"), "category": 0.15}
-    tickers = F.slice(F.array(F.lit("1101"), F.lit("1102")), F.lit(1), F.col("k"))
-    score = scoring.importance(F.col("s"), F.array().cast("array<string>"), F.lit("developing"), tickers, F.array("c"), F.col("v"), weights)
-    return grid.withColumn("x", score["total"]).groupBy(F.col("w").alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_total"))
-
-
 @book.query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3""")
 def q_M18_similar_pairs(t: Tables) -> DataFrame:
     pairs = cluster.similar_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3)
