@@ -120,3 +120,20 @@ def test_feeds_of_three_kinds(spark):
     assert [(x["title"], x["url"], x["published_at"], x["description"], x["source_record_id"]) for x in a] == [("T & U", "http://a/1", "2026-01-01", "s", "i1")]
     assert [(x["title"], x["url"], x["published_at"]) for x in r] == [("R", "http://a/2", "2026")]
     assert len(s) == 20 and n == []
+
+
+def test_item_faults(spark):
+    from tidemark.operators import contracts
+
+    words = " ".join(f"w{i}" for i in range(80))
+    at = "2026-01-02T03:04:05+08:00"
+    cases = [
+        ("t", "u", words, at, None), (None, "", words, None, "missing_fields:['title', 'url', 'published_at']"), ("", "u", "", at, "missing_fields:['title', 'content']"),
+        ("t", "u", words, "2026-02-29T00:00:00Z", "published_at_invalid"), ("t", "u", words, "2026-01-02T24:00:00Z", "published_at_invalid"), ("t", "u", words, "02/01/2026", "published_at_invalid"),
+        ("t", "u", words, "2024-02-29", "published_at_missing_timezone"), ("t", "u", words, "2026-01-02 03:04", "published_at_missing_timezone"), ("t", "u", words, "2026-01-02 03:04Z", None), ("t", "u", words, "2026-01-02T03:04:05.5-0330", None),
+        ("t", "u", "a \n　 b", at, "content_too_short:3"), ("Big  News", "u", f"big news {words} BIG\nNEWS", at, "content_repeats_title"), ("Big News", "u", f"big news {words}", at, None), ("Big News", "u", f"x big news {words} big news", at, None),
+        ("t", "u", "same words here " * 40, at, "content_duplicate_ratio:0.027"), ("t", "u", "long" * 60, at, None), (" ", "u", f" {words}", at, None),
+    ]
+    d = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, title string, url string, content string, published_at string")
+    got = {r["i"]: r["fault"] for r in d.select("i", contracts.item_fault(*(F.col(c) for c in ("title", "url", "content", "published_at"))).alias("fault")).collect()}
+    assert got == {i: c[4] for i, c in enumerate(cases)}

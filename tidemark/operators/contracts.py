@@ -67,3 +67,34 @@ def regression_checks(cases: DataFrame) -> DataFrame:
     }
     rows = F.array(*[F.when(F.coalesce(has, F.lit(False)), F.struct(F.lit(k).alias("key"), F.coalesce(ok, F.lit(False)).alias("passed"))) for k, (has, ok) in checks.items()])
     return cases.select("case_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("c")).select("case_id", "c.key", "c.passed")
+
+
+# The extended forms of ISO 8601 that carry a day, a day and a time, or those and an offset.
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
+
+
+def item_fault(title: Column, url: Column, content: Column, published_at: Column, least: int = 200, distinct: float = 0.55) -> Column:
+    """The first thing wrong with a scraped item; null where nothing is.
+
+    In this order: fields that are null or empty, by name; a time that is no ISO day or time of
+    the calendar; one without an offset; content of under `least` characters once white space is
+    single; content that begins with its title and says it again; content whose eight-word windows
+    are different in under `distinct` of the cases.
+    """
+    fields = {"title": title, "url": url, "content": content, "published_at": published_at}
+    missing = F.filter(F.array(*(F.when(F.coalesce(c, F.lit("")) == "", F.lit(f"'{k}'")) for k, c in fields.items())), lambda x: x.isNotNull())
+    day = F.try_to_timestamp(F.substring(published_at, 1, 10), F.lit("yyyy-MM-dd"))
+    valid = F.coalesce(published_at.rlike(_ISO) & day.isNotNull(), F.lit(False))
+    zoned = (F.length(published_at) > 10) & published_at.rlike("(Z|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    body, head = tidy(content), F.lower(tidy(title))
+    again = (head != "") & F.startswith(F.lower(body), head) & F.contains(F.substr(F.lower(body), F.length(head) + 1), head)
+    share = text.distinct_share(content)
+    return (
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing_fields:["), F.array_join(missing, ", "), F.lit("]")))
+        .when(~valid, "published_at_invalid")
+        .when(~zoned, "published_at_missing_timezone")
+        .when(F.length(body) < least, F.concat(F.lit("content_too_short:"), F.length(body).cast("string")))
+        .when(again, "content_repeats_title")
+        .when(share < distinct, F.concat(F.lit("content_duplicate_ratio:"), F.format_string("%.3f", share)))
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators import bars, sensitivity
+from tidemark.operators import bars, contracts, sensitivity
 from tidemark.plans.book import Book, Tables
 from tidemark.plans.event_queries import _HEAT, _SCORED, _importance
 from tidemark.plans.market_queries import _DERIVED
@@ -96,3 +96,20 @@ def q_Q23_weight_grid(t: Tables) -> DataFrame:
     """Every event under shifted weights and amplifiers, against the usual ones."""
     scored = _importance(t).select("score.breadth", "score.authority", "score.impact", "score.category", F.col("heat_sources_24h").alias("heat_sources"))
     return sensitivity.importance_study(scored)
+
+
+# Items made of the articles: times of all kinds, missing fields, and titles that are said again.
+_ITEM = """SELECT n, CASE WHEN n % 7 = 3 THEN NULL ELSE title END AS title, CASE WHEN n % 11 = 5 THEN '' ELSE url END AS url, CASE WHEN n % 13 = 6 THEN concat(title, chr(10), title, ' ', content) ELSE content END AS content,
+  CASE n % 10 WHEN 0 THEN '2026-01-02T03:04:05+08:00' WHEN 1 THEN '2026-01-02 03:04:05Z' WHEN 2 THEN '2026-01-02T03:04:05' WHEN 3 THEN 'two days ago' WHEN 4 THEN '2026-02-30T03:04:05Z' WHEN 5 THEN '2026-01-02' WHEN 6 THEN NULL ELSE '2026-01-02T23:59:59.25-0330' END AS published_at FROM {}"""
+_GIVEN = ", ".join(f"CASE WHEN coalesce({k}, '') = '' THEN '''{k}''' END" for k in ("title", "url", "content", "published_at"))
+
+
+@book.query(rf"""WITH i AS ({_ITEM.format("articles")}), w AS (SELECT *, list_filter(string_split_regex(content, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS head FROM i),
+b AS (SELECT * EXCLUDE (w), array_to_string(w, ' ') AS body, len(w) AS words, list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' ')) AS grams FROM w),
+f AS (SELECT *, CASE WHEN words < 24 THEN 1.0 ELSE len(list_distinct(grams)) / len(grams) END::DOUBLE AS share, list_filter([{_GIVEN}], lambda x: x IS NOT NULL) AS missing FROM b)
+SELECT n, CASE WHEN len(missing) > 0 THEN 'missing_fields:[' || array_to_string(missing, ', ') || ']' WHEN n % 10 IN (3, 4) THEN 'published_at_invalid' WHEN n % 10 IN (2, 5) THEN 'published_at_missing_timezone'
+  WHEN length(body) < 200 THEN 'content_too_short:' || length(body)::VARCHAR WHEN head <> '' AND starts_with(lower(body), head) AND contains(substr(lower(body), length(head)::INT + 1), head) THEN 'content_repeats_title'
+  WHEN share < 0.55 THEN 'content_duplicate_ratio:' || printf('%.3f', share) END AS fault FROM f""")
+def q_Q22_item_faults(t: Tables) -> DataFrame:
+    items = t.spark.sql(_ITEM.format("{articles}"), articles=t.articles)
+    return items.select("n", contracts.item_fault(F.col("title"), F.col("url"), F.col("content"), F.col("published_at")).alias("fault"))
