@@ -43,6 +43,26 @@ def test_features_and_decisions_against_a_plain_version(spark):
         topic.Classifier("x", (), 0.0, 1.0, 0.0, 0.5, 0.5)
 
 
+def test_features_are_made_once_and_read_the_beginning_only(spark, monkeypatch):
+    import time
+
+    from tidemark.functions import text
+
+    body = ("ab \u3000\n" * 200_000, "\t" * 70_000 + "x y" + " " * 70_000 + "z", "界" * 90_000, "", None, "one  two")
+    df = spark.createDataFrame([(i, "t", c) for i, c in enumerate(body)], "n int, title string, content string")
+    got = {r["n"]: r["x"] for r in df.select("n", text.feature_text(F.col("title"), F.col("content")).alias("x")).collect()}
+    assert got == {i: ("t\n" + " ".join((c or "").split())[:50]).strip() for i, c in enumerate(body)}
+    many = spark.range(400).select(F.lit("a title of a text with some more words").alias("title"), F.concat(F.repeat(F.lit("ab cd\n"), 20_000), "id").alias("content"))
+    began = time.time()
+    assert many.select(F.max(F.size(topic.features(F.col("title"), F.col("content"))))).first()[0] > 20
+    assert time.time() - began < 20  # 48 MB of text, read once: a second or two; for each run of characters: minutes
+    plans = []
+    monkeypatch.setattr(topic, "logistic", lambda rows, *a, own=topic.logistic, **k: plans.append(rows._jdf.queryExecution().toString()) or own(rows, *a, **k))
+    rows = [(f"{'bank rate' if i % 2 else 'storm wind'} {i}", "", ["train", "calibration", "test"][i % 3], i % 2) for i in range(180)]
+    topic.train(spark.createDataFrame(rows, "title string, content string, split string, money int"), ["money"], 0.8, 0.8)
+    assert plans and not any("md5" in p for p in plans)
+
+
 def test_regression_finds_the_optimum_under_any_partitioning(spark):
     rng = np.random.default_rng(2)
     x = (rng.random((300, 6)) < 0.4).astype(float)

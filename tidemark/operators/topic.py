@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.scoring import wilson_lower
+from tidemark.runtime import materialize
 
 DIMENSIONS = 128
 GRAM = 3  # characters
@@ -48,10 +49,15 @@ def from_rows(rows: DataFrame) -> list[Classifier]:
 def features(title: Column, content: Column, dimensions: int = DIMENSIONS) -> Column:
     """The distinct dimensions that the text's runs of GRAM characters are hashed to, each worth one over
     the root of their number; the text is the title and the beginning of the content."""
-    read = text.feature_text(title, content)
-    places = F.when(F.length(read) >= GRAM, F.sequence(F.lit(1), F.length(read) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    bucket = lambda i: (F.conv(F.substring(F.md5(F.substr(read, i, F.lit(GRAM)).cast("binary")), 1, 4), 16, 10).cast("int") % dimensions).cast("int")
-    return F.array_distinct(F.transform(places, bucket))
+    bucket = lambda gram: (F.conv(F.substring(F.md5(gram.cast("binary")), 1, 4), 16, 10).cast("int") % dimensions).cast("int")
+
+    def of(read: Column) -> Column:
+        places = F.when(F.length(read) >= GRAM, F.sequence(F.lit(1), F.length(read) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+        grams = F.array_distinct(F.transform(places, lambda i: F.substr(read, i, F.lit(GRAM))))
+        return F.array_distinct(F.transform(grams, bucket))
+
+    # the text as a lambda's argument, so that it is made once and not for every run of characters
+    return F.transform(F.array(text.feature_text(title, content)), of)[0]
 
 
 def raw_score(found: Column, coef: Sequence[float], intercept: float) -> Column:
@@ -120,8 +126,8 @@ def logistic(rows: DataFrame, dimensions: int, balanced: bool, strength: float =
             for b in batches:
                 x = np.zeros((len(b), d))
                 x[:, -1] = 1.0
-                for i, (at, v) in enumerate(zip(b["at"], b["x"], strict=True)):
-                    x[i, at] = v
+                if len(b):
+                    x[np.repeat(np.arange(len(b)), b["at"].map(len)), np.concatenate(b["at"].to_numpy())] = np.concatenate(b["x"].to_numpy())
                 y, c = b["y"].to_numpy(float), np.where(b["y"] == 1, weight[1], weight[0])
                 z = x @ w
                 p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
@@ -183,7 +189,9 @@ def train(items: DataFrame, labels: Sequence[str], min_precision: float = 0.95,
     labels accept min_test test rows or more with a lower precision bound (95 %) of min_precision.
     """
     found = features(F.col("title"), F.col("content"), dimensions)
-    rows = items.select("split", *labels, found.alias("at")).withColumn("x", F.transform("at", lambda b: 1.0 / F.sqrt(F.size("at").cast("double"))))
+    # every Newton step reads all rows again: the features are made once
+    rows = materialize(items.select("split", *labels, found.alias("at")), "features")
+    rows = rows.withColumn("x", F.array_repeat(1.0 / F.sqrt(F.size("at").cast("double")), F.size("at")))
     model, measured = [], []
     for label in labels:
         of = lambda split: rows.filter(F.col("split") == split).select(F.col(label).cast("int").alias("y"), "at", "x")  # noqa: B023, E731
