@@ -45,6 +45,7 @@ def let(value: Column, body) -> Column:
 
 # White space in Python's sense, which Unicode's own leaves four control characters out of.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NO_SPACE = SPACE.replace("[", "[^", 1)
 
 
 def strip(text: Column) -> Column:
@@ -162,7 +163,9 @@ def embed_text(title: Column, content: Column, n: int = 500) -> Column:
 
 def feature_text(title: Column, content: Column, n: int = 50) -> Column:
     """A title and the beginning of its text, white space collapsed in both, as a classifier reads them."""
-    lead = F.substring(collapse(F.coalesce(content, F.lit(""))), 1, n)
+    # the rest is not read: what is taken holds more than n characters other than white space, or all
+    begins = F.regexp_extract(F.coalesce(content, F.lit("")), f"^{SPACE}*+(?:{NO_SPACE}{SPACE}*+){{0,{n + 1}}}", 0)
+    lead = F.substring(collapse(begins), 1, n)
     return strip(F.concat(collapse(F.coalesce(title, F.lit(""))), F.lit("\n"), lead))
 
 
