@@ -231,13 +231,33 @@ def distinct_share(text: Column, n: int = 8, least: int = 24) -> Column:
     return let(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""), share)
 
 
+def signed(x: Column, digits: int = 1) -> Column:
+    """x with its sign and so many digits, rounded by the double's exact value as C and Python do:
+    Java rounds its shortest decimal form, so that 0.15, a little less than it says, would become 0.2."""
+
+    @F.pandas_udf(StringType())
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:+.{digits}f}")
+
+    # a null and a NaN are one thing to pandas
+    kept = x.cast("double")
+    return F.when(F.isnan(kept), F.lit("+nan")).when(kept.isNotNull(), shown(kept))
+
+
+def floored(x: Column) -> Column:
+    """The next whole number down as a double, as C has it: Spark's floor is a long, which has no
+    negative zero, no infinity and no NaN."""
+    return F.when((F.abs(x) < 2.0**53) & (x != F.floor(x)), F.floor(x).cast("double")).otherwise(x.cast("double"))
+
+
 def signed_percent(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%+.{digits}f%%", x * 100)
+    return F.concat(signed(x * 100, digits), F.lit("%"))
 
 
 def lots(x: Column) -> Column:
     """Lots in thousands and ten thousands, signed."""
-    return F.when(F.abs(x) >= 10000, F.format_string("%+.1f萬", x / 10000)).when(F.abs(x) >= 1000, F.format_string("%+.1fk", x / 1000)).otherwise(F.format_string("%+d", x.cast("long")))
+    whole = F.format_string("%+d", x.cast("long"))
+    return F.when(F.abs(x) >= 10000, F.concat(signed(x / 10000), F.lit("萬"))).when(F.abs(x) >= 1000, F.concat(signed(x / 1000), F.lit("k"))).otherwise(whole)
 
 
 # What lines that lead to other news begin with.

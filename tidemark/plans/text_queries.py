@@ -177,7 +177,7 @@ def q_X24_distinct_share(t: Tables) -> DataFrame:
 
 @book.query("SELECT c_custkey AS id, printf('%+.1f%%', floor(c_acctbal) / 1000 * 100) AS pct FROM customer")
 def q_X28_signed_percent(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("id"), text.signed_percent(F.floor("c_acctbal") / 1000).alias("pct"))
+    return t.customer.select(F.col("c_custkey").alias("id"), text.signed_percent(text.floored(F.col("c_acctbal")) / 1000).alias("pct"))
 
 
 @book.query(rf"""WITH l AS (SELECT i, {_collapsed("unnest(string_split(s, chr(10)))")} AS l, generate_subscripts(string_split(s, chr(10)), 1) AS p FROM {_either("documents", "text", "doc_id", ARTICLES)}),
