@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import serving
+from tidemark.runtime import materialize
 
 # Days back for each keyword; an unknown keyword stands for today, all for no bound.
 RANGES = {"today": 0, "week": 7, "month": 30, "all": None}
@@ -37,17 +38,28 @@ def details(entities: DataFrame, articles: DataFrame, tickers: DataFrame) -> Dat
     return out.withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
 
 
+ORDERED = 2**19  # rows, at most about, of a task that sorts timelines
+
+
 def timelines_of(entities: DataFrame, asked: DataFrame) -> DataFrame:
     """(anchor_id, date, title, event_id, is_current) for the events asked for (event_id): all
     events of their first ticker that share a category with them, without a bound in time.
 
     Sorting is by anchor_id, occurred. An event without tickers or categories has no timeline.
+    There are as many rows as events times their anchors, so the tasks that sort are as many as the
+    pairs of one ticker need.
     """
     base = entities.join(asked.select("event_id").distinct(), "event_id", "left_semi")
     base = base.select(F.col("event_id").alias("anchor_id"), F.get("tickers", F.lit(0)).alias("ticker"), F.col("categories").alias("_mine")).filter("ticker is not null and size(_mine) > 0")
+    base = materialize(base, "anchors")
     ready = entities.filter(serving.renderable()).select("event_id", "title", "occurred", "categories", F.explode(F.array_distinct("tickers")).alias("ticker"))
+    ready = materialize(ready, "ready")
+    many = lambda rows, name: rows.groupBy("ticker").agg(F.count(F.lit(1)).alias(name))
+    pairs = many(base, "a").join(many(ready, "b"), "ticker").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
     met = ready.join(base, "ticker").filter(F.arrays_overlap("categories", "_mine"))
-    return met.select("anchor_id", event_day().alias("date"), "title", "event_id", (F.col("event_id") == F.col("anchor_id")).alias("is_current"), "occurred").orderBy("anchor_id", "occurred", "event_id")
+    out = met.select("anchor_id", event_day().alias("date"), "title", "event_id", (F.col("event_id") == F.col("anchor_id")).alias("is_current"), "occurred")
+    order = ("anchor_id", "occurred", "event_id")
+    return out.repartitionByRange(max(1, -(-pairs // ORDERED)), *order).sortWithinPartitions(*order)
 
 
 def events_of(entities: DataFrame, day: str, limit: int = 300) -> DataFrame:
